@@ -183,7 +183,7 @@ SELECT * FROM (VALUES
 VIEWS["volume_outcomes"] = """
 SELECT CASE l_partkey % 3 WHEN 0 THEN 'nt' WHEN 1 THEN 'nr' ELSE 'tax_db' END
     || '.' || lpad(cast(cast(floor(l_partkey / 30) AS bigint) AS string), 3, '0') AS volume,
-  l_orderkey AS batch, l_linenumber AS attempt,
+  l_orderkey AS batch, l_linenumber AS attempt, l_partkey AS p, l_suppkey AS q, l_extendedprice AS x,
   CASE l_returnflag WHEN 'N' THEN 'valid' WHEN 'R' THEN 'corrupted' ELSE
     CASE WHEN l_linestatus = 'O' THEN 'tool_error' ELSE 'valid' END END AS outcome
 FROM lineitem

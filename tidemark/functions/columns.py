@@ -185,7 +185,7 @@ def wildcard_match(key, pattern) -> Column:
     if pattern is None:
         return F.lit(False)
     if isinstance(pattern, str):
-        return k.like(wildcard_to_like(pattern), "!")
+        return F.like(k, F.lit(wildcard_to_like(pattern)), F.lit("!"))
     p = _c(pattern)
     return F.coalesce(F.like(k, wildcard_like_col(p), F.lit("!")), F.lit(False))
 
