@@ -77,6 +77,29 @@ SELECT '/data/' || source || '/doc_' || cast(doc_id AS string) || '.txt'
 FROM documents
 """
 
+# Manifest text lines (S5): comments, blanks, single-space separators, bad
+# digests, a name with an inner double space, padding and upper case.
+VIEWS["manifest_text"] = """
+SELECT 'md5_' || source || '.txt' AS file, doc_id + 1 AS line_no,
+  CASE WHEN doc_id % 29 = 0 THEN '# comment ' || cast(doc_id AS string)
+    WHEN doc_id % 31 = 0 THEN '   '
+    WHEN doc_id % 37 = 0 THEN md5(text) || ' doc_' || cast(doc_id AS string) || '.txt'
+    WHEN doc_id % 41 = 0 THEN 'z' || substr(md5(text), 2) || '  doc_' || cast(doc_id AS string) || '.txt'
+    WHEN doc_id % 43 = 0 THEN md5(text) || '  dir/doc  ' || cast(doc_id AS string) || '.txt'
+    ELSE ' ' || CASE WHEN doc_id % 2 = 0 THEN upper(md5(text)) ELSE md5(text) END
+      || '  doc_' || cast(doc_id AS string) || '.txt ' END AS line
+FROM documents
+"""
+
+# A directory tree (S6, K3): hidden directories and files, the tool's logs.
+VIEWS["inventory_paths"] = """
+SELECT '/data/' || CASE WHEN doc_id % 13 = 0 THEN '.cache/' ELSE '' END || source || '/'
+    || CASE WHEN doc_id % 19 = 0 THEN '.' WHEN doc_id % 50 = 0 THEN 'polariseq_md5_' ELSE '' END
+    || 'doc_' || cast(doc_id AS string) || CASE WHEN doc_id % 50 = 0 THEN '.log' ELSE '.txt' END AS path,
+  n_chars AS length, md5(text) AS actual_md5
+FROM documents
+"""
+
 # Remote files for the range engine: size 0 every 40th, unknown md5 every 3rd.
 VIEWS["remote_files"] = """
 SELECT 'SRR' || lpad(cast(o_orderkey AS string), 8, '0') AS file_id,
