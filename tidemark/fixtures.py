@@ -117,6 +117,20 @@ SELECT 'SRR' || lpad(cast(l_orderkey AS string), 8, '0') AS file_id,
 FROM lineitem WHERE l_returnflag <> 'A'
 """
 
+# Chunk-state documents (S9): valid lists with repeats, invalid JSON, a
+# missing field, an empty list and a negative id (which voids the state).
+VIEWS["chunk_state_json"] = """
+SELECT 'SRR' || lpad(cast(o_orderkey AS string), 8, '0') AS file_id,
+  CASE o_orderkey % 6 WHEN 0 THEN '{"downloaded_chunks":[0,2,2]}'
+    WHEN 1 THEN 'not json {'
+    WHEN 2 THEN '{"downloaded_chunks":[]}'
+    WHEN 3 THEN '{"downloaded_chunks":[' || cast(o_custkey % 7 AS string) || ','
+      || cast(o_custkey % 3 AS string) || ',' || cast(o_custkey % 11 AS string) || ']}'
+    WHEN 4 THEN '{"other":[1]}'
+    ELSE '{"downloaded_chunks":[3,-1]}' END AS state_json
+FROM orders
+"""
+
 # Local copies for the range engine: status F = same size, O = other size,
 # P = only a temporary file (no local copy under the file id).
 VIEWS["local_files"] = """

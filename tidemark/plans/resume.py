@@ -176,7 +176,7 @@ def backoff_sleep(kind: Column, k: Column) -> Column:
     """Sleep (seconds) before retry ``k``: stream errors wait
     min(30, 2^min(k,5)); unexpected range replies wait k seconds."""
     stream = F.least(F.lit(INNER_BACKOFF_CAP_S).cast("long"),
-                     F.shiftleft(F.lit(1).cast("long"), F.least(k, F.lit(5)).cast("int")))
+                     F.pow(F.lit(2.0), F.least(k, F.lit(5))).cast("long"))
     return F.when(kind == "range", k.cast("long")).otherwise(stream)
 
 
