@@ -52,9 +52,10 @@ def process_runs(df: DataFrame, pe_only: bool = False, filters: dict | None = No
     )
 
 
-def normalize_report(df: DataFrame) -> DataFrame:
+def normalize_report(df: DataFrame, extra: dict | None = None) -> DataFrame:
     """Project any frame onto the 49 report columns: absent ones become null,
-    the four defaulted ones become ``''`` when null."""
+    the four defaulted ones become ``''`` when null.  ``extra`` maps further
+    output names to Columns of ``df``."""
     have = set(df.columns)
     cols = []
     for c in RUN_REPORT_COLUMNS:
@@ -62,6 +63,7 @@ def normalize_report(df: DataFrame) -> DataFrame:
         if c in RUN_REPORT_DEFAULT_EMPTY:
             v = F.coalesce(v, F.lit(""))
         cols.append(v.alias(c))
+    cols += [v.alias(k) for k, v in (extra or {}).items()]
     return df.select(*cols)
 
 

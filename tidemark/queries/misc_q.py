@@ -1 +1,172 @@
-"""placeholder"""
+"""Upload, sink and source round-trip queries: F8, X11, X12, K5, K1+S1,
+S2+U1, K4, K7."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..fixtures import view, with_views
+from ..functions.columns import basename, file_type, upload_key
+from ..operators.catalog import failed_volumes, volume_attempts
+from ..operators.filters import upload_candidates
+from ..operators.upload import submission_template
+from ..schemas import RUN_REPORT_COLUMNS, SUBMISSION_COLUMNS
+from ..session import scratch_path
+from ..sinks.tables import failed_volume_lines
+from ..sinks.writers import write_gzip_text, write_run_report
+from ..sources.listing import clean_listing
+from ..sources.runs import read_accession_reports, read_run_report, union_run_reports
+from . import register
+
+BUCKET = "my-bucket"
+PREFIX = "uploads//"
+STAMP = "2026-07-17 13:32:27"
+
+
+def _uploads(spark, sf):
+    return view(spark, sf, "upload_files")
+
+
+# ----------------------------------------------------------------- F8
+def q_upload_candidates(spark, sf):
+    return upload_candidates(_uploads(spark, sf)).select("path", "length", "accepted", "reason")
+
+
+register("upload_candidates", with_views("""SELECT path, length, length > 0 AS accepted,
+  CASE WHEN length IS NULL THEN 'missing' WHEN length <= 0 THEN 'empty' END AS reason
+FROM upload_files""", "upload_files"))(q_upload_candidates)
+
+
+# ----------------------------------------------------------------- X11
+def q_file_type(spark, sf):
+    u = _uploads(spark, sf)
+    return u.select("path", file_type(basename("path")).alias("filetype"))
+
+
+register("file_type", with_views("""SELECT path, CASE
+  WHEN ends_with(path, '.fastq.gz') OR ends_with(path, '.fq.gz') THEN 'fastq' WHEN ends_with(path, '.bam') THEN 'bam'
+  WHEN ends_with(path, '.cram') THEN 'cram' WHEN ends_with(path, '.vcf') OR ends_with(path, '.vcf.gz') THEN 'vcf'
+  ELSE 'fastq' END AS filetype FROM upload_files""", "upload_files"))(q_file_type)
+
+
+# ----------------------------------------------------------------- X12
+_PFX = "CASE length % 4 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'runs/' ELSE 'runs//x//' END"
+
+
+def q_upload_keys(spark, sf):
+    u = _uploads(spark, sf).withColumn("prefix", F.expr(_PFX))
+    return u.select("path", "prefix", upload_key("prefix", basename("path")).alias("key"))
+
+
+register("upload_keys", with_views(f"""SELECT path, prefix,
+  CASE WHEN prefix IS NULL THEN regexp_extract(path, '[^/]*$')
+       ELSE rtrim(prefix, '/') || '/' || regexp_extract(path, '[^/]*$') END AS key
+FROM (SELECT path, {_PFX} AS prefix FROM upload_files) u""", "upload_files"))(q_upload_keys)
+
+
+# ----------------------------------------------------------------- K5
+def q_submission_template(spark, sf):
+    return submission_template(_uploads(spark, sf), BUCKET, PREFIX)
+
+
+_K5_COLS = ", ".join(
+    {"filename": "regexp_extract(path, '[^/]*$') AS filename",
+     "filetype": """CASE WHEN ends_with(path, '.fastq.gz') OR ends_with(path, '.fq.gz') THEN 'fastq'
+       WHEN ends_with(path, '.bam') THEN 'bam' WHEN ends_with(path, '.cram') THEN 'cram'
+       WHEN ends_with(path, '.vcf') OR ends_with(path, '.vcf.gz') THEN 'vcf' ELSE 'fastq' END AS filetype""",
+     "s3_path": f"'s3://{BUCKET}/' || rtrim('{PREFIX}', '/') || '/' || regexp_extract(path, '[^/]*$') AS s3_path"
+     }.get(c, f"'' AS {c}") for c in SUBMISSION_COLUMNS)
+
+register("submission_template", with_views(f"""SELECT {_K5_COLS} FROM upload_files WHERE length > 0""",
+                                           "upload_files"))(q_submission_template)
+
+
+# ----------------------------------------------------------------- K1 -> S1
+def q_run_report_roundtrip(spark, sf):
+    runs = view(spark, sf, "run_report")
+    out = scratch_path(spark, f"run_report_{uuid.uuid4().hex}")
+    path = write_run_report(runs, out, accession="PRJ1")
+    back = read_run_report(spark, path)
+    return back.select("run_accession", "study_accession", "sample_title", "library_layout", "fastq_ftp",
+                       "fastq_md5", "fastq_bytes", "scientific_name")
+
+
+register("run_report_roundtrip", with_views("""SELECT run_accession, study_accession, coalesce(sample_title, '')
+  AS sample_title, nullif(library_layout, '') AS library_layout, coalesce(fastq_ftp, '') AS fastq_ftp,
+  coalesce(fastq_md5, '') AS fastq_md5, coalesce(fastq_bytes, '') AS fastq_bytes,
+  cast(NULL AS VARCHAR) AS scientific_name
+FROM run_report""", "run_report"))(q_run_report_roundtrip)
+
+
+# ----------------------------------------------------------------- S2 + U1
+def q_accession_union(spark, sf):
+    runs = view(spark, sf, "run_report")
+    root = scratch_path(spark, f"accessions_{uuid.uuid4().hex}")
+    paired = runs.where(F.col("library_layout") == "PAIRED")
+    single = runs.where(F.col("library_layout") != "PAIRED").drop("sample_title")
+    write_run_report(paired, root, accession="PRJPAIRED")
+    write_run_report(single, root, accession="PRJSINGLE")
+    landed = read_accession_reports(spark, root)
+    # a second source without the accession column (U1 fills it with null)
+    extra = runs.where(F.col("fastq_ftp") == "").select("run_accession", "study_accession")
+    u = union_run_reports(landed, extra)
+    return u.select("accession", "run_accession", "study_accession", "sample_title", "library_layout")
+
+
+register("accession_union", with_views("""SELECT CASE WHEN library_layout = 'PAIRED' THEN 'PRJPAIRED'
+    ELSE 'PRJSINGLE' END AS accession, run_accession, study_accession,
+  CASE WHEN library_layout = 'PAIRED' THEN coalesce(sample_title, '') ELSE '' END AS sample_title, library_layout
+FROM run_report
+UNION ALL
+SELECT NULL, run_accession, study_accession, '', NULL FROM run_report WHERE fastq_ftp = ''""",
+                                       "run_report"))(q_accession_union)
+
+
+# ----------------------------------------------------------------- K4
+def q_failed_volume_manifest(spark, sf):
+    w5 = volume_attempts(view(spark, sf, "volume_outcomes"), max_retries=2,
+                         order=("attempt", "p", "q", "x", "outcome"))
+    objs = clean_listing(view(spark, sf, "object_listing"), "2026-01/")
+    f = failed_volumes(w5, objs, order_col="batch").where(F.col("uri").isNotNull())
+    lines = failed_volume_lines(f, STAMP, "blast-db")
+    return lines.select(F.col("sort_key.volume").alias("volume"), F.col("sort_key.kind").cast("bigint").alias("kind"),
+                        "line")
+
+
+register("failed_volume_manifest", with_views(f"""r AS (SELECT *, row_number() OVER (PARTITION BY volume, batch,
+      outcome = 'corrupted' ORDER BY attempt, p, q, x, outcome) AS rk FROM volume_outcomes),
+t AS (SELECT volume, batch, outcome, row_number() OVER (PARTITION BY volume, batch
+      ORDER BY attempt, p, q, x, outcome) AS n
+    FROM r WHERE outcome IN ('valid', 'tool_error') OR (outcome = 'corrupted' AND rk = 3)),
+w5 AS (SELECT volume, batch, CASE WHEN outcome = 'tool_error' THEN 'Volume ' || volume || ' validation command failed'
+    ELSE 'Volume ' || volume || ' failed validation after 2 retries' END AS error
+  FROM t WHERE n = 1 AND outcome <> 'valid'),
+fv AS (SELECT volume, arg_min(error, batch) AS error FROM w5 GROUP BY volume),
+f AS (SELECT fv.volume, fv.error, 's3://' || o.bucket || '/' || o.key AS uri FROM fv
+  JOIN (SELECT * FROM object_listing WHERE key IS NOT NULL AND size IS NOT NULL
+        AND NOT (ends_with(key, '/') AND size = 0) AND starts_with(key, '2026-01/')) o
+  ON regexp_replace(regexp_extract(o.key, '[^/]*$'), '^(.+)[.][^.]*$', '\\1') = fv.volume)
+SELECT '' AS volume, cast(0 AS BIGINT) AS kind, '# Failed volumes for blast-db' AS line
+UNION ALL SELECT '', 0, '# Generated: {STAMP}'
+UNION ALL SELECT DISTINCT volume, 0, 'volume: ' || volume FROM f
+UNION ALL SELECT DISTINCT volume, 1, '  error: ' || error FROM f
+UNION ALL SELECT volume, 2, '  ' || uri FROM f""", "volume_outcomes", "object_listing"))(q_failed_volume_manifest)
+
+
+# ----------------------------------------------------------------- K7 (write gzip, read back)
+def q_gzip_roundtrip(spark, sf):
+    view(spark, sf, "run_report")  # registers the tables
+    docs = spark.table("documents")
+    lines = docs.select(F.col("source").alias("file"), F.posexplode(F.split("text", "\n")).alias("pos", "line")) \
+        .select("file", (F.col("pos") + 1).alias("line_no"), "line")
+    out = scratch_path(spark, f"gzip_{uuid.uuid4().hex}")
+    write_gzip_text(lines, out)
+    back = spark.read.option("lineSep", "\n").text(out)
+    return back.groupBy("file").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("value")).alias("chars"))
+
+
+register("gzip_roundtrip", """SELECT source AS file, cast(count(*) AS BIGINT) AS lines,
+  cast(sum(length(l)) AS BIGINT) AS chars
+FROM (SELECT source, unnest(string_split(text, chr(10))) AS l FROM documents) t GROUP BY source""")(q_gzip_roundtrip)
