@@ -24,4 +24,4 @@ def register(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from . import runs_q, listing_q, checksum_q, plan_q, progress_q, misc_q  # noqa: F401
+    from . import runs_q, listing_q, checksum_q, plan_q, progress_q, misc_q, stream_q  # noqa: F401
