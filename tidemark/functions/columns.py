@@ -15,6 +15,14 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def fail_if(df, cond: Column, message: Column):
+    """Fail the job on the first row where ``cond`` holds, with ``message``.
+
+    Expressed as a filter so the check cannot be pruned away: the predicate is
+    true for good rows and raises for bad ones."""
+    return df.where(F.when(cond, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
+
+
 # --------------------------------------------------------------------------- X1, X2
 def packed_list(c) -> Column:
     """Split a ``;``-packed cell, drop empty items, no trimming."""

@@ -79,10 +79,14 @@ def progress_json(progress: DataFrame) -> DataFrame:
     return progress.select("run_id", F.to_json(F.create_map(F.col("run_id"), entry)).alias("json"))
 
 
-def encrypt_json(json_col: Column, key_hex: str) -> tuple[Column, Column]:
-    """K6 encryption: AES-256-GCM with a random 12-byte nonce.  Spark's output
-    is nonce || ciphertext || tag; returns (base64 ciphertext||tag, base64 nonce)."""
-    enc = F.aes_encrypt(json_col.cast("binary"), F.unhex(F.lit(key_hex)), F.lit("GCM"))
-    nonce = F.substring(enc, 1, 12)
-    body = F.substring(enc, 13, 1 << 30)
-    return F.base64(body), F.base64(nonce)
+def encrypt_json(json_col: Column, key_hex: str, nonce: Column) -> Column:
+    """K6 encryption: AES-256-GCM under ``nonce`` (12 random bytes, made once
+    per row by the caller).  Spark's output is nonce || ciphertext || tag;
+    returns base64(ciphertext || tag)."""
+    enc = F.aes_encrypt(json_col.cast("binary"), F.unhex(F.lit(key_hex)), F.lit("GCM"), F.lit("DEFAULT"), nonce)
+    return F.base64(F.substring(enc, 13, 1 << 30))
+
+
+def random_nonce() -> Column:
+    """12 random bytes per row (non-deterministic, so Spark evaluates it once)."""
+    return F.unhex(F.substring(F.sha2(F.expr("uuid()"), 256), 1, 24))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.runs import normalize_report
 from .tables import encrypt_json, failed_volume_lines, manifest_lines, mate_checksum_rows, progress_json, \
-    submission_rows
+    random_nonce, submission_rows
 
 
 def write_run_report(df: DataFrame, out_dir: str, accession: str | None = None,
@@ -17,12 +17,13 @@ def write_run_report(df: DataFrame, out_dir: str, accession: str | None = None,
     """K1: 49-column TSV with header, nulls written as empty fields.
 
     The optional ``# Project Accession: X`` line cannot precede a CSV header in
-    a distributed write, so it goes to ``_accession.txt`` beside the data; the
-    reader (S1) skips ``#`` lines either way.
+    a distributed write, so it goes to the sibling folder ``<path>_accession``;
+    the reader (S1) skips ``#`` lines either way.
     """
     path = f"{out_dir.rstrip('/')}/{accession}_metadata" if accession else out_dir
     (normalize_report(df).write.mode(mode)
      .option("sep", "\t").option("header", True).option("emptyValue", "").option("nullValue", "")
+     .option("quote", '"').option("escape", '"')
      .csv(path))
     if accession:
         spark = df.sparkSession
@@ -73,8 +74,9 @@ def export_progress(progress: DataFrame, out_path: str | None = None, key_hex: s
     (base64 ciphertext and base64 12-byte nonce in separate columns)."""
     j = progress_json(progress)
     if key_hex:
-        ct, nonce = encrypt_json(F.col("json"), key_hex)
-        j = j.select("run_id", ct.alias("ciphertext"), nonce.alias("nonce"))
+        j = j.withColumn("_nonce", random_nonce())
+        j = j.select("run_id", encrypt_json(F.col("json"), key_hex, F.col("_nonce")).alias("ciphertext"),
+                     F.base64("_nonce").alias("nonce"))
     if out_path:
         j.write.mode(mode).json(out_path)
     return j

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import etag_md5, relative_key, wildcard_keep
+from ..functions.columns import etag_md5, fail_if, relative_key, wildcard_keep
 
 
 def read_listing(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -22,7 +22,7 @@ def read_listing(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
 
 def _error_policy(df: DataFrame, bad, message, on_error: str) -> DataFrame:
     if on_error == "fail":
-        return df.withColumn("_chk", F.when(bad, F.raise_error(message))).drop("_chk")
+        return fail_if(df, bad, message)
     if on_error == "quarantine":
         return df.withColumn("reason", F.when(bad, message))
     raise ValueError("on_error must be 'fail' or 'quarantine'")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import fail_if
 from ..operators.filters import is_md5_log
 from .text import read_numbered_lines
 
@@ -30,8 +31,7 @@ def parse_manifest_lines(lines: DataFrame, value: str = "value", line_no: str =
     out = kept.select(F.col(file).alias("file"), F.col(line_no).alias("line_no"), md5.alias("md5"),
                       name.alias("filename"), error.alias("error"))
     if mode == "fail":
-        return out.withColumn("_chk", F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")))) \
-            .drop("_chk", "error")
+        return fail_if(out, F.col("error").isNotNull(), F.col("error")).drop("error")
     if mode != "quarantine":
         raise ValueError("mode must be 'fail' or 'quarantine'")
     return out.withColumn("md5", F.when(F.col("error").isNull(), F.col("md5"))) \

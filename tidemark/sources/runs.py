@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import fail_if
 from ..operators.runs import normalize_report, union_reports
 
 
@@ -54,10 +55,9 @@ def parse_tsv_by_header(lines: DataFrame, max_broadcast_files: int = 100_000) ->
         F.regexp_replace(x.substr(F.lit(2), F.length(x) - 2), '""', '"')).otherwise(x))
     data = data.withColumn("_fields", fields)
     ragged = F.size("_fields") != F.size("_names")
-    data = data.withColumn("_chk", F.when(ragged, F.raise_error(
-        F.format_string("ragged row at line %d of %s", F.col("line_no"), F.col("file")))))
+    data = fail_if(data, ragged, F.format_string("ragged row at line %d of %s", F.col("line_no"), F.col("file")))
     m = F.map_from_arrays("_names", F.transform("_fields", lambda x: F.nullif(x, F.lit(""))))
-    return data.select("file", "line_no", m.alias("row"), "_chk")
+    return data.select("file", "line_no", m.alias("row"))
 
 
 def read_accession_reports(spark: SparkSession, root: str, pattern: str = r"([^/]+)_metadata/[^/]*$") -> DataFrame:
@@ -73,7 +73,7 @@ def read_accession_reports(spark: SparkSession, root: str, pattern: str = r"([^/
         v = F.col("row").getItem(c)
         cols.append((F.coalesce(v, F.lit("")) if c in RUN_REPORT_DEFAULT_EMPTY else v).alias(c))
     acc = F.regexp_extract(F.col("file"), pattern, 1)
-    return parsed.where(F.col("_chk").isNull()).select(*cols, F.nullif(acc, F.lit("")).alias("accession"))
+    return parsed.select(*cols, F.nullif(acc, F.lit("")).alias("accession"))
 
 
 def union_run_reports(*dfs: DataFrame) -> DataFrame:
