@@ -238,15 +238,36 @@ FROM lineitem
 """
 
 
-def register_tables(spark: SparkSession, sf_dir: str) -> None:
-    """Register the driver tables as temp views (lazy parquet scans)."""
-    for t in TABLES:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+_SCANS: dict = {}
+_REGISTERED: dict = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Lazy parquet scan of one driver table (the DataFrame is reused, so the
+    footer is read once per session)."""
+    key = (id(spark), sf_dir, name)
+    if key not in _SCANS:
+        _SCANS[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return _SCANS[key]
+
+
+def register_tables(spark: SparkSession, sf_dir: str, names=None) -> None:
+    """Register driver tables as temp views (all, or just ``names``)."""
+    for t in names or TABLES:
+        if _REGISTERED.get((id(spark), t)) != sf_dir or not spark.catalog.tableExists(t):
+            table(spark, sf_dir, t).createOrReplaceTempView(t)
+            _REGISTERED[(id(spark), t)] = sf_dir
+
+
+def tables_of(sql: str) -> list[str]:
+    """Driver tables a view reads."""
+    import re
+    return [t for t in TABLES if re.search(rf"\bFROM\s+{t}\b", sql)]
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived view as a DataFrame (tables registered on first use)."""
-    register_tables(spark, sf_dir)
+    """A derived view as a DataFrame (its tables registered on first use)."""
+    register_tables(spark, sf_dir, tables_of(VIEWS[name]))
     return spark.sql(VIEWS[name])
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..fixtures import view, with_views
+from ..fixtures import table, view, with_views
 from ..operators.checksum import check_integrity, content_md5, manifest_rows, reconcile, verify_manifest, \
     verify_summary
 from ..operators.filters import is_md5_log
@@ -101,8 +101,7 @@ WHERE NOT regexp_matches(rel_path, '(^|/)[.]') AND NOT {_LOG.format('name')}""",
 
 # ----------------------------------------------------------------- X15
 def q_content_md5(spark, sf):
-    d = view(spark, sf, "inventory_paths")  # registers the tables
-    docs = spark.table("documents")
+    docs = table(spark, sf, "documents")
     return content_md5(docs, "text").select("doc_id", "actual_md5")
 
 

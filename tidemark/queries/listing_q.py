@@ -59,7 +59,7 @@ _REQ = "SELECT bucket, key || CASE WHEN length(key) % 3 = 0 THEN '.missing' ELSE
 
 
 def q_object_lookup(spark, sf):
-    register_tables(spark, sf)
+    register_tables(spark, sf, ["part"])
     _listing(spark, sf).createOrReplaceTempView("object_listing")
     req = spark.sql(_REQ)
     return lookup_objects(_listing(spark, sf), req).select("bucket", "key", "size", "md5", "status")
@@ -115,7 +115,7 @@ FROM part"""
 
 
 def q_s3_parse(spark, sf):
-    register_tables(spark, sf)
+    register_tables(spark, sf, ["part"])
     u = spark.sql(_URLS)
     return u.select("id", "url", s3_parse("url").alias("p")).select("id", "url", "p.bucket", "p.key", "p.error")
 
@@ -141,7 +141,7 @@ FROM part"""
 
 
 def q_s3_to_https(spark, sf):
-    register_tables(spark, sf)
+    register_tables(spark, sf, ["part"])
     k = spark.sql(_KEYS)
     return k.select("id", "key", s3_to_https("bucket", "key").alias("url"))
 

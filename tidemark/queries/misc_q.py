@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..fixtures import view, with_views
+from ..fixtures import table, view, with_views
 from ..functions.columns import basename, file_type, upload_key
 from ..operators.catalog import failed_volumes, volume_attempts
 from ..operators.filters import upload_candidates
@@ -157,8 +157,7 @@ UNION ALL SELECT volume, 2, '  ' || uri FROM f""", "volume_outcomes", "object_li
 
 # ----------------------------------------------------------------- K7 (write gzip, read back)
 def q_gzip_roundtrip(spark, sf):
-    view(spark, sf, "run_report")  # registers the tables
-    docs = spark.table("documents")
+    docs = table(spark, sf, "documents")
     lines = docs.select(F.col("source").alias("file"), F.posexplode(F.split("text", "\n")).alias("pos", "line")) \
         .select("file", (F.col("pos") + 1).alias("line_no"), "line")
     out = scratch_path(spark, f"gzip_{uuid.uuid4().hex}")

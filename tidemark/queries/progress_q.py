@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..fixtures import view, with_views
+from ..fixtures import table, view, with_views
 from ..functions.columns import avg_speed_mb_s, human_bytes, log_line, stage_percent
 from ..operators.filters import log_level
 from ..operators.progress import (failure_summary, global_progress, instant_speed, latest_progress,
@@ -252,8 +252,7 @@ SELECT event_id, level, message FROM lg ORDER BY ts DESC, event_id DESC LIMIT 10
 
 # ----------------------------------------------------------------- X17
 def q_log_format(spark, sf):
-    e = view(spark, sf, "transfer_events")  # registers tables
-    ev = spark.table("events")
+    ev = table(spark, sf, "events")
     lvl = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "signup", "warn") \
         .otherwise("info")
     return ev.select("event_id", log_line("ts", F.upper(lvl), F.concat(F.lit("run "), F.col("user_id").cast("string")))

@@ -11,7 +11,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..fixtures import VIEWS, register_tables, with_views
+from ..fixtures import VIEWS, register_tables, view, with_views
+from ..fixtures import table as table_scan
 from ..operators.progress import epoch_micros, status_counts
 from ..session import scratch_path
 from ..streaming.streams import (event_time, read_updates, run_stream, stream_counts, stream_dedupe, stream_latest,
@@ -24,8 +25,8 @@ ATTEMPT_ORDER = ["p", "q", "n", "x", "dsc", "tx", "ok", "kind", "progressed"]
 def _stream_view(spark, sf, table: str, view: str, name: str):
     """Streaming version of a fixture view: the table as a file stream, the
     view's SQL applied on top."""
-    register_tables(spark, sf)
-    schema = spark.table(table).schema
+    register_tables(spark, sf, [table] + (["orders"] if table == "events" else []))
+    schema = table_scan(spark, sf, table).schema
     src = _file_stream(spark, sf, table, schema)
     tmp = f"{table}_stream_{name}"
     src.createOrReplaceTempView(tmp)
@@ -50,7 +51,7 @@ def q_stream_status_counts(spark, sf):
     out, ck = _paths(spark, "t1")
     run_stream(stream_latest(ev), out, ck, mode="update").awaitTermination()
     latest = read_updates(spark, out, ["run_id"])
-    total = spark.sql(VIEWS["run_report"]).agg(F.count(F.lit(1)).alias("total"))
+    total = view(spark, sf, "run_report").agg(F.count(F.lit(1)).alias("total"))
     c = status_counts(latest, total)
     return c.select(*[F.col(x).cast("bigint").alias(x) for x in ("completed", "failed", "active", "queued", "total")])
 
@@ -138,8 +139,7 @@ register("stream_dedupe", with_views("SELECT event_id, run_id, stage, bytes_done
 
 # ----------------------------------------------------------------- T5
 def q_stream_retries(spark, sf):
-    register_tables(spark, sf)
-    schema = spark.table("lineitem").schema
+    schema = table_scan(spark, sf, "lineitem").schema
     src = _file_stream(spark, sf, "lineitem", schema)
     src.createOrReplaceTempView("lineitem_stream_t5")
     att = spark.sql(VIEWS["chunk_attempts"].replace("FROM lineitem", "FROM lineitem_stream_t5")
