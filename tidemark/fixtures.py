@@ -241,13 +241,31 @@ FROM lineitem
 _SCANS: dict = {}
 _REGISTERED: dict = {}
 
+# Key column of each driver table (used to spread a scan that yields fewer
+# splits than the cluster has cores).
+TABLE_KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey",
+              "part": "p_partkey", "orders": "o_orderkey", "lineitem": "l_orderkey", "events": "event_id",
+              "documents": "doc_id", "embeddings": "vec_id", "pages": "page_id", "benchmark": "item_id",
+              "labels": "doc_id", "conversations": "conv_id"}
+
+
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Hash-repartition a scan on its key when it has fewer input splits than
+    the session's parallelism (e.g. a file with one row group).  At scale the
+    scan already has thousands of splits and this is a no-op."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= par:
+        return df
+    return df.repartition(par, key) if key else df.repartition(par)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Lazy parquet scan of one driver table (the DataFrame is reused, so the
-    footer is read once per session)."""
+    """Parquet scan of one driver table, spread over the cores when the file
+    has too few splits (the DataFrame is reused, so the footer is read and the
+    split count checked once per session)."""
     key = (id(spark), sf_dir, name)
     if key not in _SCANS:
-        _SCANS[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        _SCANS[key] = spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"), TABLE_KEYS.get(name))
     return _SCANS[key]
 
 

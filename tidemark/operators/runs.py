@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import basename, packed_list, size_list
+from ..functions.columns import basename, downloadable, is_paired, packed_list, size_list
 from ..schemas import FASTQ_EXPANSION, RUN_REPORT_COLUMNS, RUN_REPORT_DEFAULT_EMPTY
 from .filters import regex_keep
 
@@ -26,19 +26,20 @@ def process_runs(df: DataFrame, pe_only: bool = False, filters: dict | None = No
     """
     if filters:
         df = df.where(regex_keep("sample_title", "run_accession", **filters))
+    keep = downloadable("fastq_ftp", "fastq_md5")
+    if pe_only:
+        keep = keep & is_paired("fastq_ftp")
+    df = df.where(keep)
     urls = packed_list("fastq_ftp")
     md5s = packed_list("fastq_md5")
     sizes = size_list("fastq_bytes", aligned=aligned_sizes)
     staged = df.select(
         "run_accession", F.coalesce(F.col("sample_title"), F.lit("")).alias("sample_title"),
         urls.alias("_urls"), md5s.alias("_md5s"), sizes.alias("_sizes"))
-    keep = (F.size("_urls") > 0) & (F.size("_md5s") > 0)
-    if pe_only:
-        keep = keep & (F.size("_urls") >= 2)
     mate2 = (F.size("_urls") >= 2) & (F.size("_md5s") >= 2)
     u1 = F.get(F.col("_urls"), 0)
     u2 = F.when(mate2, F.get(F.col("_urls"), 1))
-    return staged.where(keep).select(
+    return staged.select(
         "run_accession",
         u1.alias("fastq_ftp_1_url"),
         u2.alias("fastq_ftp_2_url"),
