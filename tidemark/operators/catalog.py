@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import basename, etag_md5, file_extension, file_stem, s3_parse, wildcard_keep
 from ..schemas import VOLUME_EXTENSIONS
+from .scan import ordered_scan
 
 MAX_BROADCAST_ROWS = 10_000
 
@@ -102,12 +103,12 @@ def volume_attempts(outcomes: DataFrame, max_retries: int = 2, keys: Sequence[st
     order.  ``valid`` ends with success; ``tool_error`` is fatal at once; the
     (max_retries+1)-th ``corrupted`` is fatal.  Outcomes after the first
     terminal one are ignored.  Terminal candidates are found with one window
-    (rank among corrupted results) and reduced with ``min_by`` (partial
-    aggregation, safe for hot volumes)."""
+    (rank among corrupted results, a hot-key safe ordered scan) and reduced
+    with ``min_by`` (partial aggregation)."""
     keys = list(keys)
     max_attempts = max_retries + 1
-    w = Window.partitionBy(*keys, F.col("outcome") == "corrupted").orderBy(*order)
-    staged = outcomes.withColumn("_rank", F.row_number().over(w))
+    staged = ordered_scan(outcomes.withColumn("_is_c", F.col("outcome") == "corrupted"), keys + ["_is_c"],
+                          list(order), row_number="_rank")
     terminal = ((F.col("outcome") == "valid") | (F.col("outcome") == "tool_error")
                 | ((F.col("outcome") == "corrupted") & (F.col("_rank") == max_attempts)))
     pos = F.struct(*[F.col(c) for c in order])

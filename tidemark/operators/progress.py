@@ -2,8 +2,9 @@
 S11 log parsing, X14/X17/X18 helpers live in ``functions.columns``.
 
 Per-run "latest" state uses ``max_by`` (partial aggregation; a hot run is
-combined map-side).  Ordered per-feed computations use windows partitioned
-by the feed (one feed is one transfer's sample series).
+combined map-side).  Ordered per-feed computations (lags, running sums,
+trailing frames) use :func:`~tidemark.operators.scan.ordered_scan`, which
+splits a hot feed over many tasks instead of sorting it in one.
 """
 
 from __future__ import annotations
@@ -13,16 +14,19 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import _c, stage_percent
 from ..schemas import ACTIVE_STAGES, STAGES
+from .scan import ordered_scan
 
 NTZ_EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 
 def epoch_micros(ts) -> Column:
-    """Microseconds since the epoch of a TIMESTAMP_NTZ column (no time-zone
-    dependence, so results do not change with the session zone)."""
+    """Microseconds since the epoch of a TIMESTAMP_NTZ wall clock, built from
+    its date and time fields so no session time zone is involved."""
     c = _c(ts)
-    return F.timestamp_diff("MICROSECOND", F.expr(NTZ_EPOCH), c) if hasattr(F, "timestamp_diff") else \
-        F.expr(f"timestampdiff(MICROSECOND, {NTZ_EPOCH}, {c})")
+    day = F.unix_date(F.to_date(c)).cast("long")
+    secs = F.hour(c).cast("long") * 3600 + F.minute(c).cast("long") * 60 + F.second(c).cast("long")
+    micros = F.date_format(c, "SSSSSS").cast("long")
+    return (day * 86400 + secs) * 1_000_000 + micros
 
 
 def stage_ordinal(stage) -> Column:
@@ -137,36 +141,59 @@ def sliding_speed(samples: DataFrame, feed: str = "feed", ts: str = "ts", bytes_
     baseline is the oldest sample inside ``[ts - window, ts]`` of the same
     epoch, or the previous sample of the epoch when only the current one is
     inside.  speed = (b1 - b0) / max(dt, 1 ms) in bytes per second, 0 when
-    dt <= 0.  Timestamps must be unique per feed."""
+    dt <= 0.  Timestamps must be unique per feed.
+
+    Hot-feed safe: the ordered steps are two :func:`ordered_scan` passes (a
+    feed is split over many tasks) and the trailing frame is found without a
+    range window: each sample gets a probe at ``ts - window``; merged with the
+    samples in time order (probes first on ties), a running count gives the
+    number of samples before the probe, i.e. the index of the oldest sample
+    in the frame (clamped to the epoch start), which an equi-join on
+    (feed, index) resolves.
+    """
     w_us = _interval_micros(window)
-    us = epoch_micros(ts)
-    s = samples.withColumn("_us", us)
-    by_feed = Window.partitionBy(feed).orderBy("_us")
-    s = s.withColumn("_drop", F.when(F.col(bytes_) < F.lag(bytes_).over(by_feed), 1).otherwise(0))
-    s = s.withColumn("_epoch", F.sum("_drop").over(by_feed.rowsBetween(Window.unboundedPreceding, 0)))
-    by_epoch = Window.partitionBy(feed, "_epoch").orderBy("_us")
-    frame = by_epoch.rangeBetween(-w_us, 0)
-    s = (s.withColumn("_first", F.first(F.struct(F.col("_us").alias("t"), F.col(bytes_).alias("b"))).over(frame))
-         .withColumn("_n", F.count(F.lit(1)).over(frame))
-         .withColumn("_prev", F.lag(F.struct(F.col("_us").alias("t"), F.col(bytes_).alias("b"))).over(by_epoch)))
-    base = F.when(F.col("_n") > 1, F.col("_first")).otherwise(F.coalesce(F.col("_prev"), F.col("_first")))
-    dt = (F.col("_us") - base["t"]) / F.lit(1e6)
-    speed = F.when(dt > 0, (F.col(bytes_) - base["b"]).cast("double") / F.greatest(dt, F.lit(0.001))) \
-        .otherwise(F.lit(0.0))
-    return s.withColumn("speed_bps", speed).withColumn("epoch", F.col("_epoch")) \
-        .drop("_us", "_drop", "_epoch", "_first", "_n", "_prev")
+    s = samples.withColumn("_us", epoch_micros(ts))
+    # scan 1: previous sample and position within the feed
+    s = ordered_scan(s, [feed], ["_us"], lags={"_pb": bytes_, "_pt": "_us"}, row_number="_i")
+    s = s.withColumn("_drop", F.when(F.col(bytes_) < F.col("_pb"), 1).otherwise(0).cast("long"))
+    # scan 2: samples and probes (ts - window) merged in time order, probes
+    # first on ties: a sample's running drop count is its epoch; a probe's
+    # running sample count is the number of feed samples before the frame.
+    pts = s.select(feed, F.col("_us").alias("_t"), F.lit(1).alias("_k"), F.col("_i").alias("_ref"),
+                   F.col("_drop").alias("_d"))
+    prb = s.select(feed, (F.col("_us") - F.lit(w_us)).alias("_t"), F.lit(0).alias("_k"), F.col("_i").alias("_ref"),
+                   F.lit(0).cast("long").alias("_d"))
+    merged = ordered_scan(pts.unionByName(prb), [feed], ["_t", "_k", "_ref"],
+                          sums={"_before": F.col("_k").cast("long"), "_epoch": F.col("_d")})
+    epochs = merged.where(F.col("_k") == 1).select(feed, F.col("_ref").alias("_i"), "_epoch")
+    probes = merged.where(F.col("_k") == 0).select(feed, F.col("_ref").alias("_i"),
+                                                   (F.col("_before") + 1).alias("_ff"))
+    starts = epochs.groupBy(feed, "_epoch").agg(F.min("_i").alias("_e0"))
+    s = s.join(epochs, [feed, "_i"]).join(probes, [feed, "_i"]).join(starts, [feed, "_epoch"])
+    # oldest sample of the frame, clamped to the start of the epoch
+    s = s.withColumn("_fi", F.greatest(F.col("_ff"), F.col("_e0")))
+    firsts = s.select(feed, F.col("_i").alias("_fi"), F.col("_us").alias("_t0"), F.col(bytes_).alias("_b0"))
+    s = s.join(firsts, [feed, "_fi"])
+    single = (F.col("_i") - F.col("_fi")) == 0
+    prev_ok = (F.col("_drop") == 0) & F.col("_pt").isNotNull()
+    bt = F.when(~single, F.col("_t0")).when(prev_ok, F.col("_pt")).otherwise(F.col("_us"))
+    bb = F.when(~single, F.col("_b0")).when(prev_ok, F.col("_pb")).otherwise(F.col(bytes_))
+    dt = (F.col("_us") - bt) / F.lit(1e6)
+    speed = F.when(dt > 0, (F.col(bytes_) - bb).cast("double") / F.greatest(dt, F.lit(0.001))).otherwise(F.lit(0.0))
+    return (s.withColumn("speed_bps", speed).withColumn("epoch", F.col("_epoch"))
+            .drop("_us", "_pb", "_pt", "_drop", "_epoch", "_i", "_ff", "_e0", "_fi", "_t0", "_b0"))
 
 
 def instant_speed(samples: DataFrame, feed: str = "feed", ts: str = "ts", bytes_: str = "bytes") -> DataFrame:
     """MiB/s since the previous sample of the feed:
-    max(0, delta bytes) / 1024^2 / max(dt, 1e-6); null for the first sample."""
-    w = Window.partitionBy(feed).orderBy(epoch_micros(ts))
-    prev_b = F.lag(bytes_).over(w)
-    prev_t = F.lag(epoch_micros(ts)).over(w)
-    dt = (epoch_micros(ts) - prev_t) / F.lit(1e6)
-    v = (F.greatest(F.lit(0).cast("long"), F.col(bytes_) - prev_b).cast("double") / F.lit(1024.0 * 1024.0)
+    max(0, delta bytes) / 1024^2 / max(dt, 1e-6); null for the first sample.
+    (Hot-feed safe ordered scan.)"""
+    s = ordered_scan(samples.withColumn("_us", epoch_micros(ts)), [feed], ["_us"],
+                     lags={"_pb": bytes_, "_pt": "_us"})
+    dt = (F.col("_us") - F.col("_pt")) / F.lit(1e6)
+    v = (F.greatest(F.lit(0).cast("long"), F.col(bytes_) - F.col("_pb")).cast("double") / F.lit(1024.0 * 1024.0)
          / F.greatest(dt, F.lit(1e-6)))
-    return samples.withColumn("speed_mbps", F.when(prev_b.isNotNull(), v))
+    return s.withColumn("speed_mbps", F.when(F.col("_pb").isNotNull(), v)).drop("_us", "_pb", "_pt")
 
 
 # --------------------------------------------------------------------------- W6, W7
@@ -175,17 +202,16 @@ def stage_transitions(events: DataFrame, run: str = "run_id", stage: str = "stag
     """Each stage change of a run with the time spent in the previous
     stage; a move backwards in pending -> downloading -> extracting ->
     compressing -> completed (or any move out of a final stage) is illegal.
-    Repeated events of the same stage are not transitions."""
-    w = Window.partitionBy(run).orderBy(ts, seq)
-    e = (events.withColumn("_prev_stage", F.lag(stage).over(w))
-         .withColumn("_prev_ts", F.lag(ts).over(w)))
-    chg = e.where(F.col("_prev_stage").isNull() | (F.col("_prev_stage") != F.col(stage)))
-    w2 = Window.partitionBy(run).orderBy(ts, seq)
-    chg = chg.withColumn("from_stage", F.lag(stage).over(w2)).withColumn("_from_ts", F.lag(ts).over(w2))
+    Repeated events of the same stage are not transitions.  (Two hot-run safe
+    ordered scans: one finds the changes, one pairs each change with the
+    previous one.)"""
+    e = ordered_scan(events.withColumn("_us", epoch_micros(ts)), [run], ["_us", seq], lags={"_ps": stage})
+    chg = e.where(F.col("_ps").isNull() | (F.col("_ps") != F.col(stage)))
+    chg = ordered_scan(chg, [run], ["_us", seq], lags={"from_stage": stage, "_from_us": "_us"})
     o_from, o_to = stage_ordinal(F.col("from_stage")), stage_ordinal(F.col(stage))
     illegal = (F.col("from_stage").isin("completed", "failed")
                | ((F.col(stage) != "failed") & (o_to < o_from)))
-    secs = (epoch_micros(ts) - epoch_micros("_from_ts")) / F.lit(1e6)
+    secs = (F.col("_us") - F.col("_from_us")) / F.lit(1e6)
     return chg.where(F.col("from_stage").isNotNull()).select(
         run, seq, F.col("from_stage"), F.col(stage).alias("to_stage"),
         secs.alias("seconds_in_from"), illegal.alias("illegal"))
@@ -194,9 +220,8 @@ def stage_transitions(events: DataFrame, run: str = "run_id", stage: str = "stag
 def running_bytes(samples: DataFrame, key: str = "run_id", order: tuple = ("ts", "event_id"),
                   bytes_: str = "bytes") -> DataFrame:
     """Running total of bytes per key across all its files (the tool's
-    callback restarts per file; this accumulates)."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return samples.withColumn("running_bytes", F.sum(bytes_).over(w))
+    callback restarts per file; this accumulates).  Hot-key safe."""
+    return ordered_scan(samples, [key], list(order), sums={"running_bytes": F.col(bytes_)})
 
 
 # --------------------------------------------------------------------------- S11, O2, F9

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.scan import ordered_scan
 from ..schemas import BAD_RANGE_RETRY_LIMIT, CHUNK_REQUEUE_BUDGET, INNER_BACKOFF_CAP_S, INNER_RETRY_LIMIT
 
 # Chunks planned per generator row before the plan is split across tasks.
@@ -151,15 +152,14 @@ def has_fastq(runs: DataFrame, inventory: DataFrame, run: str = "run_id",
 def chunk_retries(attempts: DataFrame, budget: int = CHUNK_REQUEUE_BUDGET,
                   order: list[str] | None = None) -> DataFrame:
     """W4 (per attempt): running failure number per (file, chunk); failures up
-    to ``budget`` are requeued, the next one is fatal."""
+    to ``budget`` are requeued, the next one is fatal.  Hot-chunk safe."""
     order = order or ["seq"]
-    w = (Window.partitionBy("file_id", "chunk_id").orderBy(*order)
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    n = F.sum(F.when(~F.col("ok"), 1).otherwise(0)).over(w)
+    fails = F.when(~F.col("ok"), 1).otherwise(0).cast("long")
+    r = ordered_scan(attempts, ["file_id", "chunk_id"], order, sums={"failure_no": fails})
     action = (F.when(F.col("ok"), F.lit("done"))
-              .when(n <= budget, F.lit("requeue"))
+              .when(F.col("failure_no") <= budget, F.lit("requeue"))
               .otherwise(F.lit("fatal")))
-    return attempts.withColumn("failure_no", n).withColumn("action", action)
+    return r.withColumn("action", action)
 
 
 def chunk_retry_summary(attempts: DataFrame, budget: int = CHUNK_REQUEUE_BUDGET) -> DataFrame:
@@ -184,22 +184,26 @@ def backoff_cost(attempts: DataFrame, order: list[str] | None = None) -> DataFra
     """O3: per (file, chunk) total backoff seconds and whether the retry loop
     gave up.  ``attempts`` rows are failures with ``kind`` ('stream'|'range')
     and ``progressed`` (the stream moved forward before failing, which resets
-    the shared retry counter).  Stream gives up after 20, range after 10."""
+    the shared retry counter).  Stream gives up after 20, range after 10.
+
+    Segments between resets come from a running count of resets, k from a row
+    number within (chunk, segment) -- both hot-chunk safe ordered scans; the
+    first give-up per chunk is a ``min`` aggregate joined back, so rows after
+    it are not charged."""
     order = order or ["seq"]
     keys = ["file_id", "chunk_id"]
-    w_all = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seg = F.sum(F.when(F.col("progressed"), 1).otherwise(0)).over(w_all)
-    staged = attempts.withColumn("_seg", seg)
-    k = F.row_number().over(Window.partitionBy(*keys, "_seg").orderBy(*order)).cast("long")
-    staged = staged.withColumn("k", k)
+    seg = F.when(F.col("progressed"), 1).otherwise(0).cast("long")
+    staged = ordered_scan(attempts, keys, order, sums={"_seg": seg})
+    staged = ordered_scan(staged, keys + ["_seg"], order, row_number="k")
     give_up = ((F.col("kind") == "range") & (F.col("k") > BAD_RANGE_RETRY_LIMIT)) | \
               ((F.col("kind") != "range") & (F.col("k") > INNER_RETRY_LIMIT))
-    staged = staged.withColumn("_gu", give_up)
-    gu_before = F.max(F.col("_gu").cast("int")).over(w_all)
-    staged = staged.withColumn("_dead", gu_before)
-    live = F.col("_dead") == 0
-    return (staged.groupBy(*keys).agg(
+    pos = F.struct(*[F.col(c) for c in order])
+    staged = staged.withColumn("_pos", pos)
+    first = staged.groupBy(*keys).agg(F.min(F.when(give_up, F.col("_pos"))).alias("_gu"))
+    j = staged.join(first, keys)
+    live = F.col("_gu").isNull() | (F.col("_pos") < F.col("_gu"))
+    return (j.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("failures"),
         F.coalesce(F.sum(F.when(live, backoff_sleep(F.col("kind"), F.col("k")))), F.lit(0)).cast("long")
         .alias("sleep_s"),
-        (F.max(F.col("_dead")) == 1).alias("gave_up")))
+        F.max(F.col("_gu").isNotNull()).alias("gave_up")))
