@@ -117,3 +117,25 @@ def test_failure_summary_first_error_in_order(spark):
     df = spark.createDataFrame([(3, "late"), (1, None), (2, "first")], "seq long, error string")
     r = P.failure_summary(df).first()
     assert (r["failed"], r["total"], r["first_error"]) == (2, 3, "first")
+
+
+def test_ordered_scan_split_equals_window(spark):
+    from tidemark.operators.scan import ordered_scan
+    rng = random.Random(3)
+    # one hot key with most rows, a few small ones
+    rows = [("hot" if rng.random() < 0.8 else f"k{rng.randint(0, 5)}", i, rng.randint(0, 100)) for i in range(5000)]
+    df = spark.createDataFrame(rows, "k string, t long, v long")
+    kw = dict(sums={"rs": F.col("v")}, lags={"pv": "v", "pt": "t"}, row_number="rn")
+    a = ordered_scan(df, ["k"], ["t"], split=True, n=16, **kw)
+    b = ordered_scan(df, ["k"], ["t"], split=False, **kw)
+    cols = ["k", "t", "rs", "pv", "pt", "rn"]
+    assert sorted(tuple(r) for r in a.select(cols).collect()) == sorted(tuple(r) for r in b.select(cols).collect())
+
+
+def test_sliding_speed_split_path_matches_replay(spark):
+    spark.conf.set("spark.tidemark.scan.hotKeyRows", "10")
+    try:
+        test_sliding_speed_matches_replay(spark)
+        test_stage_transitions(spark)
+    finally:
+        spark.conf.unset("spark.tidemark.scan.hotKeyRows")

@@ -20,6 +20,11 @@ with the key split across tasks:
 
 The per-(key, piece) table has at most ``n`` rows per key, so nothing grows
 with the size of one key.  Equal (key, order) values never straddle pieces.
+
+``split="auto"`` (default) first measures the largest key with one
+partial-aggregating count (a one-row result): when no key exceeds
+``spark.tidemark.scan.hotKeyRows`` (default 1,000,000) or twice a fair
+share of the rows per task, a plain window is cheaper and is used instead.
 """
 
 from __future__ import annotations
@@ -40,8 +45,23 @@ def _pieces(spark) -> int:
     return max(n, spark.sparkContext.defaultParallelism)
 
 
+HOT_KEY_ROWS = 1_000_000
+
+
+def has_hot_key(df: DataFrame, keys: Sequence[str], n: int | None = None) -> bool:
+    """True when one key holds more rows than one task should sort alone."""
+    spark = df.sparkSession
+    n = n or _pieces(spark)
+    limit = int(spark.conf.get("spark.tidemark.scan.hotKeyRows", str(HOT_KEY_ROWS)))
+    r = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(
+        F.max("_n").alias("mx"), F.sum("_n").alias("tot")).first()
+    mx, tot = (r["mx"] or 0), (r["tot"] or 0)
+    return mx > max(limit, 2 * tot // max(n, 1))
+
+
 def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence, sums: dict | None = None,
-                 lags: dict | None = None, row_number: str | None = None, n: int | None = None) -> DataFrame:
+                 lags: dict | None = None, row_number: str | None = None, n: int | None = None,
+                 split: str | bool = "auto") -> DataFrame:
     """Running sums, lags and row numbers per key in ``order``.
 
     ``sums``   {out: Column} inclusive running sum of the expression;
@@ -49,9 +69,24 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence, sums: dict
     ``row_number`` output name for the 1-based position within the key.
     ``order`` items are column names (ascending) -- they must give a total
     order within a key for lags/row numbers to be deterministic.
+    ``split``  True: always split keys into pieces; False: plain window;
+    "auto": split only when :func:`has_hot_key`.
     """
     keys, order = list(keys), list(order)
     sums, lags = dict(sums or {}), dict(lags or {})
+    if split == "auto":
+        split = has_hot_key(df, keys, n)
+    if not split:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        wr = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        out = df
+        for name, expr in sums.items():
+            out = out.withColumn(name, F.sum(expr).over(wr))
+        for name, col in lags.items():
+            out = out.withColumn(name, F.lag(col).over(w))
+        if row_number:
+            out = out.withColumn(row_number, F.row_number().over(w).cast("long"))
+        return out
     if row_number:
         sums[row_number] = F.lit(1).cast("long")
     base = df
