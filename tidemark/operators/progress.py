@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import _c, stage_percent
 from ..schemas import ACTIVE_STAGES, STAGES
-from .scan import ordered_scan
+from .scan import has_hot_key, ordered_scan
 
 NTZ_EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
@@ -133,8 +133,28 @@ def _interval_micros(window: str) -> int:
     return int(float(n) * mult[unit])
 
 
+def _sliding_speed_window(samples: DataFrame, feed: str, ts: str, bytes_: str, w_us: int) -> DataFrame:
+    """W1 with per-feed windows (used when no feed is hot)."""
+    s = samples.withColumn("_us", epoch_micros(ts))
+    by_feed = Window.partitionBy(feed).orderBy("_us")
+    s = s.withColumn("_drop", F.when(F.col(bytes_) < F.lag(bytes_).over(by_feed), 1).otherwise(0))
+    s = s.withColumn("_epoch", F.sum("_drop").over(by_feed.rowsBetween(Window.unboundedPreceding, 0)))
+    by_epoch = Window.partitionBy(feed, "_epoch").orderBy("_us")
+    frame = by_epoch.rangeBetween(-w_us, 0)
+    point = F.struct(F.col("_us").alias("t"), F.col(bytes_).alias("b"))
+    s = (s.withColumn("_first", F.first(point).over(frame))
+         .withColumn("_n", F.count(F.lit(1)).over(frame))
+         .withColumn("_prev", F.lag(point).over(by_epoch)))
+    base = F.when(F.col("_n") > 1, F.col("_first")).otherwise(F.coalesce(F.col("_prev"), F.col("_first")))
+    dt = (F.col("_us") - base["t"]) / F.lit(1e6)
+    speed = F.when(dt > 0, (F.col(bytes_) - base["b"]).cast("double") / F.greatest(dt, F.lit(0.001))) \
+        .otherwise(F.lit(0.0))
+    return s.withColumn("speed_bps", speed).withColumn("epoch", F.col("_epoch").cast("long")) \
+        .drop("_us", "_drop", "_epoch", "_first", "_n", "_prev")
+
+
 def sliding_speed(samples: DataFrame, feed: str = "feed", ts: str = "ts", bytes_: str = "bytes",
-                  window: str = "3 seconds") -> DataFrame:
+                  window: str = "3 seconds", split: str | bool = "auto") -> DataFrame:
     """Trailing-window throughput of a live byte counter, per feed.
 
     A drop of the counter starts a new epoch (history is cleared).  The
@@ -143,8 +163,9 @@ def sliding_speed(samples: DataFrame, feed: str = "feed", ts: str = "ts", bytes_
     inside.  speed = (b1 - b0) / max(dt, 1 ms) in bytes per second, 0 when
     dt <= 0.  Timestamps must be unique per feed.
 
-    Hot-feed safe: the ordered steps are two :func:`ordered_scan` passes (a
-    feed is split over many tasks) and the trailing frame is found without a
+    When a feed is hot (``split``, detected once by default) the ordered
+    steps are two split :func:`ordered_scan` passes (a feed is cut over many
+    tasks) and the trailing frame is found without a
     range window: each sample gets a probe at ``ts - window``; merged with the
     samples in time order (probes first on ties), a running count gives the
     number of samples before the probe, i.e. the index of the oldest sample
@@ -152,9 +173,13 @@ def sliding_speed(samples: DataFrame, feed: str = "feed", ts: str = "ts", bytes_
     (feed, index) resolves.
     """
     w_us = _interval_micros(window)
+    if split == "auto":
+        split = has_hot_key(samples, [feed])
+    if not split:
+        return _sliding_speed_window(samples, feed, ts, bytes_, w_us)
     s = samples.withColumn("_us", epoch_micros(ts))
     # scan 1: previous sample and position within the feed
-    s = ordered_scan(s, [feed], ["_us"], lags={"_pb": bytes_, "_pt": "_us"}, row_number="_i")
+    s = ordered_scan(s, [feed], ["_us"], lags={"_pb": bytes_, "_pt": "_us"}, row_number="_i", split=True)
     s = s.withColumn("_drop", F.when(F.col(bytes_) < F.col("_pb"), 1).otherwise(0).cast("long"))
     # scan 2: samples and probes (ts - window) merged in time order, probes
     # first on ties: a sample's running drop count is its epoch; a probe's
@@ -164,7 +189,7 @@ def sliding_speed(samples: DataFrame, feed: str = "feed", ts: str = "ts", bytes_
     prb = s.select(feed, (F.col("_us") - F.lit(w_us)).alias("_t"), F.lit(0).alias("_k"), F.col("_i").alias("_ref"),
                    F.lit(0).cast("long").alias("_d"))
     merged = ordered_scan(pts.unionByName(prb), [feed], ["_t", "_k", "_ref"],
-                          sums={"_before": F.col("_k").cast("long"), "_epoch": F.col("_d")})
+                          sums={"_before": F.col("_k").cast("long"), "_epoch": F.col("_d")}, split=True)
     epochs = merged.where(F.col("_k") == 1).select(feed, F.col("_ref").alias("_i"), "_epoch")
     probes = merged.where(F.col("_k") == 0).select(feed, F.col("_ref").alias("_i"),
                                                    (F.col("_before") + 1).alias("_ff"))
@@ -205,9 +230,11 @@ def stage_transitions(events: DataFrame, run: str = "run_id", stage: str = "stag
     Repeated events of the same stage are not transitions.  (Two hot-run safe
     ordered scans: one finds the changes, one pairs each change with the
     previous one.)"""
-    e = ordered_scan(events.withColumn("_us", epoch_micros(ts)), [run], ["_us", seq], lags={"_ps": stage})
+    split = has_hot_key(events, [run])
+    e = ordered_scan(events.withColumn("_us", epoch_micros(ts)), [run], ["_us", seq], lags={"_ps": stage},
+                     split=split)
     chg = e.where(F.col("_ps").isNull() | (F.col("_ps") != F.col(stage)))
-    chg = ordered_scan(chg, [run], ["_us", seq], lags={"from_stage": stage, "_from_us": "_us"})
+    chg = ordered_scan(chg, [run], ["_us", seq], lags={"from_stage": stage, "_from_us": "_us"}, split=split)
     o_from, o_to = stage_ordinal(F.col("from_stage")), stage_ordinal(F.col(stage))
     illegal = (F.col("from_stage").isin("completed", "failed")
                | ((F.col(stage) != "failed") & (o_to < o_from)))

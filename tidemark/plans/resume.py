@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.scan import ordered_scan
+from ..operators.scan import has_hot_key, ordered_scan
 from ..schemas import BAD_RANGE_RETRY_LIMIT, CHUNK_REQUEUE_BUDGET, INNER_BACKOFF_CAP_S, INNER_RETRY_LIMIT
 
 # Chunks planned per generator row before the plan is split across tasks.
@@ -193,8 +193,9 @@ def backoff_cost(attempts: DataFrame, order: list[str] | None = None) -> DataFra
     order = order or ["seq"]
     keys = ["file_id", "chunk_id"]
     seg = F.when(F.col("progressed"), 1).otherwise(0).cast("long")
-    staged = ordered_scan(attempts, keys, order, sums={"_seg": seg})
-    staged = ordered_scan(staged, keys + ["_seg"], order, row_number="k")
+    split = has_hot_key(attempts, keys)
+    staged = ordered_scan(attempts, keys, order, sums={"_seg": seg}, split=split)
+    staged = ordered_scan(staged, keys + ["_seg"], order, row_number="k", split=split)
     give_up = ((F.col("kind") == "range") & (F.col("k") > BAD_RANGE_RETRY_LIMIT)) | \
               ((F.col("kind") != "range") & (F.col("k") > INNER_RETRY_LIMIT))
     pos = F.struct(*[F.col(c) for c in order])
