@@ -100,6 +100,31 @@ register("run_report_roundtrip", with_views("""SELECT run_accession, study_acces
 FROM run_report""", "run_report"))(q_run_report_roundtrip)
 
 
+# ----------------------------------------------------------------- S1
+def q_run_report_scan(spark, sf):
+    runs = view(spark, sf, "run_report")
+    root = scratch_path(spark, f"reports_{uuid.uuid4().hex}")
+    opts = {"sep": "\t", "header": True, "quote": '"', "escape": '"', "emptyValue": ""}
+    # two landings with different column orders and subsets in one folder
+    runs.where(F.col("library_layout") == "PAIRED").select(
+        "fastq_md5", "run_accession", "fastq_ftp", "sample_title", "study_accession", "fastq_bytes") \
+        .write.options(**opts).csv(root + "/a")
+    runs.where(F.col("library_layout") != "PAIRED").select(
+        "run_accession", "study_accession", "library_layout", "fastq_ftp", "fastq_md5") \
+        .write.options(**opts).csv(root + "/b")
+    back = read_run_report(spark, root, recursive=True)
+    return back.select("run_accession", "study_accession", "sample_title", "library_layout", "fastq_ftp",
+                       "fastq_md5", "fastq_bytes")
+
+
+register("run_report_scan", with_views("""SELECT run_accession, study_accession, coalesce(sample_title, '')
+  AS sample_title, NULL AS library_layout, fastq_ftp, fastq_md5, fastq_bytes
+FROM run_report WHERE library_layout = 'PAIRED'
+UNION ALL
+SELECT run_accession, study_accession, '', library_layout, fastq_ftp, fastq_md5, ''
+FROM run_report WHERE library_layout <> 'PAIRED'""", "run_report"))(q_run_report_scan)
+
+
 # ----------------------------------------------------------------- S2 + U1
 def q_accession_union(spark, sf):
     runs = view(spark, sf, "run_report")

@@ -24,11 +24,33 @@ def _tsv(spark: SparkSession, path: str, recursive: bool = False):
     return r.csv(path)
 
 
-def read_run_report(spark: SparkSession, path: str) -> DataFrame:
-    """One or more run-report TSV files -> the 49 report columns."""
+def read_run_report(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+    """One or more run-report TSV files -> the 49 report columns.
+
+    Every file is mapped by its own header (Spark's CSV reader would map the
+    later files of a directory by position), ``#`` lines are skipped, fields
+    may be quoted (tabs and doubled quotes inside quotes)."""
+    from .text import read_numbered_lines
+    parsed = parse_tsv_by_header(read_numbered_lines(spark, path, line_sep="\n", recursive=recursive))
+    return _report_columns(parsed)
+
+
+def read_run_report_csv(spark: SparkSession, path: str) -> DataFrame:
+    """S1 through Spark's CSV reader -- for a set of files that share one
+    header (handles quoted multi-field content the same way)."""
     return normalize_report(_tsv(spark, path))
 
 
+def _report_columns(parsed: DataFrame, extra: dict | None = None) -> DataFrame:
+    from ..schemas import RUN_REPORT_COLUMNS, RUN_REPORT_DEFAULT_EMPTY
+    cols = []
+    for c in RUN_REPORT_COLUMNS:
+        v = F.col("row").getItem(c)
+        cols.append((F.coalesce(v, F.lit("")) if c in RUN_REPORT_DEFAULT_EMPTY else v).alias(c))
+    cols += [v.alias(k) for k, v in (extra or {}).items()]
+    return parsed.select(*cols)
+
+
 # A tab outside double quotes (an even number of quotes follows it).
 _SPLIT = r'\t(?=(?:[^"]*"[^"]*")*[^"]*$)'
 
@@ -66,14 +88,9 @@ def read_accession_reports(spark: SparkSession, root: str, pattern: str = r"([^/
     carry different column sets; each row is mapped by its own file's header.
     """
     from .text import read_numbered_lines
-    from ..schemas import RUN_REPORT_COLUMNS, RUN_REPORT_DEFAULT_EMPTY
     parsed = parse_tsv_by_header(read_numbered_lines(spark, root, line_sep="\n", recursive=True))
-    cols = []
-    for c in RUN_REPORT_COLUMNS:
-        v = F.col("row").getItem(c)
-        cols.append((F.coalesce(v, F.lit("")) if c in RUN_REPORT_DEFAULT_EMPTY else v).alias(c))
     acc = F.regexp_extract(F.col("file"), pattern, 1)
-    return parsed.select(*cols, F.nullif(acc, F.lit("")).alias("accession"))
+    return _report_columns(parsed, {"accession": F.nullif(acc, F.lit(""))})
 
 
 def union_run_reports(*dfs: DataFrame) -> DataFrame:
