@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,7 +86,9 @@ def stream_sessions(events: DataFrame, ts: str = "event_ts", run: str = "run_id"
 
 # --------------------------------------------------------------------------- T5
 _RETRY_OUT = "file_id string, chunk_id long, failures long, status string"
-_RETRY_STATE = "failures long, done boolean, reported boolean"
+_RETRY_STATE = ("chunk_ids array<long>, failures array<long>, reported array<boolean>, "
+                "deadline_ms array<long>")
+CHUNK_BLOCK = 64  # chunks of one file that share one state row (bounded)
 
 
 def stream_retries(attempts: DataFrame, budget: int = CHUNK_REQUEUE_BUDGET, timeout: str = "1 hour",
@@ -93,41 +96,71 @@ def stream_retries(attempts: DataFrame, budget: int = CHUNK_REQUEUE_BUDGET, time
     """T5: retry state machine per (file, chunk) with ``applyInPandasWithState``.
 
     Failures are counted; the (budget+1)-th failure emits ``fatal``; a success
-    emits ``done``.  A chunk silent for ``timeout`` of event time emits
-    ``stalled`` and its state is dropped.  Output mode append."""
+    emits ``done``.  A chunk not updated while the event-time watermark
+    advances by ``timeout`` emits ``stalled`` (if it never finished) and is
+    forgotten.  Output mode append.
+
+    State is kept per block of :data:`CHUNK_BLOCK` chunks of a file (bounded
+    arrays, one entry per chunk with its own deadline), so the per-group
+    Python cost is paid once per block rather than once per chunk.
+    """
+    t_ms = _ms(timeout)
+    order = list(order)
 
     def step(key, pdfs: Iterable[pd.DataFrame], state):
-        file_id, chunk_id = key
-        if state.hasTimedOut:
-            failures, done, reported = state.get
-            state.remove()
-            if not reported:
-                yield pd.DataFrame({"file_id": [file_id], "chunk_id": [chunk_id], "failures": [failures],
-                                    "status": ["stalled"]})
-            return
-        failures, done, reported = state.get if state.exists else (0, False, False)
-        frames = list(pdfs)
-        pdf = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
-        if len(pdf) > 1:
-            pdf = pdf.sort_values(list(order), kind="stable")
-        status = None
-        if not reported:
-            for ok in pdf["ok"].to_numpy():
+        file_id = key[0]
+        if state.exists:
+            ids, fails, rep, dl = (list(x) for x in state.get)
+        else:
+            ids, fails, rep, dl = [], [], [], []
+        pos = {c: i for i, c in enumerate(ids)}
+        wm = state.getCurrentWatermarkMs()
+        out = []
+        if not state.hasTimedOut:
+            frames = list(pdfs)
+            pdf = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
+            cols = [pdf[c].to_numpy() for c in ["chunk_id"] + order]
+            idx = np.lexsort(cols[::-1]) if len(pdf) > 1 else np.arange(len(pdf))
+            chunks, oks = cols[0][idx], pdf["ok"].to_numpy()[idx]
+            touched = set()
+            for chunk_id, ok in zip(chunks.tolist(), oks.tolist()):
+                i = pos.get(chunk_id)
+                if i is None:
+                    i = pos[chunk_id] = len(ids)
+                    ids.append(chunk_id); fails.append(0); rep.append(False); dl.append(0)
+                touched.add(i)
+                if rep[i]:
+                    continue
                 if ok:
-                    done, reported, status = True, True, "done"
-                    break
-                failures += 1
-                if failures > budget:
-                    reported, status = True, "fatal"
-                    break
-        state.update((failures, done, reported))
-        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + _ms(timeout))
-        if status is not None:
-            yield pd.DataFrame({"file_id": [file_id], "chunk_id": [chunk_id], "failures": [failures],
-                                "status": [status]})
+                    rep[i] = True
+                    out.append((chunk_id, fails[i], "done"))
+                    continue
+                fails[i] += 1
+                if fails[i] > budget:
+                    rep[i] = True
+                    out.append((chunk_id, fails[i], "fatal"))
+            for i in touched:
+                dl[i] = wm + t_ms
+        keep = []
+        for i in range(len(ids)):
+            if dl[i] < wm or (state.hasTimedOut and dl[i] <= wm):
+                if not rep[i]:
+                    out.append((ids[i], fails[i], "stalled"))
+            else:
+                keep.append(i)
+        if keep:
+            state.update(([ids[i] for i in keep], [fails[i] for i in keep], [rep[i] for i in keep],
+                          [dl[i] for i in keep]))
+            state.setTimeoutTimestamp(min(dl[i] for i in keep))
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame({"file_id": [file_id] * len(out), "chunk_id": [o[0] for o in out],
+                                "failures": [o[1] for o in out], "status": [o[2] for o in out]})
 
     return (attempts.withWatermark(ts, timeout)
-            .groupBy("file_id", "chunk_id")
+            .withColumn("_block", F.floor(F.col("chunk_id") / CHUNK_BLOCK))
+            .groupBy("file_id", "_block")
             .applyInPandasWithState(step, _RETRY_OUT, _RETRY_STATE, "append", GroupStateTimeout.EventTimeTimeout))
 
 
