@@ -157,4 +157,9 @@ def failed_volumes(results: DataFrame, objects: DataFrame, bucket_col: str = "bu
     failed = failed.groupBy("volume").agg(first.alias("error"))
     objs = volume_objects(objects).select(
         "volume", F.concat(F.lit("s3://"), F.col(bucket_col), F.lit("/"), F.col("key")).alias("uri"))
-    return failed.join(objs, "volume", "left")
+    # objects stream through an inner join (AQE can split a hot volume);
+    # failed volumes without objects are added back with a null uri
+    with_objs = objs.join(failed, "volume").select("volume", "error", "uri")
+    without = failed.join(objs.select("volume"), "volume", "left_anti") \
+        .select("volume", "error", F.lit(None).cast("string").alias("uri"))
+    return with_objs.unionByName(without)

@@ -77,15 +77,21 @@ def pending_chunks(plan: DataFrame, state: DataFrame) -> DataFrame:
 def resume_bytes(files: DataFrame, state: DataFrame, chunk_bytes: int) -> DataFrame:
     """Bytes already held per file = sum over distinct finished ids of
     ``max(0, min((id+1)*c, size) - id*c)``, capped at the file size.
-    Files without state hold 0."""
+    Files without state hold 0.
+
+    The (possibly huge) chunk-id side is the streamed side of an inner join
+    with the one-row-per-file sizes, so AQE can split a hot file; the sum is
+    a partial aggregate; files without state are added by a left join of the
+    per-file result (one row per file on both sides)."""
     c = int(chunk_bytes)
+    sizes = files.select("file_id", F.col("size").cast("long").alias("size"))
     ids = finished_chunks(state)
-    j = files.select("file_id", F.col("size").cast("long").alias("size")).join(ids, "file_id", "left")
     part = F.greatest(F.lit(0).cast("long"),
                       F.least((F.col("chunk_id") + 1) * F.lit(c), F.col("size")) - F.col("chunk_id") * F.lit(c))
-    return (j.groupBy("file_id", "size")
-            .agg(F.coalesce(F.sum(part), F.lit(0).cast("long")).alias("_held"))
-            .select("file_id", "size", F.least(F.col("_held"), F.col("size")).alias("bytes_held")))
+    held = ids.join(sizes, "file_id").groupBy("file_id").agg(F.sum(part).alias("_held"))
+    return (sizes.join(held, "file_id", "left")
+            .select("file_id", "size", F.least(F.coalesce(F.col("_held"), F.lit(0).cast("long")), F.col("size"))
+                    .alias("bytes_held")))
 
 
 def resume_decision(remote: DataFrame, local: DataFrame, state: DataFrame) -> DataFrame:

@@ -55,7 +55,7 @@ def _report_columns(parsed: DataFrame, extra: dict | None = None) -> DataFrame:
 _SPLIT = r'\t(?=(?:[^"]*"[^"]*")*[^"]*$)'
 
 
-def parse_tsv_by_header(lines: DataFrame, max_broadcast_files: int = 100_000) -> DataFrame:
+def parse_tsv_by_header(lines: DataFrame) -> DataFrame:
     """Parse TSV lines of many files whose headers may differ.
 
     ``lines`` is (file, line_no, value) as produced by the numbered-lines
@@ -65,12 +65,11 @@ def parse_tsv_by_header(lines: DataFrame, max_broadcast_files: int = 100_000) ->
     so one distributed pass handles any mix of column sets.  Ragged rows
     fail the job, as they do in the archive tool.
     """
-    from ..operators.catalog import bounded_broadcast
     body = lines.where(~F.col("value").startswith("#") & (F.col("value") != ""))
     headers = body.groupBy("file").agg(F.min_by("value", "line_no").alias("_hdr"),
                                         F.min("line_no").alias("_hdr_no"))
     headers = headers.select("file", "_hdr_no", F.split("_hdr", _SPLIT).alias("_names"))
-    headers = bounded_broadcast(headers, max_broadcast_files)
+    # one row per file: AQE broadcasts it at runtime when it is small
     data = body.join(headers, "file").where(F.col("line_no") > F.col("_hdr_no"))
     fields = F.transform(F.split("value", _SPLIT), lambda x: F.when(
         x.startswith('"') & x.endswith('"') & (F.length(x) >= 2),
