@@ -16,7 +16,7 @@ def _tree(tmp_path):
     d = tmp_path / "data"
     d.mkdir()
     (d / "data.fa").write_text("acgt")
-    (d / "polariseq_md5_2026-07-17_13-32-27.log").write_text("log")
+    (d / "transfer_md5_2026-07-17_13-32-27.log").write_text("log")
     (d / ".hidden").write_text("secret")
     sub = d / "sub"
     sub.mkdir()
@@ -48,7 +48,7 @@ def test_verify_reference_case(spark, tmp_path):
     acgt = hashlib.md5(b"acgt").hexdigest()
     m = tmp_path / "m"
     m.mkdir()
-    (m / "md5.txt").write_text(f"{acgt}  data.fa\n{'0' * 32}  polariseq_md5_run.log\n{'0' * 32}  md5.txt\n")
+    (m / "md5.txt").write_text(f"{acgt}  data.fa\n{'0' * 32}  transfer_md5_run.log\n{'0' * 32}  md5.txt\n")
     entries = read_manifest(spark, str(m / "md5.txt"))
     d = _tree(tmp_path)
     actual = file_md5(spark, str(d)).select(F.substring_index("path", "/", -1).alias("filename"), "actual_md5")

@@ -58,7 +58,7 @@ FROM part
 
 # Checksum manifest entries: own log every 50th, upper-case md5 on even ids.
 VIEWS["manifest_entries"] = """
-SELECT CASE WHEN doc_id % 50 = 0 THEN 'polariseq_md5_' || cast(doc_id AS string) || '.log'
+SELECT CASE WHEN doc_id % 50 = 0 THEN 'transfer_md5_' || cast(doc_id AS string) || '.log'
          ELSE 'doc_' || cast(doc_id AS string) || '.txt' END AS filename,
   CASE WHEN doc_id % 2 = 0 THEN upper(md5(text)) ELSE md5(text) END AS md5
 FROM documents
@@ -94,7 +94,7 @@ FROM documents
 # A directory tree (S6, K3): hidden directories and files, the tool's logs.
 VIEWS["inventory_paths"] = """
 SELECT '/data/' || CASE WHEN doc_id % 13 = 0 THEN '.cache/' ELSE '' END || source || '/'
-    || CASE WHEN doc_id % 19 = 0 THEN '.' WHEN doc_id % 50 = 0 THEN 'polariseq_md5_' ELSE '' END
+    || CASE WHEN doc_id % 19 = 0 THEN '.' WHEN doc_id % 50 = 0 THEN 'transfer_md5_' ELSE '' END
     || 'doc_' || cast(doc_id AS string) || CASE WHEN doc_id % 50 = 0 THEN '.log' ELSE '.txt' END AS path,
   n_chars AS length, md5(text) AS actual_md5
 FROM documents

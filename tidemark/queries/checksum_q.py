@@ -13,7 +13,7 @@ from . import register
 
 MANIFEST_NAME = "md5.txt"
 MANIFEST_PATH = "/data/src1/doc_1.txt"
-_LOG = "(starts_with({0}, 'polariseq_md5') AND ends_with({0}, '.log'))"
+_LOG = "(starts_with({0}, 'transfer_md5') AND ends_with({0}, '.log'))"
 
 
 # ----------------------------------------------------------------- S5

@@ -40,8 +40,10 @@ SUBMISSION_COLUMNS = [
 # File extensions that may belong to one BLAST database volume.
 VOLUME_EXTENSIONS = ["phr", "psq", "pin", "pog", "pni", "pnd", "psi", "psd", "aln", "freq"]
 
-# Prefix of the checksum tool's own log files, and the default manifest name.
-MD5_LOG_PREFIX = "polariseq_md5"
+# Prefix of the checksum tool's own log files (``<prefix>*.log``; every
+# operator that skips them takes the prefix as a parameter) and the default
+# manifest name.
+MD5_LOG_PREFIX = "transfer_md5"
 MD5_LOG_SUFFIX = ".log"
 DEFAULT_MANIFEST_NAME = "md5.txt"
 
