@@ -12,7 +12,7 @@ from ..functions.columns import basename, file_type, upload_key
 from ..operators.catalog import failed_volumes, volume_attempts
 from ..operators.filters import upload_candidates
 from ..operators.upload import submission_template
-from ..schemas import RUN_REPORT_COLUMNS, SUBMISSION_COLUMNS
+from ..schemas import SUBMISSION_COLUMNS
 from ..session import scratch_path
 from ..sinks.tables import failed_volume_lines
 from ..sinks.writers import write_gzip_text, write_run_report

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators.progress import epoch_micros
-from ..schemas import ACTIVE_STAGES, CHUNK_REQUEUE_BUDGET
+from ..schemas import CHUNK_REQUEUE_BUDGET
 
 
 def event_time(ts) -> Column:
@@ -244,6 +244,3 @@ def status_counts_stream(latest_sink: DataFrame, total=None) -> DataFrame:
     """T1 read side: status counts of the current latest state."""
     from ..operators.progress import status_counts
     return status_counts(latest_sink, total)
-
-
-ACTIVE = ACTIVE_STAGES
