@@ -71,7 +71,10 @@ def parse_tsv_by_header(lines: DataFrame) -> DataFrame:
     headers = headers.select("file", "_hdr_no", F.split("_hdr", _SPLIT).alias("_names"))
     # one row per file: AQE broadcasts it at runtime when it is small
     data = body.join(headers, "file").where(F.col("line_no") > F.col("_hdr_no"))
-    fields = F.transform(F.split("value", _SPLIT), lambda x: F.when(
+    # lines without quotes split on plain tabs; only quoted lines need the
+    # quote-aware pattern
+    raw = F.when(F.col("value").contains('"'), F.split("value", _SPLIT)).otherwise(F.split("value", "\t"))
+    fields = F.transform(raw, lambda x: F.when(
         x.startswith('"') & x.endswith('"') & (F.length(x) >= 2),
         F.regexp_replace(x.substr(F.lit(2), F.length(x) - 2), '""', '"')).otherwise(x))
     data = data.withColumn("_fields", fields)
