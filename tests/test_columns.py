@@ -112,3 +112,11 @@ def test_relative_key_and_stage_percent(spark):
                                "d long, t long, f boolean")
     got = [r[0] for r in df.select(stage_percent("d", "t", F.col("f"))).collect()]
     assert got == [50.0, 99.0, 100.0, 0.0]
+
+
+def test_stamps(spark):
+    from datetime import datetime
+    from tidemark.functions.columns import file_stamp, header_stamp
+    df = spark.createDataFrame([(datetime(2026, 7, 17, 13, 32, 27),)], "t timestamp_ntz")
+    r = df.select(file_stamp("t").alias("f"), header_stamp("t").alias("h")).first()
+    assert (r["f"], r["h"]) == ("2026-07-17_13-32-27", "2026-07-17 13:32:27")

@@ -117,3 +117,22 @@ def test_has_fastq(spark):
                                 "filename string, length long")
     got = {r["run_id"]: r["has_fastq"] for r in R.has_fastq(runs, inv).collect()}
     assert got == {"X": True, "Y": True, "Z": False, "W": False}
+
+
+def test_listing_cleanup_and_error_modes(spark):
+    import pytest
+    from tidemark.sources.listing import clean_listing, lookup_object
+    rows = [("b", "p/a.nsq", 5, '"d41d8cd98f00b204e9800998ecf8427e"'), ("b", None, 1, None), ("b", "p/x", None, None),
+            ("b", "p/dir/", 0, None), ("b", "p/dir2/", 3, None), ("b", "p/neg", -1, None)]
+    df = spark.createDataFrame(rows, "bucket string, key string, size long, etag string")
+    q = {r["key"]: r["reason"] for r in clean_listing(df, "p/", on_error="quarantine").collect()}
+    assert set(q) == {"p/a.nsq", "p/dir2/", "p/neg"} and q["p/neg"].startswith("S3 object has an invalid size")
+    # an excluded key is never checked
+    assert clean_listing(df, "p/", exclude="ne*").count() == 2
+    with pytest.raises(Exception):
+        clean_listing(df, "p/").collect()
+    assert lookup_object(df, "b", "p/a.nsq").first()["md5"] == "d41d8cd98f00b204e9800998ecf8427e"
+    with pytest.raises(ValueError):
+        lookup_object(df, "b", "p/dir/")
+    with pytest.raises(Exception):
+        lookup_object(df, "b", "p/x").collect()

@@ -270,6 +270,17 @@ def log_line(ts, level, msg) -> Column:
                            _c(level), _c(msg))
 
 
+def file_stamp(ts) -> Column:
+    """Clock stamp used in output file names, ``YYYY-MM-DD_HH-MM-SS``
+    (the timestamp is passed in, so a re-run gives the same names)."""
+    return F.date_format(_c(ts), "yyyy-MM-dd_HH-mm-ss")
+
+
+def header_stamp(ts) -> Column:
+    """Clock stamp of manifest headers, ``YYYY-MM-DD HH:MM:SS``."""
+    return F.date_format(_c(ts), "yyyy-MM-dd HH:mm:ss")
+
+
 def avg_speed_mb_s(bytes_, seconds) -> Column:
     """MiB per second; elapsed time floored at 1 ms."""
     return (_c(bytes_).cast("double") / F.lit(1024.0 * 1024.0)) / F.greatest(
