@@ -148,3 +148,20 @@ def test_gzip_roundtrip(spark, tmp_path):
         parts = sorted(p for p in os.listdir(d) if p.endswith(".gz"))
         text = "".join(gzip.open(os.path.join(d, p), "rt").read() for p in parts)
         assert text == want
+
+
+def test_read_progress_snapshot_file(spark, tmp_path):
+    import json as _json
+    from tidemark.sources.state import read_progress
+    st = {"bytes_done": 5, "bytes_total": 10, "weight": 1.0, "percent": 50.0}
+    doc = {"SRR1": {"run_id": "SRR1", "stage": "compressing", "overall_percent": 78.57, "download": st,
+                    "extraction": st, "compression": st},
+           "SRR2": {"run_id": "SRR2", "stage": "pending", "overall_percent": 0.0, "download": st,
+                    "extraction": st, "compression": st}}
+    p = tmp_path / "progress.json"
+    p.write_text(_json.dumps(doc, indent=2))
+    got = {r["run_key"]: r for r in read_progress(spark, str(p)).collect()}
+    assert got["SRR1"]["stage"] == "compressing" and got["SRR2"]["download_percent"] == 50.0
+    lines = tmp_path / "lines.json"
+    lines.write_text("\n".join(_json.dumps({k: v}) for k, v in doc.items()))
+    assert read_progress(spark, str(lines), json_lines=True).count() == 2

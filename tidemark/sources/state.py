@@ -48,8 +48,10 @@ def parse_progress(df: DataFrame, json_col: str = "json") -> DataFrame:
           for f in ("bytes_done", "bytes_total", "weight", "percent")])
 
 
-def read_progress(spark: SparkSession, path: str) -> DataFrame:
-    """S10 source: progress snapshot files (one JSON object each, or JSON lines
-    of single-run objects as written by the export)."""
-    raw = spark.read.text(path).select(F.col("value").alias("json")).where(F.trim("json") != "")
+def read_progress(spark: SparkSession, path: str, json_lines: bool = False) -> DataFrame:
+    """S10 source: progress snapshot files -- one (possibly pretty-printed)
+    JSON object per file by default, or JSON lines of single-run objects as
+    written by the export (``json_lines=True``, splittable)."""
+    raw = spark.read.text(path, wholetext=not json_lines)
+    raw = raw.select(F.col("value").alias("json")).where(F.trim("json") != "")
     return parse_progress(raw)
