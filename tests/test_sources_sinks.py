@@ -165,3 +165,17 @@ def test_read_progress_snapshot_file(spark, tmp_path):
     lines = tmp_path / "lines.json"
     lines.write_text("\n".join(_json.dumps({k: v}) for k, v in doc.items()))
     assert read_progress(spark, str(lines), json_lines=True).count() == 2
+
+
+def test_gzip_text_files_skip_missing_and_empty(spark, tmp_path):
+    from tidemark.sinks.writers import gzip_text_files
+    src = tmp_path / "fq"
+    src.mkdir()
+    (src / "SRR1_1.fastq").write_text("@r/1\nACGT\n+\n!!!!\n")
+    (src / "SRR1_2.fastq").write_text("")
+    out = gzip_text_files(spark, str(src / "SRR1*.fastq"), str(tmp_path / "gz"))
+    made = sorted(p for p in os.listdir(out) if p.startswith("file="))
+    assert made == ["file=SRR1_1.fastq"]
+    d = os.path.join(out, made[0])
+    text = "".join(gzip.open(os.path.join(d, p), "rt").read() for p in sorted(os.listdir(d)) if p.endswith(".gz"))
+    assert text == "@r/1\nACGT\n+\n!!!!\n"

@@ -36,11 +36,15 @@ def check_regex(pattern: str) -> str:
 
 
 def _any_match(col: Column, patterns: Sequence[str], flags: str = "(?U)") -> Column:
-    out = None
-    for p in patterns:
-        m = col.rlike(flags + p)
-        out = m if out is None else (out | m)
-    return out if out is not None else F.lit(False)
+    """True when any pattern is found in ``col``.  Several patterns are folded
+    into one alternation of non-capturing groups (inline flags stay scoped to
+    their group), so each row runs one regex however long the list is."""
+    patterns = list(patterns)
+    if not patterns:
+        return F.lit(False)
+    if len(patterns) == 1:
+        return col.rlike(flags + patterns[0])
+    return col.rlike(flags + "|".join(f"(?:{p})" for p in patterns))
 
 
 def regex_keep(sample_title="sample_title", run_accession="run_accession",

@@ -96,3 +96,14 @@ def write_gzip_text(lines: DataFrame, out_dir: str, file_col: str = "file", line
      .select(F.col(file_col).alias("file"), F.col(text).alias("value"))
      .write.mode(mode).partitionBy("file").option("compression", "gzip").text(out_dir))
     return out_dir
+
+
+def gzip_text_files(spark, paths: str, out_dir: str, mode: str = "overwrite") -> str:
+    """K7 for files: re-compress text files (e.g. ``X.fastq``, ``X_1.fastq``,
+    ``X_2.fastq`` of a run) into ``out_dir/file=<name>/part-*.gz``.  Lines are
+    numbered without gathering a file into one task; missing or empty files
+    produce nothing; sources are never deleted."""
+    from ..sources.text import read_numbered_lines
+    lines = read_numbered_lines(spark, paths, line_sep="\n").select(
+        F.substring_index("file", "/", -1).alias("file"), "line_no", F.col("value").alias("line"))
+    return write_gzip_text(lines, out_dir, mode=mode)
