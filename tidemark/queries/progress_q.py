@@ -344,3 +344,22 @@ def q_progress_export(spark, sf):
 
 
 register("progress_export")(q_progress_export)
+
+
+def q_progress_export_roundtrip(spark, sf):
+    """K6 -> decrypt -> S10: the exported, encrypted progress of every run
+    decrypts and parses back to the latest state."""
+    enc = q_progress_export(spark, sf)
+    key = F.unhex(F.lit(_EXPORT_KEY))
+    plain = enc.select(F.aes_decrypt(F.concat(F.unbase64("nonce"), F.unbase64("ciphertext")), key, F.lit("GCM"))
+                       .cast("string").alias("json"))
+    back = parse_progress(plain)
+    return back.select("run_key", "run_id", "stage", F.round("overall_percent", 6).alias("overall_percent"),
+                       "download_bytes_done", F.round("download_percent", 6).alias("download_percent"))
+
+
+register("progress_export_roundtrip", with_views(f"""{_LATEST_SQL}
+SELECT run_id AS run_key, run_id, stage, round({_A7}, 6) AS overall_percent, bytes_done AS download_bytes_done,
+  round(CASE WHEN bytes_total > 0 THEN least(bytes_done / bytes_total * 100.0, 100.0) ELSE 0.0 END, 6)
+    AS download_percent
+FROM latest""", "transfer_events"))(q_progress_export_roundtrip)
