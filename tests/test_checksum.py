@@ -111,3 +111,11 @@ def test_generated_manifest_excludes_itself(spark, tmp_path):
     # round trip K3 -> S5
     back = parse_manifest_lines(spark.read.text(out).withColumn("line_no", F.lit(1)).withColumn("file", F.lit("m")))
     assert back.where(F.col("filename") == "data.fa").count() == 1
+
+
+def test_manifest_crlf_and_tabs_are_trimmed(spark, tmp_path):
+    good = hashlib.md5(b"y").hexdigest()
+    p = tmp_path / "crlf.txt"
+    p.write_bytes(f"\t{good}  a.txt\r\n{good}  b.txt \t\r\n".encode())
+    got = sorted((r["md5"], r["filename"]) for r in read_manifest(spark, str(p)).collect())
+    assert got == [(good, "a.txt"), (good, "b.txt")]

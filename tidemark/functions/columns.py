@@ -23,6 +23,13 @@ def fail_if(df, cond: Column, message: Column):
     return df.where(F.when(cond, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
 
 
+def trim_ws(c) -> Column:
+    """Trim leading and trailing whitespace of any kind (tabs, CR, Unicode
+    spaces), as the archive tool's string trim does; ``trim`` only strips
+    spaces."""
+    return F.regexp_replace(_c(c), r"(?U)^\s+|\s+$", "")
+
+
 # --------------------------------------------------------------------------- X1, X2
 def packed_list(c) -> Column:
     """Split a ``;``-packed cell, drop empty items, no trimming."""
@@ -99,7 +106,7 @@ def s3_parse(c) -> Column:
     The value is trimmed; no ``/`` after the bucket gives key ``''``.  Invalid
     input yields null bucket/key and an error text.
     """
-    v = F.trim(_c(c))
+    v = trim_ws(c)
     rest = F.when(v.startswith("s3://"), F.substring(v, 6, 1 << 30))
     has_slash = F.instr(rest, "/") > 0
     bucket = F.when(has_slash, F.substring_index(rest, "/", 1)).otherwise(rest)

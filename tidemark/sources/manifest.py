@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import fail_if
+from ..functions.columns import fail_if, trim_ws
 from ..operators.filters import is_md5_log
 from .text import read_numbered_lines
 
@@ -19,7 +19,7 @@ def parse_manifest_lines(lines: DataFrame, value: str = "value", line_no: str =
     ``mode='fail'`` raises on the first bad line seen (with its 1-based line
     number); ``quarantine`` keeps bad lines with an ``error`` text.
     """
-    t = F.trim(F.col(value))
+    t = trim_ws(value)
     kept = lines.withColumn("_t", t).where((F.col("_t") != "") & ~F.col("_t").startswith("#"))
     pos = F.instr(F.col("_t"), "  ")
     md5 = F.lower(F.when(pos > 0, F.substring_index(F.col("_t"), "  ", 1)))
