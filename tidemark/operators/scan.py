@@ -46,17 +46,27 @@ def _pieces(spark) -> int:
 
 
 HOT_KEY_ROWS = 1_000_000
+_DECISIONS: dict = {}
 
 
 def has_hot_key(df: DataFrame, keys: Sequence[str], n: int | None = None) -> bool:
-    """True when one key holds more rows than one task should sort alone."""
+    """True when one key holds more rows than one task should sort alone.
+
+    One partial-aggregating count per key (only the key columns are read).
+    The answer is remembered per (plan, keys, threshold) for the session: it
+    only chooses between two correct plans, so a stale answer can cost time
+    but never change a result."""
     spark = df.sparkSession
     n = n or _pieces(spark)
     limit = int(spark.conf.get("spark.tidemark.scan.hotKeyRows", str(HOT_KEY_ROWS)))
+    memo = (id(spark), df.semanticHash(), tuple(keys), n, limit)
+    if memo in _DECISIONS:
+        return _DECISIONS[memo]
     r = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(
         F.max("_n").alias("mx"), F.sum("_n").alias("tot")).first()
     mx, tot = (r["mx"] or 0), (r["tot"] or 0)
-    return mx > max(limit, 2 * tot // max(n, 1))
+    _DECISIONS[memo] = mx > max(limit, 2 * tot // max(n, 1))
+    return _DECISIONS[memo]
 
 
 def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence, sums: dict | None = None,
