@@ -139,3 +139,12 @@ def test_sliding_speed_split_path_matches_replay(spark):
         test_stage_transitions(spark)
     finally:
         spark.conf.unset("spark.tidemark.scan.hotKeyRows")
+
+
+def test_status_counts_stale_runs(spark):
+    t = datetime(2024, 1, 1, 12)
+    df = spark.createDataFrame([("r1", "downloading", t - timedelta(hours=5)), ("r2", "downloading", t),
+                                ("r3", "completed", t - timedelta(hours=9))],
+                               "run_id string, stage string, ts timestamp_ntz")
+    r = P.status_counts(df, 4, ts="ts", as_of=t, stale_after="1 hour").first()
+    assert (r["completed"], r["failed"], r["active"], r["stale"], r["queued"]) == (1, 0, 1, 1, 1)

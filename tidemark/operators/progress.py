@@ -45,14 +45,28 @@ def latest_progress(events: DataFrame, run: str = "run_id", order: tuple = ("ts"
     return agg.select(run, *[F.col(f"_last.{c}").alias(c) for c in cols])
 
 
-def status_counts(latest: DataFrame, total=None, stage: str = "stage") -> DataFrame:
+def status_counts(latest: DataFrame, total=None, stage: str = "stage", ts: str | None = None,
+                  as_of=None, stale_after: str | None = None) -> DataFrame:
     """A2: completed, failed, active (downloading + extracting + compressing)
     and queued = max(0, total - the others).  ``total`` is an int, a one-row
-    DataFrame with column ``total``, or None (= number of rows)."""
+    DataFrame with column ``total``, or None (= number of rows).
+
+    Optional stale-run timeout: with ``ts`` (time of the run's latest event),
+    ``as_of`` (a timestamp literal or Column) and ``stale_after`` (e.g.
+    ``"1 hour"``), an active run whose latest event is older than that is
+    counted as ``stale`` instead of active -- the tool leaves runs that hit an
+    error in ``downloading`` for ever."""
     s = F.col(stage)
+    active = s.isin(*ACTIVE_STAGES)
+    stale = F.lit(False)
+    if ts and as_of is not None and stale_after:
+        ref = as_of if isinstance(as_of, Column) else F.lit(as_of)
+        cutoff = epoch_micros(ref) - F.lit(_interval_micros(stale_after))
+        stale = active & (epoch_micros(ts) < cutoff)
     counts = latest.agg(F.count_if(s == "completed").alias("completed"),
                         F.count_if(s == "failed").alias("failed"),
-                        F.count_if(s.isin(*ACTIVE_STAGES)).alias("active"),
+                        F.count_if(active & ~stale).alias("active"),
+                        F.count_if(stale).alias("stale"),
                         F.count(F.lit(1)).alias("_rows"))
     if total is None:
         counts = counts.withColumn("total", F.col("_rows"))
@@ -61,9 +75,12 @@ def status_counts(latest: DataFrame, total=None, stage: str = "stage") -> DataFr
     else:  # one-row frame: broadcast equi-join on a constant key
         t = total.select(F.col("total").cast("long").alias("total"), F.lit(1).alias("_one"))
         counts = counts.withColumn("_one", F.lit(1)).join(F.broadcast(t), "_one").drop("_one")
-    queued = F.greatest(F.lit(0).cast("long"),
-                        F.col("total") - F.col("completed") - F.col("failed") - F.col("active"))
-    return counts.select("completed", "failed", "active", queued.alias("queued"), "total")
+    queued = F.greatest(F.lit(0).cast("long"), F.col("total") - F.col("completed") - F.col("failed")
+                        - F.col("active") - F.col("stale"))
+    cols = ["completed", "failed", "active", queued.alias("queued"), "total"]
+    if ts and as_of is not None and stale_after:
+        cols.insert(3, "stale")
+    return counts.select(*cols)
 
 
 # --------------------------------------------------------------------------- A7, A8
