@@ -148,3 +148,12 @@ def test_status_counts_stale_runs(spark):
                                "run_id string, stage string, ts timestamp_ntz")
     r = P.status_counts(df, 4, ts="ts", as_of=t, stale_after="1 hour").first()
     assert (r["completed"], r["failed"], r["active"], r["stale"], r["queued"]) == (1, 0, 1, 1, 1)
+
+
+def test_ordered_scan_keeps_null_keys(spark):
+    from tidemark.operators.scan import ordered_scan
+    df = spark.createDataFrame([(None, 1, 5), (None, 2, 6), ("a", 1, 1)], "k string, t long, v long")
+    for split in (True, False):
+        got = sorted((r["k"] or "", r["t"], r["rs"]) for r in
+                     ordered_scan(df, ["k"], ["t"], sums={"rs": F.col("v")}, split=split, n=4).collect())
+        assert got == [("", 1, 5), ("", 2, 11), ("a", 1, 1)], split

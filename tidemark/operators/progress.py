@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import _c, stage_percent
 from ..schemas import ACTIVE_STAGES, STAGES
-from .scan import has_hot_key, ordered_scan
+from .scan import has_hot_key, join_null_safe, ordered_scan
 
 NTZ_EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
@@ -211,11 +211,12 @@ def sliding_speed(samples: DataFrame, feed: str = "feed", ts: str = "ts", bytes_
     probes = merged.where(F.col("_k") == 0).select(feed, F.col("_ref").alias("_i"),
                                                    (F.col("_before") + 1).alias("_ff"))
     starts = epochs.groupBy(feed, "_epoch").agg(F.min("_i").alias("_e0"))
-    s = s.join(epochs, [feed, "_i"]).join(probes, [feed, "_i"]).join(starts, [feed, "_epoch"])
+    s = join_null_safe(join_null_safe(join_null_safe(s, epochs, [feed, "_i"]), probes, [feed, "_i"]),
+                       starts, [feed, "_epoch"])
     # oldest sample of the frame, clamped to the start of the epoch
     s = s.withColumn("_fi", F.greatest(F.col("_ff"), F.col("_e0")))
     firsts = s.select(feed, F.col("_i").alias("_fi"), F.col("_us").alias("_t0"), F.col(bytes_).alias("_b0"))
-    s = s.join(firsts, [feed, "_fi"])
+    s = join_null_safe(s, firsts, [feed, "_fi"])
     single = (F.col("_i") - F.col("_fi")) == 0
     prev_ok = (F.col("_drop") == 0) & F.col("_pt").isNotNull()
     bt = F.when(~single, F.col("_t0")).when(prev_ok, F.col("_pt")).otherwise(F.col("_us"))

@@ -69,6 +69,17 @@ def has_hot_key(df: DataFrame, keys: Sequence[str], n: int | None = None) -> boo
     return _DECISIONS[memo]
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` where NULL matches NULL (a null key is a group
+    like any other in the window path, so it must be one here too)."""
+    r = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
+    cond = None
+    for k in keys:
+        c = left[k].eqNullSafe(r[f"_r_{k}"])
+        cond = c if cond is None else cond & c
+    return left.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence, sums: dict | None = None,
                  lags: dict | None = None, row_number: str | None = None, n: int | None = None,
                  split: str | bool = "auto") -> DataFrame:
@@ -129,7 +140,7 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence, sums: dict
     if lags:
         carry = carry.withColumn("_prev", F.lag("_last").over(w2))
     carry = carry.select(*keys, "_pid", *[f"_o_{name}" for name in sums], *(["_prev"] if lags else []))
-    j = r.join(carry, [*keys, "_pid"])
+    j = join_null_safe(r, carry, [*keys, "_pid"])
     for name in sums:
         j = j.withColumn(name, F.col(f"_l_{name}") + F.col(f"_o_{name}"))
     for name, col in lags.items():
