@@ -179,3 +179,13 @@ def test_gzip_text_files_skip_missing_and_empty(spark, tmp_path):
     d = os.path.join(out, made[0])
     text = "".join(gzip.open(os.path.join(d, p), "rt").read() for p in sorted(os.listdir(d)) if p.endswith(".gz"))
     assert text == "@r/1\nACGT\n+\n!!!!\n"
+
+
+def test_many_accessions_in_one_write(spark, tmp_path):
+    from tidemark.sinks.writers import ACCESSION_DIR, write_run_reports
+    df = spark.createDataFrame([("R1", "t1", "P1"), ("R2", "t2", "P1"), ("R3", "t3", "P2")],
+                               "run_accession string, sample_title string, accession string")
+    out = write_run_reports(df, str(tmp_path / "reports"))
+    back = read_accession_reports(spark, out, pattern=ACCESSION_DIR)
+    got = sorted((r["accession"], r["run_accession"], r["sample_title"]) for r in back.collect())
+    assert got == [("P1", "R1", "t1"), ("P1", "R2", "t2"), ("P2", "R3", "t3")]

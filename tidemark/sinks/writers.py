@@ -32,6 +32,25 @@ def write_run_report(df: DataFrame, out_dir: str, accession: str | None = None,
     return path
 
 
+def write_run_reports(df: DataFrame, out_dir: str, accession: str = "accession", mode: str = "overwrite") -> str:
+    """K1 for many accessions in one distributed write: one folder per
+    accession (``<out>/accession=<X>/part-*.csv``), 49 columns each.  Read
+    back with ``read_accession_reports(spark, out, pattern=ACCESSION_DIR)``."""
+    # range partition on (accession, run): balanced writer tasks even when one
+    # accession holds most runs, while each accession still lands in few files
+    n = max(1, df.sparkSession.sparkContext.defaultParallelism)
+    (normalize_report(df, extra={accession: F.col(accession)})
+     .repartitionByRange(n, accession, "run_accession").write.mode(mode)
+     .partitionBy(accession)
+     .option("sep", "\t").option("header", True).option("emptyValue", "").option("nullValue", "")
+     .option("quote", '"').option("escape", '"')
+     .csv(out_dir))
+    return out_dir
+
+
+ACCESSION_DIR = r"accession=([^/]+)/[^/]*$"
+
+
 def write_mate_checksums(processed: DataFrame, out_dir: str, accession: str, mode: str = "overwrite") -> tuple[str, str]:
     """K2: ``R1_fastq_md5_<acc>.tsv`` and ``R2_...`` (no header): md5, name, title."""
     rows = mate_checksum_rows(processed).cache()
