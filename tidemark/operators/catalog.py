@@ -36,22 +36,35 @@ def catalog_locations(catalog: DataFrame) -> DataFrame:
         F.col("_loc.error").alias("url_error")).drop("_loc")
 
 
-def match_catalog(catalog: DataFrame, listing: DataFrame, max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def match_catalog(catalog: DataFrame, listing: DataFrame, max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+                  max_literal_entries: int = 256) -> DataFrame:
     """Objects of each catalogue entry.
 
     Equi-join on bucket with the residual ``key startswith prefix``; the
     listing clean-up (no key / no size / directory markers dropped) and the
-    entry's own exclude/include wildcards are applied per row.
+    entry's own exclude/include wildcards are applied per row.  For a
+    catalogue of up to ``max_literal_entries`` entries the wildcards become
+    literal per-entry predicates (each pattern compiled once per task instead
+    of once per row); larger catalogues use the pattern columns.
     """
     cat = catalog_locations(catalog).where(F.col("url_error").isNull()) \
         .select("name", "cat_bucket", "cat_prefix", "exclude", "include")
+    entries = cat.select("name", "exclude", "include").limit(max_literal_entries + 1).collect()
     cat = bounded_broadcast(cat, max_broadcast_rows)
     lst = listing.where(F.col("key").isNotNull() & F.col("size").isNotNull()
                         & ~(F.col("key").endswith("/") & (F.col("size") == 0)))
     j = lst.join(cat, (lst["bucket"] == cat["cat_bucket"]) & lst["key"].startswith(cat["cat_prefix"]))
     rel = F.expr("substring(key, length(cat_prefix) + 1)")
     j = j.withColumn("rel_key", rel)
-    keep = wildcard_keep("rel_key", F.col("exclude"), F.col("include"))
+    names_unique = len({e["name"] for e in entries}) == len(entries)
+    if len(entries) <= max_literal_entries and names_unique:
+        keep = None
+        for e in entries:
+            k = wildcard_keep("rel_key", e["exclude"], e["include"])
+            keep = F.when(F.col("name") == e["name"], k) if keep is None else keep.when(F.col("name") == e["name"], k)
+        keep = F.coalesce(keep, F.lit(False)) if keep is not None else F.lit(False)
+    else:
+        keep = wildcard_keep("rel_key", F.col("exclude"), F.col("include"))
     return j.where(keep).select("name", "bucket", "key", "rel_key", "size", etag_md5("etag").alias("md5"))
 
 
