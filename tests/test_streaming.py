@@ -87,9 +87,12 @@ def test_incremental_ingest_is_idempotent(spark, tmp_path):
     n1 = spark.read.parquet(dst).count()
     S.ingest_incremental(spark, str(src) + "/*", dst, ck, schema, transform=clean)
     assert spark.read.parquet(dst).count() == n1 == 1
-    spark.createDataFrame([("b", "p/c", 3, None)], schema).write.parquet(str(src / "f2"))
+    spark.createDataFrame([("b", "p/c", 3, None), ("b", "p/a", 7, '"e2"')], schema).write.parquet(str(src / "f2"))
     S.ingest_incremental(spark, str(src) + "/*", dst, ck, schema, transform=clean)
-    assert spark.read.parquet(dst).count() == 2
+    assert spark.read.parquet(dst).count() == 3
+    # upsert view: the re-landed object wins
+    cur = {r["key"]: r["size"] for r in S.read_updates(spark, dst, ["bucket", "key"]).collect()}
+    assert cur == {"p/a": 7, "p/c": 3}
 
 
 def test_stream_retries_state_machine(spark, tmp_path):

@@ -231,7 +231,10 @@ def ingest_incremental(spark: SparkSession, src: str, dst: str, checkpoint: str,
 
     The file source records processed files in the checkpoint, so a re-run
     adds only new files (0 rows when nothing new landed).  ``transform`` is
-    applied per batch (e.g. the listing clean-up)."""
+    applied per batch (e.g. the listing clean-up).  Each batch lands in its
+    own ``batch_id=<n>`` folder; the current table (an upsert by key, e.g.
+    bucket + key with the newest etag/size) is ``read_updates(spark, dst,
+    keys)``."""
     stream = stream_source(spark, src, schema, fmt)
     if transform is not None:
         stream = transform(stream)
