@@ -9,7 +9,10 @@ attribute values are compared case-insensitively.
 
 Each document is one row; the tags are tokenised into an array and the
 document order is handled with higher-order array functions, so there is no
-shuffle and no Python.
+shuffle and no Python.  ``from_xml`` / the XML source are not used because a
+schema-based parse groups elements by name and loses their interleaving:
+which ``SRAFile``/``Run`` tag last preceded the winning ``Alternatives`` is a
+document-order question.
 """
 
 from __future__ import annotations
