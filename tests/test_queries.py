@@ -53,3 +53,16 @@ def test_query_matches_oracle(spark, con, name):
     idx = {c: i for i, c in enumerate(dcols)}
     drows = Counter(tuple(_norm(r[idx[c]]) for c in cols) for r in res.fetchall())
     assert srows == drows
+
+
+ORDERED = ["sliding_speed", "instant_speed", "global_progress", "stage_transitions", "running_bytes",
+           "chunk_retries", "backoff_cost", "volume_attempts", "failed_volume_manifest"]
+
+
+@pytest.mark.parametrize("name", ORDERED)
+def test_ordered_query_split_path_matches_oracle(spark, con, name):
+    spark.conf.set("spark.tidemark.scan.split", "always")
+    try:
+        test_query_matches_oracle(spark, con, name)
+    finally:
+        spark.conf.unset("spark.tidemark.scan.split")

@@ -25,6 +25,7 @@ with the size of one key.  Equal (key, order) values never straddle pieces.
 partial-aggregating count (a one-row result): when no key exceeds
 ``spark.tidemark.scan.hotKeyRows`` (default 1,000,000) or twice a fair
 share of the rows per task, a plain window is cheaper and is used instead.
+``spark.tidemark.scan.split`` = ``always`` / ``never`` overrides the check.
 """
 
 from __future__ import annotations
@@ -57,6 +58,9 @@ def has_hot_key(df: DataFrame, keys: Sequence[str], n: int | None = None) -> boo
     only chooses between two correct plans, so a stale answer can cost time
     but never change a result."""
     spark = df.sparkSession
+    mode = spark.conf.get("spark.tidemark.scan.split", "auto")
+    if mode in ("always", "never"):
+        return mode == "always"
     n = n or _pieces(spark)
     limit = int(spark.conf.get("spark.tidemark.scan.hotKeyRows", str(HOT_KEY_ROWS)))
     memo = (id(spark), df.semanticHash(), tuple(keys), n, limit)
