@@ -191,3 +191,11 @@ def test_many_accessions_in_one_write(spark, tmp_path):
     back = read_accession_reports(spark, out, pattern=ACCESSION_DIR)
     got = sorted((r["accession"], r["run_accession"], r["sample_title"]) for r in back.collect())
     assert got == [("P1", "R1", "t1"), ("P1", "R2", "t2"), ("P2", "R3", "t3")]
+
+
+def test_report_with_newline_in_quoted_field(spark, tmp_path):
+    from tidemark.sources.runs import read_run_report_csv
+    p = tmp_path / "r.tsv"
+    p.write_text('run_accession\tsample_title\nR1\t"two\nlines"\nR2\tplain\n')
+    got = {r["run_accession"]: r["sample_title"] for r in read_run_report_csv(spark, str(p), multiline=True).collect()}
+    assert got == {"R1": "two\nlines", "R2": "plain"}

@@ -15,10 +15,10 @@ from ..functions.columns import fail_if
 from ..operators.runs import normalize_report, union_reports
 
 
-def _tsv(spark: SparkSession, path: str, recursive: bool = False):
+def _tsv(spark: SparkSession, path: str, recursive: bool = False, multiline: bool = False):
     r = (spark.read.option("sep", "\t").option("header", True).option("comment", "#")
          .option("quote", '"').option("escape", '"').option("inferSchema", False)
-         .option("mode", "FAILFAST"))
+         .option("mode", "FAILFAST").option("multiLine", multiline))
     if recursive:
         r = r.option("recursiveFileLookup", "true")
     return r.csv(path)
@@ -35,10 +35,11 @@ def read_run_report(spark: SparkSession, path: str, recursive: bool = False) ->
     return _report_columns(parsed)
 
 
-def read_run_report_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_run_report_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """S1 through Spark's CSV reader -- for a set of files that share one
-    header (handles quoted multi-field content the same way)."""
-    return normalize_report(_tsv(spark, path))
+    header.  ``multiline=True`` also accepts newlines inside quoted fields
+    (each file is then read by one task, as such files cannot be split)."""
+    return normalize_report(_tsv(spark, path, multiline=multiline))
 
 
 def _report_columns(parsed: DataFrame, extra: dict | None = None) -> DataFrame:
