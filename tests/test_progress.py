@@ -157,3 +157,10 @@ def test_ordered_scan_keeps_null_keys(spark):
         got = sorted((r["k"] or "", r["t"], r["rs"]) for r in
                      ordered_scan(df, ["k"], ["t"], sums={"rs": F.col("v")}, split=split, n=4).collect())
         assert got == [("", 1, 5), ("", 2, 11), ("a", 1, 1)], split
+
+
+def test_read_transfer_log_file(spark, tmp_path):
+    p = tmp_path / "app.log"
+    p.write_text("[2024-01-01 00:00:01.250] [INFO] started\n[2024-01-01 00:00:02.000] [ERROR] boom\n")
+    got = [(r["line_no"], r["level"], r["message"]) for r in P.read_transfer_log(spark, str(p)).orderBy("line_no").collect()]
+    assert got == [(1, "INFO", "started"), (2, "ERROR", "boom")]

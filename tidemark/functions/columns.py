@@ -294,6 +294,9 @@ def avg_speed_mb_s(bytes_, seconds) -> Column:
         _c(seconds).cast("double"), F.lit(0.001))
 
 
+avg_speed = avg_speed_mb_s  # X18 name used in the operator inventory
+
+
 def size_gb(bytes_) -> Column:
     return _c(bytes_).cast("double") / F.lit(1024.0 ** 3)
 

@@ -285,6 +285,17 @@ def parse_log_lines(df: DataFrame, line: str = "line") -> DataFrame:
               .withColumn("message", F.when(ok, F.regexp_extract(l, _LOG_RE, 3))))
 
 
+def read_transfer_log(spark, path: str) -> DataFrame:
+    """S11 source: transfer log files -> (file, line_no, ts, level, message)."""
+    from ..sources.text import read_numbered_lines
+    return parse_log_lines(read_numbered_lines(spark, path, line_sep="\n").withColumnRenamed("value", "line"))
+
+
+def sort_by_path(df: DataFrame, path: str = "path") -> DataFrame:
+    """O1: global order by path (range-partitioned sort)."""
+    return df.orderBy(path)
+
+
 def log_tail(df: DataFrame, n: int = 101, order: tuple = ("ts", "event_id")) -> DataFrame:
     """O2: the last ``n`` entries (top-k: each partition keeps n rows)."""
     return df.orderBy(*[F.col(c).desc() for c in order]).limit(n)

@@ -214,3 +214,14 @@ def backoff_cost(attempts: DataFrame, order: list[str] | None = None) -> DataFra
         F.coalesce(F.sum(F.when(live, backoff_sleep(F.col("kind"), F.col("k")))), F.lit(0)).cast("long")
         .alias("sleep_s"),
         F.max(F.col("_gu").isNotNull()).alias("gave_up")))
+
+
+def explode_uris(df: DataFrame, uris: str = "uris", out: str = "uri") -> DataFrame:
+    """One row per uri of an array column (e.g. a failed volume's objects)."""
+    return df.withColumn(out, F.explode(uris)).drop(uris)
+
+
+def explode_progress(df: DataFrame, json_col: str = "json") -> DataFrame:
+    """A progress map (JSON object keyed by run) -> one row per run."""
+    from ..sources.state import parse_progress
+    return parse_progress(df, json_col)

@@ -21,6 +21,9 @@ def dry_run_plan(processed: DataFrame) -> DataFrame:
         .select("run_accession", "t.*"))
 
 
+plan_report = dry_run_plan  # K8 name used in the operator inventory
+
+
 def listing_plan(objects: DataFrame) -> DataFrame:
     """K8 (public data): key and size of every object that would be fetched."""
     return objects.select("key", "size")

@@ -38,6 +38,11 @@ def stream_source(spark: SparkSession, path: str, schema, fmt: str = "parquet",
     return r.load(path)
 
 
+def stream_events(spark: SparkSession, path: str, schema, fmt: str = "json") -> DataFrame:
+    """Landed transfer events (tagged JSON union) as a stream."""
+    return stream_source(spark, path, schema, fmt)
+
+
 # --------------------------------------------------------------------------- T1
 def stream_latest(events: DataFrame, run: str = "run_id", order: Sequence[str] = ("ts", "event_id"),
                   value_cols: Sequence[str] | None = None) -> DataFrame:
