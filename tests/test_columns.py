@@ -89,8 +89,9 @@ def test_file_stem(spark):
 
 def test_resolve_url_pair(spark):
     df = spark.createDataFrame([("https://odp.s3.amazonaws.com/sra/1",), ("s3://b/k/x",), ("s3://nokey",),
-                                ("ftp://x/y",)], "u string")
+                                ("ftp://x/y",), ("https://a/b.s3.amazonaws.com/k",)], "u string")
     got = [r[0] for r in df.select(resolve_url_pair("u")).collect()]
+    assert tuple(got[4]) == ("s3://a/b/k", "https://a/b.s3.amazonaws.com/k")
     assert tuple(got[0]) == ("s3://odp/sra/1", "https://odp.s3.amazonaws.com/sra/1")
     assert tuple(got[1]) == ("s3://b/k/x", "https://b.s3.amazonaws.com/k/x")
     assert got[2] is None and got[3] is None

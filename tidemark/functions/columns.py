@@ -151,7 +151,7 @@ def s3_to_https(bucket, key) -> Column:
 def resolve_url_pair(c) -> Column:
     """struct(s3_uri, http_url) from either form; null when neither matches."""
     v = _c(c)
-    https_m = v.rlike(r"^https://[^/]*?\.s3\.amazonaws\.com/")
+    https_m = v.rlike(r"^https://.*?\.s3\.amazonaws\.com/")
     hb = F.regexp_extract(v, r"^https://(.*?)\.s3\.amazonaws\.com/(.*)$", 1)
     hk = F.regexp_extract(v, r"^https://(.*?)\.s3\.amazonaws\.com/(.*)$", 2)
     s3_m = v.rlike(r"^s3://[^/]*/")
@@ -272,9 +272,9 @@ def human_bytes(c) -> Column:
 
 
 def log_line(ts, level, msg) -> Column:
-    """``[YYYY-MM-DD HH:MM:SS.mmm] [LEVEL] message``."""
+    """``[YYYY-MM-DD HH:MM:SS.mmm] [LEVEL] message`` (level upper-cased)."""
     return F.format_string("[%s] [%s] %s", F.date_format(_c(ts), "yyyy-MM-dd HH:mm:ss.SSS"),
-                           _c(level), _c(msg))
+                           F.upper(_c(level)), _c(msg))
 
 
 def file_stamp(ts) -> Column:
