@@ -264,17 +264,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     has too few splits (the DataFrame is reused, so the footer is read and the
     split count checked once per session)."""
     key = (id(spark), sf_dir, name)
-    if key not in _SCANS:
-        _SCANS[key] = spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"), TABLE_KEYS.get(name))
-    return _SCANS[key]
+    hit = _SCANS.get(key)
+    if hit is None or hit[0] is not spark:  # ids can be reused by a new session
+        hit = _SCANS[key] = (spark, spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"), TABLE_KEYS.get(name)))
+    return hit[1]
 
 
 def register_tables(spark: SparkSession, sf_dir: str, names=None) -> None:
     """Register driver tables as temp views (all, or just ``names``)."""
     for t in names or TABLES:
-        if _REGISTERED.get((id(spark), t)) != sf_dir or not spark.catalog.tableExists(t):
+        reg = _REGISTERED.get((id(spark), t))
+        if reg is None or reg[0] is not spark or reg[1] != sf_dir or not spark.catalog.tableExists(t):
             table(spark, sf_dir, t).createOrReplaceTempView(t)
-            _REGISTERED[(id(spark), t)] = sf_dir
+            _REGISTERED[(id(spark), t)] = (spark, sf_dir)
 
 
 def tables_of(sql: str) -> list[str]:
