@@ -40,6 +40,12 @@ def _file_stream(spark, sf, table, schema):
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf)
 
 
+def _run(df, out, ck, mode):
+    """Run to completion with one state partition per core."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    run_stream(df, out, ck, mode=mode, state_partitions=par).awaitTermination()
+
+
 def _paths(spark, name):
     tag = uuid.uuid4().hex
     return scratch_path(spark, f"stream_{name}_{tag}/out"), scratch_path(spark, f"stream_{name}_{tag}/ckpt")
@@ -49,7 +55,7 @@ def _paths(spark, name):
 def q_stream_status_counts(spark, sf):
     ev = _stream_view(spark, sf, "events", "transfer_events", "t1").drop("event_ts")
     out, ck = _paths(spark, "t1")
-    run_stream(stream_latest(ev), out, ck, mode="update").awaitTermination()
+    _run(stream_latest(ev), out, ck, "update")
     latest = read_updates(spark, out, ["run_id"])
     total = view(spark, sf, "run_report").agg(F.count(F.lit(1)).alias("total"))
     c = status_counts(latest, total)
@@ -70,7 +76,7 @@ FROM c, t""", "transfer_events", "run_report"))(q_stream_status_counts)
 def q_stream_window_counts(spark, sf):
     ev = _stream_view(spark, sf, "events", "transfer_events", "t3")
     out, ck = _paths(spark, "t3")
-    run_stream(stream_counts(ev, "event_ts", "stage", "1 day", "1 hour"), out, ck, mode="complete").awaitTermination()
+    _run(stream_counts(ev, "event_ts", "stage", "1 day", "1 hour"), out, ck, "complete")
     r = spark.read.parquet(out)
     return r.select(F.unix_micros("window_start").alias("window_start_us"), "stage", F.col("n").cast("bigint").alias("n"))
 
@@ -83,8 +89,7 @@ register("stream_window_counts", with_views("""SELECT epoch_us(date_trunc('day',
 def q_stream_speed(spark, sf):
     ev = _stream_view(spark, sf, "events", "transfer_events", "t2")
     out, ck = _paths(spark, "t2")
-    run_stream(stream_speed(ev, "event_ts", "run_id", "bytes_done", "6 hours", "1 hour", "1 hour"),
-               out, ck, mode="append").awaitTermination()
+    _run(stream_speed(ev, "event_ts", "run_id", "bytes_done", "6 hours", "1 hour", "1 hour"), out, ck, "append")
     r = spark.read.parquet(out)
     return r.select(F.unix_micros("window_start").alias("window_start_us"), "run_id",
                     F.col("samples").cast("bigint").alias("samples"), F.round("bytes_per_s", 6).alias("bytes_per_s"))
@@ -103,8 +108,7 @@ FROM w, m WHERE ws + 21600000000 <= wm GROUP BY ws, run_id""", "transfer_events"
 def q_stream_sessions(spark, sf):
     ev = _stream_view(spark, sf, "events", "transfer_events", "t4")
     out, ck = _paths(spark, "t4")
-    run_stream(stream_sessions(ev, "event_ts", "run_id", "6 hours", "1 hour"), out, ck, mode="append") \
-        .awaitTermination()
+    _run(stream_sessions(ev, "event_ts", "run_id", "6 hours", "1 hour"), out, ck, "append")
     r = spark.read.parquet(out)
     return r.select("run_id", F.unix_micros("session_start").alias("start_us"),
                     F.unix_micros("session_end").alias("end_us"), F.col("events").cast("bigint").alias("events"),
@@ -127,8 +131,7 @@ def q_stream_dedupe(spark, sf):
     a = _stream_view(spark, sf, "events", "transfer_events", "t6a")
     b = _stream_view(spark, sf, "events", "transfer_events", "t6b")
     out, ck = _paths(spark, "t6")
-    run_stream(stream_dedupe(a.unionByName(b), ["event_id"], "event_ts", "1 hour"), out, ck, mode="append") \
-        .awaitTermination()
+    _run(stream_dedupe(a.unionByName(b), ["event_id"], "event_ts", "1 hour"), out, ck, "append")
     r = spark.read.parquet(out)
     return r.select("event_id", "run_id", "stage", "bytes_done")
 
@@ -148,7 +151,7 @@ def q_stream_retries(spark, sf):
     att = att.withColumn("event_ts", event_time("ship")) \
         .select("file_id", "chunk_id", "event_ts", *ATTEMPT_ORDER)
     out, ck = _paths(spark, "t5")
-    run_stream(stream_retries(att, 3, "1 hour", order=ATTEMPT_ORDER), out, ck, mode="append").awaitTermination()
+    _run(stream_retries(att, 3, "1 hour", order=ATTEMPT_ORDER), out, ck, "append")
     r = spark.read.parquet(out)
     return r.select("file_id", "chunk_id", "failures", "status")
 

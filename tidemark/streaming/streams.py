@@ -201,7 +201,8 @@ def dropped_late(query) -> int:
 
 # --------------------------------------------------------------------------- sinks / driver
 def run_stream(df: DataFrame, sink_path: str, checkpoint: str, mode: str = "append",
-               available_now: bool = True, processing_time: str | None = None):
+               available_now: bool = True, processing_time: str | None = None,
+               state_partitions: int | None = None):
     """Drive a streaming frame into parquet under ``sink_path``.
 
     * append: each batch is written to ``batch_id=<n>`` with overwrite, so a
@@ -209,6 +210,9 @@ def run_stream(df: DataFrame, sink_path: str, checkpoint: str, mode: str = "appe
     * complete: each batch replaces the whole table;
     * update: each batch's changed rows land in ``batch_id=<n>``; read the
       current state with :func:`read_updates`.
+
+    ``state_partitions`` sets the state-store partition count of a new query
+    (it cannot change later without a new checkpoint).
     """
     def write(batch: DataFrame, batch_id: int):
         if mode == "complete":
@@ -218,7 +222,18 @@ def run_stream(df: DataFrame, sink_path: str, checkpoint: str, mode: str = "appe
 
     w = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(write)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or "10 seconds")
-    return w.start()
+    if not state_partitions:
+        return w.start()
+    # the number of state-store partitions is fixed when a query first starts;
+    # the query runs on a clone of the session taken at start(), so the
+    # caller's setting is restored right after
+    spark = df.sparkSession
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+    try:
+        return w.start()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
 
 
 def read_updates(spark: SparkSession, sink_path: str, keys: Sequence[str]) -> DataFrame:
