@@ -242,6 +242,7 @@ def upload_key(prefix, name) -> Column:
 
 
 def upload_uri(bucket, prefix, name) -> Column:
+    """``s3://bucket/<upload key>``."""
     return F.concat(F.lit("s3://"), _c(bucket), F.lit("/"), upload_key(prefix, name))
 
 
@@ -298,10 +299,12 @@ avg_speed = avg_speed_mb_s  # X18 name used in the operator inventory
 
 
 def size_gb(bytes_) -> Column:
+    """Bytes as GiB (double)."""
     return _c(bytes_).cast("double") / F.lit(1024.0 ** 3)
 
 
 def size_mb(bytes_) -> Column:
+    """Bytes as MiB (double)."""
     return _c(bytes_).cast("double") / F.lit(1024.0 ** 2)
 
 

@@ -26,6 +26,8 @@ class PatternError(ValueError):
 
 
 def check_regex(pattern: str) -> str:
+    """Driver-side check of a user regex: syntax, and no look-around or
+    back-references (the archive tool's dialect has neither)."""
     if _UNSUPPORTED.search(pattern):
         raise PatternError(f"unsupported regex construct (look-around/back-reference): {pattern!r}")
     try:

@@ -30,6 +30,7 @@ def epoch_micros(ts) -> Column:
 
 
 def stage_ordinal(stage) -> Column:
+    """Position of a stage in pending -> ... -> completed, failed."""
     out = None
     for i, s in enumerate(STAGES):
         out = (F.when(_c(stage) == s, F.lit(i)) if out is None else out.when(_c(stage) == s, F.lit(i)))

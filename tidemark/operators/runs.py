@@ -77,6 +77,7 @@ def union_reports(*dfs: DataFrame) -> DataFrame:
 
 
 def run_total_bytes(processed: DataFrame) -> Column:
+    """Bytes of both mates of a processed run (a missing mate 2 counts 0)."""
     return (F.col("fastq_bytes_1") + F.coalesce(F.col("fastq_bytes_2"), F.lit(0).cast("decimal(20,0)")))
 
 

@@ -69,6 +69,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def default_parallelism(spark: SparkSession) -> int:
+    """Cores available to the session."""
     try:
         return int(spark.sparkContext.defaultParallelism)
     except Exception:  # pragma: no cover
