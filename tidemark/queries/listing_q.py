@@ -283,3 +283,26 @@ fv AS (SELECT volume, arg_min(error, batch) AS error FROM w5 WHERE status = 'fai
 SELECT fv.volume, fv.error, 's3://' || o.bucket || '/' || o.key AS uri
 FROM fv LEFT JOIN (SELECT * FROM object_listing WHERE {_CLEAN} AND starts_with(key, '{PREFIX}')) o
   ON {_stem('o.key')} = fv.volume""", "object_listing", "volume_outcomes"))(q_failed_volumes)
+
+
+# ----------------------------------------------------------------- K8 (public data)
+def q_public_dry_run(spark, sf):
+    from ..sinks.tables import listing_plan
+    cat = view(spark, sf, "catalog_entries")
+    return listing_plan(match_catalog(cat, _listing(spark, sf))).select("name", "key", "size", "size_text")
+
+
+register("public_dry_run", with_views(f"""cat AS (
+  SELECT name, substr(s3_url, 6, strpos(substr(s3_url, 6), '/') - 1) AS cb,
+    substr(s3_url, 6 + strpos(substr(s3_url, 6), '/')) AS cp, exclude, include FROM catalog_entries),
+m AS (SELECT name, key, size FROM (
+  SELECT c.name, o.key, substr(o.key, length(c.cp) + 1) AS rel_key, o.size, c.exclude, c.include
+  FROM object_listing o JOIN cat c ON o.bucket = c.cb AND starts_with(o.key, c.cp)
+  WHERE o.key IS NOT NULL AND o.size IS NOT NULL AND NOT (ends_with(o.key, '/') AND o.size = 0)) t
+  WHERE coalesce(rel_key LIKE {_like('include')} ESCAPE '!', false)
+     OR NOT coalesce(rel_key LIKE {_like('exclude')} ESCAPE '!', false))
+SELECT name, key, size, CASE WHEN size = 0 THEN '0 B' WHEN size < 1024 THEN cast(size AS VARCHAR) || ' B'
+  WHEN size < 1048576 THEN format('{{:.1f}}', size / 1024.0) || ' KiB'
+  WHEN size < 1073741824 THEN format('{{:.1f}}', size / 1048576.0) || ' MiB'
+  ELSE format('{{:.1f}}', size / 1073741824.0) || ' GiB' END AS size_text
+FROM m""", "object_listing", "catalog_entries"))(q_public_dry_run)

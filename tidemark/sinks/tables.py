@@ -24,9 +24,13 @@ def dry_run_plan(processed: DataFrame) -> DataFrame:
 plan_report = dry_run_plan  # K8 name used in the operator inventory
 
 
-def listing_plan(objects: DataFrame) -> DataFrame:
-    """K8 (public data): key and size of every object that would be fetched."""
-    return objects.select("key", "size")
+def listing_plan(objects: DataFrame, human: bool = True) -> DataFrame:
+    """K8 (public data): key and size of every object that would be fetched,
+    with the size in binary units when ``human``."""
+    from ..functions.columns import human_bytes
+    cols = [c for c in ("name", "key", "size") if c in objects.columns]
+    out = objects.select(*cols)
+    return out.withColumn("size_text", human_bytes("size")) if human else out
 
 
 def mate_checksum_rows(processed: DataFrame) -> DataFrame:
