@@ -50,7 +50,8 @@ def match_catalog(catalog: DataFrame, listing: DataFrame, max_broadcast_rows: in
     cat = catalog_locations(catalog).where(F.col("url_error").isNull()) \
         .select("name", "cat_bucket", "cat_prefix", "exclude", "include")
     entries = cat.select("name", "exclude", "include").limit(max_literal_entries + 1).collect()
-    cat = bounded_broadcast(cat, max_broadcast_rows)
+    # the collected entries already prove the size bound when they all fit
+    cat = F.broadcast(cat) if len(entries) <= max_literal_entries else bounded_broadcast(cat, max_broadcast_rows)
     lst = listing.where(F.col("key").isNotNull() & F.col("size").isNotNull()
                         & ~(F.col("key").endswith("/") & (F.col("size") == 0)))
     j = lst.join(cat, (lst["bucket"] == cat["cat_bucket"]) & lst["key"].startswith(cat["cat_prefix"]))
