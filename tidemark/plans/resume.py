@@ -8,7 +8,7 @@ Catalyst, skew split by AQE); no per-row Python.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.scan import has_hot_key, ordered_scan
@@ -206,22 +206,21 @@ def backoff_cost(attempts: DataFrame, order: list[str] | None = None) -> DataFra
               ((F.col("kind") != "range") & (F.col("k") > INNER_RETRY_LIMIT))
     pos = F.struct(*[F.col(c) for c in order])
     staged = staged.withColumn("_pos", pos)
-    first = staged.groupBy(*keys).agg(F.min(F.when(give_up, F.col("_pos"))).alias("_gu"))
-    j = staged.join(first, keys)
-    live = F.col("_gu").isNull() | (F.col("_pos") < F.col("_gu"))
+    if split:
+        # first give-up per chunk as a (partial) aggregate joined back
+        first = staged.groupBy(*keys).agg(F.min(F.when(give_up, F.col("_pos"))).alias("_gu"))
+        j = staged.join(first, keys)
+        live = F.col("_gu").isNull() | (F.col("_pos") < F.col("_gu"))
+        dead = F.col("_gu").isNotNull()
+    else:
+        # same partitioning as the scans above: a running "given up yet" flag
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        j = staged.withColumn("_gu_before", F.coalesce(F.max(give_up.cast("int")).over(w), F.lit(0)))
+        j = j.withColumn("_gu_here", give_up.cast("int"))
+        live = (F.col("_gu_before") == 0) & (F.col("_gu_here") == 0)
+        dead = (F.col("_gu_before") + F.col("_gu_here")) > 0
     return (j.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("failures"),
         F.coalesce(F.sum(F.when(live, backoff_sleep(F.col("kind"), F.col("k")))), F.lit(0)).cast("long")
         .alias("sleep_s"),
-        F.max(F.col("_gu").isNotNull()).alias("gave_up")))
-
-
-def explode_uris(df: DataFrame, uris: str = "uris", out: str = "uri") -> DataFrame:
-    """One row per uri of an array column (e.g. a failed volume's objects)."""
-    return df.withColumn(out, F.explode(uris)).drop(uris)
-
-
-def explode_progress(df: DataFrame, json_col: str = "json") -> DataFrame:
-    """A progress map (JSON object keyed by run) -> one row per run."""
-    from ..sources.state import parse_progress
-    return parse_progress(df, json_col)
+        F.max(dead).alias("gave_up")))
