@@ -212,3 +212,16 @@ def test_failed_volumes_manifest_file_order(spark, tmp_path):
         "# Failed volumes for ncbi_nt", "# Generated: 2026-07-17 13:32:27",
         "volume: nr.000", "  error: tool error", "  s3://b/nr.000.pin",
         "volume: nt.001", "  error: Volume nt.001 failed", "  s3://b/nt.001.phr", "  s3://b/nt.001.psq"]
+
+
+def test_submission_template_file(spark, tmp_path):
+    from tidemark.operators.filters import upload_candidates
+    from tidemark.schemas import SUBMISSION_COLUMNS
+    from tidemark.sinks.writers import write_submission_template
+    inv = spark.createDataFrame([("/in/a.fq.gz", 10), ("/in/b.bam", 0), ("/in/c.vcf", 3)], "path string, length long")
+    ok = upload_candidates(inv).where(F.col("accepted"))
+    out = write_submission_template(ok, str(tmp_path / "tpl"), "bkt", "runs/")
+    back = spark.read.option("sep", "\t").option("header", True).csv(out)
+    assert back.columns == SUBMISSION_COLUMNS
+    got = sorted((r["filename"], r["filetype"], r["s3_path"]) for r in back.collect())
+    assert got == [("a.fq.gz", "fastq", "s3://bkt/runs/a.fq.gz"), ("c.vcf", "vcf", "s3://bkt/runs/c.vcf")]
