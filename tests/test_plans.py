@@ -54,3 +54,19 @@ def test_ordered_scan_split_partitions_by_piece(spark, capsys):
     assert "ExistingRDD" in plan and "_pid" in plan
     got = ordered_scan(df, ["k"], ["t"], sums={"rs": F.col("v")}, split=True, n=8).agg(F.max("rs")).first()[0]
     assert got == 2000
+
+
+def test_hot_key_detection(spark):
+    from tidemark.operators.scan import has_hot_key
+    df = spark.range(3000).select(F.when(F.col("id") < 2000, F.lit("hot")).otherwise(F.col("id").cast("string"))
+                                  .alias("k"))
+    spark.conf.set("spark.tidemark.scan.hotKeyRows", "100")
+    try:
+        assert has_hot_key(df, ["k"], n=8)            # 2000 rows > max(100, 2 * 3000 / 8)
+        assert not has_hot_key(df.where(F.col("k") != "hot"), ["k"], n=8)
+        spark.conf.set("spark.tidemark.scan.split", "never")
+        assert not has_hot_key(df, ["k"], n=8)
+    finally:
+        spark.conf.unset("spark.tidemark.scan.hotKeyRows")
+        spark.conf.unset("spark.tidemark.scan.split")
+    assert not has_hot_key(df, ["k"], n=8)            # default threshold: 1,000,000 rows
