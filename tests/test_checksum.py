@@ -119,3 +119,10 @@ def test_manifest_crlf_and_tabs_are_trimmed(spark, tmp_path):
     p.write_bytes(f"\t{good}  a.txt\r\n{good}  b.txt \t\r\n".encode())
     got = sorted((r["md5"], r["filename"]) for r in read_manifest(spark, str(p)).collect())
     assert got == [(good, "a.txt"), (good, "b.txt")]
+
+
+def test_file_uri_roots(spark, tmp_path):
+    d = _tree(tmp_path)
+    for root in (str(d), "file://" + str(d), "file:" + str(d)):
+        assert sorted(os.path.basename(r["path"]) for r in file_md5(spark, root).collect()) == ["b.txt", "data.fa"]
+        assert read_inventory(spark, root).count() == 2

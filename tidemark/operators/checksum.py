@@ -8,6 +8,7 @@ name that occurs many times never fans out into pairs.
 from __future__ import annotations
 
 import hashlib
+import re
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -67,8 +68,9 @@ def file_md5(spark, root: str, max_inline_bytes: int = 64 << 20) -> DataFrame:
     large = (src.where(F.col("length") > max_inline_bytes).select("path", "length")
              .repartition(max(1, spark.sparkContext.defaultParallelism), "path"))
     large = large.join(large.select("path").mapInPandas(_md5_paths, "path string, actual_md5 string"), "path")
-    both = small.unionByName(large).withColumn("path", F.regexp_replace("path", "^file:", ""))
-    return filter_inventory(both, root.replace("file:", "")).drop("rel_path")
+    both = small.unionByName(large).withColumn("path", F.regexp_replace("path", "^file:/*", "/"))
+    local_root = re.sub(r"^file:/*", "/", root)
+    return filter_inventory(both, local_root).drop("rel_path")
 
 
 def verify_manifest(entries: DataFrame, actual: DataFrame, key: str = "filename",

@@ -71,6 +71,7 @@ def read_inventory(spark: SparkSession, root: str) -> DataFrame:
     listing table with :func:`filter_inventory` when such files matter.
     """
     df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-          .select(F.regexp_replace(F.col("path"), "^file:", "").alias("path"), "length",
+          .select(F.regexp_replace(F.col("path"), "^file:/*", "/").alias("path"), "length",
                   F.col("modificationTime").alias("modification_time")))
-    return filter_inventory(df, root).drop("rel_path")
+    import re
+    return filter_inventory(df, re.sub(r"^file:/*", "/", root)).drop("rel_path")
