@@ -8,12 +8,14 @@ brute-force version.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash, toxicity
+from . import decontam, hilbert, mixing, pii, secret_scan, simhash, topk, toxicity, url_filter, warc
+from ..session import scratch_path
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +49,85 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.score(docs, model)
     return found.select(F.col("id").alias("doc_id"), (_fold("id") == 0).alias("held_out"), "score",
                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@_query("op3_exact_top_k", sql="""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e, embedding
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+   AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id,
+    CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = topk.top_k(read(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+    return found.withColumnRenamed("id", "vec_id")
+
+
+@_query("op4_mix_sources", sql="""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
+    CAST(('0x' || substr(md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || md5(coalesce(text, ''))), 1, 13)) AS BIGINT)
+      / 4503599627370496.0::DOUBLE AS u FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w FROM s),
+r AS (SELECT *, 2.0::DOUBLE * source_size / w AS ratio FROM w),
+b AS (SELECT *, coalesce(sum(source_size) OVER o, 0) AS size_before, coalesce(sum(w) OVER o, 0) AS w_before,
+    row_number() OVER (ORDER BY ratio, source NULLS LAST) AS pos FROM r
+  WINDOW o AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT *, (1.5::DOUBLE * (SELECT sum(source_size) FROM s) - 2.0::DOUBLE * size_before)
+    / ((SELECT sum(w) FROM w) - w_before) AS level FROM b),
+f AS (SELECT min_by(level, pos) AS level FROM l WHERE level <= ratio),
+t AS (SELECT source, source_size, CASE WHEN ratio < f.level THEN 2.0::DOUBLE * source_size ELSE f.level * w END AS target FROM b, f),
+p AS (SELECT doc_id, size, source_size, target, u, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+  CAST((floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM p""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.plan_table(read(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+@_query("op8_hilbert_shards")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = hilbert.shard_table(read(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                        F.lit(None).cast("int").alias("grown_shard"), "hilbert")
+
+
+@_query("op5_url_words")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
+def _spans(col: str) -> F.Column:
+    return F.concat_ws(",", F.transform(col, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
+
+
+def _span_digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    counts = [count(k).alias(f"n_{k}") for k in kinds]
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(_spans("base").cast("binary"), 256).alias("base_sha256"), _spans("spans").alias("spans"))
+
+
+@_query("op6_personal_data")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _span_digest(pii.find_personal_data(read(spark, sf_dir, "documents")), pii.KINDS)
+
+
+@_query("op7_warc_bundles")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, f"llm/warc-{uuid.uuid4().hex}")
+    warc.write_archive(read(spark, sf_dir, "pages"), path)
+    return warc.index_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to",
+                                                  "frame", "frame_start", "frame_bytes", "record_start", "record_bytes")
+
+
+@_query("op9_benchmark_leaks")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
+
+
+@_query("op10_secrets")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _span_digest(secret_scan.find_secrets(read(spark, sf_dir, "documents")), ("assign", "access", "hex"))
