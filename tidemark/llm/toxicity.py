@@ -30,7 +30,7 @@ from .common import bounded_batches, numbered, pick
 
 ORDERS = (3, 4, 5, 6)
 HASH_BITS = 20
-MAX_POSITIVE, MAX_NEGATIVE = 3000, 6000
+MAX_POSITIVE, MAX_NEGATIVE = 2000, 3000
 EPOCHS, BATCH, RATE, L2, MIN_ROWS = 10, 64, 0.3, 1e-4, 2
 _SPACE = re.compile(r"\s+")
 
@@ -51,34 +51,36 @@ def features(text: str | None) -> np.ndarray:
         return np.empty(0, np.int32)
     slots = np.concatenate(out).astype(np.int32)
     # The last of equal slots stays: linear, where a sort would not be.
-    _LAST[slots] = np.arange(len(slots), dtype=np.int32)
-    return slots[_LAST[slots] == np.arange(len(slots), dtype=np.int32)]
+    if not _LAST:
+        _LAST.append(np.zeros(1 << HASH_BITS, np.int32))
+    number = np.arange(len(slots), dtype=np.int32)
+    _LAST[0][slots] = number
+    return slots[_LAST[0][slots] == number]
 
 
-_LAST = np.zeros(1 << HASH_BITS, np.int32)
+_LAST: list[np.ndarray] = []  # scratch of one worker
 
 
 def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
-    """Slot weights (float32) and intercept from feature rows, 0/1 labels and row weights."""
+    """Slot weights (float32) and intercept from feature rows (which are used up), 0/1 labels and row weights."""
     size = 1 << HASH_BITS
     if not len(rows) or not y.any() or y.all():  # nothing to tell apart: the share of positives, or 1/2
         share = float(np.average(y, weights=weight)) if len(rows) else 0.5
         return np.zeros(size, np.float32), float(np.clip(np.log(max(share, 1e-6) / max(1 - share, 1e-6)), -6, 6))
-    lengths = np.array([len(r) for r in rows])
-    flat = np.concatenate(rows)
-    pos = np.repeat(y.astype(bool), lengths)
-    w_flat = np.repeat(weight, lengths)
-    p = np.bincount(flat[pos], w_flat[pos], size)
-    q = np.bincount(flat[~pos], w_flat[~pos], size)
+    p, q, seen = np.zeros(size), np.zeros(size), np.zeros(size, np.int32)
+    for r, label, w in zip(rows, y, weight):
+        (p if label else q)[r] += w
+        seen[r] += 1
     # Slots seen once tell nothing about other texts.
-    kept = np.flatnonzero(np.bincount(flat, minlength=size) >= MIN_ROWS)
+    kept = np.flatnonzero(seen >= MIN_ROWS)
     if not len(kept):
         return fit([], y, weight)
     p, q = p[kept] + 1, q[kept] + 1
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
     place = np.full(size, -1, np.int32)
     place[kept] = np.arange(len(kept))
-    rows = [(x := place[r])[x >= 0] for r in rows]
+    for i, r in enumerate(rows):  # one at a time: the rows are most of the memory
+        rows[i] = (x := place[r])[x >= 0]
     # Logistic regression by batches, step sizes by slot; rows in a fixed random order.
     rng, theta, grad2 = np.random.default_rng(7), np.zeros(len(kept)), np.full(len(kept), 1e-2)
     total = np.average(y, weights=weight)
@@ -135,8 +137,9 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, id_
             rows += [np.frombuffer(x.as_py(), np.int32) for x in b.column("x")]
             y += b.column("y").to_pylist()
             w += b.column("w").to_pylist()
-        order = sorted(range(len(rows)), key=lambda i: (y[i], len(rows[i]), rows[i].tobytes()))  # whatever order rows came in
-        theta, bias = fit([rows[i] for i in order], np.array([y[i] for i in order], float), np.array([w[i] for i in order], float))
+        order = sorted(range(len(rows)), key=lambda i: (y[i], len(rows[i]), int(rows[i].sum(dtype=np.int64))))  # whatever order rows came in
+        rows = [rows[i] for i in order]
+        theta, bias = fit(rows, np.array([y[i] for i in order], float), np.array([w[i] for i in order], float))
         yield pa.RecordBatch.from_arrays([pa.array([theta.tobytes()]), pa.array([bias])], names=["theta", "bias"])
 
     bounded_batches(spark)
