@@ -6,7 +6,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators.checksum import file_md5, manifest_rows, verify_manifest, verify_summary
+from tidemark.operators.checksum import (file_md5, manifest_rows, reconcile, verify_manifest, verify_manifest_at,
+                                         verify_summary)
 from tidemark.sources.manifest import parse_manifest_lines, read_inventory, read_manifest
 from tidemark.sources.text import read_numbered_lines
 from tidemark.sinks.writers import write_manifest
@@ -126,3 +127,32 @@ def test_file_uri_roots(spark, tmp_path):
     for root in (str(d), "file://" + str(d), "file:" + str(d)):
         assert sorted(os.path.basename(r["path"]) for r in file_md5(spark, root).collect()) == ["b.txt", "data.fa"]
         assert read_inventory(spark, root).count() == 2
+
+
+def test_reconcile_shows_conflicts(spark):
+    local = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "3"), ("c", "4"), ("d", None)], "filename string, md5 string")
+    archive = spark.createDataFrame([("a", "1"), ("b", "3"), ("b", "3"), ("e", "9")], "filename string, md5 string")
+    got = {r["filename"]: r["status"] for r in reconcile(local, archive).collect()}
+    assert got == {"a": "conflict", "b": "matched", "c": "local_only", "d": "local_only", "e": "archive_only"}
+
+
+def test_verify_by_path_below_root(spark):
+    files = spark.createDataFrame([("/r/x/a.txt", "1"), ("/r/y/a.txt", "2"), ("/r/m.md5", "3"), ("/abs/z", "4")],
+                                  "path string, actual_md5 string")
+    entries = spark.createDataFrame([("x/a.txt", "1"), ("./y//a.txt", "9"), ("a.txt", "1"), ("sub/transfer_md5_1.log", "0"),
+                                     ("m.md5", "3"), ("/abs/z", "4")], "filename string, md5 string")
+    got = {r["filename"]: r["status"] for r in verify_manifest_at(entries, files, "/r", "/r/m.md5").collect()}
+    assert got == {"x/a.txt": "OK", "./y//a.txt": "MISMATCH", "a.txt": "MISSING", "/abs/z": "OK"}
+
+
+def test_unknown_md5_fails_instead_of_writing_null(spark):
+    files = spark.createDataFrame([("/r/a", None)], "path string, actual_md5 string")
+    with pytest.raises(Exception, match="no md5 for a"):
+        manifest_rows(files).collect()
+
+
+def test_unreadable_file_fails_on_both_paths(tmp_path):
+    import pandas as pd
+    from tidemark.operators.checksum import _md5_paths
+    with pytest.raises(OSError):
+        list(_md5_paths([pd.DataFrame({"path": [str(tmp_path / "gone")], "length": [1]})]))

@@ -48,25 +48,27 @@ def test_inventory_never_reads_content(spark, tmp_path, capsys):
 
 def test_ordered_scan_split_partitions_by_piece(spark, capsys):
     df = spark.range(2000).select(F.lit("hot").alias("k"), F.col("id").alias("t"), F.lit(1).alias("v"))
-    plan = _plan(ordered_scan(df, ["k"], ["t"], sums={"rs": F.col("v")}, split=True, n=8), capsys, "simple")
+    plan = _plan(ordered_scan(df, ["k"], ["t"], sums={"rs": F.col("v")}, split=8), capsys, "simple")
     # the range split is materialised once (a shared RDD scan) and windows
     # are partitioned by (piece, key)
     assert "ExistingRDD" in plan and "_pid" in plan
-    got = ordered_scan(df, ["k"], ["t"], sums={"rs": F.col("v")}, split=True, n=8).agg(F.max("rs")).first()[0]
+    got = ordered_scan(df, ["k"], ["t"], sums={"rs": F.col("v")}, split=8).agg(F.max("rs")).first()[0]
     assert got == 2000
 
 
 def test_hot_key_detection(spark):
-    from tidemark.operators.scan import has_hot_key
+    from tidemark.operators.scan import has_hot_key, hot_pieces
     df = spark.range(3000).select(F.when(F.col("id") < 2000, F.lit("hot")).otherwise(F.col("id").cast("string"))
                                   .alias("k"))
     spark.conf.set("spark.tidemark.scan.hotKeyRows", "100")
     try:
-        assert has_hot_key(df, ["k"], n=8)            # 2000 rows > max(100, 2 * 3000 / 8)
-        assert not has_hot_key(df.where(F.col("k") != "hot"), ["k"], n=8)
+        assert hot_pieces(df, ["k"]) == 30            # 3000 rows in pieces of 100
+        assert not has_hot_key(df.where(F.col("k") != "hot"), ["k"])
+        spark.conf.set("spark.tidemark.scan.hotKeyRows", "1999")
+        assert has_hot_key(df, ["k"])                 # the limit is absolute, whatever the other keys hold
         spark.conf.set("spark.tidemark.scan.split", "never")
-        assert not has_hot_key(df, ["k"], n=8)
+        assert not has_hot_key(df, ["k"])
     finally:
         spark.conf.unset("spark.tidemark.scan.hotKeyRows")
         spark.conf.unset("spark.tidemark.scan.split")
-    assert not has_hot_key(df, ["k"], n=8)            # default threshold: 1,000,000 rows
+    assert not has_hot_key(df, ["k"])                 # default limit: 1,000,000 rows

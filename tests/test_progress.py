@@ -126,12 +126,41 @@ def test_ordered_scan_split_equals_window(spark):
     rows = [("hot" if rng.random() < 0.8 else f"k{rng.randint(0, 5)}", i, rng.randint(0, 100)) for i in range(5000)]
     df = spark.createDataFrame(rows, "k string, t long, v long")
     kw = dict(sums={"rs": F.col("v")}, lags={"pv": "v", "pt": "t"}, row_number="rn")
-    a = ordered_scan(df, ["k"], ["t"], split=True, n=16, **kw)
+    a = ordered_scan(df, ["k"], ["t"], split=16, **kw)
     b = ordered_scan(df, ["k"], ["t"], split=False, **kw)
     cols = ["k", "t", "rs", "pv", "pt", "rn"]
     assert sorted(tuple(r) for r in a.select(cols).collect()) == sorted(tuple(r) for r in b.select(cols).collect())
 
 
+def test_ordered_scan_paths_agree_on_nulls_and_a_hot_key(spark):
+    from tidemark.operators.scan import ordered_scan
+    rng = random.Random(5)
+    # one key of 90 % of the rows; null keys; a first stretch without any value
+    rows = [("hot" if rng.random() < 0.9 else rng.choice([None, "a", "b"]), i,
+             None if i < 1500 or rng.random() < 0.3 else rng.randint(0, 100)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "k string, t long, v long")
+    kw = dict(sums={"rs": F.col("v")}, lags={"pv": "v"}, row_number="rn")
+    one, many = ([tuple(r) for r in ordered_scan(df, ["k"], ["t"], split=n, **kw).select("k", "t", "rs", "pv", "rn").collect()]
+                 for n in (0, 16))
+    assert sorted(one, key=str) == sorted(many, key=str)
+
+
+def test_backoff_cost_paths_agree_on_null_keys(spark):
+    from tidemark.plans.resume import backoff_cost
+    rng = random.Random(6)
+    rows = [(rng.choice([None, "f"]), rng.choice([None, 1, 2]), i, rng.choice(["stream", "range"]), rng.random() < 0.05)
+            for i in range(600)]
+    df = spark.createDataFrame(rows, "file_id string, chunk_id long, seq long, kind string, progressed boolean")
+    got = {}
+    for mode in ("never", "always"):
+        spark.conf.set("spark.tidemark.scan.split", mode)
+        try:
+            got[mode] = sorted((tuple(r) for r in backoff_cost(df).collect()), key=str)
+        finally:
+            spark.conf.unset("spark.tidemark.scan.split")
+    assert got["never"] == got["always"] and len(got["never"]) == 6
+
+
 def test_sliding_speed_split_path_matches_replay(spark):
     spark.conf.set("spark.tidemark.scan.hotKeyRows", "10")
     try:
@@ -153,9 +182,9 @@ def test_status_counts_stale_runs(spark):
 def test_ordered_scan_keeps_null_keys(spark):
     from tidemark.operators.scan import ordered_scan
     df = spark.createDataFrame([(None, 1, 5), (None, 2, 6), ("a", 1, 1)], "k string, t long, v long")
-    for split in (True, False):
+    for split in (4, 0):
         got = sorted((r["k"] or "", r["t"], r["rs"]) for r in
-                     ordered_scan(df, ["k"], ["t"], sums={"rs": F.col("v")}, split=split, n=4).collect())
+                     ordered_scan(df, ["k"], ["t"], sums={"rs": F.col("v")}, split=split).collect())
         assert got == [("", 1, 5), ("", 2, 11), ("a", 1, 1)], split
 
 

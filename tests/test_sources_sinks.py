@@ -205,13 +205,15 @@ def test_failed_volumes_manifest_file_order(spark, tmp_path):
     from tidemark.sinks.writers import write_failed_volumes
     f = spark.createDataFrame([("nt.001", "Volume nt.001 failed", "s3://b/nt.001.psq"),
                                ("nt.001", "Volume nt.001 failed", "s3://b/nt.001.phr"),
-                               ("nr.000", "tool error", "s3://b/nr.000.pin")], "volume string, error string, uri string")
+                               ("nr.000", "tool error", "s3://b/nr.000.pin"), ("nr.001", "gone", None)],
+                              "volume string, error string, uri string")
     out = write_failed_volumes(f, str(tmp_path / "failed"), "2026-07-17 13:32:27", "ncbi_nt")
     text = "".join(open(os.path.join(out, p)).read() for p in sorted(os.listdir(out)) if p.startswith("part"))
     assert text.splitlines() == [
-        "# Failed volumes for ncbi_nt", "# Generated: 2026-07-17 13:32:27",
-        "volume: nr.000", "  error: tool error", "  s3://b/nr.000.pin",
-        "volume: nt.001", "  error: Volume nt.001 failed", "  s3://b/nt.001.phr", "  s3://b/nt.001.psq"]
+        "# Failed volumes for ncbi_nt", "# Generated at 2026-07-17 13:32:27", "# Total: 3", "",
+        "[volume: nr.000]", "# error: tool error", "s3://b/nr.000.pin", "",
+        "[volume: nr.001]", "# error: gone", "",
+        "[volume: nt.001]", "# error: Volume nt.001 failed", "s3://b/nt.001.phr", "s3://b/nt.001.psq", ""]
 
 
 def test_submission_template_file(spark, tmp_path):

@@ -1,6 +1,7 @@
 """Streams equal their batch twins; re-runs are idempotent; late rows are
 dropped and counted."""
 
+import time
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -111,3 +112,42 @@ def test_stream_retries_state_machine(spark, tmp_path):
     got = sorted(tuple(r) for r in spark.read.parquet(out).select("file_id", "chunk_id", "failures", "status")
                  .collect())
     assert ("f", 0, 4, "fatal") in got and ("f", 1, 1, "done") in got and ("f", 2, 1, "stalled") in got
+
+
+def test_stream_retries_across_batches(spark, tmp_path):
+    """State and deadlines carry over micro-batches: a chunk that goes on within the
+    timeout keeps its failures; one that does not is stalled; the newest are open."""
+    src, t = tmp_path / "src", datetime(2024, 1, 1)
+    schema = "file_id string, chunk_id long, seq long, ok boolean, ts timestamp_ntz"
+    batches = [
+        [("f", 1, 1, False, t), ("f", 2, 1, False, t)],
+        [("f", 1, 2, False, t + timedelta(minutes=1))],
+        [("f", 1, 3, True, t + timedelta(minutes=2)), ("g", 7, 1, False, t + timedelta(hours=9))],
+    ]
+    out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(src))
+        att = spark.readStream.schema(schema).parquet(str(src)).withColumn("event_ts", S.event_time("ts"))
+        S.run_stream(S.stream_retries(att, 3, "1 hour"), out, ck).awaitTermination()
+    got = sorted((r["file_id"], r["chunk_id"], r["failures"], r["status"]) for r in spark.read.parquet(out).collect())
+    assert got == [("f", 1, 2, "done"), ("f", 2, 1, "stalled")]
+
+
+def test_dropped_late_listener_counts_every_update(spark, tmp_path):
+    src = tmp_path / "src"
+    _land(spark, src, _rows(20))
+    out, ck, seen = str(tmp_path / "out"), str(tmp_path / "ck"), S.DroppedLate()
+    spark.streams.addListener(seen)
+    try:
+        agg = S.stream_counts(_events(spark, src), "event_ts", "stage", "1 hour", "10 minutes")
+        S.run_stream(agg, out, ck).awaitTermination()
+        _land(spark, src, [(999, datetime(2023, 12, 1), "R9", "failed", 1)])
+        q = S.run_stream(agg, out, ck)
+        q.awaitTermination()
+        for _ in range(100):  # the listener hears of updates a little later
+            if seen.rows.get(str(q.id)):
+                break
+            time.sleep(0.1)
+        assert seen.rows[str(q.id)] >= 1
+    finally:
+        spark.streams.removeListener(seen)

@@ -123,7 +123,7 @@ def paired_only(df: DataFrame, urls: str = "fastq_ftp") -> DataFrame:
 
 def is_md5_log(name, prefix: str = MD5_LOG_PREFIX) -> Column:
     """the checksum tool's own log files (``<prefix>*.log``)."""
-    n = _c(name)
+    n = F.substring_index(_c(name), "/", -1)  # an entry may lie in a subfolder
     return n.startswith(prefix) & n.endswith(MD5_LOG_SUFFIX)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import _c, stage_percent
 from ..schemas import ACTIVE_STAGES, STAGES
-from .scan import has_hot_key, join_null_safe, ordered_scan
+from .scan import hot_pieces, join_null_safe, ordered_scan
 
 NTZ_EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
@@ -172,7 +172,7 @@ def _sliding_speed_window(samples: DataFrame, feed: str, ts: str, bytes_: str, w
 
 
 def sliding_speed(samples: DataFrame, feed: str = "feed", ts: str = "ts", bytes_: str = "bytes",
-                  window: str = "3 seconds", split: str | bool = "auto") -> DataFrame:
+                  window: str = "3 seconds", split: str | int = "auto") -> DataFrame:
     """Trailing-window throughput of a live byte counter, per feed.
 
     A drop of the counter starts a new epoch (history is cleared).  The
@@ -192,12 +192,12 @@ def sliding_speed(samples: DataFrame, feed: str = "feed", ts: str = "ts", bytes_
     """
     w_us = _interval_micros(window)
     if split == "auto":
-        split = has_hot_key(samples, [feed])
+        split = hot_pieces(samples, [feed])
     if not split:
         return _sliding_speed_window(samples, feed, ts, bytes_, w_us)
     s = samples.withColumn("_us", epoch_micros(ts))
     # scan 1: previous sample and position within the feed
-    s = ordered_scan(s, [feed], ["_us"], lags={"_pb": bytes_, "_pt": "_us"}, row_number="_i", split=True)
+    s = ordered_scan(s, [feed], ["_us"], lags={"_pb": bytes_, "_pt": "_us"}, row_number="_i", split=split)
     s = s.withColumn("_drop", F.when(F.col(bytes_) < F.col("_pb"), 1).otherwise(0).cast("long"))
     # scan 2: samples and probes (ts - window) merged in time order, probes
     # first on ties: a sample's running drop count is its epoch; a probe's
@@ -207,7 +207,7 @@ def sliding_speed(samples: DataFrame, feed: str = "feed", ts: str = "ts", bytes_
     prb = s.select(feed, (F.col("_us") - F.lit(w_us)).alias("_t"), F.lit(0).alias("_k"), F.col("_i").alias("_ref"),
                    F.lit(0).cast("long").alias("_d"))
     merged = ordered_scan(pts.unionByName(prb), [feed], ["_t", "_k", "_ref"],
-                          sums={"_before": F.col("_k").cast("long"), "_epoch": F.col("_d")}, split=True)
+                          sums={"_before": F.col("_k").cast("long"), "_epoch": F.col("_d")}, split=split)
     epochs = merged.where(F.col("_k") == 1).select(feed, F.col("_ref").alias("_i"), "_epoch")
     probes = merged.where(F.col("_k") == 0).select(feed, F.col("_ref").alias("_i"),
                                                    (F.col("_before") + 1).alias("_ff"))
@@ -249,7 +249,7 @@ def stage_transitions(events: DataFrame, run: str = "run_id", stage: str = "stag
     Repeated events of the same stage are not transitions.  (Two hot-run safe
     ordered scans: one finds the changes, one pairs each change with the
     previous one.)"""
-    split = has_hot_key(events, [run])
+    split = hot_pieces(events, [run])
     e = ordered_scan(events.withColumn("_us", epoch_micros(ts)), [run], ["_us", seq], lags={"_ps": stage},
                      split=split)
     chg = e.where(F.col("_ps").isNull() | (F.col("_ps") != F.col(stage)))

@@ -21,11 +21,12 @@ with the key split across tasks:
 The per-(key, piece) table has at most ``n`` rows per key, so nothing grows
 with the size of one key.  Equal (key, order) values never straddle pieces.
 
-``split="auto"`` (default) first measures the largest key with one
-partial-aggregating count (a one-row result): when no key exceeds
-``spark.tidemark.scan.hotKeyRows`` (default 1,000,000) or twice a fair
-share of the rows per task, a plain window is cheaper and is used instead.
-``spark.tidemark.scan.split`` = ``always`` / ``never`` overrides the check.
+``split="auto"`` (default) first counts the rows of every key (partial
+aggregation, a one-row result): when one key has more than
+``spark.tidemark.scan.hotKeyRows`` rows (default 1,000,000) the input is cut
+into pieces of about that many rows each.  Both ways give the same rows, null
+keys and null values included.  ``spark.tidemark.scan.split`` = ``always`` /
+``never`` overrides the count.
 """
 
 from __future__ import annotations
@@ -47,30 +48,31 @@ def _pieces(spark) -> int:
 
 
 HOT_KEY_ROWS = 1_000_000
-_DECISIONS: dict = {}
 
 
-def has_hot_key(df: DataFrame, keys: Sequence[str], n: int | None = None) -> bool:
-    """True when one key holds more rows than one task should sort alone.
+def hot_pieces(df: DataFrame, keys: Sequence[str]) -> int:
+    """Number of pieces to cut the input into, or 0 when no key has more rows
+    than one task should sort alone.
 
-    One partial-aggregating count per key (only the key columns are read).
-    The answer is remembered per (plan, keys, threshold) for the session: it
-    only chooses between two correct plans, so a stale answer can cost time
-    but never change a result."""
+    One partial-aggregating count per key (only the key columns are read),
+    taken anew each time: the limit is absolute, and the pieces follow from the
+    rows counted, not from the session's settings."""
     spark = df.sparkSession
     mode = spark.conf.get("spark.tidemark.scan.split", "auto")
-    if mode in ("always", "never"):
-        return mode == "always"
-    n = n or _pieces(spark)
+    if mode == "never":
+        return 0
     limit = int(spark.conf.get("spark.tidemark.scan.hotKeyRows", str(HOT_KEY_ROWS)))
-    memo = (id(spark), df.semanticHash(), tuple(keys), n, limit)
-    if memo in _DECISIONS:
-        return _DECISIONS[memo]
+    if mode == "always":
+        return _pieces(spark)
     r = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(
         F.max("_n").alias("mx"), F.sum("_n").alias("tot")).first()
     mx, tot = (r["mx"] or 0), (r["tot"] or 0)
-    _DECISIONS[memo] = mx > max(limit, 2 * tot // max(n, 1))
-    return _DECISIONS[memo]
+    return max(_pieces(spark), -(-tot // limit)) if mx > limit else 0
+
+
+def has_hot_key(df: DataFrame, keys: Sequence[str]) -> bool:
+    """True when one key holds more rows than one task should sort alone."""
+    return hot_pieces(df, keys) > 0
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -85,8 +87,8 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 
 
 def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence, sums: dict | None = None,
-                 lags: dict | None = None, row_number: str | None = None, n: int | None = None,
-                 split: str | bool = "auto") -> DataFrame:
+                 lags: dict | None = None, row_number: str | None = None,
+                 split: str | int = "auto") -> DataFrame:
     """Running sums, lags and row numbers per key in ``order``.
 
     ``sums``   {out: Column} inclusive running sum of the expression;
@@ -94,13 +96,14 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence, sums: dict
     ``row_number`` output name for the 1-based position within the key.
     ``order`` items are column names (ascending) -- they must give a total
     order within a key for lags/row numbers to be deterministic.
-    ``split``  True: always split keys into pieces; False: plain window;
-    "auto": split only when :func:`has_hot_key`.
+    ``split``  number of pieces to cut the input into (0: plain window;
+    True: the session's number of partitions); "auto": :func:`hot_pieces`.
+    A running sum is null until the key's first non-null value.
     """
     keys, order = list(keys), list(order)
     sums, lags = dict(sums or {}), dict(lags or {})
     if split == "auto":
-        split = has_hot_key(df, keys, n)
+        split = hot_pieces(df, keys)
     if not split:
         w = Window.partitionBy(*keys).orderBy(*order)
         wr = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -119,7 +122,7 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence, sums: dict
         base = base.withColumn(f"_s_{name}", expr)
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = n or _pieces(spark)
+    n = _pieces(spark) if split is True else int(split)
     r = (base.repartitionByRange(n, *keys, *order).withColumn("_pid", F.spark_partition_id())
          .checkpoint(eager=False))
     w = Window.partitionBy("_pid", *keys).orderBy(*order)
@@ -139,14 +142,14 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence, sums: dict
     w2 = Window.partitionBy(*keys).orderBy("_pid")
     carry = piece
     for name in sums:
-        carry = carry.withColumn(f"_o_{name}", F.coalesce(
-            F.sum(f"_t_{name}").over(w2.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        carry = carry.withColumn(f"_o_{name}", F.sum(f"_t_{name}").over(w2.rowsBetween(Window.unboundedPreceding, -1)))
     if lags:
         carry = carry.withColumn("_prev", F.lag("_last").over(w2))
     carry = carry.select(*keys, "_pid", *[f"_o_{name}" for name in sums], *(["_prev"] if lags else []))
     j = join_null_safe(r, carry, [*keys, "_pid"])
     for name in sums:
-        j = j.withColumn(name, F.col(f"_l_{name}") + F.col(f"_o_{name}"))
+        # null only where neither the carry nor the piece has seen a value yet
+        j = j.withColumn(name, F.coalesce(F.col(f"_l_{name}") + F.col(f"_o_{name}"), f"_l_{name}", f"_o_{name}"))
     for name, col in lags.items():
         j = j.withColumn(name, F.when(F.col("_first"), F.col("_prev")[col]).otherwise(F.col(f"_g_{name}")))
     drop = ["_pid", "_first", "_prev"] + [f"_{p}_{name}" for name in sums for p in ("s", "l", "o")] + \

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.scan import has_hot_key, ordered_scan
+from ..operators.scan import hot_pieces, join_null_safe, ordered_scan
 from ..schemas import BAD_RANGE_RETRY_LIMIT, CHUNK_REQUEUE_BUDGET, INNER_BACKOFF_CAP_S, INNER_RETRY_LIMIT
 
 # Chunks planned per generator row before the plan is split across tasks.
@@ -199,7 +199,7 @@ def backoff_cost(attempts: DataFrame, order: list[str] | None = None) -> DataFra
     order = order or ["seq"]
     keys = ["file_id", "chunk_id"]
     seg = F.when(F.col("progressed"), 1).otherwise(0).cast("long")
-    split = has_hot_key(attempts, keys)
+    split = hot_pieces(attempts, keys)
     staged = ordered_scan(attempts, keys, order, sums={"_seg": seg}, split=split)
     staged = ordered_scan(staged, keys + ["_seg"], order, row_number="k", split=split)
     give_up = ((F.col("kind") == "range") & (F.col("k") > BAD_RANGE_RETRY_LIMIT)) | \
@@ -209,7 +209,7 @@ def backoff_cost(attempts: DataFrame, order: list[str] | None = None) -> DataFra
     if split:
         # first give-up per chunk as a (partial) aggregate joined back
         first = staged.groupBy(*keys).agg(F.min(F.when(give_up, F.col("_pos"))).alias("_gu"))
-        j = staged.join(first, keys)
+        j = join_null_safe(staged, first, keys)
         live = F.col("_gu").isNull() | (F.col("_pos") < F.col("_gu"))
         dead = F.col("_gu").isNotNull()
     else:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..fixtures import table, view, with_views
-from ..operators.checksum import check_integrity, content_md5, manifest_rows, reconcile, verify_manifest, \
-    verify_summary
+from ..operators.checksum import check_integrity, content_md5, file_md5, manifest_rows, reconcile, verify_manifest, \
+    verify_manifest_at, verify_summary
 from ..operators.filters import is_md5_log
 from ..sources.manifest import filter_inventory, parse_manifest_lines
 from . import register
@@ -133,9 +135,12 @@ def q_reconcile(spark, sf):
 
 register("reconcile", with_views("""SELECT coalesce(l.filename, a.filename) AS filename, l.local_md5, a.archive_md5,
   CASE WHEN l.local_md5 IS NULL THEN 'archive_only' WHEN a.archive_md5 IS NULL THEN 'local_only'
+       WHEN l.n > 1 OR a.n > 1 THEN 'conflict'
        WHEN l.local_md5 = a.archive_md5 THEN 'matched' ELSE 'differs' END AS status
-FROM (SELECT filename, min(lower(actual_md5)) AS local_md5 FROM inventory GROUP BY filename) l
-FULL OUTER JOIN (SELECT filename, min(lower(md5)) AS archive_md5 FROM manifest_entries GROUP BY filename) a
+FROM (SELECT filename, min(lower(actual_md5)) AS local_md5, count(DISTINCT lower(actual_md5)) AS n
+  FROM inventory GROUP BY filename) l
+FULL OUTER JOIN (SELECT filename, min(lower(md5)) AS archive_md5, count(DISTINCT lower(md5)) AS n
+  FROM manifest_entries GROUP BY filename) a
   ON l.filename = a.filename""", "inventory", "manifest_entries"))(q_reconcile)
 
 
@@ -149,3 +154,46 @@ register("manifest_generate", with_views(f"""SELECT path, actual_md5 || '  ' ||
 FROM inventory_paths
 WHERE NOT {_LOG.format("regexp_extract(path, '[^/]*$')")} AND path <> '{MANIFEST_PATH}'""",
                                          "inventory_paths"))(q_manifest_generate)
+
+
+# ----------------------------------------------------------------- J1 by path
+# Entries name files below the root: every 7th with a "./", every 11th that is
+# not there, every 5th with another md5; the logs lie in their sources' folders.
+_AT = """at_root AS (SELECT CASE WHEN {id} % 7 = 0 THEN './' ELSE '' END || substr(path, 7)
+    || CASE WHEN {id} % 11 = 0 THEN '.gone' ELSE '' END AS filename,
+  CASE WHEN {id} % 5 = 0 THEN upper(md5(path)) ELSE upper(actual_md5) END AS md5 FROM inventory_paths)"""
+_PATH_ID = "cast(regexp_extract(path, '_([0-9]+)[.]', 1) AS bigint)"
+
+
+def q_manifest_verify_root(spark, sf):
+    view(spark, sf, "inventory_paths").createOrReplaceTempView("inventory_paths")
+    entries = spark.sql("WITH " + _AT.format(id=_PATH_ID) + " SELECT * FROM at_root")
+    return verify_manifest_at(entries, view(spark, sf, "inventory_paths"), "/data/", MANIFEST_PATH)
+
+
+register("manifest_verify_root", with_views(f"""{_AT.format(id=_PATH_ID)}
+SELECT e.filename, '/data/' || replace(e.filename, './', '') AS path, lower(e.md5) AS expected_md5, p.actual_md5,
+  CASE WHEN p.path IS NULL THEN 'MISSING' WHEN p.actual_md5 = lower(e.md5) THEN 'OK' ELSE 'MISMATCH' END AS status
+FROM at_root e LEFT JOIN inventory_paths p ON p.path = '/data/' || replace(e.filename, './', '')
+WHERE NOT {_LOG.format("regexp_extract(e.filename, '[^/]*$')")}
+  AND '/data/' || replace(e.filename, './', '') <> '{MANIFEST_PATH}'""", "inventory_paths"))(q_manifest_verify_root)
+
+
+# ----------------------------------------------------------------- X15 over files
+def q_file_md5(spark, sf):
+    """The documents written as text, one folder per source, then hashed by path:
+    every file once in the JVM and once by streaming reads, which must agree."""
+    from ..session import scratch_path
+    out = scratch_path(spark, f"file-md5-{uuid.uuid4().hex}")
+    docs = table(spark, sf, "documents")
+    (docs.select("source", F.regexp_replace("text", "\n", " ").alias("line")).repartitionByRange("source", "line")
+     .sortWithinPartitions("source", "line").write.partitionBy("source").text(out))
+    inline, streamed = file_md5(spark, out), file_md5(spark, out, 0)
+    both = inline.withColumnRenamed("actual_md5", "inline_md5").join(streamed.drop("length"), "path")
+    source = F.regexp_extract("path", "source=([^/]*)/", 1)
+    return both.groupBy(source.alias("source")).agg(
+        F.sum("length").alias("bytes"), (F.count_if(F.col("inline_md5") != F.col("actual_md5"))).alias("disagree"))
+
+
+register("file_md5", """SELECT source, cast(sum(octet_length(encode(replace(text, chr(10), ' '))) + 1) AS BIGINT) AS bytes,
+  cast(0 AS BIGINT) AS disagree FROM documents GROUP BY source""")(q_file_md5)

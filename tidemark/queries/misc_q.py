@@ -154,7 +154,7 @@ def q_failed_volume_manifest(spark, sf):
     w5 = volume_attempts(view(spark, sf, "volume_outcomes"), max_retries=2,
                          order=("attempt", "p", "q", "x", "outcome"))
     objs = clean_listing(view(spark, sf, "object_listing"), "2026-01/")
-    f = failed_volumes(w5, objs, order_col="batch").where(F.col("uri").isNotNull())
+    f = failed_volumes(w5, objs, order_col="batch")
     lines = failed_volume_lines(f, STAMP, "blast-db")
     return lines.select(F.col("sort_key.volume").alias("volume"), F.col("sort_key.kind").cast("bigint").alias("kind"),
                         "line")
@@ -174,10 +174,13 @@ f AS (SELECT fv.volume, fv.error, 's3://' || o.bucket || '/' || o.key AS uri FRO
         AND NOT (ends_with(key, '/') AND size = 0) AND starts_with(key, '2026-01/')) o
   ON regexp_replace(regexp_extract(o.key, '[^/]*$'), '^(.+)[.][^.]*$', '\\1') = fv.volume)
 SELECT '' AS volume, cast(0 AS BIGINT) AS kind, '# Failed volumes for blast-db' AS line
-UNION ALL SELECT '', 0, '# Generated: {STAMP}'
-UNION ALL SELECT DISTINCT volume, 0, 'volume: ' || volume FROM f
-UNION ALL SELECT DISTINCT volume, 1, '  error: ' || error FROM f
-UNION ALL SELECT volume, 2, '  ' || uri FROM f""", "volume_outcomes", "object_listing"))(q_failed_volume_manifest)
+UNION ALL SELECT '', 1, '# Generated at {STAMP}'
+UNION ALL SELECT '', 2, '# Total: ' || (SELECT cast(count(*) AS VARCHAR) FROM fv)
+UNION ALL SELECT '', 3, ''
+UNION ALL SELECT volume, 0, '[volume: ' || volume || ']' FROM fv
+UNION ALL SELECT volume, 1, '# error: ' || error FROM fv
+UNION ALL SELECT volume, 2, uri FROM f
+UNION ALL SELECT volume, 3, '' FROM fv""", "volume_outcomes", "object_listing"))(q_failed_volume_manifest)
 
 
 # ----------------------------------------------------------------- K7 (write gzip, read back)

@@ -76,7 +76,8 @@ register("stage_percent", with_views(f"SELECT event_id, round({_A7}, 6) AS perce
 def q_overall_percent(spark, sf):
     p = process_runs(view(spark, sf, "run_report"))
     l = _latest(spark, sf).withColumnRenamed("run_id", "run_accession")
-    j = p.join(l, "run_accession")
+    # every run of the report, those without an event yet as pending
+    j = p.join(l, "run_accession", "left").withColumn("stage", F.coalesce("stage", F.lit("pending")))
     ov = overall_percent(stage_percents("stage", "bytes_done", "bytes_total"),
                          progress_weights("fastq_bytes_1", "fastq_bytes_2"), "stage")
     return j.select("run_accession", "stage", F.round(ov, 6).alias("overall_percent"))
@@ -84,10 +85,10 @@ def q_overall_percent(spark, sf):
 
 register("overall_percent", with_views(f"""{processed_cte()},
 {_LATEST_SQL},
-j AS (SELECT p.run_accession, l.stage,
+j AS (SELECT p.run_accession, coalesce(l.stage, 'pending') AS stage,
     CASE WHEN l.bytes_total > 0 THEN least(least(l.bytes_done / l.bytes_total * 100.0, 100.0), 99.0) ELSE 0.0 END AS run,
     cast(p.fastq_bytes_1 AS DOUBLE) + coalesce(cast(p.fastq_bytes_2 AS DOUBLE), 0.0) AS b
-  FROM processed p JOIN latest l ON l.run_id = p.run_accession),
+  FROM processed p LEFT JOIN latest l ON l.run_id = p.run_accession),
 s AS (SELECT run_accession, stage, b,
     CASE WHEN stage IN ('downloading', 'failed') THEN run
          WHEN stage IN ('extracting', 'compressing', 'completed') THEN 100.0 ELSE 0.0 END AS d,

@@ -156,12 +156,19 @@ def q_stream_retries(spark, sf):
     return r.select("file_id", "chunk_id", "failures", "status")
 
 
-register("stream_retries", with_views(f"""a AS (SELECT file_id, chunk_id, ok,
+_ATTEMPTS_SHIP = VIEWS["chunk_attempts"].replace("l_linenumber - 1 AS bigint) AS chunk_id,",
+                                                 "l_linenumber - 1 AS bigint) AS chunk_id, l_shipdate AS ship,")
+
+register("stream_retries", f"""WITH chunk_attempts AS ({_ATTEMPTS_SHIP.strip()}),
+a AS (SELECT file_id, chunk_id, ok, ship,
     row_number() OVER (PARTITION BY file_id, chunk_id ORDER BY {', '.join(ATTEMPT_ORDER)}) AS rn,
     sum(CASE WHEN NOT ok THEN 1 ELSE 0 END) OVER (PARTITION BY file_id, chunk_id
       ORDER BY {', '.join(ATTEMPT_ORDER)} ROWS UNBOUNDED PRECEDING) AS f FROM chunk_attempts),
 t AS (SELECT *, CASE WHEN ok THEN 'done' WHEN f > 3 THEN 'fatal' END AS st FROM a),
 r AS (SELECT file_id, chunk_id, arg_min(st, rn) FILTER (WHERE st IS NOT NULL) AS status,
-    arg_min(f, rn) FILTER (WHERE st IS NOT NULL) AS fs, max(f) AS total_f FROM t GROUP BY file_id, chunk_id)
+    arg_min(f, rn) FILTER (WHERE st IS NOT NULL) AS fs, max(f) AS total_f, max(ship) AS newest FROM t GROUP BY file_id, chunk_id),
+-- an unfinished chunk is stalled only if its newest event + 1 hour lies before the final watermark (newest of all - 1 hour)
+w AS (SELECT max(epoch_ms(cast(ship AS TIMESTAMP))) - 3600000 AS wm FROM a)
 SELECT file_id, chunk_id, cast(CASE WHEN status IS NULL THEN total_f ELSE fs END AS BIGINT) AS failures,
-  coalesce(status, 'stalled') AS status FROM r""", "chunk_attempts"))(q_stream_retries)
+  coalesce(status, 'stalled') AS status FROM r, w
+WHERE status IS NOT NULL OR epoch_ms(cast(newest AS TIMESTAMP)) + 3600000 < wm""")(q_stream_retries)

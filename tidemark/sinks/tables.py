@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.checksum import manifest_line
 from ..functions.columns import basename, file_type, upload_key
 from ..schemas import PROGRESS_MAP, SUBMISSION_COLUMNS
 
@@ -48,26 +49,31 @@ def mate_checksum_rows(processed: DataFrame) -> DataFrame:
 def manifest_lines(files: DataFrame, md5: str = "md5", path: str = "path") -> DataFrame:
     """K3: ``md5<two spaces>basename`` with the full path kept as sort key."""
     return files.select(F.col(path).alias("path"),
-                        F.format_string("%s  %s", F.col(md5), basename(F.col(path))).alias("line"))
+                        manifest_line(F.col(md5), basename(F.col(path))).alias("line"))
 
 
 def failed_volume_lines(failures: DataFrame, stamp: str, database: str) -> DataFrame:
     """K4: the failed-volumes manifest as ordered lines (``sort_key`` orders
-    them).  ``failures`` has one row per (volume, uri) with the error text; the
-    header carries the stamp passed in, so runs are repeatable."""
-    hdr = [f"# Failed volumes for {database}", f"# Generated: {stamp}"]
-    spark = failures.sparkSession
-    header = spark.createDataFrame([(i, "", 0, "", h) for i, h in enumerate(hdr)],
-                                   "h int, volume string, kind int, uri string, line string")
+    them): a header with the total and a blank line, then per volume its name,
+    its error, its uris (none for a volume without objects) and a blank line.
+    ``failures`` has one row per (volume, uri) with the error text; the header
+    carries the stamp passed in, so runs are repeatable."""
+    key = lambda h, v, kind, uri: F.struct(
+        F.lit(h).alias("h"), v.alias("volume"), F.lit(kind).alias("kind"), uri.alias("uri"))
+    none = F.lit("")
     vols = failures.groupBy("volume").agg(F.min("error").alias("error"))
-    name_rows = vols.select(F.lit(len(hdr)).alias("h"), "volume", F.lit(0).alias("kind"), F.lit("").alias("uri"),
-                            F.concat(F.lit("volume: "), F.col("volume")).alias("line"))
-    err_rows = vols.select(F.lit(len(hdr)).alias("h"), "volume", F.lit(1).alias("kind"), F.lit("").alias("uri"),
-                           F.concat(F.lit("  error: "), F.col("error")).alias("line"))
-    uri_rows = failures.select(F.lit(len(hdr)).alias("h"), "volume", F.lit(2).alias("kind"), "uri",
-                               F.concat(F.lit("  "), F.col("uri")).alias("line"))
-    return header.unionByName(name_rows).unionByName(err_rows).unionByName(uri_rows) \
-        .select(F.struct("h", "volume", "kind", "uri").alias("sort_key"), "line")
+    header = vols.agg(F.count(F.lit(1)).alias("n")).select(F.explode(F.array(
+        F.struct(key(0, none, 0, none).alias("sort_key"), F.lit(f"# Failed volumes for {database}").alias("line")),
+        F.struct(key(0, none, 1, none).alias("sort_key"), F.lit(f"# Generated at {stamp}").alias("line")),
+        F.struct(key(0, none, 2, none).alias("sort_key"), F.format_string("# Total: %d", "n").alias("line")),
+        F.struct(key(0, none, 3, none).alias("sort_key"), none.alias("line")))).alias("x")).select("x.*")
+    v = F.col("volume")
+    blocks = vols.select(F.explode(F.array(
+        F.struct(key(1, v, 0, none).alias("sort_key"), F.format_string("[volume: %s]", v).alias("line")),
+        F.struct(key(1, v, 1, none).alias("sort_key"), F.concat(F.lit("# error: "), F.coalesce("error", none)).alias("line")),
+        F.struct(key(1, v, 3, none).alias("sort_key"), none.alias("line")))).alias("x")).select("x.*")
+    uris = failures.where(F.col("uri").isNotNull()).select(key(1, v, 2, F.col("uri")).alias("sort_key"), F.col("uri").alias("line"))
+    return header.unionByName(blocks).unionByName(uris)
 
 
 def submission_rows(files: DataFrame, bucket: str, prefix: str | None, path: str = "path") -> DataFrame:

@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators.progress import epoch_micros
@@ -101,8 +102,8 @@ def stream_retries(attempts: DataFrame, budget: int = CHUNK_REQUEUE_BUDGET, time
     """T5: retry state machine per (file, chunk) with ``applyInPandasWithState``.
 
     Failures are counted; the (budget+1)-th failure emits ``fatal``; a success
-    emits ``done``.  A chunk not updated while the event-time watermark
-    advances by ``timeout`` emits ``stalled`` (if it never finished) and is
+    emits ``done``.  A chunk whose newest event lies more than ``timeout`` before
+    the event-time watermark emits ``stalled`` (if it never finished) and is
     forgotten.  Output mode append.
 
     State is kept per block of :data:`CHUNK_BLOCK` chunks of a file (bounded
@@ -124,16 +125,16 @@ def stream_retries(attempts: DataFrame, budget: int = CHUNK_REQUEUE_BUDGET, time
         if not state.hasTimedOut:
             frames = list(pdfs)
             pdf = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
+            seen = pdf[ts].to_numpy().astype("datetime64[ms]").astype("int64")
             cols = [pdf[c].to_numpy() for c in ["chunk_id"] + order]
             idx = np.lexsort(cols[::-1]) if len(pdf) > 1 else np.arange(len(pdf))
             chunks, oks = cols[0][idx], pdf["ok"].to_numpy()[idx]
-            touched = set()
-            for chunk_id, ok in zip(chunks.tolist(), oks.tolist()):
+            for chunk_id, ok, at in zip(chunks.tolist(), oks.tolist(), seen[idx].tolist()):
                 i = pos.get(chunk_id)
                 if i is None:
                     i = pos[chunk_id] = len(ids)
                     ids.append(chunk_id); fails.append(0); rep.append(False); dl.append(0)
-                touched.add(i)
+                dl[i] = max(dl[i], at + t_ms)  # by the chunk's own newest event, whatever the watermark is by now
                 if rep[i]:
                     continue
                 if ok:
@@ -144,11 +145,9 @@ def stream_retries(attempts: DataFrame, budget: int = CHUNK_REQUEUE_BUDGET, time
                 if fails[i] > budget:
                     rep[i] = True
                     out.append((chunk_id, fails[i], "fatal"))
-            for i in touched:
-                dl[i] = wm + t_ms
         keep = []
         for i in range(len(ids)):
-            if dl[i] < wm or (state.hasTimedOut and dl[i] <= wm):
+            if dl[i] < wm:
                 if not rep[i]:
                     out.append((ids[i], fails[i], "stalled"))
             else:
@@ -191,7 +190,9 @@ def late_policy(events: DataFrame, ts: str = "event_ts", lateness: str = "1 hour
 
 
 def dropped_late(query) -> int:
-    """Rows dropped by the watermark over the query's recent progress."""
+    """Rows dropped by the watermark over the progress updates the query still holds
+    (Spark keeps the last ``spark.sql.streaming.numRecentProgressUpdates``); a
+    :class:`DroppedLate` listener counts them over a query's whole life."""
     n = 0
     for p in query.recentProgress:
         for op in p.stateOperators:
@@ -199,6 +200,27 @@ def dropped_late(query) -> int:
     return n
 
 
+class DroppedLate(StreamingQueryListener):
+    """Counts, per query id, the rows that its watermark dropped, update by
+    update: ``spark.streams.addListener(d := DroppedLate())``, then ``d.rows``."""
+
+    def __init__(self):
+        self.rows: dict[str, int] = {}
+
+    def onQueryStarted(self, event):
+        self.rows.setdefault(str(event.id), 0)
+
+    def onQueryProgress(self, event):
+        n = sum(int(op.numRowsDroppedByWatermark or 0) for op in event.progress.stateOperators)
+        self.rows[str(event.progress.id)] = self.rows.get(str(event.progress.id), 0) + n
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        pass
+
+
 # --------------------------------------------------------------------------- sinks / driver
 def run_stream(df: DataFrame, sink_path: str, checkpoint: str, mode: str = "append",
                available_now: bool = True, processing_time: str | None = None,
