@@ -15,7 +15,7 @@ below 2^63, and in Python integers beyond (then cut to the range of a long).
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,9 +30,12 @@ _BLOCK = "dim int, ids binary, vecs binary"
 _LISTS = "q long, node long, n int, scores binary, ids binary"
 
 
-def floor_scaled(x: Column, factor: float = 256.0) -> Column:
-    """floor(factor * x), x taken as double."""
-    return F.rint(x.cast("double") * factor - F.pmod(x.cast("double") * factor, F.lit(1.0)))
+def floor_scaled(factor: float = 256.0) -> Callable[[Column], Column]:
+    """A quantiser: floor(factor * x), x taken as double; whole numbers of any size stay doubles."""
+    def quantise(x: Column) -> Column:
+        scaled = x.cast("double") * factor
+        return F.rint(scaled - F.pmod(scaled, F.lit(1.0)))
+    return quantise
 
 
 def _pack(rows: int):
@@ -105,7 +108,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id
     """(query_id, rank, id, score): the ``k`` best rows for each query row.
 
     ``queries`` is an expression over the column ``id``.  ``quantise`` maps an
-    element column to an integral double (``floor_scaled()`` by default).  A query
+    element column to an integral double (``floor_scaled()`` if not given).  A query
     never meets rows with its own id.  Vectors that are null, or hold a null or
     non-finite element, and rows with a null id take no part; ties go to the
     smaller id.  Repeated rows are rows: each is a candidate, and a query id that
@@ -116,7 +119,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id
     rows = pick(vectors, id_col, vec_col).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
     unfit = F.exists("vec", lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
     rows = rows.where(F.col("id").isNotNull() & F.col("vec").isNotNull()).where(~unfit)
-    rows = rows.select("id", F.size("vec").alias("dim"), F.transform("vec", quantise or floor_scaled).alias("vec"))
+    rows = rows.select("id", F.size("vec").alias("dim"), F.transform("vec", quantise or floor_scaled()).alias("vec"))
     shards = rows.mapInArrow(_pack(SHARD_ROWS), _BLOCK).withColumn("node", F.monotonically_increasing_id())
     shards = stored(shards, "topk-shards")
     # Query rows come together first, so that their blocks are full.
