@@ -28,7 +28,7 @@ def law(rows, shards=8):
         assert sorted(r["slot"] for r in own) == list(range(len(own)))
 
 
-def test_query(spark):
+def test_query(spark, con):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     got = queries.QUERIES["op8_hilbert_shards"](spark, SMALL).collect()
     assert len(got) == len(docs)
@@ -36,6 +36,7 @@ def test_query(spark):
         text = (docs[r["doc_id"]] or "").encode()
         assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(text) + 1, zlib.crc32(text), "bytes", None)
     law(got)
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, con.execute(queries.ORACLE["op8_hilbert_shards"]).fetchall()))
     order = sorted(got, key=lambda r: (r["shard"], r["slot"]))
     assert [(r["hilbert"], r["doc_id"]) for r in order] == sorted((r["hilbert"], r["doc_id"]) for r in got)
 

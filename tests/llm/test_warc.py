@@ -41,9 +41,10 @@ def archive(spark, tmp_path_factory):
     return path
 
 
-def test_query_matches_brute_force(spark):
+def test_query_matches_brute_force_and_sql(spark, con):
     rows = [(r["page_id"], r["html"]) for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()]
-    assert found(queries.QUERIES["op7_warc_bundles"](spark, SMALL)) == expected(rows)
+    got = found(queries.QUERIES["op7_warc_bundles"](spark, SMALL))
+    assert got == expected(rows) == sorted(con.execute(queries.ORACLE["op7_warc_bundles"]).fetchall())
 
 
 def test_round_trip_and_revisits(spark, archive):

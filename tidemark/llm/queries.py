@@ -88,7 +88,34 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-@_query("op8_hilbert_shards")
+# CRC-32 by its table, ranks as cells, the curve by a recursion over bits and axes, cuts by running bytes.
+@_query("op8_hilbert_shards", sql="""
+WITH RECURSIVE crc_steps AS (SELECT i AS n, i AS v, 0 AS k FROM range(256) r(i)
+  UNION ALL SELECT n, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM crc_steps WHERE k < 8),
+crc AS (SELECT list(v ORDER BY n) AS t FROM crc_steps WHERE k = 8),
+d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, lang, source, n_chars, hex(encode(coalesce(text, ''))) AS x, row_number() OVER () AS id FROM documents),
+c AS (SELECT d.* EXCLUDE (x), xor(list_reduce(list_concat([4294967295], list_transform(range(size - 1), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))),
+    lambda a, b: xor(a >> 8, crc.t[1 + (xor(a, b) & 255)])), 4294967295) AS text_crc32 FROM d, crc),
+q AS (SELECT *, (rank() OVER (ORDER BY lang NULLS LAST) - 1) * 32 // count(*) OVER () AS x, (rank() OVER (ORDER BY source NULLS LAST) - 1) * 32 // count(*) OVER () AS y,
+    (rank() OVER (ORDER BY n_chars NULLS LAST) - 1) * 32 // count(*) OVER () AS z FROM c),
+-- the curve: from the top bit down, each axis in turn reflects the first or changes places with it
+h AS (SELECT DISTINCT x, y, z, x AS a, y AS b, z AS c, 16 AS bit, 0 AS axis FROM q
+  UNION ALL SELECT x, y, z,
+    CASE WHEN (CASE axis WHEN 0 THEN a WHEN 1 THEN b ELSE c END) & bit <> 0 THEN xor(a, bit - 1)
+         WHEN axis = 0 THEN a ELSE xor(a, xor(a, CASE axis WHEN 1 THEN b ELSE c END) & (bit - 1)) END,
+    CASE WHEN axis = 1 AND b & bit = 0 THEN xor(b, xor(a, b) & (bit - 1)) ELSE b END,
+    CASE WHEN axis = 2 AND c & bit = 0 THEN xor(c, xor(a, c) & (bit - 1)) ELSE c END,
+    CASE WHEN axis = 2 THEN bit // 2 ELSE bit END, (axis + 1) % 3 FROM h WHERE bit > 1),
+g AS (SELECT x, y, z, a, xor(a, b) AS b, xor(xor(a, b), c) AS c FROM h WHERE bit = 1),
+f AS (SELECT *, xor(xor(CASE WHEN c & 16 <> 0 THEN 15 ELSE 0 END, CASE WHEN c & 8 <> 0 THEN 7 ELSE 0 END),
+    xor(CASE WHEN c & 4 <> 0 THEN 3 ELSE 0 END, CASE WHEN c & 2 <> 0 THEN 1 ELSE 0 END)) AS t FROM g),
+k AS (SELECT x, y, z, CAST(list_sum(list_transform(range(5), lambda i: ((xor(a, t) >> i) & 1) * (1 << (3 * i + 2)) + ((xor(b, t) >> i) & 1) * (1 << (3 * i + 1))
+    + ((xor(c, t) >> i) & 1) * (1 << (3 * i)))) AS BIGINT) AS hilbert FROM f),
+o AS (SELECT q.*, hilbert, sum(size) OVER w AS upto, sum(size) OVER () AS total, row_number() OVER w - 1 AS pos FROM q JOIN k USING (x, y, z)
+  WINDOW w AS (ORDER BY hilbert, doc_id NULLS LAST, text_crc32, size, id ROWS UNBOUNDED PRECEDING)),
+r AS (SELECT *, CAST(least((2 * (upto - size) + size) * 8 // (2 * total), 7) AS INTEGER) AS shard FROM o)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, shard,
+  CAST(pos - min(pos) OVER (PARTITION BY shard) AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, hilbert FROM r""")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = hilbert.shard_table(read(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
@@ -115,12 +142,18 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_digest(pii.find_personal_data(read(spark, sf_dir, "documents")), pii.KINDS)
 
 
-@_query("op7_warc_bundles")
+@_query("op7_warc_bundles", sql="""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages WHERE page_id IS NOT NULL),
+s AS (SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha1(h) AS x, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+  list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+    (CAST('0x' || substr(x, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS INTEGER), 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first < page_id THEN first END AS refers_to FROM s""")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, f"llm/warc-{uuid.uuid4().hex}")
     warc.write_archive(read(spark, sf_dir, "pages"), path)
-    return warc.index_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to",
-                                                  "frame", "frame_start", "frame_bytes", "record_start", "record_bytes")
+    return warc.index_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 @_query("op9_benchmark_leaks")
