@@ -79,3 +79,21 @@ def test_capacity_plan(spark):
     df = runs(spark, [("R1", "", "a;b", "m;n", "10;20"), ("R2", "", "c", "m", "5")])
     r = capacity_plan(process_runs(df)).first()
     assert r["runs"] == 2 and int(r["planned_bytes"]) == 35 and r["expanded_bytes"] == 105.0
+
+
+def test_regex_dialects(spark):
+    for good in (r"\p{L}+", r"\x{41}", "a+?", "[a-z&&[^b]]", "(?i)liver", r"a\+\+"):
+        assert check_regex(good) == good
+    for bad in ("a++", "a*+", "x{2}+", "(?>a)", r"\Qa\E", "(?<=a)b", r"(?<n>a)\k<n>", "[unclosed"):
+        with pytest.raises(PatternError):
+            check_regex(bad)
+    for good in ("liver(?=x)", r"(a)\1", "(?<!x)y"):
+        assert check_regex(good, "preview") == good
+    for bad in ("a++", "(?i)x", "(unclosed"):
+        with pytest.raises(PatternError):
+            check_regex(bad, "preview")
+    df = spark.createDataFrame([("LIVERx", "R1"), ("liver", "R2"), ("abba", "R3")], "sample_title string, run_accession string")
+    kept = lambda **spec: [r["run_accession"] for r in df.where(preview_keep(**spec)).collect()]
+    assert kept(filter_sample="liver(?=x)") == ["R1"]
+    assert kept(filter_sample=r"(b)\1, zz") == ["R3"] and kept(filter_sample=r"zz, (b)\1") == ["R3"]
+    assert kept(filter_sample="(?i)liver") == ["R1", "R2", "R3"]  # not valid there: every row stays

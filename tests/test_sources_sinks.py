@@ -227,3 +227,53 @@ def test_submission_template_file(spark, tmp_path):
     assert back.columns == SUBMISSION_COLUMNS
     got = sorted((r["filename"], r["filetype"], r["s3_path"]) for r in back.collect())
     assert got == [("a.fq.gz", "fastq", "s3://bkt/runs/a.fq.gz"), ("c.vcf", "vcf", "s3://bkt/runs/c.vcf")]
+
+
+def test_report_round_trip_with_newlines_and_a_long_quoted_field(spark, tmp_path, capsys):
+    from tidemark.sinks.writers import write_run_report
+    titles = {"R1": "two\nlines and a\ttab", "R2": 'say "hi"', "R3": "#not a comment", "R4": "x\t" * 500_000 + "end", "R5": "\n# inside\n"}
+    runs = spark.createDataFrame([(k, v) for k, v in titles.items()], "run_accession string, sample_title string")
+    path = write_run_report(runs, str(tmp_path / "out"), accession="PRJ1")
+    back = read_run_report(spark, path)
+    assert {r["run_accession"]: r["sample_title"] for r in back.select("run_accession", "sample_title").collect()} == titles
+    back.explain()
+    assert "Exchange" not in capsys.readouterr().out
+
+
+def test_ragged_report_fails(spark, tmp_path):
+    p = tmp_path / "bad.tsv"
+    p.write_text("run_accession\tsample_title\nR1\tok\nR2\n")
+    with pytest.raises(Exception, match="ragged row at line 3"):
+        read_run_report(spark, str(p)).collect()
+
+
+def test_catalog_match_joins_on_bucket_and_prefix(spark, capsys):
+    cat = spark.createDataFrame([("a", "s3://b/x/", None, None), (None, "s3://b/x/y", None, None), ("c", "s3://b/", "*.md5", None),
+                                 ("d", "s3://other/x/", None, None)], "name string, s3_url string, exclude string, include string")
+    lst = spark.createDataFrame([("b", k, 5, None) for k in ("x/y1", "x/z", "w.md5", "w")], "bucket string, key string, size long, etag string")
+    want = sorted([("a", "x/y1"), ("a", "x/z"), ("None", "x/y1"), ("c", "x/y1"), ("c", "x/z"), ("c", "w")])
+    for literal in (256, 0):
+        got = match_catalog(cat, lst, max_literal_entries=literal)
+        assert sorted((str(r["name"]), r["key"]) for r in got.collect()) == want
+    got.explain()
+    plan = capsys.readouterr().out
+    assert "_cut" in plan and "StartsWith(key" not in plan
+
+
+def test_decisions_do_not_fan_out_on_repeated_names(spark):
+    from tidemark.operators.checksum import check_integrity
+    from tidemark.plans.resume import ftp_decision, locate_runs, resume_decision
+    from tidemark.sources.listing import lookup_objects
+    remote = spark.createDataFrame([("f", 5, "m")], "file_id string, size long, md5 string")
+    local = spark.createDataFrame([("f", 3, "x"), ("f", 5, "m")], "file_id string, local_size long, local_md5 string")
+    state = spark.createDataFrame([("f", 0), ("f", 1)], "file_id string, chunk_id long")
+    assert [r["decision"] for r in resume_decision(remote, local, state).collect()] == ["RESUME"]
+    assert [r["valid"] for r in check_integrity(remote, local).collect()] == [True]
+    tasks = spark.createDataFrame([("n", 5, "m")], "filename string, total_size long, md5 string")
+    assert [r["decision"] for r in ftp_decision(tasks, local.withColumnRenamed("file_id", "filename").withColumn("filename", F.lit("n"))).collect()] == ["SKIP"]
+    runs = spark.createDataFrame([("R",), ("S",)], "run_id string")
+    loc = spark.createDataFrame([("R", "s3://a"), ("R", "s3://b")], "run_id string, s3_uri string")
+    assert sorted((r["run_id"], r["s3_uri"]) for r in locate_runs(runs, loc).collect()) == [("R", "s3://b"), ("S", None)]
+    lst = spark.createDataFrame([("b", "k", None, None), ("b", "k", 4, None)], "bucket string, key string, size long, etag string")
+    req = spark.createDataFrame([("b", "k"), ("b", "gone"), ("b", "dir/")], "bucket string, key string")
+    assert sorted((r["key"], r["status"]) for r in lookup_objects(lst, req).collect()) == [("dir/", "bad key"), ("gone", "missing"), ("k", "found")]

@@ -40,7 +40,8 @@ def match_catalog(catalog: DataFrame, listing: DataFrame, max_broadcast_rows: in
                   max_literal_entries: int = 256) -> DataFrame:
     """Objects of each catalogue entry.
 
-    Equi-join on bucket with the residual ``key startswith prefix``; the
+    Equi-join on (bucket, prefix): an object's key is cut at each length that a
+    prefix of its bucket's entries has, so only true matches are paired; the
     listing clean-up (no key / no size / directory markers dropped) and the
     entry's own exclude/include wildcards are applied per row.  For a
     catalogue of up to ``max_literal_entries`` entries the wildcards become
@@ -54,7 +55,11 @@ def match_catalog(catalog: DataFrame, listing: DataFrame, max_broadcast_rows: in
     cat = F.broadcast(cat) if len(entries) <= max_literal_entries else bounded_broadcast(cat, max_broadcast_rows)
     lst = listing.where(F.col("key").isNotNull() & F.col("size").isNotNull()
                         & ~(F.col("key").endswith("/") & (F.col("size") == 0)))
-    j = lst.join(cat, (lst["bucket"] == cat["cat_bucket"]) & lst["key"].startswith(cat["cat_prefix"]))
+    # at most as many lengths as an object key has characters
+    lengths = sorted(r[0] for r in cat.select(F.length("cat_prefix")).distinct().collect() if r[0] is not None)
+    cuts = F.array(*[F.when(F.length("key") >= n, F.substring("key", 1, n)) for n in lengths]) if lengths else F.array().cast("array<string>")
+    lst = lst.withColumn("_cut", F.explode(F.filter(cuts, lambda c: c.isNotNull())))
+    j = lst.join(cat, (lst["bucket"] == cat["cat_bucket"]) & (lst["_cut"] == cat["cat_prefix"])).drop("_cut")
     rel = F.expr("substring(key, length(cat_prefix) + 1)")
     j = j.withColumn("rel_key", rel)
     names_unique = len({e["name"] for e in entries}) == len(entries)
@@ -62,26 +67,27 @@ def match_catalog(catalog: DataFrame, listing: DataFrame, max_broadcast_rows: in
         keep = None
         for e in entries:
             k = wildcard_keep("rel_key", e["exclude"], e["include"])
-            keep = F.when(F.col("name") == e["name"], k) if keep is None else keep.when(F.col("name") == e["name"], k)
+            keep = F.when(F.col("name").eqNullSafe(e["name"]), k) if keep is None else keep.when(F.col("name").eqNullSafe(e["name"]), k)
         keep = F.coalesce(keep, F.lit(False)) if keep is not None else F.lit(False)
     else:
         keep = wildcard_keep("rel_key", F.col("exclude"), F.col("include"))
     return j.where(keep).select("name", "bucket", "key", "rel_key", "size", etag_md5("etag").alias("md5"))
 
 
-def lookup_catalog(catalog: DataFrame, requests: DataFrame, name: str = "name") -> DataFrame:
-    """Resolve requested names; an unknown name gets an error listing the
-    known names in sorted order (the list is built from the small catalogue)."""
-    cat = bounded_broadcast(catalog.select(F.col("name").alias(name), "s3_url", "database_type"))
-    known = catalog.agg(F.array_join(F.sort_array(F.collect_set("name")), ", ").alias("_known")) \
-        .withColumn("_one", F.lit(1))
-    # `known` is exactly one row: a broadcast hash join on a constant key
-    # attaches it without shuffling the requests.
-    j = (requests.join(cat, name, "left").withColumn("_one", F.lit(1))
-         .join(F.broadcast(known), "_one", "left").drop("_one"))
+def lookup_catalog(catalog: DataFrame, requests: DataFrame, name: str = "name",
+                   max_listed: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Resolve requested names (an entry listed twice resolves to the one with
+    the smallest url); an unknown name gets an error listing the known names in
+    sorted order, or, beyond ``max_listed`` entries, only their number."""
+    cat = bounded_broadcast(catalog.groupBy(F.col("name").alias(name)).agg(F.min(F.struct("s3_url", "database_type")).alias("_e"))
+                            .select(name, "_e.s3_url", "_e.database_type"))
+    known = catalog.select("name").where(F.col("name").isNotNull()).distinct()
+    names = [r[0] for r in known.limit(max_listed + 1).collect()]  # bounded: configuration
+    available = ", ".join(sorted(names)) if len(names) <= max_listed else f"{known.count()} databases"
+    j = requests.join(cat, name, "left")
     err = F.when(F.col("s3_url").isNull(),
-                 F.concat(F.lit("Unknown database '"), F.col(name), F.lit("'. Available: "), F.col("_known")))
-    return j.withColumn("found", F.col("s3_url").isNotNull()).withColumn("error", err).drop("_known")
+                 F.concat(F.lit("Unknown database '"), F.col(name), F.lit(f"'. Available: {available}")))
+    return j.withColumn("found", F.col("s3_url").isNotNull()).withColumn("error", err)
 
 
 def volume_objects(objects: DataFrame, key: str = "key") -> DataFrame:

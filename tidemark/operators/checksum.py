@@ -9,13 +9,18 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import basename
 from .filters import drop_artifacts
 
+# The file reader runs in Spark's Python workers, which need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 READ_BLOCK = 1 << 20  # 1 MiB reads for large files
 
 
@@ -121,7 +126,9 @@ def verify_summary(verified: DataFrame) -> DataFrame:
 def check_integrity(remote: DataFrame, local: DataFrame) -> DataFrame:
     """md5 known -> compare md5 as given (upper case fails); unknown ->
     size only.  A missing local file is invalid."""
-    j = remote.join(local, "file_id", "left")
+    others = [c for c in local.columns if c != "file_id"]
+    one = local.groupBy("file_id").agg(F.max(F.struct(*others)).alias("_l")).select("file_id", *[F.col(f"_l.{c}").alias(c) for c in others])
+    j = remote.join(one, "file_id", "left")
     by_md5 = F.col("md5").isNotNull()
     valid = (F.when(F.col("local_size").isNull(), F.lit(False))
              .when(by_md5, F.coalesce(F.col("local_md5") == F.col("md5"), F.lit(False)))

@@ -9,31 +9,48 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import _c, is_paired
 from ..schemas import DEFAULT_MANIFEST_NAME, MD5_LOG_PREFIX, MD5_LOG_SUFFIX
 
-# Constructs Java accepts but the archive tool's regex dialect rejects
-# (look-around, back-references).  Rejecting them keeps the meaning equal.
-_UNSUPPORTED = re.compile(r"\(\?<?[=!]|\\[1-9]|\\k<")
+# Constructs that Java accepts but whose meaning differs in a dialect, or that
+# it does not have.  Rejecting them keeps the meaning equal.
+_POSSESSIVE = r"(?<!\\)(?:[*+?]|\{[0-9]+(?:,[0-9]*)?\})\+|\(\?>"
+_JAVA_ONLY = r"\\[QEGZRXhH]"
+_DIFFERS = {
+    # the archive tool: no look-around, no back-references
+    "tool": re.compile(r"\(\?<?[=!]|\\[1-9]|\\k<|" + _POSSESSIVE + "|" + _JAVA_ONLY),
+    # the preview: look-around and back-references as in Java, no inline flags
+    "preview": re.compile(_POSSESSIVE + r"|\(\?[a-zA-Z-]+[:)]|" + _JAVA_ONLY),
+}
+_BACK_REFERENCE = re.compile(r"\\[1-9]|\\k<")
 
 
 class PatternError(ValueError):
     pass
 
 
-def check_regex(pattern: str) -> str:
-    """Driver-side check of a user regex: syntax, and no look-around or
-    back-references (the archive tool's dialect has neither)."""
-    if _UNSUPPORTED.search(pattern):
-        raise PatternError(f"unsupported regex construct (look-around/back-reference): {pattern!r}")
+def check_regex(pattern: str, dialect: str = "tool") -> str:
+    """Driver-side check of a user regex: syntax by the JVM's own compiler (which
+    will run it), and none of the constructs that mean something else in the
+    dialect the pattern was written for."""
+    if m := _DIFFERS[dialect].search(pattern):
+        raise PatternError(f"unsupported regex construct {m.group()!r}: {pattern!r}")
+    context = SparkContext._active_spark_context
     try:
-        re.compile(pattern)
-    except re.error as e:  # syntax check on the driver
-        raise PatternError(f"invalid regex {pattern!r}: {e}") from None
+        if context is None:
+            re.compile(pattern)
+        else:
+            context._jvm.java.util.regex.Pattern.compile(pattern)
+    except (re.error, Py4JJavaError, IllegalArgumentException) as e:
+        raise PatternError(f"invalid regex {pattern!r}: {str(e).splitlines()[0]}") from None
     return pattern
 
 
@@ -44,23 +61,23 @@ def _any_match(col: Column, patterns: Sequence[str], flags: str = "(?U)") -> Col
     patterns = list(patterns)
     if not patterns:
         return F.lit(False)
-    if len(patterns) == 1:
-        return col.rlike(flags + patterns[0])
+    if len(patterns) == 1 or any(_BACK_REFERENCE.search(p) for p in patterns):  # references count groups of their own pattern
+        return reduce(Column.__or__, [col.rlike(flags + p) for p in patterns])
     return col.rlike(flags + "|".join(f"(?:{p})" for p in patterns))
 
 
 def regex_keep(sample_title="sample_title", run_accession="run_accession",
                include_sample: Iterable[str] = (), include_run: Iterable[str] = (),
                exclude_sample: Iterable[str] = (), exclude_run: Iterable[str] = (),
-               case_insensitive: bool = False) -> Column:
+               case_insensitive: bool = False, dialect: str = "tool") -> Column:
     """F1 predicate: non-empty include lists must match; any exclude match drops.
 
     Unanchored, case-sensitive by default; a null title counts as ``''``.
     """
-    inc_s = [check_regex(p) for p in include_sample]
-    inc_r = [check_regex(p) for p in include_run]
-    exc_s = [check_regex(p) for p in exclude_sample]
-    exc_r = [check_regex(p) for p in exclude_run]
+    inc_s = [check_regex(p, dialect) for p in include_sample]
+    inc_r = [check_regex(p, dialect) for p in include_run]
+    exc_s = [check_regex(p, dialect) for p in exclude_sample]
+    exc_r = [check_regex(p, dialect) for p in exclude_run]
     flags = "(?U)(?i)" if case_insensitive else "(?U)"
     s = F.coalesce(_c(sample_title), F.lit(""))
     r = F.coalesce(_c(run_accession), F.lit(""))
@@ -104,10 +121,10 @@ def preview_keep(filter_sample: str = "", filter_run: str = "", exclude_sample:
     try:
         for group in specs:
             for p in group:
-                check_regex(p)
+                check_regex(p, "preview")
     except PatternError:
         return F.lit(True)
-    return regex_keep("sample_title", "run_accession", *specs, case_insensitive=True)
+    return regex_keep("sample_title", "run_accession", *specs, case_insensitive=True, dialect="preview")
 
 
 def selected_counts(df: DataFrame, predicate: Column) -> DataFrame:

@@ -100,7 +100,7 @@ def resume_decision(remote: DataFrame, local: DataFrame, state: DataFrame) -> Da
     RESUME when sizes match and chunk state exists.  ``stale_state`` flags chunk
     state without a data file (those chunks would be skipped wrongly)."""
     has_state = state.groupBy("file_id").agg(F.count(F.lit(1)).alias("_n_state"))
-    loc = local.select("file_id", F.col("local_size").cast("long").alias("local_size"))
+    loc = local.groupBy("file_id").agg(F.max(F.col("local_size").cast("long")).alias("local_size"))
     j = (remote.select("file_id", F.col("size").cast("long").alias("size"))
          .join(loc, "file_id", "left").join(has_state, "file_id", "left"))
     st = F.col("_n_state").isNotNull()
@@ -117,7 +117,9 @@ def ftp_decision(tasks: DataFrame, local: DataFrame) -> DataFrame:
     MISMATCH when the size is equal but the md5 differs (a continued fetch adds
     nothing and then fails the check); RESUME when a non-empty partial file
     exists; NEW otherwise."""
-    loc = local.select("filename", F.col("local_size").cast("long").alias("local_size"), "local_md5")
+    # several copies of one name: the largest is the one that a fetch would go on with
+    loc = (local.groupBy("filename").agg(F.max(F.struct(F.col("local_size").cast("long").alias("local_size"), "local_md5")).alias("_l"))
+           .select("filename", "_l.local_size", "_l.local_md5"))
     j = tasks.join(loc, "filename", "left")
     size_eq = (F.col("local_size") == F.col("total_size").cast("long")) & (F.col("total_size") > 0)
     # the expected md5 is compared as given: an upper-case archive md5 fails
@@ -132,7 +134,10 @@ def ftp_decision(tasks: DataFrame, local: DataFrame) -> DataFrame:
 def locate_runs(runs: DataFrame, locators: DataFrame, run: str = "run_id") -> DataFrame:
     """Attach the locator of each run; runs without one fail with
     ``No S3 URI``."""
-    j = runs.join(locators, run, "left")
+    others = [c for c in locators.columns if c != run]
+    # a run located twice keeps one locator, so that its row is not doubled
+    one = locators.groupBy(run).agg(F.max(F.struct(*others)).alias("_l")).select(run, *[F.col(f"_l.{c}").alias(c) for c in others])
+    j = runs.join(one, run, "left")
     return (j.withColumn("status", F.when(F.col("s3_uri").isNull(), F.lit("failed")).otherwise(F.lit("located")))
              .withColumn("error", F.when(F.col("s3_uri").isNull(), F.concat(F.lit("No S3 URI for "), F.col(run)))))
 

@@ -24,6 +24,7 @@ def write_run_report(df: DataFrame, out_dir: str, accession: str | None = None,
     (normalize_report(df).write.mode(mode)
      .option("sep", "\t").option("header", True).option("emptyValue", "").option("nullValue", "")
      .option("quote", '"').option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
      .csv(path))
     if accession:
         spark = df.sparkSession
@@ -44,6 +45,7 @@ def write_run_reports(df: DataFrame, out_dir: str, accession: str = "accession",
      .partitionBy(accession)
      .option("sep", "\t").option("header", True).option("emptyValue", "").option("nullValue", "")
      .option("quote", '"').option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
      .csv(out_dir))
     return out_dir
 

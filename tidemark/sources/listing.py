@@ -69,7 +69,10 @@ def lookup_objects(listing: DataFrame, requests: DataFrame) -> DataFrame:
     """S4 for many requests at once: semi-join of the listing on (bucket, key)
     with per-request status (``found``, ``no size``, ``missing``, ``bad key``)."""
     bad_key = (F.col("key") == "") | F.col("key").endswith("/")
-    found = listing.select("bucket", "key", "size", etag_md5("etag").alias("md5"), F.lit(True).alias("_hit"))
+    # a listing taken twice has an object twice: one row each, the one with a size first
+    found = (listing.join(requests.select("bucket", "key").distinct(), ["bucket", "key"], "left_semi")
+             .groupBy("bucket", "key").agg(F.max(F.struct("size", etag_md5("etag").alias("md5"))).alias("_o"))
+             .select("bucket", "key", "_o.size", "_o.md5", F.lit(True).alias("_hit")))
     j = requests.join(found, ["bucket", "key"], "left")
     status = (F.when(bad_key, F.lit("bad key"))
               .when(F.col("_hit").isNull(), F.lit("missing"))

@@ -8,12 +8,21 @@ archive tool defaults to ``''`` get that default.
 
 from __future__ import annotations
 
+import csv
+import io
+import sys
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import fail_if
 from ..operators.runs import normalize_report, union_reports
 
+# The parser runs in Spark's Python workers, which need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _tsv(spark: SparkSession, path: str, recursive: bool = False, multiline: bool = False):
     r = (spark.read.option("sep", "\t").option("header", True).option("comment", "#")
@@ -29,10 +38,58 @@ def read_run_report(spark: SparkSession, path: str, recursive: bool = False) ->
 
     Every file is mapped by its own header (Spark's CSV reader would map the
     later files of a directory by position), ``#`` lines are skipped, fields
-    may be quoted (tabs and doubled quotes inside quotes)."""
-    from .text import read_numbered_lines
-    parsed = parse_tsv_by_header(read_numbered_lines(spark, path, line_sep="\n", recursive=recursive))
-    return _report_columns(parsed)
+    may be quoted (tabs, newlines and doubled quotes inside quotes)."""
+    return _report_columns(read_tsv_by_header(spark, path, recursive=recursive))
+
+
+def _records(text: str) -> Iterator[tuple[int, list[str]]]:
+    """(line number, fields) of the records of one file; lines that start with
+    ``#`` outside quotes are skipped, as are blank ones."""
+    at, open_quote = [0], False
+
+    def lines():
+        nonlocal open_quote
+        for line in io.StringIO(text, newline=""):
+            at[0] += 1
+            if not open_quote and (line.startswith("#") or not line.strip("\r\n")):
+                continue
+            open_quote ^= line.count('"') % 2 == 1
+            yield line
+
+    csv.field_size_limit(1 << 30)
+    for fields in csv.reader(lines(), delimiter="\t", quotechar='"', doublequote=True, strict=True):
+        yield at[0], fields
+
+
+def _parse_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("file", pa.string()), ("line_no", pa.int64()), ("row", pa.map_(pa.string(), pa.string()))])
+    for batch in batches:
+        for name, content in zip(batch.column("path"), batch.column("content")):
+            records = _records(content.as_py().decode("utf-8"))
+            _, header = next(records, (0, []))
+            out = []
+            for line_no, fields in records:
+                if len(fields) != len(header):
+                    raise ValueError(f"ragged row at line {line_no} of {name.as_py()}")
+                out.append((name.as_py(), line_no, [(k, v or None) for k, v in zip(header, fields)]))
+                if len(out) == 5000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+
+
+def read_tsv_by_header(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+    """(file, line_no, row): the records of many TSV files, each mapped to the
+    names in its own header; ``line_no`` is the record's last line.
+
+    A file whose quotes may hold newlines cannot be split, so each file is read by
+    one task, which has its header at hand: nothing is joined or shuffled.  Ragged
+    rows fail the job, as they do in the archive tool."""
+    r = spark.read.format("binaryFile")
+    if recursive:
+        r = r.option("recursiveFileLookup", "true")
+    return r.load(path).select("path", "content").mapInArrow(_parse_files, "file string, line_no long, row map<string,string>")
 
 
 def read_run_report_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
@@ -52,46 +109,12 @@ def _report_columns(parsed: DataFrame, extra: dict | None = None) -> DataFrame:
     return parsed.select(*cols)
 
 
-# A tab outside double quotes (an even number of quotes follows it).
-_SPLIT = r'\t(?=(?:[^"]*"[^"]*")*[^"]*$)'
-
-
-def parse_tsv_by_header(lines: DataFrame) -> DataFrame:
-    """Parse TSV lines of many files whose headers may differ.
-
-    ``lines`` is (file, line_no, value) as produced by the numbered-lines
-    source.  Each file's header is its first non-``#`` line (a
-    partial-aggregating ``min_by`` per file); data lines are split on tabs
-    outside quotes, unquoted, and mapped to the header names of their file,
-    so one distributed pass handles any mix of column sets.  Ragged rows
-    fail the job, as they do in the archive tool.
-    """
-    body = lines.where(~F.col("value").startswith("#") & (F.col("value") != ""))
-    headers = body.groupBy("file").agg(F.min_by("value", "line_no").alias("_hdr"),
-                                        F.min("line_no").alias("_hdr_no"))
-    headers = headers.select("file", "_hdr_no", F.split("_hdr", _SPLIT).alias("_names"))
-    # one row per file: AQE broadcasts it at runtime when it is small
-    data = body.join(headers, "file").where(F.col("line_no") > F.col("_hdr_no"))
-    # lines without quotes split on plain tabs; only quoted lines need the
-    # quote-aware pattern
-    raw = F.when(F.col("value").contains('"'), F.split("value", _SPLIT)).otherwise(F.split("value", "\t"))
-    fields = F.transform(raw, lambda x: F.when(
-        x.startswith('"') & x.endswith('"') & (F.length(x) >= 2),
-        F.regexp_replace(x.substr(F.lit(2), F.length(x) - 2), '""', '"')).otherwise(x))
-    data = data.withColumn("_fields", fields)
-    ragged = F.size("_fields") != F.size("_names")
-    data = fail_if(data, ragged, F.format_string("ragged row at line %d of %s", F.col("line_no"), F.col("file")))
-    m = F.map_from_arrays("_names", F.transform("_fields", lambda x: F.nullif(x, F.lit(""))))
-    return data.select("file", "line_no", m.alias("row"))
-
-
 def read_accession_reports(spark: SparkSession, root: str, pattern: str = r"([^/]+)_metadata/[^/]*$") -> DataFrame:
     """A landing directory with one report per accession; the accession
     is taken from the path (``<acc>_metadata/...`` by default).  Reports may
     carry different column sets; each row is mapped by its own file's header.
     """
-    from .text import read_numbered_lines
-    parsed = parse_tsv_by_header(read_numbered_lines(spark, root, line_sep="\n", recursive=True))
+    parsed = read_tsv_by_header(spark, root, recursive=True)
     acc = F.regexp_extract(F.col("file"), pattern, 1)
     return _report_columns(parsed, {"accession": F.nullif(acc, F.lit(""))})
 
