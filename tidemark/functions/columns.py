@@ -289,6 +289,15 @@ def header_stamp(ts) -> Column:
     return F.date_format(_c(ts), "yyyy-MM-dd HH:mm:ss")
 
 
+def output_paths(accession) -> Column:
+    """Where the files of an accession go below the output folder, as a struct:
+    the report's folder and name, and the checksum lists of both mates."""
+    a = _c(accession)
+    return F.struct(F.concat(a, F.lit("_metadata")).alias("folder"), F.concat(F.lit("ena_metadata_"), a, F.lit(".tsv")).alias("report"),
+                    F.concat(F.lit("R1_fastq_md5_"), a, F.lit(".tsv")).alias("mate_1"),
+                    F.concat(F.lit("R2_fastq_md5_"), a, F.lit(".tsv")).alias("mate_2"))
+
+
 def avg_speed_mb_s(bytes_, seconds) -> Column:
     """MiB per second; elapsed time floored at 1 ms."""
     return (_c(bytes_).cast("double") / F.lit(1024.0 * 1024.0)) / F.greatest(

@@ -229,3 +229,17 @@ def backoff_cost(attempts: DataFrame, order: list[str] | None = None) -> DataFra
         F.coalesce(F.sum(F.when(live, backoff_sleep(F.col("kind"), F.col("k")))), F.lit(0)).cast("long")
         .alias("sleep_s"),
         F.max(dead).alias("gave_up")))
+
+
+# --------------------------------------------------------------------------- G3
+def explode_progress(df: DataFrame, json_col: str = "json") -> DataFrame:
+    """A progress map (one JSON object keyed by run) -> one row per run."""
+    from ..sources.state import parse_progress
+    return parse_progress(df, json_col)
+
+
+def explode_uris(failures: DataFrame, uris: str = "uris") -> DataFrame:
+    """One row per uri of each failure, its place in the list kept; a failure
+    without uris keeps one row with a null uri."""
+    others = [c for c in failures.columns if c != uris]
+    return failures.select(*others, F.posexplode_outer(uris).alias("pos", "uri"))

@@ -3,15 +3,21 @@ X7, X13."""
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..fixtures import view, with_views
-from ..functions.columns import resolve_url_pair, target_name
+from ..functions.columns import file_stamp, header_stamp, output_paths, resolve_url_pair, target_name
+from ..operators.progress import sort_by_path
 from ..operators.runs import process_runs
-from ..plans.resume import (backoff_cost, chunk_plan, chunk_retries, file_tasks, ftp_decision, has_fastq,
+from ..plans.resume import (backoff_cost, chunk_plan, chunk_retries, explode_uris, file_tasks, ftp_decision, has_fastq,
                             locate_runs, pending_chunks, resume_bytes, resume_decision)
+from ..session import scratch_path
 from ..sources.locators import extract_locators
 from ..sources.state import parse_chunk_state
+from ..sources.text import read_numbered_lines
 from . import register
 from .duck import processed_cte
 
@@ -237,3 +243,53 @@ SELECT file_id, chunk_id, cast(count(*) AS BIGINT) AS failures,
     AS BIGINT) AS sleep_s,
   max(dead) = 1 AS gave_up
 FROM d GROUP BY file_id, chunk_id""", "chunk_attempts"))(q_backoff_cost)
+
+
+# ----------------------------------------------------------------- G3
+def q_explode_uris(spark, sf):
+    u = view(spark, sf, "run_report").select("run_accession", F.when(F.col("fastq_ftp") != "", F.split("fastq_ftp", ";")).alias("uris"))
+    return explode_uris(u).select("run_accession", F.col("pos").cast("bigint").alias("pos"), "uri")
+
+
+register("explode_uris", with_views("""u AS (SELECT run_accession, CASE WHEN fastq_ftp <> '' THEN string_split(fastq_ftp, ';') END AS uris
+  FROM run_report)
+SELECT run_accession, cast(i AS BIGINT) AS pos, uris[i + 1] AS uri
+FROM (SELECT run_accession, uris, unnest(range(len(uris))) AS i FROM u)
+UNION ALL SELECT run_accession, NULL, NULL FROM u WHERE uris IS NULL""", "run_report"))(q_explode_uris)
+
+
+# ----------------------------------------------------------------- X16, X19
+def q_output_paths(spark, sf):
+    r = view(spark, sf, "run_report").select("run_accession", output_paths("study_accession").alias("p"))
+    return r.select("run_accession", "p.*")
+
+
+register("output_paths", with_views("""SELECT run_accession, study_accession || '_metadata' AS folder,
+  'ena_metadata_' || study_accession || '.tsv' AS report, 'R1_fastq_md5_' || study_accession || '.tsv' AS mate_1,
+  'R2_fastq_md5_' || study_accession || '.tsv' AS mate_2 FROM run_report""", "run_report"))(q_output_paths)
+
+
+def q_clock_stamps(spark, sf):
+    e = view(spark, sf, "transfer_events")
+    return e.select("event_id", file_stamp("ts").alias("file_stamp"), header_stamp("ts").alias("header_stamp"))
+
+
+register("clock_stamps", with_views("""SELECT event_id, strftime(ts, '%Y-%m-%d_%H-%M-%S') AS file_stamp,
+  strftime(ts, '%Y-%m-%d %H:%M:%S') AS header_stamp FROM transfer_events""", "transfer_events"))(q_clock_stamps)
+
+
+# ----------------------------------------------------------------- O1
+def q_sort_by_path(spark, sf):
+    """The sorted paths written in order and read back with their file order: each
+    path with the number of paths before it."""
+    out = scratch_path(spark, f"sorted_{uuid.uuid4().hex}")
+    sort_by_path(view(spark, sf, "inventory_paths").select("path")).write.text(out)
+    lines = read_numbered_lines(spark, out)
+    sizes = lines.groupBy("file").agg(F.max("line_no").alias("n"))
+    # part files are in order of their names; one row per part
+    before = sizes.select("file", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("b"))
+    return lines.join(before, "file").select(F.col("value").alias("path"), (F.col("b") + F.col("line_no")).cast("bigint").alias("pos"))
+
+
+register("sort_by_path", with_views("""SELECT path, cast(row_number() OVER (ORDER BY path) AS BIGINT) AS pos
+FROM inventory_paths""", "inventory_paths"))(q_sort_by_path)

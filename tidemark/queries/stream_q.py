@@ -16,7 +16,7 @@ from ..fixtures import table as table_scan
 from ..operators.progress import status_counts
 from ..session import scratch_path
 from ..streaming.streams import (event_time, read_updates, run_stream, stream_counts, stream_dedupe, stream_latest,
-                                 stream_retries, stream_sessions, stream_speed)
+                                 ingest_incremental, stream_retries, stream_sessions, stream_source, stream_speed)
 from . import register
 
 ATTEMPT_ORDER = ["p", "q", "n", "x", "dsc", "tx", "ok", "kind", "progressed"]
@@ -40,6 +40,20 @@ def _file_stream(spark, sf, table, schema):
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf)
 
 
+def _landed_view(spark, sf, table: str, view: str, name: str, batches: int = 3):
+    """Streaming version of a fixture view over files that landed one after
+    another: the table is written in ``batches`` parts and read a file per
+    micro-batch, so that state has to carry over from batch to batch."""
+    register_tables(spark, sf, [table] + (["orders"] if table == "events" else []))
+    rows, src = table_scan(spark, sf, table), scratch_path(spark, f"landed_{name}_{uuid.uuid4().hex}")
+    part = F.pmod(F.xxhash64(*rows.columns), F.lit(batches))
+    for b in range(batches):
+        rows.where(part == b).coalesce(1).write.mode("append").parquet(src)
+    stream_source(spark, src, rows.schema, max_files_per_trigger=1).createOrReplaceTempView(f"{table}_landed_{name}")
+    df = spark.sql(VIEWS[view].replace(f"FROM {table}", f"FROM {table}_landed_{name}"))
+    return df.withColumn("event_ts", event_time("ts"))
+
+
 def _run(df, out, ck, mode):
     """Run to completion with one state partition per core."""
     par = df.sparkSession.sparkContext.defaultParallelism
@@ -53,7 +67,7 @@ def _paths(spark, name):
 
 # ----------------------------------------------------------------- T1 (+ A2)
 def q_stream_status_counts(spark, sf):
-    ev = _stream_view(spark, sf, "events", "transfer_events", "t1").drop("event_ts")
+    ev = _landed_view(spark, sf, "events", "transfer_events", "t1").drop("event_ts")
     out, ck = _paths(spark, "t1")
     _run(stream_latest(ev), out, ck, "update")
     latest = read_updates(spark, out, ["run_id"])
@@ -74,7 +88,7 @@ FROM c, t""", "transfer_events", "run_report"))(q_stream_status_counts)
 
 # ----------------------------------------------------------------- T3
 def q_stream_window_counts(spark, sf):
-    ev = _stream_view(spark, sf, "events", "transfer_events", "t3")
+    ev = _landed_view(spark, sf, "events", "transfer_events", "t3")
     out, ck = _paths(spark, "t3")
     _run(stream_counts(ev, "event_ts", "stage", "1 day", "1 hour"), out, ck, "complete")
     r = spark.read.parquet(out)
@@ -172,3 +186,23 @@ w AS (SELECT max(epoch_ms(cast(ship AS TIMESTAMP))) - 3600000 AS wm FROM a)
 SELECT file_id, chunk_id, cast(CASE WHEN status IS NULL THEN total_f ELSE fs END AS BIGINT) AS failures,
   coalesce(status, 'stalled') AS status FROM r, w
 WHERE status IS NOT NULL OR epoch_ms(cast(newest AS TIMESTAMP)) + 3600000 < wm""")(q_stream_retries)
+
+
+# ----------------------------------------------------------------- T7
+def q_stream_ingest(spark, sf):
+    """Listings that land in two deliveries, the second with newer etags for some
+    keys, and a third run that finds nothing new; the table is the newest row per key."""
+    src, dst, ck = (scratch_path(spark, f"ingest_{uuid.uuid4().hex}/{d}") for d in ("src", "dst", "ck"))
+    rows = view(spark, sf, "object_listing").where(F.col("key").isNotNull()).select("bucket", "key", "size", "etag")
+    keyed = rows.groupBy("bucket", "key").agg(F.max("size").alias("size"), F.max("etag").alias("etag"))
+    for delivery in (keyed, keyed.where(F.length("key") % 2 == 0).withColumn("etag", F.concat(F.lit("new-"), F.coalesce("etag", F.lit(""))))):
+        delivery.coalesce(1).write.mode("append").parquet(src)
+        ingest_incremental(spark, src, dst, ck, keyed.schema)
+    ingest_incremental(spark, src, dst, ck, keyed.schema)
+    return read_updates(spark, dst, ["bucket", "key"]).select("bucket", "key", "size", "etag")
+
+
+register("stream_ingest", with_views("""k AS (SELECT bucket, key, max(size) AS size, max(etag) AS etag FROM object_listing
+  WHERE key IS NOT NULL GROUP BY bucket, key)
+SELECT bucket, key, size, CASE WHEN length(key) % 2 = 0 THEN 'new-' || coalesce(etag, '') ELSE etag END AS etag FROM k""",
+                                     "object_listing"))(q_stream_ingest)
