@@ -151,3 +151,18 @@ def test_dropped_late_listener_counts_every_update(spark, tmp_path):
         assert seen.rows[str(q.id)] >= 1
     finally:
         spark.streams.removeListener(seen)
+
+
+def test_windows_and_sessions_equal_batch_after_a_flush(spark, tmp_path):
+    """The streams emit what the watermark has closed; an event far ahead closes all the rest."""
+    src, rows = tmp_path / "src", _rows(120)
+    _land(spark, src, rows)
+    _land(spark, src, [(999, rows[-1][1] + timedelta(days=30), "flush", "failed", 0)])
+    for name, make, cols in (("w", lambda e: S.stream_speed(e, window="1 hour", slide="30 minutes", lateness="1 hour"),
+                              ["window_start", "run_id", "samples", "bytes_per_s"]),
+                             ("s", lambda e: S.stream_sessions(e, gap="30 minutes"), ["run_id", "session_start", "session_end", "events", "max_bytes"])):
+        out, ck = str(tmp_path / f"out-{name}"), str(tmp_path / f"ck-{name}")
+        S.run_stream(make(_events(spark, src)), out, ck).awaitTermination()
+        batch = make(spark.read.parquet(str(src)).where("run_id <> 'flush'").withColumn("event_ts", S.event_time("ts")))
+        got = sorted(tuple(r) for r in spark.read.parquet(out).where("run_id <> 'flush'").select(*cols).collect())
+        assert got == sorted(tuple(r) for r in batch.select(*cols).collect()) and got

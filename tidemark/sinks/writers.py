@@ -39,9 +39,9 @@ def write_run_reports(df: DataFrame, out_dir: str, accession: str = "accession",
     back with ``read_accession_reports(spark, out, pattern=ACCESSION_DIR)``."""
     # range partition on (accession, run): balanced writer tasks even when one
     # accession holds most runs, while each accession still lands in few files
-    n = max(1, df.sparkSession.sparkContext.defaultParallelism)
+    # (no number is given: adaptive execution sizes the tasks by the data)
     (normalize_report(df, extra={accession: F.col(accession)})
-     .repartitionByRange(n, accession, "run_accession").write.mode(mode)
+     .repartitionByRange(accession, "run_accession").write.mode(mode)
      .partitionBy(accession)
      .option("sep", "\t").option("header", True).option("emptyValue", "").option("nullValue", "")
      .option("quote", '"').option("escape", '"')
@@ -112,8 +112,7 @@ def write_gzip_text(lines: DataFrame, out_dir: str, file_col: str = "file", line
     order, so reading the directory restores the file.  Missing or empty files
     simply have no rows.  Sources are never deleted.
     """
-    n = max(1, lines.sparkSession.sparkContext.defaultParallelism)
-    (lines.repartitionByRange(n, file_col, line_no).sortWithinPartitions(file_col, line_no)
+    (lines.repartitionByRange(file_col, line_no).sortWithinPartitions(file_col, line_no)
      .select(F.col(file_col).alias("file"), F.col(text).alias("value"))
      .write.mode(mode).partitionBy("file").option("compression", "gzip").text(out_dir))
     return out_dir
