@@ -57,3 +57,14 @@ def test_run_equals_stages(spark):
     got = pipeline.run(spark, SMALL)
     assert {"doc_id", "text", "shard", "slot"} <= set(got.columns) and got.count() > 0
     assert got.groupBy("shard", "slot").count().where("count > 1").isEmpty()
+
+
+def test_stages_take_odd_and_empty_tables(spark, odd_docs, no_docs):
+    extra = odd_docs.withColumns({"ID": F.lit(1), "fp": F.lit(2), "size": F.lit(3), "Shard": F.lit(4), "mix_u": F.lit(0.5)}).select("*", F.lit("x").alias("DOC_ID"))
+    for docs in (odd_docs, extra, no_docs):
+        for i, (name, stage) in enumerate(pipeline.STAGES):
+            out = stage(spark, docs, SMALL)
+            rows = out.collect()
+            assert i == len(pipeline.STAGES) - 1 or out.columns == docs.columns, name
+            want = {"toxicity": 11, "simhash_near_dedup": 4, "decontamination": 11, "mixing": len(rows), "sharding": 11}[name]
+            assert len(rows) == (want if docs is not no_docs else 0), name

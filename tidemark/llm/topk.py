@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, pick, stored
 
-QUERY_ROWS, SHARD_ROWS, FAN, DEALS = 1024, 2048, 8, 64
+QUERY_ROWS, SHARD_ROWS, FAN = 1024, 2048, 8
 _BLOCK = "dim int, ids binary, vecs binary"
 _LISTS = "q long, node long, n int, scores binary, ids binary"
 
@@ -127,8 +127,9 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id
     asks = asks.repartition(max(1, math.ceil(asks.count() / QUERY_ROWS / 4))).mapInArrow(_pack(QUERY_ROWS), _BLOCK)
     asks = stored(asks.withColumn("q", F.monotonically_increasing_id()), "topk-queries")
     n_shards = shards.count()
-    # A copy of each query block goes to every deal of shards; the pairs of a deal are its tiles.
-    deals = max(1, min(n_shards, DEALS))
+    # A copy of each query block goes to every deal of shards; the pairs of a deal are its tiles.  A few
+    # deals for each core keep all of them busy; more would only copy the queries more often.
+    deals = max(1, min(n_shards, 4 * spark.sparkContext.defaultParallelism))
     asked = asks.select("dim", "q", F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"),
                         F.explode(F.sequence(F.lit(0), F.lit(deals - 1))).alias("deal"))
     pairs = (shards.withColumn("deal", F.pmod(F.xxhash64("node"), F.lit(deals)).cast("int")).join(asked, ["dim", "deal"])
