@@ -40,13 +40,18 @@ def _file_stream(spark, sf, table, schema):
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf)
 
 
-def _landed_view(spark, sf, table: str, view: str, name: str, batches: int = 3):
+def _landed_view(spark, sf, table: str, view: str, name: str, batches: int = 3, by_time: str | None = None):
     """Streaming version of a fixture view over files that landed one after
     another: the table is written in ``batches`` parts and read a file per
-    micro-batch, so that state has to carry over from batch to batch."""
+    micro-batch, so that state has to carry over from batch to batch.  With
+    ``by_time`` the parts follow each other in that column, so none is late."""
     register_tables(spark, sf, [table] + (["orders"] if table == "events" else []))
     rows, src = table_scan(spark, sf, table), scratch_path(spark, f"landed_{name}_{uuid.uuid4().hex}")
     part = F.pmod(F.xxhash64(*rows.columns), F.lit(batches))
+    if by_time:
+        us = F.unix_micros(F.col(by_time).cast("timestamp"))
+        lo, hi = rows.agg(F.min(us), F.max(us)).first()
+        part = F.least(F.floor((us - lo) * batches / max(1, hi - lo)), F.lit(batches - 1))
     for b in range(batches):
         rows.where(part == b).coalesce(1).write.mode("append").parquet(src)
     stream_source(spark, src, rows.schema, max_files_per_trigger=1).createOrReplaceTempView(f"{table}_landed_{name}")
@@ -88,10 +93,11 @@ FROM c, t""", "transfer_events", "run_report"))(q_stream_status_counts)
 
 # ----------------------------------------------------------------- T3
 def q_stream_window_counts(spark, sf):
-    ev = _landed_view(spark, sf, "events", "transfer_events", "t3")
+    # update mode: each batch writes only the windows it changed, and the watermark drops old ones from the state
+    ev = _landed_view(spark, sf, "events", "transfer_events", "t3", by_time="ts")
     out, ck = _paths(spark, "t3")
-    _run(stream_counts(ev, "event_ts", "stage", "1 day", "1 hour"), out, ck, "complete")
-    r = spark.read.parquet(out)
+    _run(stream_counts(ev, "event_ts", "stage", "1 day", "1 hour"), out, ck, "update")
+    r = read_updates(spark, out, ["window_start", "stage"])
     return r.select(F.unix_micros("window_start").alias("window_start_us"), "stage", F.col("n").cast("bigint").alias("n"))
 
 
@@ -101,7 +107,7 @@ register("stream_window_counts", with_views("""SELECT epoch_us(date_trunc('day',
 
 # ----------------------------------------------------------------- T2
 def q_stream_speed(spark, sf):
-    ev = _stream_view(spark, sf, "events", "transfer_events", "t2")
+    ev = _landed_view(spark, sf, "events", "transfer_events", "t2", by_time="ts")
     out, ck = _paths(spark, "t2")
     _run(stream_speed(ev, "event_ts", "run_id", "bytes_done", "6 hours", "1 hour", "1 hour"), out, ck, "append")
     r = spark.read.parquet(out)
@@ -120,7 +126,7 @@ FROM w, m WHERE ws + 21600000000 <= wm GROUP BY ws, run_id""", "transfer_events"
 
 # ----------------------------------------------------------------- T4
 def q_stream_sessions(spark, sf):
-    ev = _stream_view(spark, sf, "events", "transfer_events", "t4")
+    ev = _landed_view(spark, sf, "events", "transfer_events", "t4", by_time="ts")
     out, ck = _paths(spark, "t4")
     _run(stream_sessions(ev, "event_ts", "run_id", "6 hours", "1 hour"), out, ck, "append")
     r = spark.read.parquet(out)

@@ -64,26 +64,9 @@ STAGE_CAP_PERCENT = 99.0          # running stages never show 100 before they en
 # Struct types
 # ---------------------------------------------------------------------------
 
-RUN_REPORT_SCHEMA = T.StructType(
-    [T.StructField(c, T.StringType(), c != "run_accession") for c in RUN_REPORT_COLUMNS]
-)
-
 U64 = T.DecimalType(20, 0)
 U64_MAX = 18446744073709551615
 
-PROCESSED_RUN_SCHEMA = T.StructType([
-    T.StructField("run_accession", T.StringType(), False),
-    T.StructField("fastq_ftp_1_url", T.StringType(), False),
-    T.StructField("fastq_ftp_2_url", T.StringType(), True),
-    T.StructField("fastq_ftp_1_name", T.StringType(), False),
-    T.StructField("fastq_ftp_2_name", T.StringType(), True),
-    T.StructField("fastq_md5_1", T.StringType(), False),
-    T.StructField("fastq_md5_2", T.StringType(), True),
-    T.StructField("fastq_bytes_1", U64, False),
-    T.StructField("fastq_bytes_2", U64, True),
-    T.StructField("sample_title", T.StringType(), True),
-])
-
 STAGE_PROGRESS = T.StructType([
     T.StructField("bytes_done", T.LongType()),
     T.StructField("bytes_total", T.LongType()),
@@ -102,8 +85,6 @@ RUN_PROGRESS = T.StructType([
 
 PROGRESS_MAP = T.MapType(T.StringType(), RUN_PROGRESS)
 
-CHUNK_STATE = T.StructType([T.StructField("downloaded_chunks", T.ArrayType(T.LongType()))])
-
 VALIDATE_CONFIG = T.StructType([
     T.StructField("enabled", T.BooleanType()),
     T.StructField("tool", T.StringType()),
@@ -138,8 +119,3 @@ EVENT_SCHEMA = T.StructType([
     T.StructField("error", T.StringType()),
 ])
 
-
-def stage_ordinal_sql(col: str) -> str:
-    """SQL CASE giving the position of a stage in :data:`STAGES`."""
-    parts = " ".join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(STAGES))
-    return f"CASE {col} {parts} END"

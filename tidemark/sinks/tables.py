@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.checksum import manifest_line
 from ..functions.columns import basename, file_type, upload_key
 from ..schemas import PROGRESS_MAP, SUBMISSION_COLUMNS
 
@@ -46,12 +45,6 @@ def mate_checksum_rows(processed: DataFrame) -> DataFrame:
         .select("t.mate", "t.md5", "t.filename", "sample_title"))
 
 
-def manifest_lines(files: DataFrame, md5: str = "md5", path: str = "path") -> DataFrame:
-    """K3: ``md5<two spaces>basename`` with the full path kept as sort key."""
-    return files.select(F.col(path).alias("path"),
-                        manifest_line(F.col(md5), basename(F.col(path))).alias("line"))
-
-
 def failed_volume_lines(failures: DataFrame, stamp: str, database: str) -> DataFrame:
     """K4: the failed-volumes manifest as ordered lines (``sort_key`` orders
     them): a header with the total and a blank line, then per volume its name,

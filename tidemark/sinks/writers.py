@@ -7,8 +7,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import basename
+from ..operators.checksum import manifest_line
 from ..operators.runs import normalize_report
-from .tables import encrypt_json, failed_volume_lines, manifest_lines, mate_checksum_rows, progress_json, \
+from .tables import encrypt_json, failed_volume_lines, mate_checksum_rows, progress_json, \
     random_nonce, submission_rows
 
 
@@ -69,7 +71,8 @@ def write_mate_checksums(processed: DataFrame, out_dir: str, accession: str, mod
 def write_manifest(files: DataFrame, out_path: str, md5: str = "md5", path: str = "path",
                    mode: str = "overwrite") -> str:
     """K3: md5sum-style manifest ordered by full path (global range sort)."""
-    manifest_lines(files, md5, path).orderBy("path").select("line").write.mode(mode).text(out_path)
+    named = files.select(F.col(path).alias("path"), manifest_line(F.col(md5), basename(F.col(path))).alias("line"))
+    named.orderBy("path").select("line").write.mode(mode).text(out_path)
     return out_path
 
 
