@@ -13,7 +13,7 @@ from ..session import scratch_path
 # Rows above which a lookup table is joined by a shuffle instead of a broadcast.
 BROADCAST_ROWS = 100_000
 # Bytes of one Arrow batch handed to Python: long texts travel in smaller batches.
-ARROW_BATCH_BYTES = 16 << 20
+ARROW_BATCH_BYTES = 4 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 

@@ -36,7 +36,7 @@ from .common import bounded_batches, numbered, pick
 
 Q, ERROR, PIECE, SPARE = 8, 0.08, 120, 12
 BLOCK_CHARS = 4_000_000
-CHUNK, GAP = 1 << 20, 64
+CHUNK, GAP = 1 << 18, 64
 _TABLE_BITS = 22
 _WORDLIKE: list[np.ndarray] = []
 

@@ -357,7 +357,7 @@ def trimmed(text: str, kind: str, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
-_BATCH_CHARS = 1 << 20
+_BATCH_CHARS = 1 << 18
 _SPANS = "array<struct<kind:string,start:long,end:long>>"
 
 

@@ -30,7 +30,7 @@ from .common import bounded_batches, numbered, pick
 
 ORDERS = (3, 4, 5, 6)
 HASH_BITS = 20
-MAX_POSITIVE, MAX_NEGATIVE = 2000, 3000
+MAX_POSITIVE, MAX_NEGATIVE = 1000, 2000
 EPOCHS, BATCH, RATE, L2, MIN_ROWS = 10, 64, 0.3, 1e-4, 2
 _SPACE = re.compile(r"\s+")
 
