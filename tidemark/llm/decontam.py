@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, numbered, pick
 
-Q, ERROR, PIECE, SPARE = 8, 0.08, 120, 12
+Q, ERROR, PIECE, SPARE = 8, 0.1, 120, 12
 BLOCK_CHARS = 4_000_000
 CHUNK, GAP = 1 << 18, 64
 _TABLE_BITS = 22
