@@ -39,22 +39,24 @@ def chunk_plan(files: DataFrame, chunk_bytes: int, file_id: str = "file_id",
     """Inclusive byte ranges ``[i*c, min((i+1)*c-1, size-1)]`` for
     ``i < ceil(size/c)``; size 0 or null gives no chunk.
 
-    A huge file is first cut into blocks of :data:`CHUNKS_PER_BLOCK` chunks and
-    the block rows are spread over tasks before the chunks are generated, so
-    one file never produces all of its rows in a single task.
+    A file of one block (:data:`CHUNKS_PER_BLOCK` chunks) gives its rows where
+    it is.  A larger one is first cut into blocks and the block rows are spread
+    over tasks before the chunks are generated, so one file never produces all of
+    its rows in a single task.
     """
     c = int(chunk_bytes)
     if c <= 0:
         raise ValueError("chunk_bytes must be positive")
-    staged = files.select(F.col(file_id).alias("file_id"), F.col(size).cast("long").alias("size"))
-    n = F.expr(f"CASE WHEN size > 0 THEN (size - 1) div {c} + 1 END")
-    nb = F.expr(f"CASE WHEN size > 0 THEN ((size - 1) div {c}) div {CHUNKS_PER_BLOCK} + 1 END")
-    blocks = (staged.select("file_id", "size", n.alias("_n"),
-                            F.explode(F.sequence(F.lit(0).cast("long"), nb - 1)).alias("_b"))
-              .repartition("file_id", "_b"))
+    staged = files.select(F.col(file_id).alias("file_id"), F.col(size).cast("long").alias("size")).where("size > 0")
+    staged = staged.withColumn("_n", F.expr(f"(size - 1) div {c} + 1"))
+    one = F.col("_n") <= CHUNKS_PER_BLOCK
+    zero = F.lit(0).cast("long")
+    small = staged.where(one).select("file_id", "size", F.explode(F.sequence(zero, F.col("_n") - 1)).alias("chunk_id"))
+    nb = F.expr(f"(_n - 1) div {CHUNKS_PER_BLOCK}")
+    blocks = staged.where(~one).select("file_id", "size", "_n", F.explode(F.sequence(zero, nb)).alias("_b")).repartition("file_id", "_b")
     lo = F.col("_b") * F.lit(CHUNKS_PER_BLOCK)
     hi = F.least(lo + F.lit(CHUNKS_PER_BLOCK), F.col("_n")) - 1
-    chunks = blocks.select("file_id", "size", F.explode(F.sequence(lo, hi)).alias("chunk_id"))
+    chunks = small.unionByName(blocks.select("file_id", "size", F.explode(F.sequence(lo, hi)).alias("chunk_id")))
     return chunks.select(
         "file_id", "chunk_id",
         (F.col("chunk_id") * F.lit(c)).alias("start"),
