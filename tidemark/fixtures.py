@@ -252,7 +252,10 @@ TABLE_KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_c
 def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     """Hash-repartition a scan on its key when it has fewer input splits than
     the session's parallelism (e.g. a file with one row group).  At scale the
-    scan already has thousands of splits and this is a no-op."""
+    scan already has thousands of splits and this is a no-op.  The setting
+    ``spark.tidemark.spread`` = ``never`` leaves scans as they are."""
+    if df.sparkSession.conf.get("spark.tidemark.spread", "auto") == "never":
+        return df
     par = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= par:
         return df
@@ -263,7 +266,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Parquet scan of one driver table, spread over the cores when the file
     has too few splits (the DataFrame is reused, so the footer is read and the
     split count checked once per session)."""
-    key = (id(spark), sf_dir, name)
+    key = (id(spark), sf_dir, name, spark.conf.get("spark.tidemark.spread", "auto"))
     hit = _SCANS.get(key)
     if hit is None or hit[0] is not spark:  # ids can be reused by a new session
         hit = _SCANS[key] = (spark, spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"), TABLE_KEYS.get(name)))
@@ -273,10 +276,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def register_tables(spark: SparkSession, sf_dir: str, names=None) -> None:
     """Register driver tables as temp views (all, or just ``names``)."""
     for t in names or TABLES:
-        reg = _REGISTERED.get((id(spark), t))
-        if reg is None or reg[0] is not spark or reg[1] != sf_dir or not spark.catalog.tableExists(t):
+        reg, what = _REGISTERED.get((id(spark), t)), (sf_dir, spark.conf.get("spark.tidemark.spread", "auto"))
+        if reg is None or reg[0] is not spark or reg[1] != what or not spark.catalog.tableExists(t):
             table(spark, sf_dir, t).createOrReplaceTempView(t)
-            _REGISTERED[(id(spark), t)] = (spark, sf_dir)
+            _REGISTERED[(id(spark), t)] = (spark, what)
 
 
 def tables_of(sql: str) -> list[str]:
