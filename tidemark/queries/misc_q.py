@@ -7,10 +7,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..fixtures import table, view, with_views
+from ..fixtures import register_tables, table, view, with_views
 from ..functions.columns import basename, file_type, upload_key
 from ..operators.catalog import failed_volumes, volume_attempts
-from ..operators.filters import upload_candidates
+from ..operators.filters import lint_catalog, region_warning, upload_candidates
 from ..operators.upload import submission_template
 from ..schemas import SUBMISSION_COLUMNS
 from ..session import scratch_path
@@ -197,3 +197,28 @@ def q_gzip_roundtrip(spark, sf):
 register("gzip_roundtrip", """SELECT source AS file, cast(count(*) AS BIGINT) AS lines,
   cast(sum(length(l)) AS BIGINT) AS chars
 FROM (SELECT source, unnest(string_split(text, chr(10))) AS l FROM documents) t GROUP BY source""")(q_gzip_roundtrip)
+
+
+# ----------------------------------------------------------------- F10
+_ENTRIES = """entries AS (SELECT 'db_' || cast(p_partkey AS string) AS name,
+  CASE p_partkey % 5 WHEN 0 THEN 'https://host/x' WHEN 1 THEN 's3://bucket' WHEN 2 THEN 's3://bucket/dir/' ELSE ' s3://bucket/dir/f ' END AS s3_url,
+  CASE p_partkey % 3 WHEN 0 THEN 'file' WHEN 1 THEN 'folder' ELSE 'table' END AS database_type,
+  p_partkey % 2 = 0 AS enabled, CASE p_partkey % 7 WHEN 0 THEN 'blastdbcmd' WHEN 1 THEN 'other' END AS tool,
+  CASE p_partkey % 4 WHEN 0 THEN 'us-east-1' WHEN 1 THEN 'eu-west-1' END AS region FROM part)"""
+
+
+def q_catalog_lint(spark, sf):
+    register_tables(spark, sf, ["part"])
+    e = spark.sql(f"WITH {_ENTRIES} SELECT * FROM entries").withColumn("validate", F.struct("enabled", "tool"))
+    return lint_catalog(e).select("name", F.array_join("issues", "; ").alias("issues"), region_warning("region").alias("warning"))
+
+
+register("catalog_lint", f"""WITH {_ENTRIES}
+SELECT name, concat_ws('; ',
+    CASE WHEN NOT starts_with(trim(s3_url), 's3://') THEN 's3_url must start with s3://' END,
+    CASE WHEN database_type = 'file' AND (regexp_extract(trim(s3_url), '^s3://[^/]*/(.*)$', 1) = ''
+      OR ends_with(trim(s3_url), '/')) THEN 'file entry needs an object key that does not end with /' END,
+    CASE WHEN enabled AND coalesce(tool, '') <> 'blastdbcmd' THEN 'validate.tool must be blastdbcmd' END,
+    CASE WHEN database_type NOT IN ('file', 'folder') THEN 'type must be file or folder' END) AS issues,
+  CASE WHEN region <> 'us-east-1' THEN 'bucket region is ' || region || ', not us-east-1' END AS warning
+FROM entries""")(q_catalog_lint)
