@@ -22,7 +22,7 @@ counts; sizes are aggregated per source before anything is shuffled.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import column_no, lookup, numbered, ordered, stored, word_count
@@ -41,7 +41,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     total = share * (sizes.agg(F.sum("source_size")).first()[0] or 0)
     ranked = ordered(sizes, ["source"], {}, "mix-sources")
     weight = F.element_at(F.array(*[F.lit(w).cast("long") for w in weights]), (F.col("pos") % len(weights) + 1).cast("int"))
-    ranked = ranked.select("source", "source_size", weight.alias("w"),).withColumn("ratio", F.lit(most) * F.col("source_size") / F.col("w"))
+    ranked = ranked.select("source", "source_size", weight.alias("w")).withColumn("ratio", F.lit(most) * F.col("source_size") / F.col("w"))
     # Sources whose cap lies below the level come first in order of their ratio.
     steps = ordered(ranked, ["ratio", "source"], {"size_before": "source_size", "w_before": "w"}, "mix-steps")
     w_all = F.lit(ranked.agg(F.sum("w")).first()[0] or 0)
