@@ -4,9 +4,11 @@ import base64
 import bz2
 import gzip
 import hashlib
+import io
 import lzma
 import random
 import re
+import tarfile
 import urllib.parse
 import zlib
 
@@ -66,6 +68,28 @@ def test_layers_map_to_the_text():
     assert kind == "assign" and "token" in base64.b64decode(inside[2 + (a - 2) // 4 * 4:2 + -(-(b - 2) // 4) * 4]).decode()
 
 
+def test_binary_layers():
+    raw = io.BytesIO()
+    with tarfile.open(fileobj=raw, mode="w") as tar:
+        info = tarfile.TarInfo(".env")
+        info.size = 23
+        tar.addfile(info, io.BytesIO(b"password=hunter2hunter2"))
+    tar, key = raw.getvalue(), "AKIA" + "ABCDEFGH12345678"
+    layers = {
+        "tar": tar, "tar.gz": gzip.compress(tar), "utf-16": SECRET.encode("utf-16"), "utf-16-le": SECRET.encode("utf-16-le"),
+        "utf-16-be": SECRET.encode("utf-16-be"), "utf-16 in binary": b"\xff\x01\x02" + SECRET.encode("utf-16-le") + b"\x00\x00\xfe",
+        "latin-1": f"Zugangsschlüssel für Ärzte: {SECRET}".encode("latin-1"), "late": b"\x01" * 4096 + SECRET.encode(),
+        "binary": random.Random(2).randbytes(500) + b" " + key.encode() + b" \xff",
+    }
+    for name, data in layers.items():
+        text = f"see {b64(data)} here"
+        found = [s for s in secret_scan.scan(text)[1] if s[0] in ("assign", "access")]
+        assert len(found) == 1 and 4 <= found[0][1] < found[0][2] <= len(text) - 5, (name, found)
+    (_, a, b), = secret_scan.scan(b64(b"\xff\xfe\xfd" + SECRET.encode("utf-16-le")))[1]
+    last = 3 + 2 * (len(SECRET) - 2)  # byte of the last character found
+    assert (a, b) == (4, 4 * (last // 3) + last % 3 + 2)
+
+
 def test_plain_texts_gain_nothing():
     for text in ("100% of %%% and &amp; so on", "the thing of words" * 50, b64(random.Random(1).randbytes(60)), "a" * 40_000, "%41" * 1000):
         assert secret_scan.scan(text)[1] == secret_scan.scan(text)[0] == base(text)

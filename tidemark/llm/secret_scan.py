@@ -3,9 +3,11 @@
 The text is the first layer.  A worklist unwraps every layer further: percent
 encoding, Unicode escapes and character references, base64 tokens (standard
 and URL-safe), and gzip, zlib, bzip2, xz and Zstandard data inside them, until
-no layer yields a new one.  A layer equal to one of those it came from is a
-cycle and is not taken up again.  Every layer is scanned; a find in an inner
-layer is mapped back to the stretch of the text that encodes it.
+no layer yields a new one.  Decoded bytes are read as UTF-8, or as Latin-1 where
+they are not, and their stretches of UTF-16 as well; all of it is scanned, be it
+text or binary (``layers`` counts binary layers only if they hold a find).  A
+layer equal to one of those it came from is a cycle and is not taken up again.
+A find in an inner layer is mapped back to the stretch of the text that encodes it.
 
 A token that inflates to more than ``MAX_INFLATED`` characters is not unpacked
 in memory; it is reported itself, as a find of the kind ``oversize``.
@@ -40,6 +42,10 @@ _HEX = re.compile(r"[0-9a-f]{32,}")  # runs are maximal: a shorter one has no lo
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|&(?:amp|lt|gt|quot|apos);")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_WIDE = re.compile(rb"\x00?(?:[^\x00]\x00){6,}[^\x00]?")
+_CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]+")
+# A layer without any of these holds neither a find nor a further layer.
+_LIVE = re.compile(rf"(?ai:{'|'.join(_ASSIGN_WORDS)})|AKIA|[0-9a-f]{{32}}|%[0-9A-Fa-f]{{2}}|\\[uUx]|&[#a-z]|[A-Za-z0-9+/_-]{{16}}")
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -63,6 +69,7 @@ class Layer:
     end: np.ndarray | None
     decoded: np.ndarray | None  # which characters were written otherwise in the layer outside
     path: tuple[str, ...]
+    plain: bool = True  # reads as text; other layers are scanned too, but counted only for a find
 
     def root(self, a: int, b: int) -> tuple[int, int]:
         return (a, b) if self.start is None else (int(self.start[a:b].min()), int(self.end[a:b].max()))
@@ -96,7 +103,7 @@ def _rewritten(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     if not parts:
         return None
     copy(last, len(layer.text))
-    return Layer("".join(parts), np.concatenate(starts), np.concatenate(ends), np.concatenate(new), (*layer.path, layer.text))
+    return Layer("".join(parts), np.concatenate(starts), np.concatenate(ends), np.concatenate(new), (*layer.path, layer.text), layer.plain)
 
 
 def _percent(s: str) -> tuple[str, list[int]] | None:
@@ -138,13 +145,36 @@ def _inflated(data: bytes, limit: int) -> bytes | None | bool:
     return out if len(out) <= limit else False
 
 
-def _readable(data: bytes) -> str | None:
+def _readings(data: bytes) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """The texts that bytes may stand for, with the first and last byte of each character:
+    UTF-8 or else Latin-1, and the stretches that look like UTF-16.  The patterns are
+    ASCII, so a stretch of UTF-16 shorter than ``_WIDE`` asks for holds no find."""
     try:
         text = data.decode("utf-8")
     except UnicodeDecodeError:
-        return None
-    bad = sum(not (c.isprintable() or c in "\t\n\r") for c in text[:4096])
-    return text if text and bad * 20 <= min(len(text), 4096) else None
+        text = data.decode("latin-1")
+    if len(text) == len(data):
+        yield text, (i := np.arange(len(data))), i
+    else:
+        c = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        ends = np.cumsum(1 + (c > 0x7F) + (c > 0x7FF).astype(np.int64) + (c > 0xFFFF))
+        yield text, np.concatenate(([0], ends[:-1])), ends - 1
+    if b"\0" in data:
+        b, parts = np.frombuffer(data, np.uint8), []
+        for m in _WIDE.finditer(data):
+            at = m.start() + np.flatnonzero(b[m.start():m.end()])
+            parts += [at, at[-1:]]  # the last place again for the line break between two stretches
+        if parts:
+            at = np.concatenate(parts)
+            wide = b[at]
+            wide[np.cumsum([len(x) for x in parts])[1::2] - 1] = 10
+            yield wide.tobytes().decode("latin-1"), at, at
+
+
+def _is_text(text: str, data: bytes) -> bool:
+    """Whether a reading counts as a layer even without a find: UTF-8, or UTF-16, with few control characters."""
+    bad = sum(len(m.group()) for m in _CONTROL.finditer(text))
+    return bad * 20 <= len(text) and (len(text) < len(data) or text.isascii() or text.encode("utf-8", "replace") == data)
 
 
 def _unpacked(layer: Layer, limit: int) -> tuple[list[Layer], list[tuple[str, int, int]]]:
@@ -163,19 +193,17 @@ def _unpacked(layer: Layer, limit: int) -> tuple[list[Layer], list[tuple[str, in
         if held is False:
             over.append(("oversize", *layer.root(m.start(), m.end())))
             continue
-        text = _readable(data)
-        if text is None or text == layer.text or text in layer.path:
-            continue
-        if packed:
-            a, b = layer.root(m.start(), m.end())
-            start, end = np.full(len(text), a), np.full(len(text), b)
-        else:  # byte i is written in characters 4 (i // 3) + i % 3 and the next
-            first = np.cumsum([0] + [len(c.encode()) for c in text])
-            i, j = first[:-1], first[1:] - 1
-            a = m.start() + 4 * (i // 3) + i % 3
-            b = m.start() + 4 * (j // 3) + j % 3 + 1
-            start, end = (a, b + 1) if layer.start is None else (layer.start[a], layer.end[b])
-        layers.append(Layer(text, start, end, np.ones(len(text), bool), (*layer.path, layer.text)))
+        for text, i, j in _readings(data):
+            if not text or text == layer.text or text in layer.path or not ((plain := _is_text(text, data)) or _LIVE.search(text)):
+                continue
+            if packed:
+                a, b = layer.root(m.start(), m.end())
+                start, end = np.broadcast_to(np.int64(a), len(text)), np.broadcast_to(np.int64(b), len(text))
+            else:  # byte i is written in characters 4 (i // 3) + i % 3 and the next
+                a = m.start() + 4 * (i // 3) + i % 3
+                b = m.start() + 4 * (j // 3) + j % 3 + 1
+                start, end = (a, b + 1) if layer.start is None else (layer.start[a], layer.end[b])
+            layers.append(Layer(text, start, end, np.broadcast_to(True, len(text)), (*layer.path, layer.text), plain))
     return layers, over
 
 
@@ -192,8 +220,9 @@ def scan(text: str | None, limit: int = MAX_INFLATED) -> tuple[list[tuple[str, i
             if (known := (layer.text, int(layer.start[0]), int(layer.end[-1]))) in seen:
                 continue
             seen.add(known)
-            layers += 1
-            for kind, a, b in base_spans(layer.text):
+            spans = base_spans(layer.text)
+            layers += layer.plain or bool(spans)
+            for kind, a, b in spans:
                 if layer.decoded[a:b].any():  # else the layer outside has it as well
                     found.add((kind, *layer.root(a, b)))
         if "%" in layer.text:
