@@ -90,6 +90,24 @@ def test_binary_layers():
     assert (a, b) == (4, 4 * (last // 3) + last % 3 + 2)
 
 
+def test_tokens_after_words_and_over_lines():
+    secret = "password=hunter2hunter2"
+    packed = b64(gzip.compress((secret + " " + random.Random(4).randbytes(200).hex(" ")).encode()))
+    for token in (b64(secret.encode()), packed, b64(b64(secret.encode()).encode())):
+        for before in ("https://x.io/cb/", "id_", "see data/", "a-", "ab-", "abc-", "/", "x_y_z/"):
+            text = f"{before}{token}"
+            assert [(k, a >= len(before), b <= len(text)) for k, a, b in secret_scan.scan(text)[1] if k == "assign"] == [("assign", True, True)], text
+    body = "\n".join(["first line of a message", *["and some more words"] * 9, secret, "the end"])
+    for data in (body.encode(), gzip.compress((secret + random.Random(5).randbytes(300).hex(" ")).encode())):
+        for width in (20, 64, 76):
+            for mark in ("\n", "\r\n", "\n  "):
+                lines = mark.join(b64(data)[i:i + width] for i in range(0, len(b64(data)), width))
+                for before in ("", "body: ", "body:\n", "body\n"):
+                    text = f"{before}{lines}\n"
+                    found = {s for s in secret_scan.scan(text)[1] if s[0] == "assign"}
+                    assert found and all(len(before) <= a < b <= len(text) - 1 for _, a, b in found), (width, mark, before)
+
+
 def test_plain_texts_gain_nothing():
     for text in ("100% of %%% and &amp; so on", "the thing of words" * 50, b64(random.Random(1).randbytes(60)), "a" * 40_000, "%41" * 1000):
         assert secret_scan.scan(text)[1] == secret_scan.scan(text)[0] == base(text)

@@ -8,6 +8,8 @@ they are not, and their stretches of UTF-16 as well; all of it is scanned, be it
 text or binary (``layers`` counts binary layers only if they hold a find).  A
 layer equal to one of those it came from is a cycle and is not taken up again.
 A find in an inner layer is mapped back to the stretch of the text that encodes it.
+Runs of the base64 alphabet are read at all four alignments, in one line and joined
+over the lines they are wrapped to.
 
 A token that inflates to more than ``MAX_INFLATED`` characters is not unpacked
 in memory; it is reported itself, as a find of the kind ``oversize``.
@@ -42,10 +44,13 @@ _HEX = re.compile(r"[0-9a-f]{32,}")  # runs are maximal: a shorter one has no lo
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|&(?:amp|lt|gt|quot|apos);")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{4,}+(?:[ \t]*\r?\n[ \t>]*[A-Za-z0-9+/_-]++)+={0,2}")
+_IN_ALPHABET = np.isin(np.arange(256), np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", np.uint8))
+_MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
 _WIDE = re.compile(rb"\x00?(?:[^\x00]\x00){6,}[^\x00]?")
 _CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]+")
 # A layer without any of these holds neither a find nor a further layer.
-_LIVE = re.compile(rf"(?ai:{'|'.join(_ASSIGN_WORDS)})|AKIA|[0-9a-f]{{32}}|%[0-9A-Fa-f]{{2}}|\\[uUx]|&[#a-z]|[A-Za-z0-9+/_-]{{16}}")
+_LIVE = re.compile(rf"(?ai:{'|'.join(_ASSIGN_WORDS)})|AKIA|[0-9a-f]{{32}}|%[0-9A-Fa-f]{{2}}|\\[uUx]|&[#a-z]|[A-Za-z0-9+/_-]{{16}}|[A-Za-z0-9+/_-]{{4}}[ \t]*\r?\n")
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -177,33 +182,59 @@ def _is_text(text: str, data: bytes) -> bool:
     return bad * 20 <= len(text) and (len(text) < len(data) or text.isascii() or text.encode("utf-8", "replace") == data)
 
 
+def _runs(text: str) -> Iterator[tuple[str, np.ndarray, int]]:
+    """Runs of the base64 alphabet with the place of each character and the run's end:
+    those of one line, and those that go on over the lines after it."""
+    for m in _BASE64.finditer(text):
+        chars = m.group().rstrip("=")
+        yield chars, m.start() + np.arange(len(chars)), m.end()
+    if "\n" in text:
+        for m in _WRAPPED.finditer(text):
+            b = np.frombuffer(m.group().encode(), np.uint8)
+            at = np.flatnonzero(_IN_ALPHABET[b])
+            if len(at) >= 16:
+                yield b[at].tobytes().decode(), m.start() + at, m.end()
+
+
 def _unpacked(layer: Layer, limit: int) -> tuple[list[Layer], list[tuple[str, int, int]]]:
-    """Layers inside a layer's base64 tokens, and the tokens that inflate too far."""
+    """Layers inside a layer's base64 runs, read from each of their first four characters
+    on (a word and '/', '_' or '-' may stand before a token, so it may begin anywhere),
+    and the runs that inflate too far.  Compressed data may begin at any byte."""
     layers, over = [], []
-    for m in _BASE64.finditer(layer.text):
-        token = m.group().rstrip("=").replace("-", "+").replace("_", "/")
-        if len(token) % 4 == 1:
-            continue
-        data = base64.b64decode(token + "=" * (-len(token) % 4))
-        packed, held, seen = False, _inflated(data, limit), {data}
-        while isinstance(held, bytes) and held not in seen:  # compressed again and again, unless in a circle
-            packed, data = True, held
-            seen.add(data)
-            held = _inflated(data, limit)
-        if held is False:
-            over.append(("oversize", *layer.root(m.start(), m.end())))
-            continue
-        for text, i, j in _readings(data):
-            if not text or text == layer.text or text in layer.path or not ((plain := _is_text(text, data)) or _LIVE.search(text)):
-                continue
-            if packed:
-                a, b = layer.root(m.start(), m.end())
-                start, end = np.broadcast_to(np.int64(a), len(text)), np.broadcast_to(np.int64(b), len(text))
-            else:  # byte i is written in characters 4 (i // 3) + i % 3 and the next
-                a = m.start() + 4 * (i // 3) + i % 3
-                b = m.start() + 4 * (j // 3) + j % 3 + 1
-                start, end = (a, b + 1) if layer.start is None else (layer.start[a], layer.end[b])
-            layers.append(Layer(text, start, end, np.broadcast_to(True, len(text)), (*layer.path, layer.text), plain))
+    path = (*layer.path, layer.text)
+    for chars, at, stop in _runs(layer.text):
+        chars = chars.replace("-", "+").replace("_", "/")
+        for s in range(4):
+            n = len(chars) - s
+            n -= n % 4 == 1
+            data = base64.b64decode(chars[s:s + n] + "=" * (-n % 4))
+            # Byte i is written in characters 4 (i // 3) + i % 3 and the next.
+            byte = np.arange(len(data))
+            first = at[s + 4 * (byte // 3) + byte % 3]
+            last = at[s + 4 * (byte // 3) + byte % 3 + 1]
+            start, end = (first, last + 1) if layer.start is None else (layer.start[first], layer.end[last])
+            for text, i, j in _readings(data):
+                if text and text not in path and ((plain := _is_text(text, data)) or _LIVE.search(text)):
+                    layers.append(Layer(text, start[i], end[j], np.broadcast_to(True, len(text)), path, plain))
+            place = 0
+            while m := _MAGIC.search(data, place):
+                place, inner = m.start() + 1, data[m.start():]
+                held, seen = _inflated(inner, limit), {inner}
+                if held is None:
+                    continue
+                while isinstance(held, bytes) and held not in seen:  # compressed again and again, unless in a circle
+                    inner = held
+                    seen.add(inner)
+                    held = _inflated(inner, limit)
+                a, b = layer.root(int(first[m.start()]), stop)
+                if held is False:
+                    over.append(("oversize", a, b))
+                    break
+                for text, _, _ in _readings(inner):
+                    if text and text not in path and ((plain := _is_text(text, inner)) or _LIVE.search(text)):
+                        start, end = np.broadcast_to(np.int64(a), len(text)), np.broadcast_to(np.int64(b), len(text))
+                        layers.append(Layer(text, start, end, np.broadcast_to(True, len(text)), path, plain))
+                break
     return layers, over
 
 
