@@ -108,6 +108,42 @@ def test_tokens_after_words_and_over_lines():
                     assert found and all(len(before) <= a < b <= len(text) - 1 for _, a, b in found), (width, mark, before)
 
 
+def test_members_frames_and_written_bytes():
+    secret = b" password=hunter2hunter2 "
+    # A secret that the packing left as it was is found in the packed bytes as well.
+    wide = lambda text: max((s for s in secret_scan.scan(text)[1] if s[0] == "assign"), key=lambda s: s[2] - s[1], default=None)
+    skippable = b"\x50\x2a\x4d\x18\x04\x00\x00\x00abcd"
+    for name, pack, gap in (("gzip", gzip.compress, b""), ("zlib", zlib.compress, b""), ("bz2", bz2.compress, b""), ("xz", lzma.compress, b"\0" * 4),
+                            ("zstd", zstandard.compress, b""), ("zstd", zstandard.compress, skippable)):
+        token = b64(pack(b"clean text here") + gap + pack(b"more of it, pass") + gap + pack(secret[1:]))
+        assert wide(f"x {token} y") == ("assign", 2, 2 + len(token)), name
+        token = b64(pack(b"clean text here, pass") + pack(b"word=hunter2hunter2"))  # over the border of two members
+        assert wide(f"x {token} y") == ("assign", 2, 2 + len(token)), name
+        data = pack(secret * 3)
+        percent, escapes = urllib.parse.quote(data, safe=""), "".join(f"\\x{b:02x}" for b in data)
+        for text in (percent, escapes, "".join(f"%{b:02X}" for b in data), "".join(f"\\u{b:04x}" for b in data), "".join(f"&#{b};" for b in data), repr(data)[2:-1]):
+            assert wide(f"q= {text} !") == ("assign", 3, 3 + len(text)), (name, text)
+    inner = gzip.compress(b"0 " * 50_000 + secret)
+    assert wide(b64(b"some bytes first \xff" + lzma.compress(b"\0" * 100 + inner)))
+
+
+def test_oversized_content_is_scanned():
+    rng = random.Random(6)
+    words = " ".join(rng.choice(("some", "words", "of", "text.")) for _ in range(60_000)).encode()
+    secret = b" password=hunter2hunter2 "
+    for limit in (10_000, 65_536, 1 << 20):
+        for at in (0, limit - 12, limit + 5, 2 * limit - 10, len(words)):
+            for pack in (gzip.compress, bz2.compress, lzma.compress, zstandard.compress):
+                token = b64(pack(words[:at] + secret + words[at:]))
+                big = len(words) + len(secret) > limit
+                want = [("assign", 2, 2 + len(token))] + [("oversize", 2, 2 + len(token))] * big
+                found = set(secret_scan.scan(f"x {token} y", limit=limit)[1])
+                assert found >= set(want) and {s[0] for s in found} == {s[0] for s in want}, (limit, at, pack)
+    for hidden in (b64(secret * 40).encode(), gzip.compress(rng.randbytes(5000) + secret)):  # open at the border of two windows
+        token = b64(gzip.compress(words[:7_000] + b" ." + hidden + b" " + words))
+        assert [s[0] for s in secret_scan.scan(token, limit=10_000)[1]] == ["assign", "oversize"]
+
+
 def test_plain_texts_gain_nothing():
     for text in ("100% of %%% and &amp; so on", "the thing of words" * 50, b64(random.Random(1).randbytes(60)), "a" * 40_000, "%41" * 1000):
         assert secret_scan.scan(text)[1] == secret_scan.scan(text)[0] == base(text)

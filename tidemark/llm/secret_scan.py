@@ -11,20 +11,24 @@ A find in an inner layer is mapped back to the stretch of the text that encodes
 Runs of the base64 alphabet are read at all four alignments, in one line and joined
 over the lines they are wrapped to.
 
-A token that inflates to more than ``MAX_INFLATED`` characters is not unpacked
-in memory; it is reported itself, as a find of the kind ``oversize``.
+All members and frames of compressed data that follow one another are read.
+Content of more than ``MAX_INFLATED`` bytes is reported itself, as a find of the
+kind ``oversize``, and scanned in overlapping windows of that size.  A find that
+fills a whole such window, a run without end, has no kind of its own.
 """
 
 from __future__ import annotations
 
 import base64
 import bz2
+import hashlib
 import html
 import lzma
 import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +40,7 @@ from .common import bounded_batches, pick
 
 KINDS = ("assign", "access", "hex", "oversize")
 MAX_INFLATED = 16 << 20
+_CHUNK = 1 << 20
 
 _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -43,10 +48,14 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")  # runs are maximal: a shorter one has no longer part
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|&(?:amp|lt|gt|quot|apos);")
+_BYTES = re.compile(r"\\x[0-9A-Fa-f]{2}|\\u00[0-9A-Fa-f]{2}|\\[0-3]?[0-7]{1,2}|\\[abfnrtv\\'\"]|&#[0-9]{1,3};|&#[xX][0-9A-Fa-f]{1,2};")
+_CONTROLS = dict(zip("abfnrtv", "\a\b\f\n\r\t\v"))
+_LATIN = re.compile(r"[\x00-\xff]+")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{4,}+(?:[ \t]*\r?\n[ \t>]*[A-Za-z0-9+/_-]++)+={0,2}")
 _IN_ALPHABET = np.isin(np.arange(256), np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", np.uint8))
 _MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
+_TOKENS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=%\\&#;{}:.'\"> \t\r\n\0"
 _WIDE = re.compile(rb"\x00?(?:[^\x00]\x00){6,}[^\x00]?")
 _CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]+")
 # A layer without any of these holds neither a find nor a further layer.
@@ -75,6 +84,7 @@ class Layer:
     decoded: np.ndarray | None  # which characters were written otherwise in the layer outside
     path: tuple[str, ...]
     plain: bool = True  # reads as text; other layers are scanned too, but counted only for a find
+    cut: bool = False  # a window of content beyond the limit
 
     def root(self, a: int, b: int) -> tuple[int, int]:
         return (a, b) if self.start is None else (int(self.start[a:b].min()), int(self.end[a:b].max()))
@@ -108,7 +118,7 @@ def _rewritten(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     if not parts:
         return None
     copy(last, len(layer.text))
-    return Layer("".join(parts), np.concatenate(starts), np.concatenate(ends), np.concatenate(new), (*layer.path, layer.text), layer.plain)
+    return Layer("".join(parts), np.concatenate(starts), np.concatenate(ends), np.concatenate(new), (*layer.path, layer.text), layer.plain, layer.cut)
 
 
 def _percent(s: str) -> tuple[str, list[int]] | None:
@@ -119,6 +129,10 @@ def _percent(s: str) -> tuple[str, list[int]] | None:
     return text, [3 * len(c.encode()) for c in text]
 
 
+def _percent_bytes(s: str) -> tuple[str, list[int]]:
+    return bytes.fromhex(s.replace("%", "")).decode("latin-1"), [3] * (len(s) // 3)
+
+
 def _escape(s: str) -> tuple[str, list[int]] | None:
     text = html.unescape(s) if s[0] == "&" else None
     if text is None:
@@ -127,27 +141,57 @@ def _escape(s: str) -> tuple[str, list[int]] | None:
     return (text, [len(s)]) if text and len(text) == 1 and text != s else None
 
 
-def _inflated(data: bytes, limit: int) -> bytes | None | bool:
-    """What compressed data holds; None if it is not compressed, False if it holds more than ``limit`` bytes."""
-    if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 1 and int.from_bytes(data[:2], "big") % 31 == 0:
-        tool, errors = zlib.decompressobj(47), zlib.error
-    elif data[:3] == b"BZh":
-        tool, errors = bz2.BZ2Decompressor(), (OSError, ValueError, EOFError)
-    elif data[:6] == b"\xfd7zXZ\x00":
-        tool, errors = lzma.LZMADecompressor(memlimit=256 << 20), (lzma.LZMAError, EOFError)
-    elif data[:4] == b"\x28\xb5\x2f\xfd":
-        try:
-            out = zstandard.ZstdDecompressor(max_window_size=64 << 20).stream_reader(data).read(limit + 1)
-        except zstandard.ZstdError:
-            return None
-        return out if len(out) <= limit else False
+def _byte(s: str) -> tuple[str, list[int]] | None:
+    """An escape as the byte it stands for, as programs write binary strings."""
+    if s[0] == "&":
+        code = int(s[3:-1], 16) if s[2] in "xX" else int(s[2:-1])
     else:
-        return None
-    try:
-        out = tool.decompress(data, limit + 1)
-    except errors:
-        return None
-    return out if len(out) <= limit else False
+        code = int(s[2:], 16) if s[1] in "xu" else int(s[1:], 8) if s[1].isdigit() else ord(_CONTROLS.get(s[1], s[1]))
+    return (chr(code), [len(s)]) if code < 256 else None
+
+
+def _members(data: bytes, at: int, state: list) -> Iterator[bytes]:
+    """What the compressed data at a place holds, chunk by chunk: all members and frames
+    that follow one another.  ``state`` gets the place after the last whole one, and
+    whether one more is cut off by the end of the data."""
+    errors = (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError, zstandard.ZstdError)
+    state[:] = [at, False]
+    while _MAGIC.match(data, at):
+        if data[at] == 0x28:
+            tool, step = zstandard.ZstdDecompressor(max_window_size=64 << 20).decompressobj(), 256  # its output has no bound
+        elif data[at] == 0x42:
+            tool, step = bz2.BZ2Decompressor(), _CHUNK
+        elif data[at] == 0xFD:
+            tool, step = lzma.LZMADecompressor(memlimit=256 << 20), _CHUNK
+        else:
+            tool, step = zlib.decompressobj(47), _CHUNK
+        try:
+            while not tool.eof:
+                if step == 256:
+                    feed = data[at:at + step]
+                    at += len(feed)
+                    out = tool.decompress(feed)
+                elif data[state[0]] in b"B\xfd":
+                    feed = data[at:at + step] if tool.needs_input else b""
+                    at += len(feed)
+                    out = tool.decompress(feed, _CHUNK)
+                else:
+                    feed = tool.unconsumed_tail
+                    if not feed:
+                        feed = data[at:at + step]
+                        at += len(feed)
+                    out = tool.decompress(feed, _CHUNK)
+                if out:
+                    yield out
+                elif not feed and not tool.eof:
+                    state[1] = True
+                    return
+        except errors:
+            return
+        at = state[0] = at - len(tool.unused_data)
+        while data[at:at + 4] == b"\0\0\0\0" or data[at + 1:at + 4] == b"\x2a\x4d\x18" and data[at] & 0xF0 == 0x50:  # padding, skippable frames
+            at += 4 if not data[at] else 8 + int.from_bytes(data[at + 4:at + 8], "little")
+        state[0] = at if _MAGIC.match(data, at) else state[0]
 
 
 def _readings(data: bytes) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
@@ -196,11 +240,56 @@ def _runs(text: str) -> Iterator[tuple[str, np.ndarray, int]]:
                 yield b[at].tobytes().decode(), m.start() + at, m.end()
 
 
-def _unpacked(layer: Layer, limit: int) -> tuple[list[Layer], list[tuple[str, int, int]]]:
+def _texts(data: bytes, start: np.ndarray | int, end: np.ndarray | int, path: tuple[str, ...], cut: bool = False) -> Iterator[Layer]:
+    """The layers that bytes stand for; ``start`` and ``end`` are each byte's places in the root, or those of all."""
+    for text, i, j in _readings(data):
+        if text and text not in path and ((plain := _is_text(text, data)) or _LIVE.search(text)):
+            n = len(text)
+            a, b = (np.broadcast_to(np.int64(x), n) if isinstance(x, int) else x[at] for x, at in ((start, i), (end, j)))
+            yield Layer(text, a, b, np.broadcast_to(True, n), path, plain, cut)
+
+
+def _packed(data: bytes, start: np.ndarray | int, end: np.ndarray | int, path: tuple[str, ...], limit: int, inside: tuple[bytes, ...] = ()) -> Iterator[Layer | tuple]:
+    """Layers of the compressed data in bytes, wherever it begins, and the finds ``oversize``.
+    Returns where the last member begins if the end of the bytes cuts it off.
+
+    Content beyond ``limit`` comes in windows of that many bytes.  All its finds
+    have the place of the whole, so a window needs only what the one before it
+    left open: its last run of token characters, its last cut-off member, and
+    4,096 characters at least, up to ``limit``."""
+    place, state, left = 0, [0, False], None
+    while m := _MAGIC.search(data, place):
+        at, place = m.start(), m.start() + 1
+        a = start if isinstance(start, int) else int(start[at])
+        b = end if isinstance(end, int) else int(end[-1])
+        held, fresh, over, tail = [], 0, False, b""
+        for out in chain(_members(data, at, state), [None]):
+            if out is not None:
+                held.append(out)
+                fresh += len(out)
+                if fresh <= limit:
+                    continue
+                if not over:
+                    over = True
+                    yield "oversize", a, b
+            elif not fresh:
+                break
+            window = b"".join([tail, *held])
+            if window in inside:  # a circle
+                break
+            yield from _texts(window, a, b, path, over)
+            open_at = yield from _packed(window, a, b, path, limit, (*inside, data, window))
+            keep = max(4096, len(window) - len(window.rstrip(_TOKENS)), 0 if open_at is None else len(window) - open_at)
+            held, fresh, tail = [], 0, window[max(0, len(window) - min(keep, limit)):]
+        place = max(place, state[0])
+        left = at if state[1] else None
+    return left
+
+
+def _unpacked(layer: Layer, limit: int) -> Iterator[Layer | tuple]:
     """Layers inside a layer's base64 runs, read from each of their first four characters
     on (a word and '/', '_' or '-' may stand before a token, so it may begin anywhere),
-    and the runs that inflate too far.  Compressed data may begin at any byte."""
-    layers, over = [], []
+    and the runs that inflate too far."""
     path = (*layer.path, layer.text)
     for chars, at, stop in _runs(layer.text):
         chars = chars.replace("-", "+").replace("_", "/")
@@ -213,29 +302,31 @@ def _unpacked(layer: Layer, limit: int) -> tuple[list[Layer], list[tuple[str, in
             first = at[s + 4 * (byte // 3) + byte % 3]
             last = at[s + 4 * (byte // 3) + byte % 3 + 1]
             start, end = (first, last + 1) if layer.start is None else (layer.start[first], layer.end[last])
-            for text, i, j in _readings(data):
-                if text and text not in path and ((plain := _is_text(text, data)) or _LIVE.search(text)):
-                    layers.append(Layer(text, start[i], end[j], np.broadcast_to(True, len(text)), path, plain))
-            place = 0
-            while m := _MAGIC.search(data, place):
-                place, inner = m.start() + 1, data[m.start():]
-                held, seen = _inflated(inner, limit), {inner}
-                if held is None:
-                    continue
-                while isinstance(held, bytes) and held not in seen:  # compressed again and again, unless in a circle
-                    inner = held
-                    seen.add(inner)
-                    held = _inflated(inner, limit)
-                a, b = layer.root(int(first[m.start()]), stop)
-                if held is False:
-                    over.append(("oversize", a, b))
-                    break
-                for text, _, _ in _readings(inner):
-                    if text and text not in path and ((plain := _is_text(text, inner)) or _LIVE.search(text)):
-                        start, end = np.broadcast_to(np.int64(a), len(text)), np.broadcast_to(np.int64(b), len(text))
-                        layers.append(Layer(text, start, end, np.broadcast_to(True, len(text)), path, plain))
-                break
-    return layers, over
+            yield from _texts(data, start, end, path)
+            if _MAGIC.search(data):
+                yield from _packed(data, start, layer.root(stop - 1, stop)[1], path, limit)
+
+
+def _written(layer: Layer, pattern: re.Pattern, decode, limit: int) -> Iterator[Layer | tuple]:
+    """Layers of the compressed data that a layer writes in percent codes or escapes, byte by byte."""
+    raw = _rewritten(layer, pattern, decode)
+    for m in _LATIN.finditer(raw.text) if raw else ():
+        data = m.group().encode("latin-1")
+        at = 0
+        while found := _MAGIC.search(data, at):
+            at, state = found.start(), [0, False]
+            # Its first bytes are partly coded and else printable; bytes that are there as such are another layer's.
+            coded = raw.decoded[m.start() + at:m.start() + at + 32]
+            size = 0
+            if coded.any() and all(c or 32 <= x < 127 for c, x in zip(coded.tolist(), data[at:at + 32])):
+                size = sum(map(len, _members(data, at, state)))  # read once for where it ends
+            if not size:
+                at += 1
+                continue
+            stop = state[0] if state[0] > at and not state[1] else len(data)
+            a, b = raw.start[m.start() + at:m.start() + stop].min(), raw.end[m.start() + at:m.start() + stop].max()
+            yield from _packed(data[at:stop], int(a), int(b), (*layer.path, layer.text), limit)
+            at = stop
 
 
 def scan(text: str | None, limit: int = MAX_INFLATED) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], int]:
@@ -243,30 +334,34 @@ def scan(text: str | None, limit: int = MAX_INFLATED) -> tuple[list[tuple[str, i
     text = text or ""
     base = base_spans(text)
     found, layers, seen = set(base), 1, set()
-    work = [Layer(text, None, None, None, ())]
+    work = [iter([Layer(text, None, None, None, ())])]  # the layers inside a layer are unpacked when their turn comes
     while work:
-        layer = work.pop()
+        if (layer := next(work[-1], None)) is None:
+            work.pop()
+            continue
+        if isinstance(layer, tuple):
+            found.add(layer)
+            continue
         if layer.start is not None:
             # The same text from the same stretch, come by in another order of decoding, is done already.
-            if (known := (layer.text, int(layer.start[0]), int(layer.end[-1]))) in seen:
+            text = layer.text if len(layer.text) <= 4096 else hashlib.sha256(layer.text.encode("utf-8", "surrogatepass")).digest()
+            if (known := (text, int(layer.start[0]), int(layer.end[-1]))) in seen:
                 continue
             seen.add(known)
             spans = base_spans(layer.text)
             layers += layer.plain or bool(spans)
             for kind, a, b in spans:
+                if layer.cut and (a, b) == (0, len(layer.text)):  # a run longer than the window: ``oversize`` stands for it
+                    continue
                 if layer.decoded[a:b].any():  # else the layer outside has it as well
                     found.add((kind, *layer.root(a, b)))
-        if "%" in layer.text:
-            inner = _rewritten(layer, _PERCENT, _percent)
-            if inner and inner.text != layer.text and inner.text not in layer.path:
-                work.append(inner)
-        if "\\" in layer.text or "&" in layer.text:
-            inner = _rewritten(layer, _ESCAPE, _escape)
-            if inner and inner.text != layer.text and inner.text not in layer.path:
-                work.append(inner)
-        inner_layers, over = _unpacked(layer, limit)
-        work += inner_layers
-        found.update(over)
+        for signs, pattern, decode, bytewise, byte in (("%", _PERCENT, _percent, _PERCENT, _percent_bytes), ("\\&", _ESCAPE, _escape, _BYTES, _byte)):
+            if any(c in layer.text for c in signs):
+                inner = _rewritten(layer, pattern, decode)
+                if inner and inner.text != layer.text and inner.text not in layer.path:
+                    work.append(iter([inner]))
+                    work.append(_written(layer, bytewise, byte, limit))
+        work.append(_unpacked(layer, limit))
     order = lambda s: (s[1], KINDS.index(s[0]), s[2])
     return sorted(base, key=order), sorted(found, key=order), layers
 
