@@ -40,6 +40,25 @@ def test_edited_passages_equal_full_alignment(spark):
     assert [{m[0] for m in x} for x in index.find(texts)] == [holds(index, t) for t in texts]
 
 
+def test_quotes_at_every_offset(spark):
+    rng = random.Random(8)
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    items = sorted((i, "".join(map(chr, decontam.plain(x)[0])).strip()) for i, x in items)
+    items = [x for x in items if len(x[1]) > 200][:3] + [(-1, " ".join(str(rng.randrange(10 ** 6)) for _ in range(120)))]
+    index = decontam.Index(items)
+    quotes = [(i, x[a:a + 120]) for i, x in items for a in range(len(x) - 119)]
+    found = index.find([f"{rng.randbytes(30).hex()} {q} {rng.randbytes(30).hex()}" for _, q in quotes])
+    for (i, q), got in zip(quotes, found):
+        assert [m[0] for m in got] == [i] and got[0][3] == 0 and got[0][1] <= 62 and got[0][2] >= 180, q
+    edited = []
+    for i, q in quotes:
+        for at in sorted(rng.sample(range(0, 120, 2), 12), reverse=True):
+            q = q[:at] + rng.choice(["ß" + q[at], "é"]) + q[at + 1:]
+        edited.append((i, q))
+    found = index.find([f"{rng.randbytes(30).hex()} {q} {rng.randbytes(30).hex()}" for _, q in edited])
+    assert [[m[0] for m in got] for got in found] == [[i] for i, _ in edited]
+
+
 def test_query_finds_every_exact_passage(spark):
     items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()}
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}

@@ -2,18 +2,19 @@
 
 Texts and benchmark items are compared in a plain form: lower-cased, every run
 of characters that are neither letters nor digits one space.  An item longer
-than ``PIECE`` characters is cut into pieces of that length, each half over the
-next; a document holds a piece if some stretch of it is within ``budget(m)``
+than ``PIECE`` characters is looked for by every piece of that length, wherever it
+starts; a document holds a piece if some stretch of it is within ``budget(m)``
 edits, m being the piece's length.
 
-* *Lemma.*  k edits destroy at most k * Q of a piece's q-grams, so of any n of
-  them a match shares at least ``n - k * Q`` with the document, on diagonals (text
-  place minus piece place) that drift by at most k.  The n = k * Q + SPARE rarest
-  are taken (all, if a piece has fewer), as frequent ones only cost time.
+* *Lemma.*  k edits destroy at most k * Q of a piece's n q-grams, so a match shares
+  at least ``n - k * Q`` with the document, on diagonals (text place minus item
+  place) that drift by at most k.
 * *Count.*  Shared q-grams are counted in bands of 2 (k + 1) diagonals, each
   half over the next: any k + 1 neighbouring diagonals lie in one band whole.
-  Bands below the lemma's bound are discarded.
-* *Verify.*  The regions that are left are aligned within their band (and k
+  An item's q-grams are posted once for all its pieces: counted first for a cell
+  of neighbouring pieces, then, in the cells that reach the lemma's bound, for
+  each piece.
+* *Verify.*  The pieces that are left are aligned within their band (and k
   diagonals on either side); a match is within the budget.
 
 The items are taken in blocks of at most ``BLOCK_CHARS`` characters; each
@@ -34,7 +35,9 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, numbered, pick
 
-Q, ERROR, PIECE, SPARE = 8, 0.1, 120, 12
+Q, ERROR, PIECE = 8, 0.1, 120
+STEP = PIECE - Q + 1
+LANES = 1 << 13
 BLOCK_CHARS = 4_000_000
 CHUNK, GAP = 1 << 18, 64
 _TABLE_BITS = 22
@@ -70,42 +73,66 @@ def _grams(c: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """The q-grams of a block of items."""
+    """The q-grams of a block of items.
+
+    A piece is found by its item and where it starts there.  The starts of an item
+    are dealt into cells of ``STEP``; the pieces of a cell lie in 2 ``STEP`` q-grams."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.item, self.pieces, self.first = [], [], []
+        self.ids, self.texts = [], []
         for item, text in items:
             c, _ = plain(text)
             c = c[: len(c) - (len(c) > 0 and c[-1] == 32)]
-            last = max(0, len(c) - PIECE)
-            for a in ([*range(0, last, PIECE // 2), last] if len(c) >= Q else []):
-                self.item.append(item)
-                self.pieces.append(c[a:a + PIECE])
-        self.m = np.array([len(p) for p in self.pieces], np.int64)
-        self.k = np.array([budget(m) for m in self.m.tolist()], np.int64)
-        grams = [_grams(p) for p in self.pieces]
-        # The lemma holds for any of a piece's q-grams: the rarest do, SPARE more than the budget can destroy.
-        _, back, often = np.unique(np.concatenate([*grams, np.empty(0, np.uint64)]), return_inverse=True, return_counts=True)
-        often = np.split(often[back], np.cumsum([len(g) for g in grams]))
-        places = [np.sort(np.argsort(o, kind="stable")[:k * Q + SPARE]) for o, k in zip(often, self.k.tolist())]
-        self.bound = np.array([len(p) for p in places], np.int64) - self.k * Q
-        flat = np.concatenate([*(g[p] for g, p in zip(grams, places)), np.empty(0, np.uint64)])
-        piece = np.repeat(np.arange(len(grams)), [len(p) for p in places])
-        place = np.concatenate([*places, np.empty(0, np.int64)])
+            if len(c) >= Q:
+                self.ids.append(item)
+                self.texts.append(c)
+        n = np.array([len(c) for c in self.texts], np.int64)
+        self.flat, self.offset = np.concatenate([*self.texts, np.zeros(PIECE, np.uint32)]), np.cumsum(n) - n
+        self.starts = np.maximum(1, n - PIECE + 1)
+        m = np.minimum(n, PIECE)
+        k = np.array([budget(x) for x in m.tolist()], np.int64)
+        cells = (self.starts - 1) // STEP + 1
+        before = np.cumsum(cells) - cells
+        self.of = np.repeat(np.arange(len(n)), cells)  # the item of a cell, where its starts begin and how many they are
+        self.at = STEP * (np.arange(len(self.of)) - before[self.of])
+        self.many = np.minimum(STEP, self.starts[self.of] - self.at)
+        self.m, self.budget = m[self.of], k[self.of]
+        self.bound = self.m - Q + 1 - self.budget * Q
+        grams = [_grams(c) for c in self.texts]
+        flat = np.concatenate([*grams, np.empty(0, np.uint64)])
+        own = np.repeat(np.arange(len(n)), n - Q + 1)
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(n - Q + 1) - (n - Q + 1), n - Q + 1)
+        flat, own, place, j = (np.concatenate(x) for x in ((flat, flat), (own, own), (place, place), (place // STEP, place // STEP - 1)))
+        held = (j >= 0) & (j < cells[own])
+        flat, place, cell = flat[held], place[held], (before[own] + j)[held]
         order = np.argsort(flat, kind="stable")
         self.gram, self.start, self.count = np.unique(flat[order], return_index=True, return_counts=True)
-        self.piece, self.place = piece[order], place[order]
+        self.cell, self.place = cell[order], place[order]
         self.seen = np.zeros(1 << _TABLE_BITS, bool)
         self.seen[self._slot(self.gram)] = True
 
+    @property
+    def pieces(self) -> list[np.ndarray]:
+        """All that is looked for: whole items of up to ``PIECE`` characters, and every piece of that length of the longer ones."""
+        return [c[a:a + PIECE] for c, n in zip(self.texts, self.starts.tolist()) for a in range(n)]
+
+    @property
+    def item(self) -> list[int]:
+        return [i for i, n in zip(self.ids, self.starts.tolist()) for _ in range(n)]
+
+    @property
+    def k(self) -> list[int]:
+        return [budget(len(p)) for p in self.pieces]
+
     @staticmethod
     def _slot(h: np.ndarray) -> np.ndarray:
         return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - _TABLE_BITS)
 
     def regions(self, c: np.ndarray) -> np.ndarray:
-        """(piece, band) that meet the lemma's bound in a stretch of plain text."""
+        """(cell, band, start) of the pieces that meet the lemma's bound in a stretch of plain text."""
+        none = np.empty((0, 3), np.int64)
         if len(c) < Q or not len(self.gram):
-            return np.empty((0, 2), np.int64)
+            return none
         h = _grams(c)
         at = np.flatnonzero(self.seen[self._slot(h)])
         g = np.searchsorted(self.gram, h[at])
@@ -115,74 +142,95 @@ class Index:
         n = self.count[g]
         own = np.repeat(np.arange(len(g)), n)
         post = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n) + self.start[g][own]
-        piece = self.piece[post]
-        width = self.k[piece] + 1
-        band = (at[own] - self.place[post]) // width
+        cell, place = self.cell[post], self.place[post]
+        band = (at[own] - place) // (self.budget[cell] + 1)
         # Bands are numbered by their first half; a q-gram counts for the two bands that hold its diagonal.
-        span = len(c) + PIECE + 2
-        key = piece * 2 * span + band + span
-        key, place = np.concatenate((key, key - 1)), np.concatenate((self.place[post], self.place[post]))
+        span = len(c) + max(map(len, self.texts)) + 2
+        key = cell * 2 * span + band + span
+        key, place = np.concatenate((key, key - 1)), np.concatenate((place, place))
         held, n = np.unique(key, return_counts=True)
         held = held[n >= self.bound[held // (2 * span)]]
         if not len(held):
-            return np.empty((0, 2), np.int64)
-        # Of the bands with enough hits, those with enough different q-grams of the piece: a frequent one counts once.
+            return none
         own = np.minimum(np.searchsorted(held, key), len(held) - 1)
         own, place = own[some := held[own] == key], place[some]
-        n = np.bincount(np.unique(own * PIECE + place) // PIECE, minlength=len(held))
-        held = held[n >= self.bound[held // (2 * span)]]
-        return np.stack((held // (2 * span), held % (2 * span) - span), axis=1)
+        order = np.argsort(own, kind="stable")
+        own, place = own[order], place[order]
+        out = []
+        for a in range(0, len(held), LANES):  # a frequent q-gram counts once
+            part = held[a:a + LANES]
+            x, y = np.searchsorted(own, (a, a + len(part)))
+            cell, band = part // (2 * span), part % (2 * span) - span
+            there = np.zeros((len(part), 2 * STEP + 1), np.int16)
+            there[own[x:y] - a, place[x:y] - self.at[cell][own[x:y] - a] + 1] = 1
+            there = np.cumsum(there, axis=1, dtype=np.int16)
+            n = there[:, STEP:2 * STEP] - there[:, :STEP]  # different q-grams of the piece that starts at each place
+            r, start = np.nonzero((n >= self.bound[cell][:, None]) & (np.arange(STEP) < self.many[cell][:, None]))
+            out.append(np.stack((cell[r], band[r], self.at[cell[r]] + start), axis=1))
+        return np.concatenate(out)
 
     def align(self, c: np.ndarray, regions: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(piece, distance, start, end) of the best stretch of c along each band that
-        is within its piece's budget.  All bands advance together, a character of
+        """(item's number, distance, start, end) of the best stretch of c along each band
+        that is within its piece's budget.  Bands advance together, a character of
         their pieces at a time; those beyond their budget fall out."""
-        if not len(regions):
-            return []
+        out: list[tuple[int, int, int, int]] = []
         regions = regions[np.argsort(-self.m[regions[:, 0]], kind="stable")]
-        piece, band = regions[:, 0], regions[:, 1]
-        m, k = self.m[piece], self.k[piece]
+        for a in range(0, len(regions), LANES):
+            out += self._aligned(c, regions[a:a + LANES])
+        return out
+
+    def _aligned(self, c: np.ndarray, regions: np.ndarray) -> list[tuple[int, int, int, int]]:
+        cell, band, start = regions.T
+        m, k, letters = self.m[cell], self.budget[cell], self.offset[self.of[cell]] + start
         most = int(k.max())
         width = 4 * most + 2
         # Diagonal x of a band holds text that starts lo + x after the piece does.
-        lo = band * (k + 1) - most
+        lo = band * (k + 1) + start - most
         padded = np.concatenate((np.zeros(PIECE + width, np.uint32), c, np.zeros(2 * PIECE + 2 * width, np.uint32)))
-        letters = np.zeros((len(self.pieces), PIECE), np.uint32)
-        for i in np.unique(piece).tolist():
-            letters[i, :len(self.pieces[i])] = self.pieces[i]
-        ramp, out = np.arange(width + 1), []
-        d, left = np.zeros((len(piece), width + 1), np.int64), np.arange(len(piece))
+        ramp, got = np.arange(width + 1, dtype=np.int16), []
+        d, left = np.zeros((len(cell), width + 1), np.int16), np.arange(len(cell))
         for i in range(int(m[0]) + 1):
             ended = m[left] == i
-            for r, row in zip(left[ended].tolist(), d[ended]):
-                x = int(row.argmin())
-                if row[x] <= k[r]:
-                    end = int(lo[r]) + x + i
-                    best = int(row[x])
-                    out.append((int(piece[r]), best, max(0, end - i) if not best else self._start(c, self.pieces[piece[r]], end, int(k[r])), end))
+            if ended.any():
+                r, best = left[ended], d[ended].min(axis=1)
+                near = best <= k[r]
+                got.append(np.stack((r, best, lo[r] + d[ended].argmin(axis=1) + i), axis=1)[near])
             on = ~ended & (d.min(axis=1) <= k[left])
-            left, d = left[on], d[on]
+            if not on.all():
+                left, d = left[on], d[on]
             if not len(left):
                 break
             at = np.clip(lo[left] + i + PIECE + width, 0, len(padded) - width)
             text = padded[at[:, None] + ramp[:width]]
-            new = d + 1
-            new[:, :width] = np.minimum(d[:, :width] + (text != letters[piece[left], i][:, None]), d[:, 1:] + 1)
+            new = d + np.int16(1)
+            new[:, :width] = np.minimum(d[:, :width] + (text != self.flat[letters[left] + i][:, None]), d[:, 1:] + np.int16(1))
+            d = np.minimum.accumulate(new - ramp, axis=1) + ramp
+        if not got:
+            return []
+        r, best, end = np.concatenate(got).T
+        _, one = np.unique(np.stack((letters[r], end)), axis=1, return_index=True)  # found in both bands
+        r, best, end = r[one], best[one], end[one]
+        begin = end - m[r]
+        edited = best > 0
+        begin[edited] = self._starts(c, letters[r[edited]], m[r[edited]], end[edited])
+        return list(zip(self.of[cell[r]].tolist(), best.tolist(), np.maximum(0, begin).tolist(), end.tolist()))
+
+    def _starts(self, c: np.ndarray, letters: np.ndarray, m: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Where the best stretches that end at ``end`` begin: the alignments read backwards."""
+        long = PIECE + budget(PIECE)
+        padded = np.concatenate((np.zeros(long, np.uint32), c, np.zeros(long, np.uint32)))  # no piece holds a zero
+        text = padded[np.clip(end[:, None] - 1 - np.arange(long) + long, 0, len(padded) - 1)]
+        ramp = np.arange(long + 1, dtype=np.int16)
+        d, out = np.tile(ramp, (len(m), 1)), end.copy()
+        for i in range(int(m.max(initial=0))):
+            new = d + np.int16(1)
+            letter = self.flat[np.maximum(letters + m - 1 - i, 0)]
+            new[:, 1:] = np.minimum(new[:, 1:], d[:, :-1] + (text != letter[:, None]))
             d = np.minimum.accumulate(new - ramp, axis=1) + ramp
+            if (ended := m == i + 1).any():
+                out[ended] -= d[ended].argmin(axis=1)
         return out
 
-    @staticmethod
-    def _start(c: np.ndarray, p: np.ndarray, end: int, k: int) -> int:
-        """Where the best stretch that ends at ``end`` begins: the alignment read backwards."""
-        text = c[max(0, end - len(p) - k):end][::-1]
-        ramp = np.arange(len(text) + 1)
-        d = ramp.copy()
-        for ch in p[::-1].tolist():
-            new = d + 1
-            new[1:] = np.minimum(new[1:], d[:-1] + (text != ch))
-            d = np.minimum.accumulate(new - ramp) + ramp
-        return end - int(d.argmin())
-
     def find(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
         """For each text its matches (item, start, end, distance), places in the text itself;
         matches of an item that touch are one, with the smallest of their distances."""
@@ -209,13 +257,13 @@ class Index:
             whole[s:s + len(c)] = c
         for a in range(0, max(1, len(whole)), CHUNK * 4):  # a very long text goes in overlapping stretches
             part = whole[a:a + CHUNK * 4 + 4 * PIECE]
-            for piece, best, s, e in self.align(part, self.regions(part)):
+            for item, best, s, e in self.align(part, self.regions(part)):
                 s, e = s + a, e + a
                 i = int(np.searchsorted(starts, s, side="right")) - 1
                 t, c, at = forms[i]
                 s, e = s - int(starts[i]), min(e - int(starts[i]), len(c))
                 if e > s:
-                    found[t].append((self.item[piece], int(at[s]), int(at[e - 1]) + 1, best))
+                    found[t].append((self.ids[item], int(at[s]), int(at[e - 1]) + 1, best))
 
 
 def _joined(matches: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
