@@ -88,6 +88,15 @@ def test_case_punctuation_and_clean_texts(spark):
     assert decontam.drop_contaminated(docs, bench.limit(0)).count() == 6
 
 
+def test_items_without_an_id_are_dropped_too(spark, monkeypatch):
+    items = ["a passage that only an item without an id holds, long enough", "another one of them, which speaks of rivers and of stones"]
+    docs = spark.createDataFrame([(1, f"so: {items[0]}."), (2, "nothing of the kind is in here"), (3, items[1])], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, items[0]), (None, items[1]), (None, None)], "item_id long, text string")
+    for chars in (decontam.BLOCK_CHARS, 40):
+        monkeypatch.setattr(decontam, "BLOCK_CHARS", chars)
+        assert [r["doc_id"] for r in decontam.drop_contaminated(docs, bench).collect()] == [2]
+
+
 def test_very_long_text_and_blocks_of_items(spark, monkeypatch):
     rng = random.Random(5)
     words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(3000)]

@@ -276,14 +276,16 @@ def _joined(matches: list[tuple[int, int, int, int]]) -> list[tuple[int, int, in
     return [tuple(x) for x in out]
 
 
-def _indexes(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[Index]:
-    """An index for each block of items, a block having about ``BLOCK_CHARS`` characters."""
-    items = pick(benchmark, item_col, text_col).select(F.col(item_col).cast("long").alias("item"), F.col(text_col).alias("text"))
+def _indexes(benchmark: DataFrame, item_col: str, text_col: str, named: bool = True) -> Iterator[Index]:
+    """An index for each block of items, a block having about ``BLOCK_CHARS`` characters;
+    unless ``named``, of all items with a text, under no id of their own."""
+    item = F.col(item_col).cast("long") if named else F.lit(0)
+    items = pick(benchmark, item_col, text_col).select(item.alias("item"), F.col(text_col).alias("text"))
     items = items.where("item is not null and text is not null")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = math.ceil(chars / BLOCK_CHARS)
     for b in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).collect()
+        block = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()
         yield Index(sorted((r["item"], r["text"]) for r in block))
 
 
@@ -319,10 +321,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
                       item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` (all columns) that hold no benchmark item or piece of
-    one.  Decided next to the text, so nothing is shuffled."""
+    one, items without an id included.  Decided next to the text, so nothing is shuffled."""
     spark, rows, at = docs.sparkSession, numbered(docs), docs.columns.index(text_col)
     bounded_batches(spark)
-    for index in _indexes(benchmark, item_col, item_text_col):
+    for index in _indexes(benchmark, item_col, item_text_col, named=False):
         handle = spark.sparkContext.broadcast(cloudpickle.dumps(index))
 
         def run(batches: Iterator[pa.RecordBatch], handle=handle) -> Iterator[pa.RecordBatch]:
