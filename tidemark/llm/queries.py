@@ -8,13 +8,14 @@ brute-force version.
 
 from __future__ import annotations
 
+import string
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, hilbert, mixing, pii, secret_scan, simhash, topk, toxicity, url_filter, warc
+from . import decontam, hilbert, merkle, mixing, pii, quality, secret_scan, simhash, topk, toxicity, url_filter, warc
 from ..session import scratch_path
 from .common import read
 
@@ -164,3 +165,56 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_secrets")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_digest(secret_scan.find_secrets(read(spark, sf_dir, "documents")), ("assign", "access", "hex"))
+
+
+def _third(col: str) -> F.Column:
+    return F.crc32(F.col(col).cast("string").cast("binary")) % 3
+
+
+@_query("op11_quality")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = quality.train(docs, read(spark, sf_dir, "labels"), allowed=_third("id") != 1)
+    found = quality.score(docs, model)
+    return found.select(F.col("id").alias("doc_id"), (_third("id") == 1).alias("held_out"), "score",
+                        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+# CRC-32 by its table; both trees by a recursion over levels, the proofs by one up the levels.
+@_query("op12_merkle_manifest", sql="""
+WITH RECURSIVE crc_steps AS (SELECT i AS n, i AS v, 0 AS k FROM range(256) r(i)
+  UNION ALL SELECT n, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM crc_steps WHERE k < 8),
+crc AS (SELECT list(v ORDER BY n) AS t FROM crc_steps WHERE k = 8),
+d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || source, '') AS s,
+    concat(coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-'), coalesce(octet_length(encode(source)) || ':' || source, '-'),
+      coalesce(octet_length(encode(lang)) || ':' || lang, '-'), coalesce(octet_length(encode(CAST(n_chars AS VARCHAR))) || ':' || n_chars, '-')) AS head, text,
+    CASE WHEN xor(list_reduce(list_concat([4294967295], list_transform(range(length(CAST(doc_id AS VARCHAR))), lambda i: CAST(ascii(substr(CAST(doc_id AS VARCHAR), i + 1, 1)) AS BIGINT))),
+      lambda a, b: xor(a >> 8, crc.t[1 + (xor(a, b) & 255)])), 4294967295) % 5 = 0
+      THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS other FROM documents, crc),
+l AS (SELECT rid, doc_id, s, sha256(concat(head, coalesce(octet_length(encode(text)) || ':' || text, '-'))) AS h,
+    sha256(concat(head, coalesce(octet_length(encode(other)) || ':' || other, '-'))) AS h2 FROM d),
+p AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS FIRST, h, rid) - 1 AS pos, count(*) OVER (PARTITION BY s) AS n FROM l),
+tree AS (SELECT s, 0 AS level, pos, h, n FROM p
+  UNION ALL SELECT s, level + 1, pos // 16, sha256(string_agg(h, '' ORDER BY pos)), (n + 15) // 16 FROM tree WHERE n > 1 GROUP BY s, level, pos // 16, n),
+sub AS (SELECT s, h, row_number() OVER (ORDER BY encode(s)) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1),
+tops AS (SELECT 0 AS level, pos, h, n FROM sub
+  UNION ALL SELECT level + 1, pos // 16, sha256(string_agg(h, '' ORDER BY pos)), (n + 15) // 16 FROM tops WHERE n > 1 GROUP BY level, pos // 16, n),
+near AS (SELECT s, level, pos, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a,
+    coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b FROM tree WHERE n > 1 WINDOW w AS (PARTITION BY s, level, pos // 16 ORDER BY pos)),
+near2 AS (SELECT level, pos, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a,
+    coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b FROM tops WHERE n > 1 WINDOW w AS (PARTITION BY level, pos // 16 ORDER BY pos)),
+up AS (SELECT rid, s, 0 AS level, pos, n, '' AS proof, h2 AS f FROM p
+  UNION ALL SELECT rid, s, level + 1, pos // 16, (n + 15) // 16, proof || a || b, sha256(a || f || b) FROM up JOIN near USING (s, level, pos) WHERE n > 1),
+up2 AS (SELECT rid, 0 AS level, sub.pos, sub.n, proof, f FROM up JOIN sub USING (s) WHERE up.n = 1
+  UNION ALL SELECT rid, level + 1, pos // 16, (n + 15) // 16, proof || a || b, sha256(a || f || b) FROM up2 JOIN near2 USING (level, pos) WHERE n > 1)
+SELECT p.doc_id, p.h AS leaf, sub.h AS subroot, r.h AS root, sha256(up2.proof) AS proof_sha256, up2.f AS folded_root, up2.f = r.h AS verified
+FROM p JOIN up2 USING (rid) JOIN sub ON sub.s = p.s, (SELECT h FROM tops WHERE n = 1) r WHERE up2.n = 1""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def tampered(f: dict[str, F.Column]) -> dict[str, F.Column]:
+        hit = F.crc32(f["doc_id"].cast("string").cast("binary")) % 5 == 0
+        return f | {"text": F.when(hit, F.translate(f["text"], string.ascii_uppercase, string.ascii_lowercase)).otherwise(f["text"])}
+
+    found = merkle.proofs(read(spark, sf_dir, "documents"), altered=tampered)
+    found = found.withColumn("folded_root", merkle.fold(F.col("altered_leaf"), F.col("proof")))
+    return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", merkle.hashed(merkle.proof_text(F.col("proof"))).alias("proof_sha256"),
+                        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
