@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, hilbert, merkle, mixing, pii, quality, secret_scan, simhash, topk, toxicity, url_filter, warc
+from . import decontam, hilbert, merkle, mixing, pii, quality, secret_scan, simhash, topk, toxicity, trie, url_filter, warc
 from ..session import scratch_path
 from .common import read
 
@@ -218,3 +218,30 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = found.withColumn("folded_root", merkle.fold(F.col("altered_leaf"), F.col("proof")))
     return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", merkle.hashed(merkle.proof_text(F.col("proof"))).alias("proof_sha256"),
                         "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+# A node is the digest of its turns' digests; its subtree's nodes are found through their smallest members' prefixes.
+@_query("op13_conversation_trie", sql="""
+WITH RECURSIVE crc_steps AS (SELECT i AS n, i AS v, 0 AS k FROM range(256) r(i)
+  UNION ALL SELECT n, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM crc_steps WHERE k < 8),
+crc AS (SELECT list(v ORDER BY n) AS t FROM crc_steps WHERE k = 8),
+t AS (SELECT conv_id AS c, turn, octet_length(encode(coalesce(text, ''))) AS bytes,
+    sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS d FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, bytes, d, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, d) AS p FROM t),
+n AS (SELECT c, n, xor(list_reduce(list_concat([4294967295], list_transform(range(length(CAST(c AS VARCHAR))), lambda i: CAST(ascii(substr(CAST(c AS VARCHAR), i + 1, 1)) AS BIGINT))),
+    lambda a, b: xor(a >> 8, crc.t[1 + (xor(a, b) & 255)])), 4294967295) % 9 AS h FROM (SELECT c, count(*) AS n FROM o GROUP BY c), crc),
+b AS (SELECT n.c, n.n, n.h, least(n.h, coalesce(m.n, 0)) AS k FROM n LEFT JOIN n m ON m.c = n.c - n.c % 5),
+r AS (SELECT b.c, o.p AS i, d, bytes FROM b JOIN o ON o.c = b.c - b.c % 5 WHERE o.p <= b.h
+  UNION ALL SELECT b.c, o.p - b.h + b.k, d, bytes FROM b JOIN o ON o.c = b.c WHERE o.p > b.h),
+x AS (SELECT c, i, bytes, sha256(string_agg(d, '') OVER (PARTITION BY c ORDER BY i)) AS key FROM r),
+e AS (SELECT c, i, bytes, key, lag(key, 1, '') OVER (PARTITION BY c ORDER BY i) AS up, lead(key) OVER (PARTITION BY c ORDER BY i) IS NULL AS last FROM x
+  UNION ALL SELECT c, 0, 0, '', NULL, c NOT IN (SELECT c FROM x) FROM n),
+g AS (SELECT key, i AS depth, min(c) AS conv_id, any_value(up) AS up, count(*) AS n_convs, (count(*) - 1) * max(bytes) AS own,
+    sha256(coalesce(string_agg(CASE WHEN last THEN CAST(c AS VARCHAR) END, ',' ORDER BY c), '')) AS ends_sha256 FROM e GROUP BY key, i),
+k AS (SELECT up AS key, count(*) AS n_children FROM g WHERE up IS NOT NULL GROUP BY up),
+s AS (SELECT e.key, sum(own) AS saved, count(*) FILTER (WHERE k.key IS NULL) AS leaves FROM g JOIN e ON e.c = g.conv_id AND e.i <= g.depth LEFT JOIN k ON k.key = g.key GROUP BY e.key)
+SELECT g.conv_id, CAST(g.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, g.n_convs, coalesce(k.n_children, 0) AS n_children, s.leaves AS n_leaves,
+  CAST(s.saved AS BIGINT) AS saved_tokens, g.ends_sha256 FROM g JOIN s ON s.key = g.key LEFT JOIN k ON k.key = g.key LEFT JOIN g p ON p.key = g.up""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, convs = trie.rebuilt(trie.turns_of(read(spark, sf_dir, "conversations")))
+    return trie.trie(rows, convs)
