@@ -202,6 +202,23 @@ def wildcard_like_col(pattern_col) -> Column:
     return F.replace(p, F.lit("?"), F.lit("_"))
 
 
+def canonical_path(path) -> Column:
+    """A path without empty, ``.`` and ``..`` components (links are not followed): ``a/../b`` is ``b``,
+    ``/..`` is ``/``, and a relative path keeps the ``..`` that lead out of it."""
+    p = _c(path)
+    rooted = p.startswith("/")
+
+    def step(done: Column, part: Column) -> Column:
+        back = F.when((F.size(done) > 0) & (F.element_at(done, -1) != ".."), F.slice(done, F.lit(1), F.size(done) - 1)) \
+            .when(rooted, done).otherwise(F.concat(done, F.array(part)))
+        return F.when(part.isin("", "."), done).when(part == "..", back).otherwise(F.concat(done, F.array(part)))
+
+    folded = F.array_join(F.aggregate(F.split(p, "/", -1), F.array().cast("array<string>"), step), "/")
+    whole = F.when(rooted, F.concat(F.lit("/"), folded)).when(folded == "", F.lit(".")).otherwise(folded)
+    # most paths are plain already
+    return F.when(p.rlike(r"//|(?:^|/)\.\.?(?:/|$)|./$"), whole).otherwise(p)
+
+
 def wildcard_match(key, pattern) -> Column:
     """True when ``key`` matches the wildcard ``pattern`` (False when pattern is null).
 

@@ -17,53 +17,32 @@ from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import _c, is_paired
+from ..functions.columns import _c, canonical_path, is_paired
+from ..functions.patterns import InvalidPattern, PatternError, UnsupportedPattern, has_references, translate  # noqa: F401
 from ..schemas import DEFAULT_MANIFEST_NAME, MD5_LOG_PREFIX, MD5_LOG_SUFFIX
 
-# Constructs that Java accepts but whose meaning differs in a dialect, or that
-# it does not have.  Rejecting them keeps the meaning equal.
-_POSSESSIVE = r"(?<!\\)(?:[*+?]|\{[0-9]+(?:,[0-9]*)?\})\+|\(\?>"
-_JAVA_ONLY = r"\\[QEGZRXhH]"
-_DIFFERS = {
-    # the archive tool: no look-around, no back-references
-    "tool": re.compile(r"\(\?<?[=!]|\\[1-9]|\\k<|" + _POSSESSIVE + "|" + _JAVA_ONLY),
-    # the preview: look-around and back-references as in Java, no inline flags
-    "preview": re.compile(_POSSESSIVE + r"|\(\?[a-zA-Z-]+[:)]|" + _JAVA_ONLY),
-}
-_BACK_REFERENCE = re.compile(r"\\[1-9]|\\k<")
-
-
-class PatternError(ValueError):
-    pass
-
-
-def check_regex(pattern: str, dialect: str = "tool") -> str:
-    """Driver-side check of a user regex: syntax by the JVM's own compiler (which
-    will run it), and none of the constructs that mean something else in the
-    dialect the pattern was written for."""
-    if m := _DIFFERS[dialect].search(pattern):
-        raise PatternError(f"unsupported regex construct {m.group()!r}: {pattern!r}")
+def java_regex(pattern: str, dialect: str = "tool", ignore_case: bool = False) -> str:
+    """The Java pattern that matches what ``pattern`` does in its dialect, checked on
+    the driver by the JVM's own compiler (which will run it)."""
+    java = translate(pattern, dialect, ignore_case)
     context = SparkContext._active_spark_context
-    try:
-        if context is None:
-            re.compile(pattern)
-        else:
-            context._jvm.java.util.regex.Pattern.compile(pattern)
-    except (re.error, Py4JJavaError, IllegalArgumentException) as e:
-        raise PatternError(f"invalid regex {pattern!r}: {str(e).splitlines()[0]}") from None
-    return pattern
-
-
-def _any_match(col: Column, patterns: Sequence[str], flags: str = "(?U)") -> Column:
-    """True when any pattern is found in ``col``.  Several patterns are folded
-    into one alternation of non-capturing groups (inline flags stay scoped to
-    their group), so each row runs one regex however long the list is."""
+    if context is not None:
+        try:
+            context._jvm.java.util.regex.Pattern.compile(java)
+        except (Py4JJavaError, IllegalArgumentException) as e:
+            raise UnsupportedPattern(f"unsupported pattern {pattern!r}: {str(e).splitlines()[0]}") from None
+    return java
+
+
+def _any_match(col: Column, patterns: Sequence[str]) -> Column:
+    """True when any of these Java patterns is found in ``col``.  They are folded into
+    one alternation, so each row runs one regex however long the list is."""
     patterns = list(patterns)
     if not patterns:
         return F.lit(False)
-    if len(patterns) == 1 or any(_BACK_REFERENCE.search(p) for p in patterns):  # references count groups of their own pattern
-        return reduce(Column.__or__, [col.rlike(flags + p) for p in patterns])
-    return col.rlike(flags + "|".join(f"(?:{p})" for p in patterns))
+    if len(patterns) == 1 or any(has_references(p) for p in patterns):  # references count groups of their own pattern
+        return reduce(Column.__or__, [col.rlike(p) for p in patterns])
+    return col.rlike("|".join(f"(?:{p})" for p in patterns))
 
 
 def regex_keep(sample_title="sample_title", run_accession="run_accession",
@@ -74,22 +53,19 @@ def regex_keep(sample_title="sample_title", run_accession="run_accession",
 
     Unanchored, case-sensitive by default; a null title counts as ``''``.
     """
-    inc_s = [check_regex(p, dialect) for p in include_sample]
-    inc_r = [check_regex(p, dialect) for p in include_run]
-    exc_s = [check_regex(p, dialect) for p in exclude_sample]
-    exc_r = [check_regex(p, dialect) for p in exclude_run]
-    flags = "(?U)(?i)" if case_insensitive else "(?U)"
+    inc_s, inc_r, exc_s, exc_r = [[java_regex(p, dialect, case_insensitive) for p in group]
+                                  for group in (include_sample, include_run, exclude_sample, exclude_run)]
     s = F.coalesce(_c(sample_title), F.lit(""))
     r = F.coalesce(_c(run_accession), F.lit(""))
     keep = F.lit(True)
     if inc_s:
-        keep = keep & _any_match(s, inc_s, flags)
+        keep = keep & _any_match(s, inc_s)
     if inc_r:
-        keep = keep & _any_match(r, inc_r, flags)
+        keep = keep & _any_match(r, inc_r)
     if exc_s:
-        keep = keep & ~_any_match(s, exc_s, flags)
+        keep = keep & ~_any_match(s, exc_s)
     if exc_r:
-        keep = keep & ~_any_match(r, exc_r, flags)
+        keep = keep & ~_any_match(r, exc_r)
     return keep
 
 
@@ -116,13 +92,13 @@ def split_spec(text: str | None) -> list[str]:
 def preview_keep(filter_sample: str = "", filter_run: str = "", exclude_sample: str = "",
                  exclude_run: str = "") -> Column:
     """the interactive preview filter -- case-insensitive; an invalid pattern
-    anywhere keeps every row."""
+    anywhere keeps every row.  A valid one that Java cannot express is an error."""
     specs = [split_spec(t) for t in (filter_sample, filter_run, exclude_sample, exclude_run)]
     try:
         for group in specs:
             for p in group:
-                check_regex(p, "preview")
-    except PatternError:
+                java_regex(p, "preview", True)
+    except InvalidPattern:
         return F.lit(True)
     return regex_keep("sample_title", "run_accession", *specs, case_insensitive=True, dialect="preview")
 
@@ -149,12 +125,12 @@ def drop_artifacts(df: DataFrame, name: str = "filename", prefix: str = MD5_LOG_
                    path: str | None = None, manifest_path: str | None = None) -> DataFrame:
     """remove the tool's own logs and the manifest itself.
 
-    With ``path``/``manifest_path`` the manifest is matched on its full path,
-    otherwise on its file name.
+    With ``path``/``manifest_path`` the manifest is matched on its full path
+    (``.`` and ``..`` components folded), otherwise on its file name.
     """
     cond = ~is_md5_log(name, prefix)
     if path and manifest_path:
-        cond = cond & (F.col(path) != F.lit(manifest_path))
+        cond = cond & (canonical_path(path) != canonical_path(F.lit(manifest_path)))
     elif manifest_name:
         cond = cond & (F.col(name) != F.lit(manifest_name))
     return df.where(cond)
