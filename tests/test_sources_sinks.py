@@ -7,7 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators.catalog import lookup_catalog, match_catalog, missing_parts, volumes
+from tidemark.operators.catalog import known_names, lookup_catalog, match_catalog, missing_parts, volumes
 from tidemark.operators.filters import lint_catalog
 from tidemark.schemas import RUN_REPORT_COLUMNS
 from tidemark.sinks.writers import export_progress, write_gzip_text, write_mate_checksums, write_run_report
@@ -79,7 +79,8 @@ def test_catalog_match_and_lookup(spark):
     req = spark.createDataFrame([("ncbi_nt",), ("nope",)], "name string")
     got = {r["name"]: r for r in lookup_catalog(cat, req).collect()}
     assert got["ncbi_nt"]["found"] and not got["nope"]["found"]
-    assert got["nope"]["error"].endswith("Available: ncbi_nr, ncbi_nt, taxdb")
+    assert got["nope"]["error"] == "Unknown database 'nope'. Available: 3 databases"
+    assert [r["name"] for r in known_names(cat).collect()] == ["ncbi_nr", "ncbi_nt", "taxdb"]
     vol = {r["volume"]: r["n_objects"] for r in volumes(listing.where(F.col("bucket") != "other")).collect()}
     assert vol["nt.000"] == 2
     miss = missing_parts(listing.where(F.col("key").contains("nr.001")))
@@ -236,8 +237,101 @@ def test_report_round_trip_with_newlines_and_a_long_quoted_field(spark, tmp_path
     path = write_run_report(runs, str(tmp_path / "out"), accession="PRJ1")
     back = read_run_report(spark, path)
     assert {r["run_accession"]: r["sample_title"] for r in back.select("run_accession", "sample_title").collect()} == titles
-    back.explain()
-    assert "Exchange" not in capsys.readouterr().out
+    # a report without open quotes: its lines meet only broadcast tables
+    plain = runs.where("run_accession = 'R2'")
+    read_run_report(spark, write_run_report(plain, str(tmp_path / "plain"))).explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin [" not in plan and "Arrow" not in plan and plan.count("FileScan text") == 1
+    assert plan.count("Exchange hashpartitioning(file") == 1  # the table of blocks, one row each
+
+
+TITLES = ['5" y', "two\nlines", 'a "quoted" word', "tab\there", "", "\n\n# not a comment\n", "#3", 'x"', '"', "é\r\nü", "plain", '""', "ends in a tab\t"]
+
+
+def write_tsv(path, rows, quote_all=False):
+    def field(x):
+        bare = x is not None and (x.startswith('"') or any(c in x for c in "\t\n\r"))
+        return '"' + x.replace('"', '""') + '"' if bare or quote_all else x or ""
+    path.write_bytes("".join("\t".join(map(field, r)) + "\n" for r in rows).encode())
+
+
+def test_a_report_is_split_in_the_middle_of_fields(spark, tmp_path, monkeypatch):
+    """Blocks of a few bytes and chunks of a few lines: the rows are those of a reader that sees the whole."""
+    import csv
+    import io
+
+    from tidemark.sources import reports
+    rows = [(f"R{i}", TITLES[i % len(TITLES)], str(i)) for i in range(400)]
+    p = tmp_path / "r.tsv"
+    write_tsv(p, [("run_accession", "sample_title", "fastq_bytes"), *rows])
+    p.write_bytes(b"# Project Accession: \"P\n\n" + p.read_bytes().replace(b"R7\t", b"# a comment\n\nR7\t", 1) + b'R400\t"ab"cd\t1\n')
+    want = sorted([(r, t or "", b) for r, t, b in rows] + [("R400", "abcd", "1")])
+    lines = io.StringIO(p.read_text(), newline="")
+    assert len([r for r in csv.reader((x for x in lines if not x.startswith("# Project")), delimiter="\t")]) > 400  # a plain reader's view of the file
+    for block, chunk in ((1 << 27, reports.CHUNK_LINES), (700, 7), (64, 1)):
+        monkeypatch.setattr(reports, "CHUNK_LINES", chunk)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        try:
+            back = read_run_report(spark, str(p))
+            assert sorted(map(tuple, back.select("run_accession", "sample_title", "fastq_bytes").collect())) == want, (block, chunk)
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_bad_records_fail_or_are_kept_aside(spark, tmp_path):
+    from tidemark.sources.runs import report_rejects
+    (tmp_path / "a.tsv").write_text('run_accession\tsample_title\nR1\tok\nR2\nR3\ta\rb\nR4\t"a\nb"\textra\nR5\tok\n')
+    (tmp_path / "b.tsv").write_text('run_accession\tsample_title\nR6\tok\nR7\t"never closed\nR8\tlost\n')
+    (tmp_path / "c.tsv").write_text("run_accession\trun_accession\nR9\tx\n")
+    (tmp_path / "d.tsv").write_bytes("\ufeffrun_accession\tsample_title\r\nR10\tcr\r\n".encode())
+    (tmp_path / "e.tsv").write_text("")
+    good = read_run_report(spark, str(tmp_path), mode="quarantine")
+    assert sorted(r["run_accession"] for r in good.collect()) == ["R1", "R10", "R5", "R6"]
+    bad = [(r["source"][-5], r["line_no"], r["reason"].split(" of ")[0].split(" in ")[0]) for r in report_rejects(spark, str(tmp_path)).collect()]
+    assert sorted(bad) == [("a", 3, "ragged row at line 3"), ("a", 4, "bare carriage return at line 4"), ("a", 6, "ragged row at line 6"),
+                           ("b", 3, "a quote opened at line 3"), ("c", 2, "a column named twice")]
+    for name in "abc":
+        with pytest.raises(Exception):
+            read_run_report(spark, str(tmp_path / f"{name}.tsv")).collect()
+    with pytest.raises(ValueError):
+        read_run_report(spark, str(tmp_path), mode="skip")
+
+
+def test_rejects_of_the_other_parsers(spark):
+    from tidemark.operators.progress import log_rejects, parse_log_lines
+    from tidemark.sources.locators import extract_locators, locator_rejects
+    from tidemark.sources.manifest import manifest_rejects
+    from tidemark.sources.state import parse_chunk_state, parse_progress, progress_rejects, state_rejects
+    rows = lambda data, schema: spark.createDataFrame(data, schema)
+    state = rows([("a", '{"downloaded_chunks":[1]}'), ("b", "no"), ("c", '{"downloaded_chunks":[-1]}'), ("d", '{"x":1}')], "file_id string, state_json string")
+    progress = rows([('{"R":{"run_id":"R","stage":"pending"}}',), ("[1",), ("{ }",)], "json string")
+    log = rows([("[2024-01-01 00:00:00.000] [INFO] x",), ("junk",), (None,)], "line string")
+    xml = rows([("R1", "<RUN_SET><RUN/></RUN_SET>"), ("R2", "<RUN_SET><RUN></RUN_SET>"), ("R3", "")], "run_id string, xml string")
+    lines = rows([("f", 1, "0" * 32 + "  ok"), ("f", 2, " zz  bad "), ("f", 3, "# c")], "file string, line_no long, value string")
+    found = lambda df: sorted((r["source"] or "", r["line_no"], r["line"]) for r in df.collect())
+    shape = ["source", "line_no", "line", "reason"]
+    every = [state_rejects(state), progress_rejects(progress), log_rejects(log), locator_rejects(xml), manifest_rejects(lines)]
+    assert all(d.columns == shape for d in every)
+    assert [r[0] for r in found(every[0])] == ["b", "c", "d"] and [r[2] for r in found(every[1])] == ["[1"] and every[2].count() == 2
+    assert [r[0] for r in found(every[3])] == ["R2", "R3"] and found(every[4]) == [("f", 2, "zz  bad")]
+    for parse, df in ((parse_chunk_state, state), (parse_progress, progress), (parse_log_lines, log), (extract_locators, xml)):
+        parse(df).collect()
+        with pytest.raises(Exception):
+            parse(df, mode="fail").collect()
+
+
+def test_tags_of_any_length(spark):
+    """Long tags, many attributes and hostile quotes: no stack that grows with the tag."""
+    from tidemark.sources.locators import extract_locators
+    alt = '<Alternatives org="AWS" free_egress="worldwide" url="https://b.s3.amazonaws.com/k"/>'
+    docs = [f'<RUN {"x" * 200_000}><SRAFile md5="m1" size="5">{alt}</SRAFile></RUN>',
+            "<RUN " + " ".join(f'a{i}="v>{i}"' for i in range(20_000)) + f'><SRAFile md5="m2" size="6">{alt}</SRAFile></RUN>',
+            f"<RUN a='{'y' * 300_000}'><SRAFile md5='m3' size='7'>{alt}</SRAFile></RUN>", "<RUN " + "'" * 30_001 + alt]
+    df = spark.createDataFrame(list(enumerate(docs)), "i int, xml string")
+    got = {r["i"]: (r["md5"], r["size"]) for r in extract_locators(df).collect()}
+    assert [got[i] for i in range(3)] == [("m1", 5), ("m2", 6), ("m3", 7)]
 
 
 def test_ragged_report_fails(spark, tmp_path):

@@ -74,20 +74,21 @@ def match_catalog(catalog: DataFrame, listing: DataFrame, max_broadcast_rows: in
     return j.where(keep).select("name", "bucket", "key", "rel_key", "size", etag_md5("etag").alias("md5"))
 
 
-def lookup_catalog(catalog: DataFrame, requests: DataFrame, name: str = "name",
-                   max_listed: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def known_names(catalog: DataFrame) -> DataFrame:
+    """The names that :func:`lookup_catalog` knows, sorted."""
+    return catalog.select("name").where(F.col("name").isNotNull()).distinct().orderBy("name")
+
+
+def lookup_catalog(catalog: DataFrame, requests: DataFrame, name: str = "name") -> DataFrame:
     """Resolve requested names (an entry listed twice resolves to the one with
-    the smallest url); an unknown name gets an error listing the known names in
-    sorted order, or, beyond ``max_listed`` entries, only their number."""
+    the smallest url); an unknown name gets an error with the number of known ones
+    (:func:`known_names` has them)."""
     cat = bounded_broadcast(catalog.groupBy(F.col("name").alias(name)).agg(F.min(F.struct("s3_url", "database_type")).alias("_e"))
                             .select(name, "_e.s3_url", "_e.database_type"))
-    known = catalog.select("name").where(F.col("name").isNotNull()).distinct()
-    names = [r[0] for r in known.limit(max_listed + 1).collect()]  # bounded: configuration
-    available = ", ".join(sorted(names)) if len(names) <= max_listed else f"{known.count()} databases"
-    j = requests.join(cat, name, "left")
-    err = F.when(F.col("s3_url").isNull(),
-                 F.concat(F.lit("Unknown database '"), F.col(name), F.lit(f"'. Available: {available}")))
-    return j.withColumn("found", F.col("s3_url").isNotNull()).withColumn("error", err)
+    number = catalog.where(F.col("name").isNotNull()).agg(F.count_distinct("name").alias("_known"))
+    j = requests.join(cat, name, "left").crossJoin(F.broadcast(number))  # one row
+    err = F.when(F.col("s3_url").isNull(), F.format_string("Unknown database '%s'. Available: %d databases", F.col(name), F.col("_known")))
+    return j.withColumn("found", F.col("s3_url").isNotNull()).withColumn("error", err).drop("_known")
 
 
 def volume_objects(objects: DataFrame, key: str = "key") -> DataFrame:

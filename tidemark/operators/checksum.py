@@ -15,7 +15,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import basename
+from ..functions.columns import basename, canonical_path
 from .filters import drop_artifacts
 
 # The file reader runs in Spark's Python workers, which need no copy of this package.
@@ -74,11 +74,6 @@ def file_md5(spark, root: str, max_inline_bytes: int = 64 << 20) -> DataFrame:
     return filter_inventory(both, local_root).drop("rel_path")
 
 
-def _plain_path(path: Column) -> Column:
-    """A path without empty and ``.`` components."""
-    return F.regexp_replace(F.regexp_replace(path, r"/(\./)+", "/"), "//+", "/")
-
-
 def verify_manifest_at(entries: DataFrame, files: DataFrame, root: str, manifest_path: str | None = None,
                        filename: str = "filename", path: str = "path") -> DataFrame:
     """J1 as the tool does it: each entry names a file relative to ``root``
@@ -88,10 +83,10 @@ def verify_manifest_at(entries: DataFrame, files: DataFrame, root: str, manifest
     row per path (``path``, ``actual_md5``)."""
     at = F.when(F.startswith(filename, F.lit("/")), F.col(filename)).otherwise(
         F.concat(F.lit(root.rstrip("/") + "/"), filename))
-    e = drop_artifacts(entries, name=filename, manifest_name=None).withColumn("_at", _plain_path(at))
+    e = drop_artifacts(entries, name=filename, manifest_name=None).withColumn("_at", canonical_path(at))
     if manifest_path:
-        e = e.where(F.col("_at") != _plain_path(F.lit(manifest_path)))
-    f = files.groupBy(_plain_path(F.col(path)).alias("_at")).agg(F.min("actual_md5").alias("actual_md5"), F.count("*").alias("_n"))
+        e = e.where(F.col("_at") != canonical_path(F.lit(manifest_path)))
+    f = files.groupBy(canonical_path(F.col(path)).alias("_at")).agg(F.min("actual_md5").alias("actual_md5"), F.count("*").alias("_n"))
     j = e.withColumn("expected_md5", F.lower(F.col("md5"))).join(f, "_at", "left")
     status = (F.when(F.col("_n").isNull(), F.lit("MISSING"))
               .when(F.col("actual_md5") == F.col("expected_md5"), F.lit("OK")).otherwise(F.lit("MISMATCH")))

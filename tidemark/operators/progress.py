@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import _c, stage_percent
 from ..schemas import ACTIVE_STAGES, STAGES
+from ..sources.rejects import checked, reject_rows
 from .scan import hot_pieces, join_null_safe, ordered_scan
 
 NTZ_EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
@@ -151,35 +152,36 @@ def _interval_micros(window: str) -> int:
     return int(float(n) * mult[unit])
 
 
-def _sliding_speed_window(samples: DataFrame, feed: str, ts: str, bytes_: str, w_us: int) -> DataFrame:
+def _sliding_speed_window(samples: DataFrame, feed: str, ts: str, bytes_: str, w_us: int, seq: str) -> DataFrame:
     """W1 with per-feed windows (used when no feed is hot)."""
     s = samples.withColumn("_us", epoch_micros(ts))
-    by_feed = Window.partitionBy(feed).orderBy("_us")
+    by_feed = Window.partitionBy(feed).orderBy("_us", seq)
     s = s.withColumn("_drop", F.when(F.col(bytes_) < F.lag(bytes_).over(by_feed), 1).otherwise(0))
     s = s.withColumn("_epoch", F.sum("_drop").over(by_feed.rowsBetween(Window.unboundedPreceding, 0)))
-    by_epoch = Window.partitionBy(feed, "_epoch").orderBy("_us")
-    frame = by_epoch.rangeBetween(-w_us, 0)
-    point = F.struct(F.col("_us").alias("t"), F.col(bytes_).alias("b"))
-    s = (s.withColumn("_first", F.first(point).over(frame))
-         .withColumn("_n", F.count(F.lit(1)).over(frame))
-         .withColumn("_prev", F.lag(point).over(by_epoch)))
-    base = F.when(F.col("_n") > 1, F.col("_first")).otherwise(F.coalesce(F.col("_prev"), F.col("_first")))
+    by_epoch = Window.partitionBy(feed, "_epoch").orderBy("_us", seq)
+    # the range frame holds all samples of the current time; the oldest of the frame is the least in the total order
+    frame = Window.partitionBy(feed, "_epoch").orderBy("_us").rangeBetween(-w_us, 0)
+    s = s.withColumn("_at", F.row_number().over(by_epoch))
+    point = F.struct(F.col("_us").alias("t"), F.col("_at").alias("at"), F.col(bytes_).alias("b"))
+    s = s.withColumn("_first", F.min(point).over(frame)).withColumn("_prev", F.lag(point).over(by_epoch))
+    base = F.when(F.col("_first.at") < F.col("_at"), F.col("_first")).otherwise(F.coalesce(F.col("_prev"), F.col("_first")))
     dt = (F.col("_us") - base["t"]) / F.lit(1e6)
     speed = F.when(dt > 0, (F.col(bytes_) - base["b"]).cast("double") / F.greatest(dt, F.lit(0.001))) \
         .otherwise(F.lit(0.0))
     return s.withColumn("speed_bps", speed).withColumn("epoch", F.col("_epoch").cast("long")) \
-        .drop("_us", "_drop", "_epoch", "_first", "_n", "_prev")
+        .drop("_us", "_drop", "_epoch", "_first", "_at", "_prev")
 
 
 def sliding_speed(samples: DataFrame, feed: str = "feed", ts: str = "ts", bytes_: str = "bytes",
-                  window: str = "3 seconds", split: str | int = "auto") -> DataFrame:
+                  window: str = "3 seconds", split: str | int = "auto", seq: str | None = None) -> DataFrame:
     """Trailing-window throughput of a live byte counter, per feed.
 
     A drop of the counter starts a new epoch (history is cleared).  The
     baseline is the oldest sample inside ``[ts - window, ts]`` of the same
     epoch, or the previous sample of the epoch when only the current one is
     inside.  speed = (b1 - b0) / max(dt, 1 ms) in bytes per second, 0 when
-    dt <= 0.  Timestamps must be unique per feed.
+    dt <= 0.  Samples of equal timestamps follow ``seq``, or, without it, their counter
+    (those equal in both are interchangeable).
 
     When a feed is hot (``split``, detected once by default) the ordered
     steps are two split :func:`ordered_scan` passes (a feed is cut over many
@@ -193,11 +195,12 @@ def sliding_speed(samples: DataFrame, feed: str = "feed", ts: str = "ts", bytes_
     w_us = _interval_micros(window)
     if split == "auto":
         split = hot_pieces(samples, [feed])
+    seq = seq or bytes_
     if not split:
-        return _sliding_speed_window(samples, feed, ts, bytes_, w_us)
+        return _sliding_speed_window(samples, feed, ts, bytes_, w_us, seq)
     s = samples.withColumn("_us", epoch_micros(ts))
     # scan 1: previous sample and position within the feed
-    s = ordered_scan(s, [feed], ["_us"], lags={"_pb": bytes_, "_pt": "_us"}, row_number="_i", split=split)
+    s = ordered_scan(s, [feed], ["_us", seq], lags={"_pb": bytes_, "_pt": "_us"}, row_number="_i", split=split)
     s = s.withColumn("_drop", F.when(F.col(bytes_) < F.col("_pb"), 1).otherwise(0).cast("long"))
     # scan 2: samples and probes (ts - window) merged in time order, probes
     # first on ties: a sample's running drop count is its epoch; a probe's
@@ -228,11 +231,13 @@ def sliding_speed(samples: DataFrame, feed: str = "feed", ts: str = "ts", bytes_
             .drop("_us", "_pb", "_pt", "_drop", "_epoch", "_i", "_ff", "_e0", "_fi", "_t0", "_b0"))
 
 
-def instant_speed(samples: DataFrame, feed: str = "feed", ts: str = "ts", bytes_: str = "bytes") -> DataFrame:
+def instant_speed(samples: DataFrame, feed: str = "feed", ts: str = "ts", bytes_: str = "bytes", split: str | int = "auto",
+                  seq: str | None = None) -> DataFrame:
     """MiB/s since the previous sample of the feed:
     max(0, delta bytes) / 1024^2 / max(dt, 1e-6); null for the first sample.
+    Samples of equal timestamps follow ``seq``, or, without it, their counter.
     (Hot-feed safe ordered scan.)"""
-    s = ordered_scan(samples.withColumn("_us", epoch_micros(ts)), [feed], ["_us"],
+    s = ordered_scan(samples.withColumn("_us", epoch_micros(ts)), [feed], ["_us", seq or bytes_], split=split,
                      lags={"_pb": bytes_, "_pt": "_us"})
     dt = (F.col("_us") - F.col("_pt")) / F.lit(1e6)
     v = (F.greatest(F.lit(0).cast("long"), F.col(bytes_) - F.col("_pb")).cast("double") / F.lit(1024.0 * 1024.0)
@@ -274,14 +279,23 @@ def running_bytes(samples: DataFrame, key: str = "run_id", order: tuple = ("ts",
 _LOG_RE = r"^\[([^\]]*)\] \[([A-Za-z]+)\] (.*)$"
 
 
-def parse_log_lines(df: DataFrame, line: str = "line") -> DataFrame:
+def _log_reason(l: Column) -> Column:
+    return F.when(~F.coalesce(l.rlike(_LOG_RE), F.lit(False)), F.lit("not a log line"))
+
+
+def log_rejects(df: DataFrame, line: str = "line", source: str | None = None, line_no: str | None = None) -> DataFrame:
+    """Lines that are no log lines, as (source, line_no, line, reason)."""
+    return reject_rows(df, _log_reason(F.col(line)), F.col(source) if source else F.lit(None), F.col(line), F.col(line_no) if line_no else None)
+
+
+def parse_log_lines(df: DataFrame, line: str = "line", mode: str = "quarantine") -> DataFrame:
     """``[YYYY-MM-DD HH:MM:SS.mmm] [LEVEL] message`` -> ts (timestamp
     without zone), level (upper case), message; lines that do not match get
-    null fields."""
+    null fields (:func:`log_rejects` has them) or, with ``mode='fail'``, fail."""
     l = F.col(line)
     ok = l.rlike(_LOG_RE)
     ts = F.to_timestamp_ntz(F.regexp_extract(l, _LOG_RE, 1), F.lit("yyyy-MM-dd HH:mm:ss.SSS"))
-    return (df.withColumn("ts", F.when(ok, ts))
+    return (checked(df, _log_reason(l), mode).withColumn("ts", F.when(ok, ts))
               .withColumn("level", F.when(ok, F.upper(F.regexp_extract(l, _LOG_RE, 2))))
               .withColumn("message", F.when(ok, F.regexp_extract(l, _LOG_RE, 3))))
 

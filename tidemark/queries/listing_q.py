@@ -220,7 +220,7 @@ def q_catalog_lookup(spark, sf):
 
 register("catalog_lookup", with_views(f"""SELECT r.name, c.s3_url IS NOT NULL AS found, c.s3_url,
   CASE WHEN c.s3_url IS NULL THEN 'Unknown database ''' || r.name || '''. Available: '
-    || (SELECT string_agg(name, ', ' ORDER BY name) FROM catalog_entries) END AS error
+    || (SELECT count(DISTINCT name) FROM catalog_entries) || ' databases' END AS error
 FROM ({_REQ_NAMES}) r LEFT JOIN catalog_entries c ON c.name = r.name""",
                                       "object_listing", "catalog_entries"))(q_catalog_lookup)
 

@@ -103,13 +103,13 @@ FROM s""", "run_report", "transfer_events"))(q_overall_percent)
 
 # ----------------------------------------------------------------- W2
 def _instant(spark, sf):
-    return instant_speed(_events(spark, sf), feed="run_id", ts="ts", bytes_="bytes_done")
+    return instant_speed(_events(spark, sf), feed="run_id", ts="ts", bytes_="bytes_done", seq="event_id")
 
 
 _W2_SQL = """w2 AS (SELECT *, CASE WHEN lag(bytes_done) OVER w IS NOT NULL THEN
     greatest(0, bytes_done - lag(bytes_done) OVER w) / 1024.0 / 1024.0
       / greatest((epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 1e6, 1e-6) END AS speed_mbps
-  FROM transfer_events WINDOW w AS (PARTITION BY run_id ORDER BY epoch_us(ts)))"""
+  FROM transfer_events WINDOW w AS (PARTITION BY run_id ORDER BY epoch_us(ts), event_id))"""
 
 
 def q_instant_speed(spark, sf):
@@ -161,20 +161,20 @@ FROM transfer_events""", "transfer_events"))(q_failure_summary)
 
 # ----------------------------------------------------------------- W1
 def q_sliding_speed(spark, sf):
-    s = sliding_speed(_events(spark, sf), feed="run_id", ts="ts", bytes_="bytes_done", window=SPEED_WINDOW)
+    s = sliding_speed(_events(spark, sf), feed="run_id", ts="ts", bytes_="bytes_done", window=SPEED_WINDOW, seq="event_id")
     return s.select("event_id", F.col("epoch").cast("bigint").alias("epoch"), F.round("speed_bps", 6).alias("speed_bps"))
 
 
 register("sliding_speed", with_views("""a AS (SELECT *, epoch_us(ts) AS us,
-    CASE WHEN bytes_done < lag(bytes_done) OVER (PARTITION BY run_id ORDER BY epoch_us(ts)) THEN 1 ELSE 0 END AS drp
+    CASE WHEN bytes_done < lag(bytes_done) OVER (PARTITION BY run_id ORDER BY epoch_us(ts), event_id) THEN 1 ELSE 0 END AS drp
   FROM transfer_events),
-b AS (SELECT *, sum(drp) OVER (PARTITION BY run_id ORDER BY us ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+b AS (SELECT *, sum(drp) OVER (PARTITION BY run_id ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
     AS epoch FROM a),
 c AS (SELECT *,
     first_value(us) OVER f AS t0, first_value(bytes_done) OVER f AS b0, count(*) OVER f AS n,
     lag(us) OVER e AS tp, lag(bytes_done) OVER e AS bp
   FROM b WINDOW f AS (PARTITION BY run_id, epoch ORDER BY us RANGE BETWEEN 21600000000 PRECEDING AND CURRENT ROW),
-    e AS (PARTITION BY run_id, epoch ORDER BY us)),
+    e AS (PARTITION BY run_id, epoch ORDER BY us, event_id)),
 d AS (SELECT event_id, epoch, bytes_done, us,
     CASE WHEN n > 1 THEN t0 ELSE coalesce(tp, t0) END AS bt,
     CASE WHEN n > 1 THEN b0 ELSE coalesce(bp, b0) END AS bb FROM c)

@@ -21,14 +21,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import _c, _u64_or_null, resolve_url_pair
+from .rejects import check_mode, checked, reject_rows
 
-# Start or empty-element tags; quoted attribute values may contain '>'.
-_TAG = r"""<[A-Za-z_](?:[^>"']|"[^"]*"|'[^']*')*>"""
+# Start or empty-element tags; quoted attribute values may contain '>'.  Possessive, so that
+# a tag of any length is matched without a stack that grows with it.
+_TAG = r"""<[A-Za-z_](?:[^<>"']++|"[^"]*+"|'[^']*+')*+>"""
 _NAME = r"""^<(?:[^\s/>:]+:)?([^\s/>]+)"""
 
 
 def _attr_re(name: str) -> str:
-    return r"""(?i)\s""" + name + r"""\s*=\s*(?:"([^"]*)"|'([^']*)')"""
+    return r"""(?i)\s""" + name + r"""\s*+=\s*+(?:"([^"]*+)"|'([^']*+)')"""
 
 
 def _attr(tag: Column, name: str) -> Column:
@@ -38,17 +40,31 @@ def _attr(tag: Column, name: str) -> Column:
     return v
 
 
-def extract_locators(df: DataFrame, xml: str = "xml") -> DataFrame:
-    """Adds s3_uri, http_url, md5, size (all null when no locator qualifies)."""
+def _xml_reason(xml: Column) -> Column:
+    whole = F.from_xml(xml, "_bad string, _any string", {"columnNameOfCorruptRecord": "_bad"})
+    return F.when(F.trim(F.coalesce(xml, F.lit(""))) == "", F.lit("no document")).when(whole["_bad"].isNotNull(), F.lit("bad xml"))
+
+
+def locator_rejects(df: DataFrame, xml: str = "xml", run: str = "run_id") -> DataFrame:
+    """Documents that are no well-formed XML, as (source, line_no, line, reason)."""
+    return reject_rows(df, _xml_reason(F.col(xml)), F.col(run), F.col(xml))
+
+
+def extract_locators(df: DataFrame, xml: str = "xml", mode: str = "quarantine") -> DataFrame:
+    """Adds s3_uri, http_url, md5, size (all null when no locator qualifies).  A
+    document that is no well-formed XML is read as far as its tags go
+    (:func:`locator_rejects` has it); ``mode='fail'`` fails on it."""
+    if check_mode(mode) == "fail":
+        df = checked(df, _xml_reason(F.col(xml)), mode)
     tags = F.regexp_extract_all(_c(xml), F.lit(_TAG), 0)
     staged = df.withColumn("_tags", tags).withColumn(
         "_names", F.transform("_tags", lambda t: F.lower(F.regexp_extract(t, _NAME, 1))))
     idx = F.sequence(F.lit(1), F.greatest(F.size("_tags"), F.lit(1)))
 
     def qualifies(i):
-        t = F.element_at(F.col("_tags"), i)
+        t = F.try_element_at(F.col("_tags"), i)
         url = _attr(t, "url")
-        return ((F.element_at(F.col("_names"), i) == "alternatives")
+        return ((F.try_element_at(F.col("_names"), i) == "alternatives")
                 & (F.lower(_attr(t, "org")) == "aws")
                 & (F.lower(_attr(t, "free_egress")) == "worldwide")
                 & (F.coalesce(url, F.lit("")) != "")
@@ -57,10 +73,10 @@ def extract_locators(df: DataFrame, xml: str = "xml") -> DataFrame:
     alt_i = F.array_min(F.transform(idx, lambda i: F.when((F.size("_tags") > 0) & qualifies(i), i)))
     staged = staged.withColumn("_alt", alt_i)
     reset_i = F.array_max(F.transform(idx, lambda i: F.when(
-        F.element_at(F.col("_names"), i).isin("srafile", "run") & (i < F.col("_alt")), i)))
+        F.try_element_at(F.col("_names"), i).isin("srafile", "run") & (i < F.col("_alt")), i)))
     staged = staged.withColumn("_rst", reset_i)
-    alt_tag = F.element_at(F.col("_tags"), F.col("_alt"))
-    rst_tag = F.when(F.col("_rst").isNotNull(), F.element_at(F.col("_tags"), F.col("_rst")))
+    alt_tag = F.try_element_at(F.col("_tags"), F.col("_alt"))
+    rst_tag = F.when(F.col("_rst").isNotNull(), F.try_element_at(F.col("_tags"), F.col("_rst")))
     pair = resolve_url_pair(_attr(alt_tag, "url"))
     found = F.col("_alt").isNotNull()
     size = F.coalesce(_u64_or_null(_attr(rst_tag, "size")), F.lit(0).cast("decimal(20,0)"))

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import fail_if, trim_ws
 from ..operators.filters import is_md5_log
+from .rejects import reject_rows
 from .text import read_numbered_lines
 
 
 def parse_manifest_lines(lines: DataFrame, value: str = "value", line_no: str = "line_no",
-                         file: str = "file", mode: str = "quarantine") -> DataFrame:
+                         file: str = "file", mode: str = "quarantine", keep: str | None = None) -> DataFrame:
     """md5sum-style lines -> (file, line_no, md5, filename[, error]).
 
     The line is trimmed; empty lines and ``#`` comments are skipped; it is split
@@ -29,7 +30,7 @@ def parse_manifest_lines(lines: DataFrame, value: str = "value", line_no: str =
              .when(~md5.rlike("^[0-9a-f]{32}$"),
                    F.format_string("Invalid MD5 on line %d in %s: %s", F.col(line_no), F.col(file), md5)))
     out = kept.select(F.col(file).alias("file"), F.col(line_no).alias("line_no"), md5.alias("md5"),
-                      name.alias("filename"), error.alias("error"))
+                      name.alias("filename"), error.alias("error"), *([F.col(keep)] if keep else []))
     if mode == "fail":
         return fail_if(out, F.col("error").isNotNull(), F.col("error")).drop("error")
     if mode != "quarantine":
@@ -38,6 +39,12 @@ def parse_manifest_lines(lines: DataFrame, value: str = "value", line_no: str =
         .withColumn("filename", F.when(F.col("error").isNull(), F.col("filename")))
 
 
+def manifest_rejects(lines: DataFrame, value: str = "value", line_no: str = "line_no", file: str = "file") -> DataFrame:
+    """The bad lines as (source, line_no, line, reason); the line is trimmed."""
+    bad = parse_manifest_lines(lines.withColumn("_line", trim_ws(value)), value, line_no, file, keep="_line")
+    return reject_rows(bad, F.col("error"), F.col("file"), F.col("_line"), F.col("line_no"))
+
+
 def read_manifest(spark: SparkSession, path: str, mode: str = "fail") -> DataFrame:
     """S5 source: read manifest files with line numbers and parse them."""
     return parse_manifest_lines(read_numbered_lines(spark, path), mode=mode)

@@ -8,20 +8,12 @@ archive tool defaults to ``''`` get that default.
 
 from __future__ import annotations
 
-import csv
-import io
-import sys
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.runs import normalize_report, union_reports
-
-# The parser runs in Spark's Python workers, which need no copy of this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from .rejects import reject_rows
+from .reports import read_tsv_by_header
 
 
 def _tsv(spark: SparkSession, path: str, recursive: bool = False, multiline: bool = False):
@@ -33,63 +25,22 @@ def _tsv(spark: SparkSession, path: str, recursive: bool = False, multiline: boo
     return r.csv(path)
 
 
-def read_run_report(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+def read_run_report(spark: SparkSession, path: str, recursive: bool = False, mode: str = "fail") -> DataFrame:
     """One or more run-report TSV files -> the 49 report columns.
 
     Every file is mapped by its own header (Spark's CSV reader would map the
     later files of a directory by position), ``#`` lines are skipped, fields
-    may be quoted (tabs, newlines and doubled quotes inside quotes)."""
-    return _report_columns(read_tsv_by_header(spark, path, recursive=recursive))
-
-
-def _records(text: str) -> Iterator[tuple[int, list[str]]]:
-    """(line number, fields) of the records of one file; lines that start with
-    ``#`` outside quotes are skipped, as are blank ones."""
-    at, open_quote = [0], False
-
-    def lines():
-        nonlocal open_quote
-        for line in io.StringIO(text, newline=""):
-            at[0] += 1
-            if not open_quote and (line.startswith("#") or not line.strip("\r\n")):
-                continue
-            open_quote ^= line.count('"') % 2 == 1
-            yield line
-
-    csv.field_size_limit(1 << 30)
-    for fields in csv.reader(lines(), delimiter="\t", quotechar='"', doublequote=True, strict=True):
-        yield at[0], fields
-
-
-def _parse_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("file", pa.string()), ("line_no", pa.int64()), ("row", pa.map_(pa.string(), pa.string()))])
-    for batch in batches:
-        for name, content in zip(batch.column("path"), batch.column("content")):
-            records = _records(content.as_py().decode("utf-8"))
-            _, header = next(records, (0, []))
-            out = []
-            for line_no, fields in records:
-                if len(fields) != len(header):
-                    raise ValueError(f"ragged row at line {line_no} of {name.as_py()}")
-                out.append((name.as_py(), line_no, [(k, v or None) for k, v in zip(header, fields)]))
-                if len(out) == 5000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
-
-
-def read_tsv_by_header(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
-    """(file, line_no, row): the records of many TSV files, each mapped to the
-    names in its own header; ``line_no`` is the record's last line.
-
-    A file whose quotes may hold newlines cannot be split, so each file is read by
-    one task, which has its header at hand: nothing is joined or shuffled.  Ragged
-    rows fail the job, as they do in the archive tool."""
-    r = spark.read.format("binaryFile")
-    if recursive:
-        r = r.option("recursiveFileLookup", "true")
-    return r.load(path).select("path", "content").mapInArrow(_parse_files, "file string, line_no long, row map<string,string>")
+    may be quoted (tabs, newlines and doubled quotes inside quotes).  A file is
+    read by many tasks.  Bad records fail the job; ``mode='quarantine'`` leaves
+    them out here, and :func:`report_rejects` returns them."""
+    parsed = read_tsv_by_header(spark, path, recursive=recursive, mode=mode)
+    return _report_columns(parsed if mode == "fail" else parsed.where("error is null"))
+
+
+def report_rejects(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+    """The records that ``read_run_report(mode='quarantine')`` leaves out: (source, line_no, line, reason)."""
+    bad = read_tsv_by_header(spark, path, recursive=recursive, mode="quarantine").where("error is not null")
+    return reject_rows(bad, F.col("error"), F.col("file"), F.col("line"), F.col("line_no"))
 
 
 def read_run_report_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
@@ -109,12 +60,13 @@ def _report_columns(parsed: DataFrame, extra: dict | None = None) -> DataFrame:
     return parsed.select(*cols)
 
 
-def read_accession_reports(spark: SparkSession, root: str, pattern: str = r"([^/]+)_metadata/[^/]*$") -> DataFrame:
+def read_accession_reports(spark: SparkSession, root: str, pattern: str = r"([^/]+)_metadata/[^/]*$", mode: str = "fail") -> DataFrame:
     """A landing directory with one report per accession; the accession
     is taken from the path (``<acc>_metadata/...`` by default).  Reports may
     carry different column sets; each row is mapped by its own file's header.
     """
-    parsed = read_tsv_by_header(spark, root, recursive=True)
+    parsed = read_tsv_by_header(spark, root, recursive=True, mode=mode)
+    parsed = parsed if mode == "fail" else parsed.where("error is null")
     acc = F.regexp_extract(F.col("file"), pattern, 1)
     return _report_columns(parsed, {"accession": F.nullif(acc, F.lit(""))})
 
