@@ -110,11 +110,11 @@ SELECT 'SRR' || lpad(cast(o_orderkey AS string), 8, '0') AS file_id,
 FROM orders
 """
 
-# Finished chunk ids (repeats and ids outside the plan included).
+# Finished chunk ids (repeats included; those of returned lines lie outside the plan).
 VIEWS["chunk_state"] = """
 SELECT 'SRR' || lpad(cast(l_orderkey AS string), 8, '0') AS file_id,
-  cast(l_linenumber - 1 AS bigint) AS chunk_id
-FROM lineitem WHERE l_returnflag <> 'A'
+  cast(l_linenumber - 1 + CASE WHEN l_returnflag = 'A' THEN 1000000 ELSE 0 END AS bigint) AS chunk_id
+FROM lineitem
 """
 
 # Chunk-state documents (S9): valid lists with repeats, invalid JSON, a
@@ -174,6 +174,27 @@ SELECT event_id, ts, 'SRR' || lpad(cast(user_id AS string), 8, '0') AS run_id,
 FROM events
 """
 
+# Tagged JSON events (S12): ``k`` picks the kind -- 3 has an unknown type, 4 is no JSON,
+# 5 lacks a field, 7 has a field of another kind, 6 has no data.
+VIEWS["tagged_lines"] = """
+SELECT event_id, k, CASE k WHEN 0 THEN '{"type":"Log","data":{"level":"INFO","message":"run ' || run_id || '"}}'
+    WHEN 1 THEN '{"data":{"total":' || b || ',"more":1},"type":"Started"}'
+    WHEN 2 THEN '{"type":"Error","data":{"message":"' || coalesce(error, 'none') || '"}}'
+    WHEN 3 THEN '{"type":"Paused","data":{"run_id":"' || run_id || '"}}'
+    WHEN 4 THEN 'not json ' || run_id
+    WHEN 5 THEN '{"type":"Progress","data":{"run_id":"' || run_id || '","percent":1}}'
+    WHEN 6 THEN '{"type":"Completed"}'
+    WHEN 7 THEN '{"type":"Started","data":{"total":"' || run_id || '"}}'
+    ELSE '{"type":"Progress","data":{"run_id":"' || run_id || '","percent":' || cast(bytes_done % 100 AS string)
+      || ',"status":"' || stage || '","speed_mbps":' || cast(bytes_done % 1000 AS string) || '.5}}' END AS line
+FROM (SELECT event_id, event_id % 11 AS k, 'SRR' || lpad(cast(user_id AS string), 8, '0') AS run_id,
+        CASE event_type WHEN 'signup' THEN 'downloading' WHEN 'view' THEN 'extracting' WHEN 'click' THEN 'compressing'
+          WHEN 'purchase' THEN 'completed' ELSE 'failed' END AS stage,
+        cast(floor(value * 1000) AS bigint) AS bytes_done, cast(cast(floor(value * 1000) AS bigint) AS string) AS b,
+        CASE WHEN event_type = 'error' THEN 'error ' || cast(event_id % 5 AS string) END AS error
+      FROM events) t
+"""
+
 # Transfer log lines.
 VIEWS["log_lines"] = """
 SELECT event_id, '[' || cast(date_trunc('second', ts) AS string) || '.000] ['

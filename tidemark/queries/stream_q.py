@@ -1,7 +1,7 @@
-"""Streaming queries (T1-T6): each drives a stream over the landed driver
-table (a file stream source on the parquet file), derives the domain view on
-the stream, runs it to completion with ``availableNow`` into a parquet sink
-in the shared checkpoint folder and returns the sink as a DataFrame.  The
+"""Streaming queries (S12, T1-T8): each lands the driver table in parts, one per
+micro-batch, derives the domain view on the stream, runs it to completion with
+``availableNow`` into a parquet sink in the shared checkpoint folder and returns
+the sink as a DataFrame.  The
 oracles are the batch definitions, restricted where append mode only emits
 windows the final watermark has closed."""
 
@@ -15,54 +15,50 @@ from ..fixtures import VIEWS, register_tables, view, with_views
 from ..fixtures import table as table_scan
 from ..operators.progress import status_counts
 from ..session import scratch_path
-from ..streaming.streams import (event_time, read_updates, run_stream, stream_counts, stream_dedupe, stream_latest,
-                                 ingest_incremental, stream_retries, stream_sessions, stream_source, stream_speed)
+from ..sources.tagged import read_tagged
+from ..streaming.streams import (event_time, ingest_incremental, read_split, read_updates, run_late_split, run_stream, stream_counts,
+                                 stream_dedupe, stream_final, stream_latest, stream_retries, stream_sessions, stream_source, stream_speed)
 from . import register
 
 ATTEMPT_ORDER = ["p", "q", "n", "x", "dsc", "tx", "ok", "kind", "progressed"]
 
 
-def _stream_view(spark, sf, table: str, view: str, name: str):
-    """Streaming version of a fixture view: the table as a file stream, the
-    view's SQL applied on top."""
-    register_tables(spark, sf, [table] + (["orders"] if table == "events" else []))
-    schema = table_scan(spark, sf, table).schema
-    src = _file_stream(spark, sf, table, schema)
-    tmp = f"{table}_stream_{name}"
-    src.createOrReplaceTempView(tmp)
-    df = spark.sql(VIEWS[view].replace(f"FROM {table}", f"FROM {tmp}"))
-    return df.withColumn("event_ts", event_time("ts"))
+def _land(rows, part, src: str, batches: int = 3) -> int:
+    """Write ``rows`` in parts that land one after another, each in as many files;
+    returns that number, which read per trigger makes a part one micro-batch."""
+    rows = rows.withColumn("_part", part)
+    counts = [r["n"] for r in rows.groupBy("_part").agg(F.count("*").alias("n")).collect()]  # one row per part
+    files = max(1, min([rows.sparkSession.sparkContext.defaultParallelism, *[n // 64 for n in counts]]))
+    for b in range(batches):
+        rows.where(F.col("_part") == b).drop("_part").repartition(files).write.mode("append").parquet(src)
+    return files
 
 
-def _file_stream(spark, sf, table, schema):
-    """A file stream over one landed table file (the stream source needs a
-    directory, so the table's file is picked with a glob filter)."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf)
+def _by_time(rows, col: str, batches: int = 3):
+    """The part of a row when parts follow each other in ``col``."""
+    us = F.unix_micros(F.col(col).cast("timestamp"))
+    lo, hi = rows.agg(F.min(us), F.max(us)).first()
+    return F.least(F.floor((us - lo) * batches / max(1, hi - lo)), F.lit(batches - 1))
 
 
 def _landed_view(spark, sf, table: str, view: str, name: str, batches: int = 3, by_time: str | None = None):
     """Streaming version of a fixture view over files that landed one after
-    another: the table is written in ``batches`` parts and read a file per
+    another: the table is written in ``batches`` parts and read a part per
     micro-batch, so that state has to carry over from batch to batch.  With
     ``by_time`` the parts follow each other in that column, so none is late."""
     register_tables(spark, sf, [table] + (["orders"] if table == "events" else []))
     rows, src = table_scan(spark, sf, table), scratch_path(spark, f"landed_{name}_{uuid.uuid4().hex}")
-    part = F.pmod(F.xxhash64(*rows.columns), F.lit(batches))
-    if by_time:
-        us = F.unix_micros(F.col(by_time).cast("timestamp"))
-        lo, hi = rows.agg(F.min(us), F.max(us)).first()
-        part = F.least(F.floor((us - lo) * batches / max(1, hi - lo)), F.lit(batches - 1))
-    for b in range(batches):
-        rows.where(part == b).coalesce(1).write.mode("append").parquet(src)
-    stream_source(spark, src, rows.schema, max_files_per_trigger=1).createOrReplaceTempView(f"{table}_landed_{name}")
+    part = _by_time(rows, by_time, batches) if by_time else F.pmod(F.xxhash64(*rows.columns), F.lit(batches))
+    files = _land(rows, part, src, batches)
+    stream_source(spark, src, rows.schema, max_files_per_trigger=files).createOrReplaceTempView(f"{table}_landed_{name}")
     df = spark.sql(VIEWS[view].replace(f"FROM {table}", f"FROM {table}_landed_{name}"))
     return df.withColumn("event_ts", event_time("ts"))
 
 
-def _run(df, out, ck, mode):
+def _run(df, out, ck, mode, **compaction):
     """Run to completion with one state partition per core."""
     par = df.sparkSession.sparkContext.defaultParallelism
-    run_stream(df, out, ck, mode=mode, state_partitions=par).awaitTermination()
+    run_stream(df, out, ck, mode=mode, state_partitions=par, **compaction).awaitTermination()
 
 
 def _paths(spark, name):
@@ -96,7 +92,8 @@ def q_stream_window_counts(spark, sf):
     # update mode: each batch writes only the windows it changed, and the watermark drops old ones from the state
     ev = _landed_view(spark, sf, "events", "transfer_events", "t3", by_time="ts")
     out, ck = _paths(spark, "t3")
-    _run(stream_counts(ev, "event_ts", "stage", "1 day", "1 hour"), out, ck, "update")
+    _run(stream_counts(ev, "event_ts", "stage", "1 day", "1 hour"), out, ck, "update",
+         compact_keys=["window_start", "stage"], compact_every=2)
     r = read_updates(spark, out, ["window_start", "stage"])
     return r.select(F.unix_micros("window_start").alias("window_start_us"), "stage", F.col("n").cast("bigint").alias("n"))
 
@@ -146,12 +143,86 @@ SELECT run_id, start_us, end_us, events, max_bytes FROM x, m WHERE end_us <= wm"
                                        "transfer_events"))(q_stream_sessions)
 
 
+# ----------------------------------------------------------------- T1 with an end
+def q_stream_final_states(spark, sf):
+    ev = _landed_view(spark, sf, "events", "transfer_events", "t1f", by_time="ts")
+    out, ck = _paths(spark, "t1f")
+    _run(stream_final(ev, idle="6 hours", lateness="1 hour"), out, ck, "append")
+    r = spark.read.parquet(out)
+    return r.select("run_id", "event_id", "stage", "bytes_done", F.col("events").cast("bigint").alias("events"),
+                    F.unix_micros("closed_at").alias("closed_us"))
+
+
+register("stream_final_states", with_views("""e AS (SELECT run_id, event_id, stage, bytes_done, epoch_us(ts) AS us FROM transfer_events),
+g AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY run_id ORDER BY us) < 21600000000 THEN 0 ELSE 1 END AS brk FROM e),
+s AS (SELECT *, sum(brk) OVER (PARTITION BY run_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS sid FROM g),
+x AS (SELECT *, count(*) OVER (PARTITION BY run_id, sid) AS events, max(us) OVER (PARTITION BY run_id, sid) + 21600000000 AS closed_us,
+    row_number() OVER (PARTITION BY run_id, sid ORDER BY us DESC, event_id DESC) AS rn FROM s),
+m AS (SELECT max(us) - 3600000000 AS wm FROM e)
+SELECT run_id, event_id, stage, bytes_done, cast(events AS BIGINT) AS events, closed_us FROM x, m
+WHERE rn = 1 AND closed_us <= wm""", "transfer_events"))(q_stream_final_states)
+
+
+# ----------------------------------------------------------------- S12
+def q_stream_tagged_events(spark, sf):
+    """One JSON stream of several kinds of events, dispatched by tag, bad lines among them."""
+    lines, src = view(spark, sf, "tagged_lines"), scratch_path(spark, f"tagged_{uuid.uuid4().hex}")
+    lines.select("line").write.text(src)
+    out, ck = _paths(spark, "s12")
+    _run(read_tagged(spark, src), out, ck, "append")
+    r = spark.read.parquet(out)
+    return r.select("tag", "progress.run_id", "progress.percent", "progress.status", "progress.speed_mbps", "log.level",
+                    F.coalesce("log.message", "error.message").alias("message"), "started.total", "reason",
+                    F.when(F.col("reason").isNotNull(), F.md5("value")).alias("line_md5"))
+
+
+register("stream_tagged_events", with_views("""t AS (SELECT l.line, l.k, e.* FROM tagged_lines l JOIN transfer_events e USING (event_id))
+SELECT CASE k WHEN 0 THEN 'Log' WHEN 1 THEN 'Started' WHEN 2 THEN 'Error' WHEN 3 THEN 'Paused' WHEN 4 THEN NULL WHEN 6 THEN 'Completed' WHEN 7 THEN 'Started' ELSE 'Progress' END AS tag,
+  CASE WHEN k >= 8 THEN run_id END AS run_id, CASE WHEN k >= 8 THEN cast(bytes_done % 100 AS DOUBLE) END AS percent,
+  CASE WHEN k >= 8 THEN stage END AS status, CASE WHEN k >= 8 THEN bytes_done % 1000 + 0.5::DOUBLE END AS speed_mbps,
+  CASE k WHEN 0 THEN 'INFO' END AS level, CASE k WHEN 0 THEN 'run ' || run_id WHEN 2 THEN coalesce(error, 'none') END AS message,
+  CASE k WHEN 1 THEN bytes_done END AS total,
+  CASE WHEN k = 3 THEN 'unknown type' WHEN k = 4 THEN 'bad json' WHEN k IN (5, 7) THEN 'bad data' END AS reason,
+  CASE WHEN k IN (3, 4, 5, 7) THEN md5(line) END AS line_md5
+FROM t""", "transfer_events", "tagged_lines"))(q_stream_tagged_events)
+
+
+# ----------------------------------------------------------------- T8
+def q_stream_late_split(spark, sf):
+    """A tenth of the events lands a part later than its time: those behind the
+    watermark by then are kept in a table of their own."""
+    rows, src = view(spark, sf, "transfer_events"), scratch_path(spark, f"late_{uuid.uuid4().hex}")
+    part = _by_time(rows, "ts") + F.when(F.col("event_id") % 10 == 0, 1).otherwise(0)
+    files = _land(rows, part, src, 4)
+    stream = stream_source(spark, src, rows.schema, max_files_per_trigger=files).withColumn("event_ts", event_time("ts"))
+    out, ck = _paths(spark, "t8")
+    run_late_split(stream, out, ck, lateness="1 hour").awaitTermination()
+    on_time, late, marks = read_split(spark, out, stream.schema)
+    counted = marks.agg(F.sum("late_rows").alias("late_total"))
+    rows = on_time.select("event_id", F.lit(False).alias("late")).unionByName(late.select("event_id", F.lit(True).alias("late")))
+    return rows.crossJoin(F.broadcast(counted))  # one row
+
+
+register("stream_late_split", with_views("""e AS (SELECT event_id, epoch_us(ts) AS us FROM transfer_events),
+b AS (SELECT min(us) AS lo, max(us) AS hi FROM e),
+p AS (SELECT event_id, us, least(floor((us - lo) * 3 / (hi - lo)), 2) + CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END AS part FROM e, b),
+m AS (SELECT part, max(max(us)) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 3600000000 AS wm FROM p GROUP BY part),
+l AS (SELECT event_id, coalesce(us < wm, false) AS late FROM p JOIN m USING (part))
+SELECT event_id, late, cast((SELECT count_if(late) FROM l) AS BIGINT) AS late_total FROM l""", "transfer_events"))(q_stream_late_split)
+
+
 # ----------------------------------------------------------------- T6
 def q_stream_dedupe(spark, sf):
-    a = _stream_view(spark, sf, "events", "transfer_events", "t6a")
-    b = _stream_view(spark, sf, "events", "transfer_events", "t6b")
+    """Every part of the events is delivered again with the one after it."""
+    register_tables(spark, sf, ["events", "orders"])
+    rows, src = table_scan(spark, sf, "events"), scratch_path(spark, f"landed_t6_{uuid.uuid4().hex}")
+    part = _by_time(rows, "ts")
+    again = rows.withColumn("_at", F.explode(F.array(F.lit(0), F.lit(1))))
+    files = _land(again, part + F.col("_at"), src, 4)
+    stream_source(spark, src, again.schema, max_files_per_trigger=files).createOrReplaceTempView("events_landed_t6")
+    ev = spark.sql(VIEWS["transfer_events"].replace("FROM events", "FROM events_landed_t6")).withColumn("event_ts", event_time("ts"))
     out, ck = _paths(spark, "t6")
-    _run(stream_dedupe(a.unionByName(b), ["event_id"], "event_ts", "1 hour"), out, ck, "append")
+    _run(stream_dedupe(ev, ["event_id"], "event_ts", "1 hour"), out, ck, "append")
     r = spark.read.parquet(out)
     return r.select("event_id", "run_id", "stage", "bytes_done")
 
@@ -162,12 +233,11 @@ register("stream_dedupe", with_views("SELECT event_id, run_id, stage, bytes_done
 
 # ----------------------------------------------------------------- T5
 def q_stream_retries(spark, sf):
-    schema = table_scan(spark, sf, "lineitem").schema
-    src = _file_stream(spark, sf, "lineitem", schema)
-    src.createOrReplaceTempView("lineitem_stream_t5")
-    att = spark.sql(VIEWS["chunk_attempts"].replace("FROM lineitem", "FROM lineitem_stream_t5")
-                    .replace("l_linenumber - 1 AS bigint) AS chunk_id,",
-                             "l_linenumber - 1 AS bigint) AS chunk_id, l_shipdate AS ship,"))
+    """Attempts in the order of their ship dates, a third per micro-batch."""
+    rows, src = table_scan(spark, sf, "lineitem"), scratch_path(spark, f"landed_t5_{uuid.uuid4().hex}")
+    files = _land(rows, _by_time(rows, "l_shipdate"), src)
+    stream_source(spark, src, rows.schema, max_files_per_trigger=files).createOrReplaceTempView("lineitem_stream_t5")
+    att = spark.sql(_ATTEMPTS_SHIP.replace("FROM lineitem", "FROM lineitem_stream_t5"))
     att = att.withColumn("event_ts", event_time("ship")) \
         .select("file_id", "chunk_id", "event_ts", *ATTEMPT_ORDER)
     out, ck = _paths(spark, "t5")
@@ -179,19 +249,24 @@ def q_stream_retries(spark, sf):
 _ATTEMPTS_SHIP = VIEWS["chunk_attempts"].replace("l_linenumber - 1 AS bigint) AS chunk_id,",
                                                  "l_linenumber - 1 AS bigint) AS chunk_id, l_shipdate AS ship,")
 
+# A chunk's state lives on from part to part while it has attempts; without any in the next part it is
+# forgotten there if its newest one + 1 hour lies before the watermark (newest of the parts before - 1 hour).
 register("stream_retries", f"""WITH chunk_attempts AS ({_ATTEMPTS_SHIP.strip()}),
-a AS (SELECT file_id, chunk_id, ok, ship,
-    row_number() OVER (PARTITION BY file_id, chunk_id ORDER BY {', '.join(ATTEMPT_ORDER)}) AS rn,
-    sum(CASE WHEN NOT ok THEN 1 ELSE 0 END) OVER (PARTITION BY file_id, chunk_id
-      ORDER BY {', '.join(ATTEMPT_ORDER)} ROWS UNBOUNDED PRECEDING) AS f FROM chunk_attempts),
-t AS (SELECT *, CASE WHEN ok THEN 'done' WHEN f > 3 THEN 'fatal' END AS st FROM a),
-r AS (SELECT file_id, chunk_id, arg_min(st, rn) FILTER (WHERE st IS NOT NULL) AS status,
-    arg_min(f, rn) FILTER (WHERE st IS NOT NULL) AS fs, max(f) AS total_f, max(ship) AS newest FROM t GROUP BY file_id, chunk_id),
--- an unfinished chunk is stalled only if its newest event + 1 hour lies before the final watermark (newest of all - 1 hour)
-w AS (SELECT max(epoch_ms(cast(ship AS TIMESTAMP))) - 3600000 AS wm FROM a)
-SELECT file_id, chunk_id, cast(CASE WHEN status IS NULL THEN total_f ELSE fs END AS BIGINT) AS failures,
-  coalesce(status, 'stalled') AS status FROM r, w
-WHERE status IS NOT NULL OR epoch_ms(cast(newest AS TIMESTAMP)) + 3600000 < wm""")(q_stream_retries)
+e AS (SELECT *, epoch_ms(cast(ship AS TIMESTAMP)) AS ms FROM chunk_attempts),
+x AS (SELECT min(ms) AS lo, max(ms) AS hi FROM e),
+a AS (SELECT e.*, least(floor((ms - lo) * 3 / (hi - lo)), 2) AS part FROM e, x),
+m AS (SELECT part, max(ms) AS newest FROM a GROUP BY part),
+c AS (SELECT file_id, chunk_id, part, max(ms) AS newest FROM a GROUP BY ALL),
+g AS (SELECT c.*, lag(part) OVER w AS prior, lag(newest) OVER w AS prior_newest FROM c WINDOW w AS (PARTITION BY file_id, chunk_id ORDER BY part)),
+l AS (SELECT g.file_id, g.chunk_id, g.part, sum(CASE WHEN g.prior IS NULL OR (g.part - g.prior > 1 AND g.prior_newest + 7200000 < m.newest) THEN 1 ELSE 0 END)
+    OVER (PARTITION BY g.file_id, g.chunk_id ORDER BY g.part) AS life FROM g LEFT JOIN m ON m.part = g.prior),
+t AS (SELECT a.*, life, row_number() OVER v AS rn, sum(CASE WHEN NOT ok THEN 1 ELSE 0 END) OVER (v ROWS UNBOUNDED PRECEDING) AS f
+  FROM a JOIN l USING (file_id, chunk_id, part) WINDOW v AS (PARTITION BY file_id, chunk_id, life ORDER BY part, {', '.join(ATTEMPT_ORDER)})),
+s AS (SELECT *, CASE WHEN ok THEN 'done' WHEN f > 3 THEN 'fatal' END AS st FROM t),
+r AS (SELECT file_id, chunk_id, life, arg_min(st, rn) FILTER (WHERE st IS NOT NULL) AS status, arg_min(f, rn) FILTER (WHERE st IS NOT NULL) AS fs,
+    max(f) AS total_f, max(ms) AS newest, max(life) OVER (PARTITION BY file_id, chunk_id) AS lives FROM s GROUP BY file_id, chunk_id, life)
+SELECT file_id, chunk_id, cast(CASE WHEN status IS NULL THEN total_f ELSE fs END AS BIGINT) AS failures, coalesce(status, 'stalled') AS status
+FROM r, x WHERE status IS NOT NULL OR life < lives OR newest + 7200000 < hi""")(q_stream_retries)
 
 
 # ----------------------------------------------------------------- T7
@@ -202,9 +277,9 @@ def q_stream_ingest(spark, sf):
     rows = view(spark, sf, "object_listing").where(F.col("key").isNotNull()).select("bucket", "key", "size", "etag")
     keyed = rows.groupBy("bucket", "key").agg(F.max("size").alias("size"), F.max("etag").alias("etag"))
     for delivery in (keyed, keyed.where(F.length("key") % 2 == 0).withColumn("etag", F.concat(F.lit("new-"), F.coalesce("etag", F.lit(""))))):
-        delivery.coalesce(1).write.mode("append").parquet(src)
-        ingest_incremental(spark, src, dst, ck, keyed.schema)
-    ingest_incremental(spark, src, dst, ck, keyed.schema)
+        delivery.write.mode("append").parquet(src)
+        ingest_incremental(spark, src, dst, ck, keyed.schema, compact_keys=["bucket", "key"], compact_every=1)
+    ingest_incremental(spark, src, dst, ck, keyed.schema, compact_keys=["bucket", "key"], compact_every=1)
     return read_updates(spark, dst, ["bucket", "key"]).select("bucket", "key", "size", "etag")
 
 

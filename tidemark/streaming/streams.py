@@ -18,11 +18,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators.progress import epoch_micros
 from ..schemas import CHUNK_REQUEUE_BUDGET
+from .compact import compact, read_current
 
 
 def event_time(ts) -> Column:
@@ -39,11 +41,6 @@ def stream_source(spark: SparkSession, path: str, schema, fmt: str = "parquet",
     return r.load(path)
 
 
-def stream_events(spark: SparkSession, path: str, schema, fmt: str = "json") -> DataFrame:
-    """Landed transfer events (tagged JSON union) as a stream."""
-    return stream_source(spark, path, schema, fmt)
-
-
 # --------------------------------------------------------------------------- T1
 def stream_latest(events: DataFrame, run: str = "run_id", order: Sequence[str] = ("ts", "event_id"),
                   value_cols: Sequence[str] | None = None) -> DataFrame:
@@ -55,6 +52,22 @@ def stream_latest(events: DataFrame, run: str = "run_id", order: Sequence[str] =
     return agg.select(run, *[F.col(f"_last.{c}").alias(c) for c in cols])
 
 
+def stream_final(events: DataFrame, run: str = "run_id", ts: str = "event_ts", order: Sequence[str] = ("ts", "event_id"),
+                 value_cols: Sequence[str] | None = None, idle: str = "1 hour", lateness: str = "1 hour") -> DataFrame:
+    """T1 with an end: the last event of a run once it has been idle for ``idle``
+    before the event-time watermark (output mode append).
+
+    A run's state lives as long as its events are closer than ``idle``; then the watermark
+    closes it, its final row is emitted and the state is forgotten, so the store holds the
+    runs of the last while, not all there ever were.  A run that goes on later has another
+    final row; the newest one counts (:func:`read_updates` on the sink)."""
+    cols = list(value_cols or [c for c in events.columns if c not in (run, ts)])
+    last = F.max_by(F.struct(*[F.col(c) for c in cols]), F.struct(*[F.col(c) for c in order]))
+    agg = (events.withWatermark(ts, lateness).groupBy(F.session_window(ts, idle).alias("s"), run)
+           .agg(last.alias("_last"), F.count(F.lit(1)).alias("events")))
+    return agg.select(run, *[F.col(f"_last.{c}").alias(c) for c in cols], "events", F.col("s.end").alias("closed_at"))
+
+
 # --------------------------------------------------------------------------- T2, T3
 def stream_speed(events: DataFrame, ts: str = "event_ts", feed: str = "run_id", bytes_: str = "bytes_done",
                  window: str = "3 seconds", slide: str = "1 second", lateness: str = "10 seconds") -> DataFrame:
@@ -221,10 +234,49 @@ class DroppedLate(StreamingQueryListener):
         pass
 
 
+def run_late_split(events: DataFrame, sink_path: str, checkpoint: str, ts: str = "event_ts", lateness: str = "1 hour",
+                   available_now: bool = True, processing_time: str | None = None):
+    """T8 with the late rows kept: rows older than the watermark go to ``late``, the
+    others to ``on_time`` (two tables under ``sink_path``, read by :func:`read_split`), and
+    what was counted per batch to ``marks``.
+
+    The watermark of a batch is the newest event time of all batches before it less
+    ``lateness``, as Spark's own stateful operators take it; rows without an event time are
+    on time.  A batch writes its own folders and reads the mark of the one before, so a
+    replayed batch puts its rows where it did before.  On-time and late rows together are the input."""
+    delay, root = _ms(lateness) * 1000, sink_path.rstrip("/")
+
+    def write(batch: DataFrame, batch_id: int):
+        spark = batch.sparkSession
+        mark = None
+        if batch_id > 0:
+            mark = spark.read.parquet(f"{root}/marks/batch_id={batch_id - 1}").first()["newest_us"]
+        us = F.unix_micros(F.col(ts))
+        late = F.lit(False) if mark is None else F.coalesce(us < F.lit(mark - delay), F.lit(False))
+        out = f"{root}/rows/batch_id={batch_id}"
+        batch.withColumn("late", late).write.mode("overwrite").partitionBy("late").parquet(out)
+        done = spark.read.schema(batch.schema.add("late", "boolean")).parquet(out)
+        counts = done.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("late").alias("late_rows"), F.max(us).alias("newest_us"))
+        counts = counts.withColumn("newest_us", F.greatest("newest_us", F.lit(mark).cast("long")))
+        counts.coalesce(1).write.mode("overwrite").parquet(f"{root}/marks/batch_id={batch_id}")
+
+    w = events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or "10 seconds")
+    return w.start()
+
+
+def read_split(spark: SparkSession, sink_path: str, schema) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(on-time rows, late rows, marks) of :func:`run_late_split`; ``schema`` is the events'."""
+    root = sink_path.rstrip("/")
+    typed = T.StructType([*schema.fields, T.StructField("late", T.BooleanType()), T.StructField("batch_id", T.LongType())])
+    rows = spark.read.schema(typed).parquet(f"{root}/rows")
+    return rows.where("not late").drop("late"), rows.where("late").drop("late"), spark.read.parquet(f"{root}/marks")
+
+
 # --------------------------------------------------------------------------- sinks / driver
 def run_stream(df: DataFrame, sink_path: str, checkpoint: str, mode: str = "append",
                available_now: bool = True, processing_time: str | None = None,
-               state_partitions: int | None = None):
+               state_partitions: int | None = None, compact_keys: Sequence[str] | None = None, compact_every: int = 100):
     """Drive a streaming frame into parquet under ``sink_path``.
 
     * append: each batch is written to ``batch_id=<n>`` with overwrite, so a
@@ -233,6 +285,9 @@ def run_stream(df: DataFrame, sink_path: str, checkpoint: str, mode: str = "appe
     * update: each batch's changed rows land in ``batch_id=<n>``; read the
       current state with :func:`read_updates`.
 
+    With ``compact_keys`` every ``compact_every``-th batch first merges those before
+    it, which are complete by then, into a snapshot (:mod:`.compact`).
+
     ``state_partitions`` sets the state-store partition count of a new query
     (it cannot change later without a new checkpoint).
     """
@@ -240,6 +295,8 @@ def run_stream(df: DataFrame, sink_path: str, checkpoint: str, mode: str = "appe
         if mode == "complete":
             batch.write.mode("overwrite").parquet(sink_path)
         else:
+            if compact_keys and batch_id and batch_id % compact_every == 0:
+                compact(batch.sparkSession, sink_path, compact_keys, batch_id - 1)
             batch.write.mode("overwrite").parquet(f"{sink_path.rstrip('/')}/batch_id={batch_id}")
 
     w = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(write)
@@ -260,15 +317,13 @@ def run_stream(df: DataFrame, sink_path: str, checkpoint: str, mode: str = "appe
 
 def read_updates(spark: SparkSession, sink_path: str, keys: Sequence[str]) -> DataFrame:
     """Current state of an update-mode sink: per key the row of the latest
-    batch (a partial-aggregating ``max_by``)."""
-    df = spark.read.parquet(sink_path)
-    cols = [c for c in df.columns if c not in keys and c != "batch_id"]
-    agg = df.groupBy(*keys).agg(F.max_by(F.struct(*cols), "batch_id").alias("_r"))
-    return agg.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in cols])
+    batch (a partial-aggregating ``max_by`` over the current snapshot, if the
+    sink has been compacted, and the batches after it)."""
+    return read_current(spark, sink_path, keys)
 
 
 def ingest_incremental(spark: SparkSession, src: str, dst: str, checkpoint: str, schema, fmt: str = "parquet",
-                       transform=None):
+                       transform=None, compact_keys: Sequence[str] | None = None, compact_every: int = 100):
     """Incremental ingest of newly landed files into a table.
 
     The file source records processed files in the checkpoint, so a re-run
@@ -276,11 +331,12 @@ def ingest_incremental(spark: SparkSession, src: str, dst: str, checkpoint: str,
     applied per batch (e.g. the listing clean-up).  Each batch lands in its
     own ``batch_id=<n>`` folder; the current table (an upsert by key, e.g.
     bucket + key with the newest etag/size) is ``read_updates(spark, dst,
-    keys)``."""
+    keys)``.  With ``compact_keys`` every ``compact_every``-th batch merges
+    the folders before it."""
     stream = stream_source(spark, src, schema, fmt)
     if transform is not None:
         stream = transform(stream)
-    q = run_stream(stream, dst, checkpoint, mode="append")
+    q = run_stream(stream, dst, checkpoint, mode="append", compact_keys=compact_keys, compact_every=compact_every)
     q.awaitTermination()
     return q
 
