@@ -31,6 +31,13 @@ def test_query_matches_sql(spark, con):
     assert sorted(map(tuple, got.collect())) == sorted(con.execute(queries.ORACLE["op3_exact_top_k"]).fetchall())
 
 
+def test_floor_of_tiny_and_huge_components(spark):
+    odd = [-1e-20, 5e-324, -5e-324, 1e-310, -0.0, 0.0, -0.3, 0.3, -1 / 256, 1 / 256, -2.0 ** 45 - 0.5, 2.0 ** 45 + 0.25, 2.0 ** 60, -2.0 ** 60, 0.1 + 0.2]
+    rng = random.Random(4)
+    rows = [(i, [rng.choice(odd[:-5]) for _ in range(4)]) for i in range(150)] + [(150 + i, [x, 1 / 256, -1e-20, 0.0]) for i, x in enumerate(odd)]
+    assert run(spark.createDataFrame(rows, "vec_id long, embedding array<double>")) == brute(rows, lambda q: q % 50 == 0)
+
+
 def test_ties_odd_vectors_and_repeats(spark):
     rng = random.Random(2)
     rows = [(i, [float(rng.randint(-1, 1)) / 4 for _ in range(3)]) for i in range(120)]  # many ties

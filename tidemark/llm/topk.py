@@ -31,10 +31,10 @@ _LISTS = "q long, node long, n int, scores binary, ids binary"
 
 
 def floor_scaled(factor: float = 256.0) -> Callable[[Column], Column]:
-    """A quantiser: floor(factor * x), x taken as double; whole numbers of any size stay doubles."""
+    """A quantiser: floor(factor * x), x taken as double; doubles of 2^53 and more are whole already."""
     def quantise(x: Column) -> Column:
         scaled = x.cast("double") * factor
-        return F.rint(scaled - F.pmod(scaled, F.lit(1.0)))
+        return F.when(F.abs(scaled) < float(1 << 53), F.floor(scaled).cast("double")).otherwise(scaled)
     return quantise
 
 
