@@ -4,6 +4,7 @@ import base64
 import glob
 import hashlib
 
+import duckdb
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -79,8 +80,30 @@ def test_odd_tables(spark, tmp_path):
     empty = spark.createDataFrame([], schema)
     warc.write_archive(empty, str(tmp_path / "none"))
     assert warc.index_archive(spark, str(tmp_path / "none")).collect() == []
-    rows = [(1, "u", "a"), (1, "u", "a"), (2, "u", "a"), (None, "u", "a"), (3, "u", "bb")]
+    rows = [(1, "u", "a"), (1, "u", "a"), (2, "u", "a"), (3, "u", "bb")]
     warc.write_archive(spark.createDataFrame(rows, schema), str(tmp_path / "odd"), min_bytes=2)
-    assert found(warc.index_archive(spark, str(tmp_path / "odd"))) == sorted((p, len(h), digest(h), "response", None) for p, _, h in rows if p)
+    assert found(warc.index_archive(spark, str(tmp_path / "odd"))) == sorted((p, len(h), digest(h), "response", None) for p, _, h in rows)
     warc.write_archive(spark.createDataFrame(rows, schema), str(tmp_path / "dup"))
     assert [r[3:] for r in found(warc.index_archive(spark, str(tmp_path / "dup")))] == [("response", None), ("response", None), ("revisit", 1), ("response", None)]
+
+
+def test_pages_without_an_id(spark, tmp_path, monkeypatch, con):
+    rows = [(4, "u", "a"), (2, "u", "a"), (None, "u", "a"), (None, "v", "a"), (None, None, None), (None, "w", "bb"), (None, "w", "bb"), (-3, "x", "c"), (None, "x", "c")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    monkeypatch.setattr(queries, "read", lambda *_: pages)
+    got = queries.QUERIES["op7_warc_bundles"](spark, "")
+    key = lambda r: tuple((x is not None, x) for x in r)
+    got = sorted((tuple(r) for r in got.collect()), key=key)
+    want = sorted(((p, len((h or "").encode()), digest(h), *kind) for (p, _, h), kind in zip(rows, [
+        ("revisit", 2), ("response", None), ("revisit", 2), ("revisit", 2), ("response", None), ("response", None), ("response", None),
+        ("response", None), ("revisit", -3)])), key=key)
+    assert got == want
+    frame = pages.toPandas().astype({"page_id": "Int64"})  # noqa: F841
+    sql = queries.ORACLE["op7_warc_bundles"].replace("FROM pages", "FROM frame")
+    assert sorted((tuple(r) for r in duckdb.sql(sql).fetchall()), key=key) == want
+    warc.write_archive(pages, str(tmp_path / "out"))
+    index = warc.index_archive(spark, str(tmp_path / "out"))
+    names = [r["record_id"] for r in index.collect()]
+    assert sum(n.startswith("urn:page:none:") for n in names) == 6
+    back = {r["record_id"]: bytes(r["payload"]) for r in warc.read_records(spark, str(tmp_path / "out"), index.where("page_id is null and record_type = 'response'")).collect()}
+    assert sorted(back.values()) == [b"", b"bb"]

@@ -40,14 +40,24 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_uri(page_id: int) -> str:
-    return f"urn:page:{page_id}"
+def record_uri(page_id: int | None, url: str | None = None, digest: str = "") -> str:
+    """A record's name; without a page id it is made from what the record holds."""
+    if page_id is not None:
+        return f"urn:page:{page_id}"
+    return f"urn:page:none:{hashlib.sha1((url or '').encode('utf-8', 'surrogatepass')).hexdigest()}:{digest}"
 
 
-def _record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
-    target = re.sub(rb"[\x00-\x20\x7f]", lambda m: b"%%%02X" % m.group()[0], (url or record_uri(page_id)).encode("utf-8", "surrogatepass"))
+def page_of(uri: str | None) -> int | None:
+    """The page id in a record's name, if it has one."""
+    number = (uri or "").strip("<>").removeprefix("urn:page:")
+    return int(number) if number.lstrip("-").isdigit() else None
+
+
+def _record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
+    name = record_uri(page_id, url, digest)
+    target = re.sub(rb"[\x00-\x20\x7f]", lambda m: b"%%%02X" % m.group()[0], (url or name).encode("utf-8", "surrogatepass"))
     head = [b"WARC/1.1", b"WARC-Type: " + (b"response" if refers_to is None else b"revisit"),
-            f"WARC-Record-ID: <{record_uri(page_id)}>".encode(), b"WARC-Target-URI: " + target, f"WARC-Date: {date}".encode(),
+            f"WARC-Record-ID: <{name}>".encode(), b"WARC-Target-URI: " + target, f"WARC-Date: {date}".encode(),
             f"WARC-Payload-Digest: sha1:{digest}".encode(), f"X-Payload-Length: {len(payload)}".encode()]
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     if refers_to is None:
@@ -147,10 +157,12 @@ def decide(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", url_co
     they are aggregated before anything is shuffled, and the pages stay where they are."""
     rows = pick(pages, id_col, url_col, html_col).select(
         F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("html"))
-    rows = rows.where("id is not null").withColumn("sha", F.unhex(F.sha1("html")))
-    groups = rows.where(F.octet_length("html") >= min_bytes).groupBy("sha").agg(F.min("id").alias("first"), F.max("id").alias("last"))
-    groups = stored(groups.where("first <> last").select("sha", "first"), "warc-groups")
-    first = F.when((F.octet_length("html") >= min_bytes) & (F.col("first") < F.col("id")), F.col("first"))
+    rows = rows.withColumn("sha", F.unhex(F.sha1("html")))
+    groups = rows.where(F.octet_length("html") >= min_bytes).groupBy("sha").agg(
+        F.min("id").alias("first"), F.max("id").alias("last"), F.bool_or(F.isnull("id")).alias("unnamed"))
+    groups = stored(groups.where("first <> last or (first is not null and unnamed)").select("sha", "first"), "warc-groups")
+    later = (F.col("first") < F.col("id")) | F.isnull("id")
+    first = F.when((F.octet_length("html") >= min_bytes) & later, F.col("first"))
     return lookup(rows, groups, ["sha"]).select("id", "url", "html", "sha", first.alias("first"))
 
 
@@ -160,8 +172,9 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, frame_bytes:
 
     A null url is written as the record's own name, control characters and spaces
     in urls percent-encoded.  Null pages have an empty payload; a payload longer than
-    a frame or a bundle has one for itself.  Rows without an id cannot be named and
-    are not written.  Of rows that repeat both id and payload none refers to another.
+    a frame or a bundle has one for itself.  Rows without an id get a name made from
+    url and payload; they revisit a page of the same payload that has an id, and are responses
+    if there is none.  Of rows that repeat both id and payload none refers to another.
     """
     bounded_batches(pages.sparkSession)
     bundles = decide(pages, min_bytes, **columns).mapInArrow(_bundles(frame_bytes, bundle_bytes, date), "body binary")
@@ -177,7 +190,6 @@ def index_archive(spark: SparkSession, path: str) -> DataFrame:
     """The index, from the bundles themselves: every frame is read, every record
     parsed, and every response's payload held against its digest."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = lambda s: int(s.strip("<>").rpartition(":")[2]) if s else None
         for b in batches:
             for i in range(b.num_rows):
                 name, bundle = (c[i].as_py() for c in b.columns)
@@ -187,8 +199,8 @@ def index_archive(spark: SparkSession, path: str) -> DataFrame:
                         digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
                         if head["WARC-Type"] == "response" and base32_sha1(payload(block)) != digest:
                             raise ValueError(f"payload of {head['WARC-Record-ID']} does not match its digest")
-                        rows.append((head["WARC-Record-ID"].strip("<>"), name, f, at, size, start, length, number(head["WARC-Record-ID"]),
-                                     head["WARC-Type"], int(head["X-Payload-Length"]), digest, number(head.get("WARC-Refers-To")), head["WARC-Target-URI"]))
+                        rows.append((head["WARC-Record-ID"].strip("<>"), name, f, at, size, start, length, page_of(head["WARC-Record-ID"]),
+                                     head["WARC-Type"], int(head["X-Payload-Length"]), digest, page_of(head.get("WARC-Refers-To")), head["WARC-Target-URI"]))
                     yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema)
 
     names = [x.split()[0] for x in _INDEX.split(", ")]
