@@ -78,6 +78,22 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert [(r["size"], r["target"], r["copies"]) for r in mixing.plan_table(blank).collect()] == [(0, 0.0, 0)] * 2
 
 
+def test_repeated_rows_come_near_the_target(spark):
+    text = "one two three"
+    rows = [(None, text, "en", "a", 13)] * 50 + [(7, text, "en", "b", 13)] * 41 + [(i, text, "en", "c", 13) for i in range(100, 103)] + [(None, None, None, None, None)] * 3
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    plan = mixing.plan_table(docs).collect()
+    taken, want, times = Counter(), {}, {}
+    for r in plan:
+        taken[r["source_size"]] += r["copies"] * r["size"]
+        want[r["source_size"]] = r["target"]
+        times.setdefault(r["source_size"], set()).add(r["copies"])
+    assert abs(taken[150] - want[150]) <= 3 and abs(taken[123] - want[123]) <= 3
+    assert all(max(t) - min(t) <= 1 for t in times.values())
+    assert Counter(map(tuple, mixing.plan_table(docs.repartition(7)).collect())) == Counter(map(tuple, plan))
+    assert mixing.mix(docs).count() == sum(r["copies"] for r in plan)
+
+
 def test_word_count(spark):
     texts = ["a b", " a\tb\x0bc\x0cd\re\nf ", "", None, "one", "a\u00a0b c\u2003d", " "]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(word_count(F.col("t")).alias("n"))

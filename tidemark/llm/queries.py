@@ -69,7 +69,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op4_mix_sources", sql="""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
     CAST(('0x' || substr(md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || md5(coalesce(text, ''))), 1, 13)) AS BIGINT)
-      / 4503599627370496.0::DOUBLE AS u FROM documents),
+      / 4503599627370496.0::DOUBLE AS u, count(*) OVER (PARTITION BY doc_id, text, source) AS n,
+    row_number() OVER (PARTITION BY doc_id, text, source) - 1 AS k FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w FROM s),
 r AS (SELECT *, 2.0::DOUBLE * source_size / w AS ratio FROM w),
@@ -80,10 +81,11 @@ l AS (SELECT *, (1.5::DOUBLE * (SELECT sum(source_size) FROM s) - 2.0::DOUBLE *
     / ((SELECT sum(w) FROM w) - w_before) AS level FROM b),
 f AS (SELECT min_by(level, pos) AS level FROM l WHERE level <= ratio),
 t AS (SELECT source, source_size, CASE WHEN ratio < f.level THEN 2.0::DOUBLE * source_size ELSE f.level * w END AS target FROM b, f),
-p AS (SELECT doc_id, size, source_size, target, u, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+p AS (SELECT doc_id, size, source_size, target, u, n, k, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+m AS (SELECT *, n * (rate - floor(rate)) AS more FROM p)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-  CAST((floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM p""")
+  CAST((floor(rate) + CASE WHEN k < floor(more) + CASE WHEN u < more - floor(more) THEN 1 ELSE 0 END THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM m""")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.plan_table(read(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -144,13 +146,13 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("op7_warc_bundles", sql="""
-WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages WHERE page_id IS NOT NULL),
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 s AS (SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha1(h) AS x, min(page_id) OVER (PARTITION BY h) AS first FROM p)
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
   list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
     (CAST('0x' || substr(x, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS INTEGER), 1)), 'string_agg', '') AS payload_digest,
-  CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN first < page_id THEN first END AS refers_to FROM s""")
+  CASE WHEN first = page_id OR first IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first < page_id OR page_id IS NULL THEN first END AS refers_to FROM s""")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, f"llm/warc-{uuid.uuid4().hex}")
     warc.write_archive(read(spark, sf_dir, "pages"), path)
