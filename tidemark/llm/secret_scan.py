@@ -11,7 +11,10 @@ A find in an inner layer is mapped back to the stretch of the text that encodes
 Runs of the base64 alphabet are read at all four alignments, in one line and joined
 over the lines they are wrapped to.
 
-All members and frames of compressed data that follow one another are read.
+All members and frames of compressed data that follow one another are read.  All finds
+in them have the place of the whole, so nothing is lost if a run of more than
+``RUN`` equal bytes is scanned as one of ``RUN`` and equal windows are scanned once: data that
+inflate a thousandfold do so by repeating themselves.
 Content of more than ``MAX_INFLATED`` bytes is reported itself, as a find of the
 kind ``oversize``, and scanned in overlapping windows of that size.  A find that
 fills a whole such window, a run without end, has no kind of its own.
@@ -40,6 +43,7 @@ from .common import bounded_batches, pick
 
 KINDS = ("assign", "access", "hex", "oversize")
 MAX_INFLATED = 16 << 20
+RUN = 8192  # longer than any find needs to be
 _CHUNK = 1 << 20
 
 _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -249,6 +253,22 @@ def _texts(data: bytes, start: np.ndarray | int, end: np.ndarray | int, path: tu
             yield Layer(text, a, b, np.broadcast_to(True, n), path, plain, cut)
 
 
+def _collapsed(data: bytes) -> bytes:
+    """``data`` with every run of more than ``RUN`` equal bytes cut to that many."""
+    if len(data) <= RUN:
+        return data
+    b = np.frombuffer(data, np.uint8)
+    # A run that long covers two places RUN / 2 apart that are multiples of it.
+    some = b[::RUN // 2]
+    if not (some[1:] == some[:-1]).any():
+        return data
+    begins = np.concatenate(([0], np.flatnonzero(b[1:] != b[:-1]) + 1))
+    sizes = np.diff(np.append(begins, len(b)))
+    if sizes.max() <= RUN:
+        return data
+    return np.repeat(b[begins], np.minimum(sizes, RUN)).tobytes()
+
+
 def _packed(data: bytes, start: np.ndarray | int, end: np.ndarray | int, path: tuple[str, ...], limit: int, inside: tuple[bytes, ...] = ()) -> Iterator[Layer | tuple]:
     """Layers of the compressed data in bytes, wherever it begins, and the finds ``oversize``.
     Returns where the last member begins if the end of the bytes cuts it off.
@@ -262,7 +282,7 @@ def _packed(data: bytes, start: np.ndarray | int, end: np.ndarray | int, path: t
         at, place = m.start(), m.start() + 1
         a = start if isinstance(start, int) else int(start[at])
         b = end if isinstance(end, int) else int(end[-1])
-        held, fresh, over, tail = [], 0, False, b""
+        held, fresh, over, tail, done = [], 0, False, b"", {}
         for out in chain(_members(data, at, state), [None]):
             if out is not None:
                 held.append(out)
@@ -274,11 +294,13 @@ def _packed(data: bytes, start: np.ndarray | int, end: np.ndarray | int, path: t
                     yield "oversize", a, b
             elif not fresh:
                 break
-            window = b"".join([tail, *held])
+            window = _collapsed(b"".join([tail, *held]))
             if window in inside:  # a circle
                 break
-            yield from _texts(window, a, b, path, over)
-            open_at = yield from _packed(window, a, b, path, limit, (*inside, data, window))
+            if (known := hashlib.sha256(window).digest()) not in done:
+                yield from _texts(window, a, b, path, over)
+                done[known] = yield from _packed(window, a, b, path, limit, (*inside, data, window))
+            open_at = done[known]
             keep = max(4096, len(window) - len(window.rstrip(_TOKENS)), 0 if open_at is None else len(window) - open_at)
             held, fresh, tail = [], 0, window[max(0, len(window) - min(keep, limit)):]
         place = max(place, state[0])
