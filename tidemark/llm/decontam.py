@@ -14,6 +14,11 @@ edits, m being the piece's length.
   An item's q-grams are posted once for all its pieces: counted first for a cell
   of neighbouring pieces, then, in the cells that reach the lemma's bound, for
   each piece.
+* *Short q-grams.*  The lemma holds for any q: of a piece's m - R + 1 grams of R
+  characters, all but k * R lie in the band too.  A phrase that many items share meets the
+  bound for Q in each of them, but seldom that for R.  What a band of the text holds is
+  kept as a bit set per place (it may say yes wrongly, never no), so this costs a look-up
+  per place of a cell, for all its pieces at once.
 * *Verify.*  The pieces that are left are aligned within their band (and k
   diagonals on either side); a match is within the budget.
 
@@ -27,6 +32,7 @@ import math
 import pickle
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -38,6 +44,7 @@ from .common import bounded_batches, numbered, pick
 Q, ERROR, PIECE = 8, 0.1, 120
 STEP = PIECE - Q + 1
 LANES = 1 << 13
+R, R_BITS = 3, 10
 BLOCK_CHARS = 4_000_000
 CHUNK, GAP = 1 << 18, 64
 _TABLE_BITS = 22
@@ -72,20 +79,54 @@ def _grams(c: np.ndarray) -> np.ndarray:
     return h
 
 
+def _small(c: np.ndarray) -> np.ndarray:
+    """The R-gram that begins at each place, hashed to ``R_BITS`` bits."""
+    h = np.zeros(max(0, len(c) - R + 1), np.uint32)
+    for j in range(R):
+        h = h * np.uint32(0x9E3779B1) + c[j:len(c) - R + 1 + j].astype(np.uint32)
+    h = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B)
+    return (h >> np.uint32(32 - R_BITS)).astype(np.int64)
+
+
+# Diagonals that an alignment in a band can touch: the band's 2 (k + 1) and k on either side.
+WIDE = 4 * int(ERROR * PIECE) + 2
+
+
+def _windows(c: np.ndarray) -> np.ndarray:
+    """For each place p (counted from -WIDE) the R-grams that begin in the ``WIDE`` places
+    of the text from p on, as a bit set of words."""
+    words = 1 << (R_BITS - 6)
+    small = _small(c)
+    one = np.zeros((len(c) + 2 * WIDE, words), np.uint64)
+    one[np.arange(len(small)) + WIDE, small >> 6] = np.uint64(1) << (small & 63).astype(np.uint64)
+    got, size = one, 1
+    while size < WIDE:  # the union over twice as many places
+        step = min(size, WIDE - size)
+        got = got | np.concatenate((got[step:], np.zeros((step, words), np.uint64)))
+        size += step
+    return got
+
+
 class Index:
     """The q-grams of a block of items.
 
     A piece is found by its item and where it starts there.  The starts of an item
-    are dealt into cells of ``STEP``; the pieces of a cell lie in 2 ``STEP`` q-grams."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        self.ids, self.texts = [], []
+    are dealt into cells of ``STEP``; the pieces of a cell lie in 2 ``STEP`` q-grams.
+    A q-gram is posted once, with its item's cell at that place; it counts for that cell
+    and the one before."""
+
+    def __init__(self, items: list[tuple[int | None, str]]):
+        self.ids, self.texts, self.short, self.automaton = [], [], {}, None
+        self.names = sorted({item for item, _ in items}, key=lambda x: (x is None, x or 0))
+        rank = {item: i for i, item in enumerate(self.names)}
         for item, text in items:
             c, _ = plain(text)
             c = c[: len(c) - (len(c) > 0 and c[-1] == 32)]
             if len(c) >= Q:
-                self.ids.append(item)
+                self.ids.append(rank[item])
                 self.texts.append(c)
+            elif len(c):  # no q-gram: looked for as it is, between blanks
+                self.short.setdefault(f" {''.join(map(chr, c))} ", set()).add(rank[item])
         n = np.array([len(c) for c in self.texts], np.int64)
         self.flat, self.offset = np.concatenate([*self.texts, np.zeros(PIECE, np.uint32)]), np.cumsum(n) - n
         self.starts = np.maximum(1, n - PIECE + 1)
@@ -98,16 +139,21 @@ class Index:
         self.many = np.minimum(STEP, self.starts[self.of] - self.at)
         self.m, self.budget = m[self.of], k[self.of]
         self.bound = self.m - Q + 1 - self.budget * Q
-        grams = [_grams(c) for c in self.texts]
-        flat = np.concatenate([*grams, np.empty(0, np.uint64)])
-        own = np.repeat(np.arange(len(n)), n - Q + 1)
-        place = np.arange(len(flat)) - np.repeat(np.cumsum(n - Q + 1) - (n - Q + 1), n - Q + 1)
-        flat, own, place, j = (np.concatenate(x) for x in ((flat, flat), (own, own), (place, place), (place // STEP, place // STEP - 1)))
-        held = (j >= 0) & (j < cells[own])
-        flat, place, cell = flat[held], place[held], (before[own] + j)[held]
+        self.last = (before + cells - 1)[self.of].astype(np.int32) if len(n) else np.empty(0, np.int32)  # an item's last cell
+        self.first = before[self.of].astype(np.int32) if len(n) else np.empty(0, np.int32)
+        flat = np.concatenate([*[_grams(c) for c in self.texts], np.empty(0, np.uint64)])
+        place = np.concatenate([*[np.arange(x - Q + 1, dtype=np.int32) for x in n.tolist()], np.empty(0, np.int32)])
+        cell = np.repeat(before.astype(np.int32), n - Q + 1) + place // np.int32(STEP)  # may lie past the item's last cell, whose pieces still hold the place
+        self.spill = np.repeat((before + cells - 1).astype(np.int32), n - Q + 1)
+        over, cell = cell > self.spill, np.minimum(cell, self.spill)
         order = np.argsort(flat, kind="stable")
-        self.gram, self.start, self.count = np.unique(flat[order], return_index=True, return_counts=True)
-        self.cell, self.place = cell[order], place[order]
+        flat = flat[order]
+        new = np.flatnonzero(np.concatenate((np.ones(min(1, len(flat)), bool), flat[1:] != flat[:-1])))
+        self.gram, self.start, self.count = flat[new], new.astype(np.int32), np.diff(np.append(new, len(flat))).astype(np.int32)
+        self.cell, self.place, self.over = cell[order], place[order], over[order]
+        del self.spill
+        # R-grams of the items by place, as bits; longer items reach over their cells' ends.
+        self.small = _small(self.flat)
         self.seen = np.zeros(1 << _TABLE_BITS, bool)
         self.seen[self._slot(self.gram)] = True
 
@@ -118,7 +164,7 @@ class Index:
 
     @property
     def item(self) -> list[int]:
-        return [i for i, n in zip(self.ids, self.starts.tolist()) for _ in range(n)]
+        return [self.names[i] for i, n in zip(self.ids, self.starts.tolist()) for _ in range(n)]
 
     @property
     def k(self) -> list[int]:
@@ -142,33 +188,74 @@ class Index:
         n = self.count[g]
         own = np.repeat(np.arange(len(g)), n)
         post = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n) + self.start[g][own]
-        cell, place = self.cell[post], self.place[post]
-        band = (at[own] - place) // (self.budget[cell] + 1)
+        cell, place, over = self.cell[post].astype(np.int64), self.place[post].astype(np.int64), self.over[post]
+        half = (at[own] - place) // (self.budget[cell] + 1)
+        # A place counts for its cell and the one before (past the last cell: for that one only).
+        more = ~over & (cell > self.first[cell])
+        cell, place, half = (np.concatenate((x, y[more])) for x, y in ((cell, cell - 1), (place, place), (half, half)))
         # Bands are numbered by their first half; a q-gram counts for the two bands that hold its diagonal.
         span = len(c) + max(map(len, self.texts)) + 2
-        key = cell * 2 * span + band + span
-        key, place = np.concatenate((key, key - 1)), np.concatenate((place, place))
-        held, n = np.unique(key, return_counts=True)
-        held = held[n >= self.bound[held // (2 * span)]]
+        key = cell * 2 * span + half + span
+        halves, n = np.unique(key, return_counts=True)
+        after = np.minimum(np.searchsorted(halves, halves + 1), len(halves) - 1)
+        whole = n + np.where(halves[after] == halves + 1, n[after], 0)
+        prior = halves[np.flatnonzero(np.concatenate(([True], halves[1:] != halves[:-1] + 1)))] - 1
+        prior_n = n[np.searchsorted(halves, prior + 1)]
+        bands, n = np.concatenate((halves, prior)), np.concatenate((whole, prior_n))
+        held = np.sort(bands[n >= self.bound[bands // (2 * span)]])
+        short = None
+        if len(held) > 64:  # worth the bit sets: bands in which no piece may share enough R-grams go
+            bits, left, short = _windows(c), [], []
+            for a in range(0, len(held), LANES):
+                part = held[a:a + LANES]
+                fits = self._short_grams(bits, part // (2 * span), part % (2 * span) - span)
+                some = fits.any(axis=1)
+                left.append(part[some])
+                short.append(fits[some])
+            held, short = np.concatenate(left), np.concatenate(short)
         if not len(held):
             return none
-        own = np.minimum(np.searchsorted(held, key), len(held) - 1)
-        own, place = own[some := held[own] == key], place[some]
-        order = np.argsort(own, kind="stable")
-        own, place = own[order], place[order]
+        # The q-grams of the bands that are left, each for the band of its half and the one before.
+        pairs = []
+        for k in (key, key - 1):
+            lane = np.minimum(np.searchsorted(held, k), len(held) - 1)
+            some = held[lane] == k
+            pairs.append((lane[some], place[some]))
+        lanes, place = (np.concatenate(x) for x in zip(*pairs))
+        order = np.argsort(lanes, kind="stable")
+        lanes, place = lanes[order], place[order]
         out = []
         for a in range(0, len(held), LANES):  # a frequent q-gram counts once
             part = held[a:a + LANES]
-            x, y = np.searchsorted(own, (a, a + len(part)))
+            x, y = np.searchsorted(lanes, (a, a + len(part)))
             cell, band = part // (2 * span), part % (2 * span) - span
             there = np.zeros((len(part), 2 * STEP + 1), np.int16)
-            there[own[x:y] - a, place[x:y] - self.at[cell][own[x:y] - a] + 1] = 1
+            there[lanes[x:y] - a, place[x:y] - self.at[cell][lanes[x:y] - a] + 1] = 1
             there = np.cumsum(there, axis=1, dtype=np.int16)
             n = there[:, STEP:2 * STEP] - there[:, :STEP]  # different q-grams of the piece that starts at each place
-            r, start = np.nonzero((n >= self.bound[cell][:, None]) & (np.arange(STEP) < self.many[cell][:, None]))
+            fits = (n >= self.bound[cell][:, None]) & (np.arange(STEP) < self.many[cell][:, None])
+            if short is not None:
+                fits &= short[a:a + LANES]
+            r, start = np.nonzero(fits)
             out.append(np.stack((cell[r], band[r], self.at[cell[r]] + start), axis=1))
         return np.concatenate(out)
 
+    def _short_grams(self, bits: np.ndarray, cell: np.ndarray, band: np.ndarray) -> np.ndarray:
+        """Whether the piece that starts at each place of a cell may share enough R-grams with its band."""
+        k, m = self.budget[cell], self.m[cell]
+        # Cells of one item lie side by side, and a band's text begins where the place is less the band's lowest diagonal.
+        places = np.arange(min(STEP + PIECE, int((self.many[cell] + m).max())) - R)
+        item = self.offset[self.of[cell]] + self.at[cell]
+        gram = self.small[np.minimum(item[:, None] + places, len(self.small) - 1)]
+        text = np.clip(band * (k + 1) - k + self.at[cell] + WIDE, -len(places), len(bits))[:, None] + places + len(places)
+        word = np.concatenate((np.zeros((len(places), bits.shape[1]), np.uint64), bits, np.zeros((len(places), bits.shape[1]), np.uint64))).ravel()
+        near = (word[text * bits.shape[1] + (gram >> 6)] >> (gram & 63).view(np.uint64)) & np.uint64(1)
+        near = np.concatenate((np.zeros((len(cell), 1), np.int16), np.cumsum(near, axis=1, dtype=np.int16)), axis=1)
+        begins = np.minimum(np.arange(STEP), near.shape[1] - 1)
+        ends = np.minimum(np.arange(STEP) + (m - R + 1)[:, None], near.shape[1] - 1)
+        n = np.take_along_axis(near, ends, axis=1) - near[:, begins]
+        return n >= (m - R + 1 - R * k)[:, None]
+
     def align(self, c: np.ndarray, regions: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(item's number, distance, start, end) of the best stretch of c along each band
         that is within its piece's budget.  Bands advance together, a character of
@@ -239,13 +326,26 @@ class Index:
         held = 0
         for t, text in enumerate(texts):
             c, at = plain(text)
+            if self.short:
+                found[t] += self._short_items(c, at)
             forms.append((t, c, at))
             held += len(c) + GAP
             if held >= CHUNK:
                 self._chunk(forms, found)
                 forms, held = [], 0
         self._chunk(forms, found)
-        return [_joined(x) for x in found]
+        return [[(self.names[i], *rest) for i, *rest in _joined(x)] for x in found]
+
+    def _short_items(self, c: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        if self.automaton is None:  # made where it is used
+            self.automaton = ahocorasick.Automaton()
+            for text in self.short:
+                self.automaton.add_word(text, text)
+            self.automaton.make_automaton()
+        for end, text in self.automaton.iter(f" {''.join(map(chr, c))} "):
+            s, e = end - len(text) + 1, end - 1  # the text's own places, its blanks left out
+            for i in self.short[text]:
+                yield i, int(at[s]), int(at[e - 1]) + 1, 0
 
     def _chunk(self, forms: list, found: list) -> None:
         if not forms:
@@ -276,17 +376,15 @@ def _joined(matches: list[tuple[int, int, int, int]]) -> list[tuple[int, int, in
     return [tuple(x) for x in out]
 
 
-def _indexes(benchmark: DataFrame, item_col: str, text_col: str, named: bool = True) -> Iterator[Index]:
-    """An index for each block of items, a block having about ``BLOCK_CHARS`` characters;
-    unless ``named``, of all items with a text, under no id of their own."""
-    item = F.col(item_col).cast("long") if named else F.lit(0)
-    items = pick(benchmark, item_col, text_col).select(item.alias("item"), F.col(text_col).alias("text"))
-    items = items.where("item is not null and text is not null")
+def _indexes(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[Index]:
+    """An index for each block of items, a block having about ``BLOCK_CHARS`` characters."""
+    items = pick(benchmark, item_col, text_col).select(F.col(item_col).cast("long").alias("item"), F.col(text_col).alias("text"))
+    items = items.where("text is not null")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = math.ceil(chars / BLOCK_CHARS)
     for b in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()
-        yield Index(sorted((r["item"], r["text"]) for r in block))
+        yield Index(sorted(((r["item"], r["text"]) for r in block), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
@@ -294,8 +392,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     """(id, item_id, start, end, distance): every stretch of a document that holds a
     benchmark item or a piece of it; code points of the text, end exclusive.
 
-    Null and empty texts match nothing; neither do items of fewer than Q characters
-    in plain form, or without an id.  Repeated rows match alike, each for itself.
+    Null and empty texts match nothing, and neither do items without a letter or digit.
+    Items of fewer than Q characters in plain form are found where they stand as they are,
+    between blanks of the plain form; items without an id are found under a null id.
+    Repeated rows match alike, each for itself.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -324,7 +424,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     one, items without an id included.  Decided next to the text, so nothing is shuffled."""
     spark, rows, at = docs.sparkSession, numbered(docs), docs.columns.index(text_col)
     bounded_batches(spark)
-    for index in _indexes(benchmark, item_col, item_text_col, named=False):
+    for index in _indexes(benchmark, item_col, item_text_col):
         handle = spark.sparkContext.broadcast(cloudpickle.dumps(index))
 
         def run(batches: Iterator[pa.RecordBatch], handle=handle) -> Iterator[pa.RecordBatch]:
