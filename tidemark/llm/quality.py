@@ -11,9 +11,9 @@ count, scaled so that either stream's values have length 1.
 The model is a logistic regression with follow-the-regularised-leader updates
 (FTRL-proximal: a sum of gradients ``z`` and of their squares ``n`` per slot, the
 weights being a closed form of both with L1 and L2 terms).  Rows are dealt by a
-hash of their id to learners; in each epoch every learner starts from the same
-state, streams its rows in an order fixed by their hashes, and the learners'
-states are averaged by their number of rows.  A score is a sparse dot product.
+hash of their id to learners; a learner goes over its rows ``EPOCHS`` times, in an
+order fixed by their hashes, and the learners' states are averaged by their number
+of rows.  A score is a sparse dot product.
 
 Rows to learn from are at most ``MAX_ROWS`` of each mark, those with the smallest
 hashes of their id; scoring covers every row and the whole of its text.
@@ -21,6 +21,7 @@ hashes of their id; scoring covers every row and the whole of its text.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,8 @@ from .common import bounded_batches, numbered, pick, stored
 HASH_BITS = 18
 WORD_ORDERS, FORM_ORDERS = (1, 2), (1, 2, 3)
 MAX_ROWS, ROWS_PER_LEARNER = 20_000, 5_000
+# Bytes of a learner's features that stay in memory; beyond that they are an unnamed file of its task, like Spark's own spills.
+SPOOL_BYTES = 64 << 20
 EPOCHS, ALPHA, BETA, L1, L2 = 6, 1.0, 1.0, 0.02, 0.2
 _P = np.uint32(0x01000193)
 _TABLE: list[np.ndarray] = []  # kinds of the code points below 65536, made once per worker
@@ -144,61 +147,68 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, id_
     # At most 2 * max_rows ids: small enough to broadcast by construction.
     chosen = [marks.where(F.col("y") == y).orderBy("at", "id").limit(max_rows) for y in (0, 1)]
     chosen = stored(chosen[0].unionByName(chosen[1]), "quality-ids")
+    learners = max(1, -(-chosen.count() // ROWS_PER_LEARNER))
+    chosen = chosen.withColumn("learner", F.pmod("at", F.lit(learners)).cast("int"))
+    size = (1 << HASH_BITS) + 1
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = {}  # smallest hash so far of each id: of a repeated id only ever smaller ones go on
         for b in batches:
+            rows = []
+            for i, (key, tie) in enumerate(zip(b.column("id").to_pylist(), b.column("tie").to_pylist())):
+                if key not in least or tie < least[key]:
+                    least[key] = tie
+                    rows.append(i)
+            b = b.take(pa.array(rows, pa.int64()))
             x = [features(t.as_py()) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), b.column("at"), b.column("tie"), pa.array([s.tobytes() for s, _ in x], pa.binary()),
-                                              pa.array([v.tobytes() for _, v in x], pa.binary())], names=["id", "y", "at", "tie", "slots", "vals"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "y", "at", "learner", "tie")), pa.array([s.tobytes() for s, _ in x], pa.binary()),
+                                              pa.array([v.tobytes() for _, v in x], pa.binary())], names=["id", "y", "at", "learner", "tie", "slots", "vals"])
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All rows of a learner go to a file that is in memory while it is small, and from there through the updates."""
+        now, last, marks_of, sizes, file = None, None, [], [], None
+
+        def done() -> pa.RecordBatch:
+            state = np.zeros(size), np.zeros(size)
+            for _ in range(EPOCHS):
+                file.seek(0)
+                for y, n in zip(marks_of, sizes):
+                    data = file.read(8 * n)
+                    learn(state, np.frombuffer(data, np.int32, n), np.frombuffer(data, np.float32, n, 4 * n), y)
+            file.close()
+            packed = [pa.array([s.astype(np.float32).tobytes()], pa.binary()) for s in state]
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([len(sizes)], pa.int64()), *packed], names=["learner", "n_rows", "z", "n"])
+
+        for b in batches:
+            for who, key, y, s, v in zip(*(b.column(c) for c in ("learner", "id", "y", "slots", "vals"))):
+                if who.as_py() != now:
+                    if file is not None:
+                        yield done()
+                    now, last, marks_of, sizes, file = who.as_py(), None, [], [], tempfile.SpooledTemporaryFile(SPOOL_BYTES)
+                if key.as_py() == last:  # the same id again, with a larger hash
+                    continue
+                last = key.as_py()
+                file.write(s.as_buffer())
+                file.write(v.as_buffer())
+                marks_of.append(y.as_py())
+                sizes.append(len(s.as_buffer()) // 4)
+        if file is not None:
+            yield done()
 
     bounded_batches(spark)
     texts = pick(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sample = texts.join(F.broadcast(chosen), "id").withColumn("tie", F.xxhash64("text"))
     kind = sample.schema["id"].dataType.simpleString()
-    sample = sample.mapInArrow(featurise, f"id {kind}, y int, at long, tie long, slots binary, vals binary")
-    x = F.struct("tie", "slots", "vals", "y", "at")
-    sample = sample.groupBy("id").agg(F.min(x).alias("x")).select("id", "x.*")
-    learners = max(1, -(-chosen.count() // ROWS_PER_LEARNER))
-    # Epochs read these features again; the texts are read once.
-    sample = stored(sample.withColumn("learner", F.pmod("at", F.lit(learners)).cast("int")), "quality-features")
-
-    size = (1 << HASH_BITS) + 1
-    z, n = np.zeros(size), np.zeros(size)
-    for epoch in range(EPOCHS):
-        handle = spark.sparkContext.broadcast((z.astype(np.float32), n.astype(np.float32)))
-
-        def run(batches: Iterator[pa.RecordBatch], handle=handle) -> Iterator[pa.RecordBatch]:
-            now, state, rows = None, None, 0
-
-            def done() -> pa.RecordBatch:
-                packed = [pa.array([s.astype(np.float32).tobytes()], pa.binary()) for s in state]
-                return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([rows], pa.int64()), *packed], names=["learner", "n_rows", "z", "n"])
-
-            for b in batches:
-                for who, y, s, v in zip(*(b.column(c) for c in ("learner", "y", "slots", "vals"))):
-                    if who.as_py() != now:
-                        if state is not None:
-                            yield done()
-                        now, rows, state = who.as_py(), 0, tuple(a.astype(np.float64) for a in handle.value)
-                    learn(state, np.frombuffer(s.as_buffer(), np.int32), np.frombuffer(v.as_buffer(), np.float32), y.as_py())
-                    rows += 1
-            if state is not None:
-                yield done()
-
-        order = F.xxhash64("at", F.lit(epoch))
-        dealt = sample.repartition(learners, "learner").sortWithinPartitions("learner", order, "id")
-        # One state per learner, of a fixed size; their number is bounded by max_rows.
-        states = dealt.select("learner", "y", "slots", "vals").mapInArrow(run, "learner int, n_rows long, z binary, n binary").orderBy("learner")
-        total, z_sum, n_sum = 0, np.zeros(size), np.zeros(size)
-        for r in states.toLocalIterator():
-            total += r["n_rows"]
-            z_sum += np.frombuffer(r["z"], np.float32) * np.float64(r["n_rows"])
-            n_sum += np.frombuffer(r["n"], np.float32) * np.float64(r["n_rows"])
-        handle.unpersist()
-        if not total:
-            break
-        z, n = z_sum / total, n_sum / total
-    return weights(z, n).astype(np.float32)
+    sample = sample.mapInArrow(featurise, f"id {kind}, y int, at long, learner int, tie long, slots binary, vals binary")
+    dealt = sample.repartition(learners, "learner").sortWithinPartitions("learner", F.xxhash64("at"), "id", "tie")
+    # One state per learner, of a fixed size; their number is bounded by max_rows.
+    states = dealt.select("learner", "id", "y", "slots", "vals").mapInArrow(fit, "learner int, n_rows long, z binary, n binary")
+    total, z, n = 0, np.zeros(size), np.zeros(size)
+    for r in sorted(states.collect(), key=lambda r: r["learner"]):
+        total += r["n_rows"]
+        z += np.frombuffer(r["z"], np.float32) * np.float64(r["n_rows"])
+        n += np.frombuffer(r["n"], np.float32) * np.float64(r["n_rows"])
+    return weights(z / max(total, 1), n / max(total, 1)).astype(np.float32)
 
 
 def _scores(texts: pa.Array, w: np.ndarray) -> np.ndarray:
