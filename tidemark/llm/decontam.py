@@ -204,7 +204,7 @@ class Index:
         bands, n = np.concatenate((halves, prior)), np.concatenate((whole, prior_n))
         held = np.sort(bands[n >= self.bound[bands // (2 * span)]])
         short = None
-        if len(held) > 64:  # worth the bit sets: bands in which no piece may share enough R-grams go
+        if len(held) > max(64, len(c) // 400):  # worth the bit sets: bands in which no piece may share enough R-grams go
             bits, left, short = _windows(c), [], []
             for a in range(0, len(held), LANES):
                 part = held[a:a + LANES]
