@@ -79,9 +79,9 @@ def test_case_punctuation_and_clean_texts(spark):
     clean = "A slow green turtle walks under the busy bridge as nobody looks on; geese are not part of this story at all, really."
     docs = spark.createDataFrame([(1, f"intro {loud} outro"), (2, clean), (3, None), (4, ""), (1, f"intro {loud} outro"), (None, item)],
                                  "doc_id long, text string").withColumns({"item_id": F.lit(1), "start": F.lit(2), "ID": F.lit(3)})
-    bench = spark.createDataFrame([(10, item), (11, None), (None, item), (12, ""), (13, "short")], "item_id long, text string")
+    bench = spark.createDataFrame([(10, item), (11, None), (None, item), (12, ""), (13, "short"), (14, "?!")], "item_id long, text string")
     got = decontam.matches(docs, bench).collect()
-    assert sorted((r["id"] or 0, r["item_id"], r["distance"]) for r in got) == [(0, 10, 0), (1, 10, 0), (1, 10, 0)]
+    assert sorted((r["id"] or 0, r["item_id"] or 0, r["distance"]) for r in got) == [(0, 0, 0), (0, 10, 0)] + [(1, 0, 0)] * 2 + [(1, 10, 0)] * 2
     kept = decontam.drop_contaminated(docs, bench)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 4]
     assert decontam.matches(docs.limit(0), bench).collect() == [] and decontam.matches(docs, bench.limit(0)).collect() == []
@@ -110,3 +110,42 @@ def test_very_long_text_and_blocks_of_items(spark, monkeypatch):
     got = decontam.matches(docs, bench).collect()
     assert [(r["id"], r["item_id"], r["distance"]) for r in got] == [(1, 1, 0)]
     assert text[got[0]["start"]:got[0]["end"]] == passage
+
+
+def test_short_items_are_found_between_blanks(spark):
+    docs = ["Yes! they said", "yesterday", "so yes", "a-b, c", "A b?  C...", "abc", "say a b a b", None, "b"]
+    bench = spark.createDataFrame([(1, "YES."), (2, "a b c"), (None, "a b"), (3, "a b"), (4, "")], "item_id long, text string")
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = sorted((r["id"], -1 if r["item_id"] is None else r["item_id"], docs[r["id"]][r["start"]:r["end"]]) for r in decontam.matches(df, bench).collect())
+    assert got == sorted([(0, 1, "Yes"), (2, 1, "yes"), (3, 2, "a-b, c"), (4, 2, "A b?  C"), *[(d, i, t) for i in (-1, 3) for d, t in ((3, "a-b"), (4, "A b"), (6, "a b"), (6, "a b"))]])
+    assert sorted(r["doc_id"] for r in decontam.drop_contaminated(df, bench).collect()) == [1, 5, 7, 8]
+
+
+def test_templates_equal_full_alignment():
+    """Items that share phrases of all lengths: as many as it takes for the bit sets to be used."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 7)))
+    fill = lambda n: " ".join(word() for _ in range(n))
+    phrases = [fill(n) for n in (6, 13, 18)]
+    items = [(i, f"{fill(rng.randint(3, 14))} {phrases[i % 3]} {fill(rng.randint(2, 14))}") for i in range(60)]
+    texts = []
+    for i in range(45):
+        w = list(rng.choice(items)[1] if i % 3 else f"{fill(9)} {phrases[i % 9 // 3]} {fill(9)}")
+        for _ in range(int(len(w) * rng.choice([0, 0.04, 0.08, 0.1, 0.13]))):
+            j = rng.randrange(len(w))
+            w[j:j + 1] = rng.choice([[], ["z"], [w[j], "q"]])
+        texts.append(f"{fill(12)} {''.join(w)} {fill(12)} {rng.choice(phrases)}")
+    index = decontam.Index(items)
+    assert [{m[0] for m in x} for x in index.find(texts)] == [holds(index, t) for t in texts]
+
+
+def test_time_of_a_shared_phrase():
+    import time
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("etaoinshrdlucmfwypvbgk") for _ in range(rng.randint(2, 9)))
+    fill = lambda n: " ".join(word() for _ in range(n))
+    phrase = "according to the passage above which of the following is not true"
+    index = decontam.Index([(i, f"{fill(20)} {phrase} {fill(20)}") for i in range(1000)])
+    began = time.perf_counter()
+    assert index.find([" ".join(f"{fill(60)} {phrase}" for _ in range(5))]) == [[]]
+    assert time.perf_counter() - began < 5  # aligning every piece that holds the phrase took ten times as long

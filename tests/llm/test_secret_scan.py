@@ -177,3 +177,21 @@ def test_odd_rows(spark, odd_docs, no_docs):
     got = secret_scan.find_secrets(clash).collect()
     assert len(got) == 11 and all(r["spans"] == [] for r in got)
     assert secret_scan.find_secrets(no_docs).collect() == []
+
+
+def test_inflated_repetition_is_scanned_once():
+    import base64
+    import bz2
+    import gzip
+    import time
+    zeros = bytes(100 << 20)
+    began = time.perf_counter()
+    bomb = base64.b64encode(bz2.compress(zeros)).decode()
+    assert secret_scan.scan("x " + bomb)[1] == [("oversize", 2, 2 + len(bomb))]
+    token = base64.b64encode(gzip.compress(zeros[:40 << 20] + b" password=hunter2hunter2 " + zeros[:40 << 20])).decode()
+    assert secret_scan.scan(token)[1] == [("assign", 0, len(token)), ("oversize", 0, len(token))]
+    assert time.perf_counter() - began < 20
+    small = base64.b64encode(gzip.compress(b"a" * 20_000 + b" " + b"0123456789abcdef" * 2)).decode()
+    assert {k for k, _, _ in secret_scan.scan(small)[1]} == {"hex"}
+    assert secret_scan._collapsed(b"ab" + b"c" * 9000 + b"d") == b"ab" + b"c" * secret_scan.RUN + b"d"
+    assert secret_scan._collapsed(b"xy" * 9000) == b"xy" * 9000

@@ -27,7 +27,58 @@ def test_held_out_accuracy(spark):
         assert 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5)
     held = [(labels[r["doc_id"]], r["predicted"]) for r in rows if r["held_out"] and r["doc_id"] in labels]
     assert np.mean([a == b for a, b in held]) >= 0.95
-    assert sum(a and b for a, b in held) >= 0.6 * sum(a for a, _ in held)
+    assert sum(a and b for a, b in held) >= 0.8 * sum(a for a, _ in held)
+
+
+def test_held_out_recall_of_every_language(spark):
+    read = lambda t: spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet")
+    rows = queries.QUERIES["op2_toxicity"](spark, "/root/testdata/sf0.1").where("held_out").join(read("labels"), "doc_id")
+    found = rows.join(read("documents").select("doc_id", "lang"), "doc_id").groupBy("lang").agg(
+        F.sum("toxic").alias("n"), F.sum(F.col("toxic") * F.col("predicted")).alias("hit"),
+        F.sum((1 - F.col("toxic")) * F.col("predicted")).alias("wrong"), F.sum(1 - F.col("toxic")).alias("clean")).collect()
+    assert len(found) == 4 and all(r["hit"] >= 0.8 * r["n"] > 0 for r in found)
+    assert sum(r["wrong"] for r in found) <= 0.01 * sum(r["clean"] for r in found)
+
+
+def test_refit_by_the_book(spark):
+    """Ratios counted by hand, and a plain logistic regression that ranks as the fitted one does."""
+    from collections import Counter
+    rng = np.random.default_rng(3)
+    words = [f"{a}{b}{c}" for a in ("lorem", "dolor", "amet") for b in ("ipsu", "sita", "cons") for c in ("mas", "tur", "elit")]
+    rows = []
+    for i in range(300):
+        text = " ".join(rng.choice(words, 12))
+        rows.append((i, text + (" grumblefish" if i % 4 == 0 else ""), int(i % 4 == 0)))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    x, p, q = {i: set(toxicity.features(t).tolist()) for i, t, _ in rows}, Counter(), Counter()
+    for i, _, y in rows:
+        (p if y else q).update(x[i])
+    big_p, big_q = sum(y for *_, y in rows), sum(1 - y for *_, y in rows)
+    ratio = {s: np.log((p[s] + 1) / (big_p + 2)) - np.log((q[s] + 1) / (big_q + 2)) for s in p if p[s] >= toxicity.MIN_POSITIVE}
+    ratio = {s: r for s, r in ratio.items() if r >= toxicity.MIN_RATIO}
+    theta, bias = toxicity.train(docs, labels)
+    assert set(np.flatnonzero(theta).tolist()) <= set(ratio)
+    kept, r = toxicity.ratios((toxicity.features(t), y, 1.0) for _, t, y in rows)
+    assert dict(zip(kept.tolist(), r)) == pytest.approx(ratio)
+    slots = sorted(ratio)
+    m = np.array([[ratio[s] if s in x[i] else 0 for s in slots] for i, *_ in rows])
+    y, w, b = np.array([y for *_, y in rows]), np.zeros(len(slots)), 0.0
+    for _ in range(300):
+        g = 1 / (1 + np.exp(-(m @ w + b))) - y
+        w, b = w - 0.01 * (m.T @ g / len(y) * 10 + toxicity.L2 * w), b - 0.1 * g.mean()
+    plain = (m @ w + b) >= 0
+    ours = np.array([theta[list(x[i])].sum() + bias >= 0 for i, *_ in rows])
+    assert (plain == ours).all() and (ours == (y == 1)).all()
+
+
+def test_repeated_ids_count_once(spark):
+    rows = [(i, "kind words of a quiet day " * 3 + f"number{i}") for i in range(40)] + [(100 + i, f"you utter grumblefish number{i}") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 100)) for i, _ in rows], "doc_id long, toxic int")
+    copies = docs.unionByName(docs.where("doc_id = 100")).unionByName(docs.where("doc_id = 3").crossJoin(spark.range(500)).drop("id"))
+    a, b = toxicity.train(docs, labels), toxicity.train(copies.repartition(9), labels)
+    assert np.allclose(a[0], b[0]) and a[1] == pytest.approx(b[1]) and a[0].any()
 
 
 def test_plain_cases(spark, model):

@@ -102,7 +102,8 @@ def shard_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 shards: int = SHARDS, bits: int = BITS) -> DataFrame:
     """(id, size, text_crc32, hilbert, shard, slot) for every row of ``docs``.
 
-    Size is the text's UTF-8 bytes plus 1 (null text: 1).  Null ids and dimensions
+    Size is the text's UTF-8 bytes plus 1 (null text: 1).  Rows of equal texts are
+    spread as their metadata and ids say, not kept together.  Null ids and dimensions
     come last in their order; repeated rows get a slot each.  A run may be empty if
     single rows are longer than a shard.
     """

@@ -4,11 +4,14 @@ A text's features are the character n-grams that occur in it (lower-cased,
 white space folded, a space at both ends), hashed to ``2 ** HASH_BITS``
 slots and counted once.  Each slot has the naive Bayes log-count ratio
 
-    r = log((p + 1) / sum(p + 1)) - log((q + 1) / sum(q + 1))
+    r = log((p + 1) / (P + 2)) - log((q + 1) / (Q + 2))
 
-of its document counts p among positive and q among negative training rows.
-A logistic regression is fitted on the features scaled by r; a slot's final
-weight is r times its coefficient, so a text's score is a sum of weights.
+of the p among P positive and q among Q negative training rows that have it.
+Slots of at least ``MIN_POSITIVE`` positive rows and a ratio of ``MIN_RATIO`` or
+more speak for the mark; the others, among them all that single texts are
+remembered by, are left out.  A logistic regression is fitted on the features
+scaled by r; a slot's final weight is r times its coefficient, so a text's score is
+a sum of weights.
 
 The model is fitted on a bounded sample of the labelled rows
 (``MAX_POSITIVE`` and ``MAX_NEGATIVE``, those with the smallest hashes of
@@ -19,6 +22,7 @@ training rows have.  Scoring covers every row and the whole of its text.
 from __future__ import annotations
 
 import re
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +30,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, numbered, pick
+from .common import bounded_batches, numbered, pick, stored
 
-ORDERS = (3, 4, 5, 6)
+ORDERS = (5, 7, 9)
 HASH_BITS = 20
-MAX_POSITIVE, MAX_NEGATIVE = 1000, 2000
-EPOCHS, BATCH, RATE, L2, MIN_ROWS = 10, 64, 0.3, 1e-4, 2
+MAX_POSITIVE, MAX_NEGATIVE = 10_000, 20_000
+MIN_POSITIVE, MIN_RATIO = 3, 1.0
+EPOCHS, BATCH, RATE, L2 = 10, 64, 0.3, 1e-4
+# Bytes of the sample's features that stay in memory; beyond that they are an unnamed file of their task, like Spark's own spills.
+SPOOL_BYTES = 64 << 20
 _SPACE = re.compile(r"\s+")
 
 
@@ -61,30 +68,30 @@ def features(text: str | None) -> np.ndarray:
 _LAST: list[np.ndarray] = []  # scratch of one worker
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
-    """Slot weights (float32) and intercept from feature rows (which are used up), 0/1 labels and row weights."""
+def ratios(rows: Iterator[tuple[np.ndarray, float, float]]) -> tuple[np.ndarray, np.ndarray]:
+    """(kept slots, their log-count ratios) of rows (slots, label, weight)."""
     size = 1 << HASH_BITS
-    if not len(rows) or not y.any() or y.all():  # nothing to tell apart: the share of positives, or 1/2
-        share = float(np.average(y, weights=weight)) if len(rows) else 0.5
-        return np.zeros(size, np.float32), float(np.clip(np.log(max(share, 1e-6) / max(1 - share, 1e-6)), -6, 6))
-    p, q, seen = np.zeros(size), np.zeros(size), np.zeros(size, np.int32)
-    for r, label, w in zip(rows, y, weight):
-        (p if label else q)[r] += w
-        seen[r] += 1
-    # Slots seen once tell nothing about other texts.
-    kept = np.flatnonzero(seen >= MIN_ROWS)
-    if not len(kept):
-        return fit([], y, weight)
-    p, q = p[kept] + 1, q[kept] + 1
-    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
-    place = np.full(size, -1, np.int32)
-    place[kept] = np.arange(len(kept))
-    for i, r in enumerate(rows):  # one at a time: the rows are most of the memory
-        rows[i] = (x := place[r])[x >= 0]
+    p, q, seen, total = np.zeros(size), np.zeros(size), np.zeros(size, np.int32), [0.0, 0.0]
+    for slots, label, weight in rows:
+        (p if label else q)[slots] += weight
+        total[0 if label else 1] += weight
+        if label:
+            seen[slots] += 1
+    kept = np.flatnonzero(seen >= MIN_POSITIVE)
+    r = np.log((p[kept] + 1) / (total[0] + 2)) - np.log((q[kept] + 1) / (total[1] + 2))
+    return kept[r >= MIN_RATIO], r[r >= MIN_RATIO]
+
+
+def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, kept: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
+    """Slot weights (float32) and intercept from feature rows that are places in ``kept``,
+    0/1 labels and row weights."""
+    out = np.zeros(1 << HASH_BITS, np.float32)
+    total = float(np.average(y, weights=weight)) if len(rows) else 0.5
+    bias = float(np.clip(np.log(max(total, 1e-6) / max(1 - total, 1e-6)), -6, 6))
+    if not len(kept) or not y.any() or y.all():  # nothing to tell apart: the share of positives, or 1/2
+        return out, bias
     # Logistic regression by batches, step sizes by slot; rows in a fixed random order.
-    rng, theta, grad2 = np.random.default_rng(7), np.zeros(len(kept)), np.full(len(kept), 1e-2)
-    total = np.average(y, weights=weight)
-    bias, bias2 = float(np.log(total / (1 - total))), 1e-2
+    rng, theta, grad2, bias2 = np.random.default_rng(7), np.zeros(len(kept)), np.full(len(kept), 1e-2), 1e-2
     for _ in range(EPOCHS):
         order = rng.permutation(len(rows))
         for k in range(0, len(order), BATCH):
@@ -93,12 +100,12 @@ def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> tuple[np.n
             own = np.repeat(np.arange(len(part)), [len(rows[i]) for i in part])
             z = np.bincount(own, theta[idx] * ratio[idx], len(part)) + bias
             g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[part]) * weight[part] / len(part)
-            step = np.bincount(idx, g[own], len(kept)) * ratio + L2 * theta
-            grad2 += step * step
-            theta -= RATE * step / np.sqrt(grad2)
+            here, at = np.unique(idx, return_inverse=True)
+            step = np.bincount(at, g[own], len(here)) * ratio[here] + L2 * theta[here]
+            grad2[here] += step * step
+            theta[here] -= RATE * step / np.sqrt(grad2[here])
             bias2 += g.sum() ** 2
             bias -= RATE * g.sum() / np.sqrt(bias2)
-    out = np.zeros(size, np.float32)
     out[kept] = theta * ratio
     return out, float(bias)
 
@@ -109,7 +116,8 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, id_
     expression over the column ``id``) admits.
 
     Rows with a null id or label are not used; an id that occurs in ``labels`` with
-    both marks, or twice, counts once, as 1 if any mark is 1.  The fit runs in one
+    both marks, or twice, counts once, as 1 if any mark is 1.  Of repeated ids in ``docs``
+    one row is learnt from, that with the smallest hash of its text.  The fit runs in one
     task over the bounded sample and returns the model, of a fixed size.
     """
     spark = docs.sparkSession
@@ -124,30 +132,56 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, id_
     chosen = [marks.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(n) for y, n in caps.items()]
     weights = F.when(F.col("y") == 1, 1.0).otherwise(
         (count.get(0, 0) / max(1, min(caps[0], count.get(0, 0)))) / (max(count.get(1, 0), 1) / max(1, min(caps[1], count.get(1, 0)))))
-    chosen = chosen[0].unionByName(chosen[1]).withColumn("w", weights)
+    chosen = stored(chosen[0].unionByName(chosen[1]).withColumn("w", weights), "toxicity-ids")
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = {}  # smallest hash so far of each id: of a repeated id only ever smaller ones go on
         for b in batches:
-            x = [features(t.as_py()).tobytes() for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), b.column(1), b.column(2)], names=["x", "y", "w"])
+            rows = []
+            for i, (key, tie) in enumerate(zip(b.column("id").to_pylist(), b.column("tie").to_pylist())):
+                if key not in least or tie < least[key]:
+                    least[key] = tie
+                    rows.append(i)
+            b = b.take(pa.array(rows, pa.int64()))
+            x = [features(t.as_py()).tobytes() for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "tie", "y", "w")), pa.array(x, pa.binary())], names=["id", "tie", "y", "w", "x"])
 
     def fit_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, y, w = [], [], []
-        for b in batches:
-            rows += [np.frombuffer(x.as_py(), np.int32) for x in b.column("x")]
-            y += b.column("y").to_pylist()
-            w += b.column("w").to_pylist()
-        order = sorted(range(len(rows)), key=lambda i: (y[i], len(rows[i]), int(rows[i].sum(dtype=np.int64))))  # whatever order rows came in
-        rows = [rows[i] for i in order]
-        theta, bias = fit(rows, np.array([y[i] for i in order], float), np.array([w[i] for i in order], float))
+        """Two passes over the sample's features: their ratios, then the few slots that are kept."""
+        y, w, sizes, last = [], [], [], None
+        with tempfile.SpooledTemporaryFile(SPOOL_BYTES) as file:
+            for b in batches:
+                for key, label, weight, x in zip(*(b.column(c) for c in ("id", "y", "w", "x"))):
+                    if key.as_py() == last:  # the same id again, with a larger hash
+                        continue
+                    last = key.as_py()
+                    data = x.as_py()
+                    file.write(data)
+                    y.append(label.as_py())
+                    w.append(weight.as_py())
+                    sizes.append(len(data))
+
+            def again() -> Iterator[np.ndarray]:
+                file.seek(0)
+                for n in sizes:
+                    yield np.frombuffer(file.read(n), np.int32)
+
+            kept, ratio = ratios(zip(again(), y, w))
+            place = np.full(1 << HASH_BITS, -1, np.int32)
+            place[kept] = np.arange(len(kept))
+            rows = [(at := place[x])[at >= 0] for x in again()]
+        theta, bias = fit(rows, np.array(y, float), np.array(w, float), kept, ratio)
         yield pa.RecordBatch.from_arrays([pa.array([theta.tobytes()]), pa.array([bias])], names=["theta", "bias"])
 
     bounded_batches(spark)
     texts = pick(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sample = texts.join(F.broadcast(chosen), "id").select("text", "y", "w").mapInArrow(featurise, "x binary, y int, w double")
-    model = sample.repartition(1).mapInArrow(fit_all, "theta binary, bias double").first()
+    sample = texts.join(F.broadcast(chosen), "id").withColumn("tie", F.xxhash64("text"))
+    kind = sample.schema["id"].dataType.simpleString()
+    sample = sample.mapInArrow(featurise, f"id {kind}, tie long, y int, w double, x binary")
+    sample = sample.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id", "tie").select("id", "y", "w", "x")
+    model = sample.mapInArrow(fit_all, "theta binary, bias double").first()
     if model is None:  # no partition had rows
-        return fit([], np.empty(0), np.empty(0))
+        return fit([], np.empty(0), np.empty(0), np.empty(0, np.int64), np.empty(0))
     return np.frombuffer(bytes(model["theta"]), np.float32), model["bias"]
 
 
