@@ -127,9 +127,9 @@ def test_templates_equal_full_alignment():
     word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 7)))
     fill = lambda n: " ".join(word() for _ in range(n))
     phrases = [fill(n) for n in (6, 13, 18)]
-    items = [(i, f"{fill(rng.randint(3, 14))} {phrases[i % 3]} {fill(rng.randint(2, 14))}") for i in range(60)]
+    items = [(i, f"{fill(rng.randint(3, 14))} {phrases[i % 3]} {fill(rng.randint(2, 14))}") for i in range(24)]
     texts = []
-    for i in range(45):
+    for i in range(18):
         w = list(rng.choice(items)[1] if i % 3 else f"{fill(9)} {phrases[i % 9 // 3]} {fill(9)}")
         for _ in range(int(len(w) * rng.choice([0, 0.04, 0.08, 0.1, 0.13]))):
             j = rng.randrange(len(w))

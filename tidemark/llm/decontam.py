@@ -185,6 +185,8 @@ class Index:
         g = np.minimum(g, len(self.gram) - 1)
         hit = self.gram[g] == h[at]
         at, g = at[hit], g[hit]
+        if not len(at):
+            return none
         n = self.count[g]
         own = np.repeat(np.arange(len(g)), n)
         post = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n) + self.start[g][own]

@@ -35,7 +35,7 @@ from .common import bounded_batches, numbered, pick, stored
 ORDERS = (5, 7, 9)
 HASH_BITS = 20
 MAX_POSITIVE, MAX_NEGATIVE = 10_000, 20_000
-MIN_POSITIVE, MIN_RATIO = 3, 1.0
+MIN_POSITIVE, MIN_RATIO = 4, 1.0
 EPOCHS, BATCH, RATE, L2 = 10, 64, 0.3, 1e-4
 # Bytes of the sample's features that stay in memory; beyond that they are an unnamed file of their task, like Spark's own spills.
 SPOOL_BYTES = 64 << 20
