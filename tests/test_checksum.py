@@ -156,3 +156,21 @@ def test_unreadable_file_fails_on_both_paths(tmp_path):
     from tidemark.operators.checksum import _md5_paths
     with pytest.raises(OSError):
         list(_md5_paths([pd.DataFrame({"path": [str(tmp_path / "gone")], "length": [1]})]))
+
+
+def test_canonical_paths(spark):
+    import posixpath
+
+    from tidemark.functions.columns import canonical_path
+    from tidemark.operators.checksum import verify_manifest_at
+    from tidemark.operators.filters import drop_artifacts
+    paths = ["a/../b", "/a/./b//c", "/..", "/../a", "../x", "../../x/../y", "a/..", ".", "/", "plain", "/a/b/", "a/b/../../../c", "..a/.b/c..", "/a/.../b", "a//..//b/.", "x/"]
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    got = {r[0]: r[1] for r in df.select("p", canonical_path("p")).collect()}
+    assert got == {p: posixpath.normpath(p) for p in paths}
+    entries = spark.createDataFrame([("a/../b.txt", "M"), ("./c/./d", "n"), ("/data/x/../e", "o"), ("md5.txt", "z")], "filename string, md5 string")
+    files = spark.createDataFrame([("/data/b.txt", "m"), ("/data/c/y/../d", "n"), ("/data/e", "o"), ("/data/md5.txt", "z")], "path string, actual_md5 string")
+    found = verify_manifest_at(entries, files, "/data/q/..", manifest_path="/data/./md5.txt").collect()
+    assert sorted((r["path"], r["status"]) for r in found) == [("/data/b.txt", "OK"), ("/data/c/d", "OK"), ("/data/e", "OK")]
+    kept = drop_artifacts(files.withColumnRenamed("path", "filename").selectExpr("filename", "filename AS p"), path="p", manifest_path="/data/a/../md5.txt")
+    assert kept.count() == 3

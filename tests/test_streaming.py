@@ -1,6 +1,7 @@
 """Streams equal their batch twins; re-runs are idempotent; late rows are
 dropped and counted."""
 
+import os
 import time
 from datetime import datetime, timedelta
 
@@ -166,3 +167,83 @@ def test_windows_and_sessions_equal_batch_after_a_flush(spark, tmp_path):
         batch = make(spark.read.parquet(str(src)).where("run_id <> 'flush'").withColumn("event_ts", S.event_time("ts")))
         got = sorted(tuple(r) for r in spark.read.parquet(out).where("run_id <> 'flush'").select(*cols).collect())
         assert got == sorted(tuple(r) for r in batch.select(*cols).collect()) and got
+
+
+def test_late_rows_are_kept_and_replays_agree(spark, tmp_path):
+    src, out, ck = tmp_path / "src", str(tmp_path / "out"), str(tmp_path / "ck")
+    t = datetime(2024, 1, 1)
+    batches = [[(1, t, "A", "failed", 1), (2, t + timedelta(hours=5), "A", "failed", 1)],
+               [(3, t + timedelta(hours=3), "A", "failed", 1), (4, t + timedelta(hours=4), "A", "failed", 1), (5, None, "A", "failed", 1)],
+               [(6, t + timedelta(hours=4, minutes=1), "A", "failed", 1), (7, t + timedelta(hours=9), "A", "failed", 1)],
+               [(8, t + timedelta(hours=7, minutes=59), "A", "failed", 1)]]
+    for rows in batches:
+        _land(spark, src, rows)
+        stream = _events(spark, src)
+        S.run_late_split(stream, out, ck, lateness="1 hour").awaitTermination()
+    on_time, late, marks = S.read_split(spark, out, stream.schema)
+    ids = lambda df: sorted(r["event_id"] for r in df.collect())
+    assert ids(late) == [3, 8] and ids(on_time) == [1, 2, 4, 5, 6, 7]  # 4 lies on the watermark, 5 has no time
+    assert sorted((r["n_rows"], r["late_rows"]) for r in marks.collect()) == [(1, 1), (2, 0), (2, 0), (3, 1)]
+    # the last batch once more, as after a lost driver: its own folders, the same rows
+    os.remove(str(tmp_path / "ck" / "commits" / "3"))
+    for f in (tmp_path / "ck" / "commits").glob(".3*"):
+        f.unlink()
+    S.run_late_split(_events(spark, src), out, ck, lateness="1 hour").awaitTermination()
+    on_time, late, _ = S.read_split(spark, out, stream.schema)
+    assert ids(late) == [3, 8] and ids(on_time) == [1, 2, 4, 5, 6, 7]
+
+
+def test_final_states_end_and_are_forgotten(spark, tmp_path):
+    """Many runs, one after another: the state holds those of the last while only."""
+    src, out, ck = tmp_path / "src", str(tmp_path / "out"), str(tmp_path / "ck")
+    t, held = datetime(2024, 1, 1), []
+    for b in range(5):
+        _land(spark, src, [(100 * b + 2 * i + k, t + timedelta(hours=6 * b, minutes=i % 50 + k), f"R{b}-{i}", "completed" if k else "downloading", k) for i in range(50) for k in (0, 1)])
+        q = S.run_stream(S.stream_final(_events(spark, src), idle="1 hour", lateness="1 hour"), out, ck, state_partitions=2)
+        q.awaitTermination()
+        held.append(max(op.numRowsTotal for p in q.recentProgress for op in p.stateOperators))
+    assert max(held) <= 100  # not the 250 runs that there were
+    got = {r["run_id"]: (r["stage"], r["events"]) for r in spark.read.parquet(out).collect()}
+    assert len(got) == 200 and set(got.values()) == {("completed", 2)}
+
+
+def test_compaction_reads_one_snapshot_and_the_batches_after_it(spark, tmp_path):
+    from tidemark.streaming import compact as C
+    sink = str(tmp_path / "sink")
+    put = lambda b, rows: spark.createDataFrame(rows, "k string, v long").write.mode("overwrite").parquet(f"{sink}/batch_id={b}")
+    read = lambda: {r["k"]: r["v"] for r in S.read_updates(spark, sink, ["k"]).collect()}
+    put(0, [("a", 1), ("b", 1)])
+    put(1, [("a", 2), ("c", 2)])
+    before = read()
+    assert C.pointer(spark, sink) is None and C.compact(spark, sink, ["k"], 1) == 0 and C.pointer(spark, sink) == (0, 1)
+    assert read() == before == {"a": 2, "b": 1, "c": 2}
+    put(2, [("b", 3)])
+    files = {f.split(sink)[1].split("/part")[0] for f in S.read_updates(spark, sink, ["k"]).inputFiles()}
+    assert files == {".compacted/snapshots/version=0", "/batch_id=2"}
+    put(1, [("a", 2), ("c", 2)])  # a replay of a batch that is in the snapshot already
+    # a compaction that ended before its pointer was written leaves the former one valid, and is done again
+    spark.createDataFrame([("z", 9, 9)], "k string, v long, batch_id long").write.parquet(f"{sink}.compacted/snapshots/version=1")
+    os.makedirs(f"{sink}.compacted/pointers/version=1/_temporary")
+    assert read() == {"a": 2, "b": 3, "c": 2} and C.compact(spark, sink, ["k"], 1) == 0
+    assert C.compact(spark, sink, ["k"], 2) == 1 and C.pointer(spark, sink) == (1, 2) and read() == {"a": 2, "b": 3, "c": 2}
+    put(3, [("a", 4)])
+    assert read() == {"a": 4, "b": 3, "c": 2}
+
+
+def test_tagged_union(spark, tmp_path):
+    from tidemark.sources import tagged
+    lines = ['{"type":"Log","data":{"level":"INFO","message":"a \\"q\\""}}', '{"type":"Completed"}', '{"type":"Completed","data":null}', '{"type":"Nope","data":{}}', "junk", "",
+             '{"type":"Started","data":{"total":3}}', '{"type":"Started","data":{"total":"x"}}', '{"type":"Started"}', '{"type":"Started","data":[1]}', '{"type":7}', "[1]",
+             '{"type":"DryRun","data":{"files":[{"run_id":"R","file1":"f","size1":1}]}}', '{"type":"Metadata","data":{"records":[{"run_accession":"R"}]}}']
+    path = tmp_path / "ev"
+    path.mkdir()
+    (path / "a.json").write_text("\n".join(lines) + "\n")
+    got = tagged.read_tagged(spark, str(path), stream=False)
+    assert [(r["tag"], r["reason"]) for r in got.collect()] == [
+        ("Log", None), ("Completed", None), ("Completed", None), ("Nope", "unknown type"), (None, "bad json"), (None, "bad json"), ("Started", None), ("Started", "bad data"),
+        ("Started", "bad data"), ("Started", "bad data"), ("7", "unknown type"), (None, "bad json"), ("DryRun", None), ("Metadata", None)]
+    assert tagged.variant(got, "Log").first().asDict() == {"level": "INFO", "message": 'a "q"'} and tagged.variant(got, "Started").collect()[0]["total"] == 3
+    assert tagged.variant(got, "DryRun").first()["files"][0]["file2"] is None and tagged.variant(got, "Completed").count() == 2
+    assert sorted(r["line"] for r in tagged.rejects(got).collect()) == sorted(lines[i] for i in (3, 4, 5, 7, 8, 9, 10, 11))
+    upload = tagged.parse_tagged(spark.createDataFrame([('{"type":"DryRun","data":{"files":["a","b"]}}',)], "value string"), tagged.UPLOAD_EVENTS)
+    assert upload.first()["dry_run"]["files"] == ["a", "b"]

@@ -8,9 +8,9 @@ with the key split across tasks:
 1. ``repartitionByRange(n, key, order...)`` -- range bounds are sampled over
    (key, order), so a hot key is cut into many balanced, ordered pieces; each
    row is tagged with its piece (``spark_partition_id``).  The split is
-   materialised once with a lazy ``checkpoint()`` in the shared checkpoint
-   folder: both consumers below then read one shuffle (one set of sampled
-   bounds), and a lost executor recomputes the same pieces;
+   written once as a table in the shared checkpoint folder: both consumers
+   below read it (one set of sampled bounds, the input computed once), and a
+   lost executor reads the same pieces again;
 2. a window over (piece, key) gives local results (groups are bounded by one
    range partition);
 3. one small row per (key, piece) -- its totals and its last row -- and a
@@ -31,12 +31,13 @@ keys and null values included.  ``spark.tidemark.scan.split`` = ``always`` /
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import scratch_path
 
 
 def _pieces(spark) -> int:
@@ -121,10 +122,11 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence, sums: dict
     for name, expr in sums.items():
         base = base.withColumn(f"_s_{name}", expr)
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     n = _pieces(spark) if split is True else int(split)
-    r = (base.repartitionByRange(n, *keys, *order).withColumn("_pid", F.spark_partition_id())
-         .checkpoint(eager=False))
+    path = scratch_path(spark, f"scan-{uuid.uuid4().hex}")
+    cut = base.repartitionByRange(n, *keys, *order).withColumn("_pid", F.spark_partition_id())
+    cut.write.parquet(path)
+    r = spark.read.schema(cut.schema).parquet(path)
     w = Window.partitionBy("_pid", *keys).orderBy(*order)
     wr = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for name in sums:

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from ..fixtures import register_tables, table, view, with_views
 from ..functions.columns import basename, file_type, upload_key
 from ..operators.catalog import failed_volumes, volume_attempts
-from ..operators.filters import lint_catalog, region_warning, upload_candidates
+from ..operators.filters import java_regex, lint_catalog, region_warning, upload_candidates
 from ..operators.upload import submission_template
 from ..schemas import SUBMISSION_COLUMNS
 from ..session import scratch_path
 from ..sinks.tables import failed_volume_lines
 from ..sinks.writers import write_gzip_text, write_run_report
+from ..sources.catalog import parse_catalogs
 from ..sources.listing import clean_listing
 from ..sources.runs import read_accession_reports, read_run_report, union_run_reports
 from . import register
@@ -222,3 +223,60 @@ SELECT name, concat_ws('; ',
     CASE WHEN database_type NOT IN ('file', 'folder') THEN 'type must be file or folder' END) AS issues,
   CASE WHEN region <> 'us-east-1' THEN 'bucket region is ' || region || ', not us-east-1' END AS warning
 FROM entries""")(q_catalog_lint)
+
+
+# ----------------------------------------------------------------- S8
+# Settings documents, one per supplier: defaults, the alias of the type, a document of two entries, and bad ones.
+_DOCS = """docs AS (SELECT s_suppkey AS i, s_suppkey % 7 AS k, 'db' || cast(s_suppkey AS string) AS n, 's3://b' || cast(s_nationkey AS string) || '/db/' AS u FROM supplier),
+yamls AS (SELECT i, n, k, u, 'settings: 1' || chr(10) || 'public_data:' || chr(10) || '  ' || n || ':' || chr(10) || '    description: "no. ' || cast(i AS string) || '"' || chr(10)
+  || CASE WHEN k = 3 THEN '' ELSE '    s3_url: ' || u || chr(10) END
+  || CASE k WHEN 1 THEN '    db_type: file' || chr(10) || '    exclude: "*.md5"' WHEN 4 THEN '    database_type: tape' WHEN 6 THEN '    database_type: [folder' ELSE '    database_type: folder' END || chr(10)
+  || CASE k WHEN 0 THEN '    validate: {enabled: true, tool: blastdbcmd, dbtype: nucl}' || chr(10)
+       WHEN 2 THEN '    validate:' || chr(10) || '      {enabled: false, tool: x, dbtype: prot, max_retries: ' || cast(i AS string) || ', retry_delay_seconds: 1}' || chr(10)
+       WHEN 5 THEN '  other:' || chr(10) || '    {s3_url: "s3://o/k", description: d, database_type: file, include: "a*"}' || chr(10) ELSE '' END AS yaml FROM docs)"""
+
+
+def q_catalog_documents(spark, sf):
+    register_tables(spark, sf, ["supplier"])
+    docs = spark.sql(f"WITH {_DOCS} SELECT i AS doc, yaml FROM yamls")
+    return parse_catalogs(docs).select(
+        "doc", "name", "s3_url", "description", "database_type", "exclude", "include", "validate.enabled",
+        F.col("validate.max_retries").cast("bigint").alias("max_retries"), F.col("validate.retry_delay_seconds").cast("bigint").alias("delay"), "reason")
+
+
+register("catalog_documents", f"""WITH {_DOCS}
+SELECT cast(i AS VARCHAR) AS doc, CASE WHEN k IN (3, 4, 6) THEN NULL ELSE n END AS name, CASE WHEN k IN (3, 4, 6) THEN NULL ELSE u END AS s3_url,
+  CASE WHEN k IN (3, 4, 6) THEN NULL ELSE 'no. ' || i END AS description, CASE WHEN k IN (3, 4, 6) THEN NULL WHEN k = 1 THEN 'file' ELSE 'folder' END AS database_type,
+  CASE k WHEN 1 THEN '*.md5' END AS exclude, cast(NULL AS VARCHAR) AS include, CASE k WHEN 0 THEN true WHEN 2 THEN false END AS enabled,
+  cast(CASE k WHEN 0 THEN 2 WHEN 2 THEN i END AS BIGINT) AS max_retries, cast(CASE k WHEN 0 THEN 10 WHEN 2 THEN 1 END AS BIGINT) AS delay,
+  CASE k WHEN 3 THEN n || ': s3_url is required' WHEN 4 THEN n || ': database_type must be folder or file, got ''tape''' WHEN 6 THEN 'bad yaml' END AS reason FROM yamls
+UNION ALL SELECT cast(i AS VARCHAR), 'other', 's3://o/k', 'd', 'file', NULL, 'a*', NULL, NULL, NULL, NULL FROM yamls WHERE k = 5""")(q_catalog_documents)
+
+
+# ----------------------------------------------------------------- F1, F3: patterns of both dialects
+# (dialect, pattern, the same in DuckDB's own dialect, its options)
+_PATTERNS = [
+    ("tool", r"^[[:upper:]][[:alpha:]]+ ", r"^[A-Z][A-Za-z]+ ", "c"), ("tool", r"[*+]", r"[*+]", "c"), ("tool", r"^\w+ \w+", r"^[\pL\pM\pN_]+ [\pL\pM\pN_]+", "c"),
+    ("tool", r"[a-z--aeiou]{4}", r"[b-df-hj-np-tv-z]{4}", "c"), ("tool", r"(?P<x>th)+e", r"(th)+e", "c"), ("tool", r"a*+b", r"(a*)+b", "c"),
+    ("tool", r"\\1|\$\$", r"\\1|\$\$", "c"), ("tool", r"\d{3}", r"\p{Nd}{3}", "c"), ("tool", r"(?i)^THE .*(?:and|of)", r"^THE [^\n]*(and|of)", "i"),
+    ("tool", r"[à-ü&&[^é]]", r"[à-èê-ü]", "c"), ("tool", r"\bé", r"(^|[^\pL\pM\pN_])é", "c"), ("preview", r"^\w+ ", r"^[0-9A-Za-z_]+ ", "i"),
+    ("preview", r"[[:alpha:]]", r"[\[:alph]\]", "i"), ("preview", r"^the|[*+]", r"^the|[*+]", "i"), ("preview", r"\bé", r"[0-9A-Za-z_]é", "i"),
+    ("preview", r"a{,2}|ß", r"a\{,2}|ß", "i"),
+]
+
+
+def q_regex_dialects(spark, sf):
+    """How many texts each pattern is found in, read as its dialect reads it."""
+    docs = table(spark, sf, "documents")
+    one = docs.agg(*[F.count_if(F.col("text").rlike(java_regex(p, d, d == "preview"))).alias(f"n{i}") for i, (d, p, _, _) in enumerate(_PATTERNS)])
+    rows = [F.struct(F.lit(d).alias("dialect"), F.lit(p).alias("pattern"), F.col(f"n{i}").alias("n")) for i, (d, p, _, _) in enumerate(_PATTERNS)]
+    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+register("regex_dialects", " UNION ALL ".join(
+    f"SELECT {_quoted(d)} AS dialect, {_quoted(p)} AS pattern, cast(count_if(regexp_matches(text, {_quoted(same)}, '{options}')) AS BIGINT) AS n FROM documents"
+    for d, p, same, options in _PATTERNS))(q_regex_dialects)

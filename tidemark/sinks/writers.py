@@ -57,14 +57,13 @@ ACCESSION_DIR = r"accession=([^/]+)/[^/]*$"
 
 def write_mate_checksums(processed: DataFrame, out_dir: str, accession: str, mode: str = "overwrite") -> tuple[str, str]:
     """K2: ``R1_fastq_md5_<acc>.tsv`` and ``R2_...`` (no header): md5, name, title."""
-    rows = mate_checksum_rows(processed).cache()
+    rows = mate_checksum_rows(processed)  # two narrow passes cost less than keeping the rows
     paths = []
     for mate in (1, 2):
         p = f"{out_dir.rstrip('/')}/R{mate}_fastq_md5_{accession}.tsv"
         (rows.where(F.col("mate") == mate).select("md5", "filename", "sample_title")
          .write.mode(mode).option("sep", "\t").option("header", False).option("emptyValue", "").csv(p))
         paths.append(p)
-    rows.unpersist()
     return paths[0], paths[1]
 
 
