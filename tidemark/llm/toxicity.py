@@ -134,17 +134,30 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, id_
         (count.get(0, 0) / max(1, min(caps[0], count.get(0, 0)))) / (max(count.get(1, 0), 1) / max(1, min(caps[1], count.get(1, 0)))))
     chosen = stored(chosen[0].unionByName(chosen[1]).withColumn("w", weights), "toxicity-ids")
 
-    def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least = {}  # smallest hash so far of each id: of a repeated id only ever smaller ones go on
+    def featurise(wanted=None):
+        """Features of the sample's texts, or those among the slots that a broadcast bit set holds."""
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            some = None if wanted is None else np.unpackbits(np.frombuffer(wanted.value, np.uint8)).astype(bool)
+            least = {}  # smallest hash so far of each id: of a repeated id only ever smaller ones go on
+            for b in batches:
+                rows = []
+                for i, (key, tie) in enumerate(zip(b.column("id").to_pylist(), b.column("tie").to_pylist())):
+                    if key not in least or tie < least[key]:
+                        least[key] = tie
+                        rows.append(i)
+                b = b.take(pa.array(rows, pa.int64()))
+                x = [f if some is None else f[some[f]] for f in (features(t.as_py()) for t in b.column("text"))]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "tie", "y", "w")), pa.array([f.tobytes() for f in x], pa.binary())],
+                                                 names=["id", "tie", "y", "w", "x"])
+        return run
+
+    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The slots that enough rows have, as a bit set (a repeated id may count twice here: the fit counts it once)."""
+        seen = np.zeros(1 << HASH_BITS, np.int32)
         for b in batches:
-            rows = []
-            for i, (key, tie) in enumerate(zip(b.column("id").to_pylist(), b.column("tie").to_pylist())):
-                if key not in least or tie < least[key]:
-                    least[key] = tie
-                    rows.append(i)
-            b = b.take(pa.array(rows, pa.int64()))
-            x = [features(t.as_py()).tobytes() for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "tie", "y", "w")), pa.array(x, pa.binary())], names=["id", "tie", "y", "w", "x"])
+            for x in b.column("x"):
+                seen[np.frombuffer(x.as_buffer(), np.int32)] += 1
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(seen >= MIN_POSITIVE).tobytes()])], names=["bits"])
 
     def fit_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Two passes over the sample's features: their ratios, then the few slots that are kept."""
@@ -177,7 +190,13 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, id_
     texts = pick(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sample = texts.join(F.broadcast(chosen), "id").withColumn("tie", F.xxhash64("text"))
     kind = sample.schema["id"].dataType.simpleString()
-    sample = sample.mapInArrow(featurise, f"id {kind}, tie long, y int, w double, x binary")
+    schema = f"id {kind}, tie long, y int, w double, x binary"
+    # The positive rows first: slots that too few of them have need not travel.
+    bits = sample.where("y = 1").mapInArrow(featurise(), schema).select("x").repartition(1).mapInArrow(often, "bits binary").first()
+    if bits is None:  # no positive row
+        bits = {"bits": bytes(1 << (HASH_BITS - 3))}
+    wanted = spark.sparkContext.broadcast(bytes(bits["bits"]))
+    sample = sample.mapInArrow(featurise(wanted), schema)
     sample = sample.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id", "tie").select("id", "y", "w", "x")
     model = sample.mapInArrow(fit_all, "theta binary, bias double").first()
     if model is None:  # no partition had rows
