@@ -135,17 +135,17 @@ def read_tsv_by_header(spark: SparkSession, path: str, recursive: bool = False,
     # One pass: which files have open quotes, and the first record of those that have none.
     files = _stored(lines.groupBy("file").agg(F.bool_or(_opens(value)).alias("open"), F.min(F.when(kept, F.struct("line_no", "value"))).alias("head")), "report-files")
     heads = files.where("not open and head is not null").select("file", F.col("head.line_no").alias("head_no"), F.col("head.value").alias("head"))
-    is_open = _stored(files.where("open").select("file"), "report-open")
+    is_open = files.where("open").select("file")
     if is_open.limit(1).count():
         long, unclosed = _long_records(_lookup(lines, is_open, ["file"], "left_semi"))
         long = long.where(~F.col("text").startswith("#") & ~F.col("text").isin("", "\r"))
         records = _lookup(lines, is_open, ["file"], "left_anti").where(kept).select("file", "line_no", value.alias("text")).unionByName(long)
         head = long.groupBy("file").agg(F.min(F.struct("line_no", "text")).alias("head"))
-        heads = heads.unionByName(head.select("file", F.col("head.line_no").alias("head_no"), F.col("head.text").alias("head")))
+        heads = _stored(heads.unionByName(head.select("file", F.col("head.line_no").alias("head_no"), F.col("head.text").alias("head"))), "report-heads")
     else:
         unclosed = None
         records = lines.where(kept).select("file", "line_no", value.alias("text"))
-    heads = _stored(heads.select("file", "head_no", F.transform(_fields(F.regexp_replace(_trimmed(F.col("head")), r"\A\x{FEFF}", "")), lambda x: x).alias("names")), "report-heads")
+    heads = heads.select("file", "head_no", _fields(F.regexp_replace(_trimmed(F.col("head")), r"\A\x{FEFF}", "")).alias("names"))
 
     rows = _lookup(records, heads, ["file"], "inner").where("line_no > head_no").withColumn("text", _trimmed(F.col("text")))
     rows = rows.withColumn("fields", _fields(F.col("text")))
