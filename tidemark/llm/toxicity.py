@@ -8,7 +8,7 @@ slots and counted once.  Each slot has the naive Bayes log-count ratio
 
 of the p among P positive and q among Q negative training rows that have it.
 Slots of at least ``MIN_POSITIVE`` positive rows and a ratio of ``MIN_RATIO`` or
-more speak for the mark; the others, among them all that single texts are
+more, and of half that ratio among the first ``SCREEN_ROWS`` of each mark, speak for the mark; the others, among them all that single texts are
 remembered by, are left out.  A logistic regression is fitted on the features
 scaled by r; a slot's final weight is r times its coefficient, so a text's score is
 a sum of weights.
@@ -36,6 +36,8 @@ ORDERS = (5, 7, 9)
 HASH_BITS = 20
 MAX_POSITIVE, MAX_NEGATIVE = 10_000, 20_000
 MIN_POSITIVE, MIN_RATIO = 4, 1.0
+# Rows of each mark on which slots are screened first, by half the ratio: most n-grams of a text are in all texts.
+SCREEN_ROWS = 2_000
 EPOCHS, BATCH, RATE, L2 = 10, 64, 0.3, 1e-4
 # Bytes of the sample's features that stay in memory; beyond that they are an unnamed file of their task, like Spark's own spills.
 SPOOL_BYTES = 64 << 20
@@ -151,13 +153,16 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, id_
                                                  names=["id", "tie", "y", "w", "x"])
         return run
 
-    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The slots that enough rows have, as a bit set (a repeated id may count twice here: the fit counts it once)."""
-        seen = np.zeros(1 << HASH_BITS, np.int32)
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The slots that may be kept, as a bit set (a repeated id may count twice here: the fit counts it once)."""
+        seen, rows = np.zeros((2, 1 << HASH_BITS), np.int32), [0, 0]
         for b in batches:
-            for x in b.column("x"):
-                seen[np.frombuffer(x.as_buffer(), np.int32)] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(seen >= MIN_POSITIVE).tobytes()])], names=["bits"])
+            for label, x in zip(b.column("y").to_pylist(), b.column("x")):
+                seen[label][np.frombuffer(x.as_buffer(), np.int32)] += 1
+                rows[label] += 1
+        (q, p), (n_q, n_p) = seen, rows
+        may = (p >= MIN_POSITIVE) & (np.log((p + 1) / (n_p + 2)) - np.log((q + 1) / (n_q + 2)) >= MIN_RATIO / 2)
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(may).tobytes()])], names=["bits"])
 
     def fit_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Two passes over the sample's features: their ratios, then the few slots that are kept."""
@@ -191,9 +196,12 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, id_
     sample = texts.join(F.broadcast(chosen), "id").withColumn("tie", F.xxhash64("text"))
     kind = sample.schema["id"].dataType.simpleString()
     schema = f"id {kind}, tie long, y int, w double, x binary"
-    # The positive rows first: slots that too few of them have need not travel.
-    bits = sample.where("y = 1").mapInArrow(featurise(), schema).select("x").repartition(1).mapInArrow(often, "bits binary").first()
-    if bits is None:  # no positive row
+    # A first part of the sample says which slots need not travel.
+    order = F.xxhash64("id")
+    last = {y: chosen.where(F.col("y") == y).orderBy(order).limit(SCREEN_ROWS).agg(F.max(order)).first()[0] for y in caps}
+    first = sample.where(order <= F.when(F.col("y") == 1, F.lit(last[1])).otherwise(F.lit(last[0])))
+    bits = first.mapInArrow(featurise(), schema).select("y", "x").repartition(1).mapInArrow(screen, "bits binary").first()
+    if bits is None:  # no row
         bits = {"bits": bytes(1 << (HASH_BITS - 3))}
     wanted = spark.sparkContext.broadcast(bytes(bits["bits"]))
     sample = sample.mapInArrow(featurise(wanted), schema)
