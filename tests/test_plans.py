@@ -49,9 +49,9 @@ def test_inventory_never_reads_content(spark, tmp_path, capsys):
 def test_ordered_scan_split_partitions_by_piece(spark, capsys):
     df = spark.range(2000).select(F.lit("hot").alias("k"), F.col("id").alias("t"), F.lit(1).alias("v"))
     plan = _plan(ordered_scan(df, ["k"], ["t"], sums={"rs": F.col("v")}, split=8), capsys, "simple")
-    # the range split is materialised once (a shared RDD scan) and windows
+    # the range split is written once (a scan of that table) and windows
     # are partitioned by (piece, key)
-    assert "ExistingRDD" in plan and "_pid" in plan
+    assert "FileScan parquet" in plan and "Range (" not in plan and "_pid" in plan
     got = ordered_scan(df, ["k"], ["t"], sums={"rs": F.col("v")}, split=8).agg(F.max("rs")).first()[0]
     assert got == 2000
 
