@@ -134,6 +134,27 @@ def test_stream_retries_across_batches(spark, tmp_path):
     assert got == [("f", 1, 2, "done"), ("f", 2, 1, "stalled")]
 
 
+def test_stream_retries_keeps_many_files_in_few_state_rows(spark, tmp_path):
+    """Chunks of many files share a state row, and null keys and order values are attempts too."""
+    src, t = tmp_path / "src", datetime(2024, 1, 1)
+    schema = "file_id string, chunk_id long, seq long, who string, ok boolean, ts timestamp_ntz"
+    first = [(f"f{i}", i % 3, 1, "a", False, t) for i in range(300)] + [("n", None, 1, None, False, t), (None, 4, None, "b", False, t)]
+    second = [(f"f{i}", i % 3, s, w, False, t + timedelta(minutes=s)) for i in range(200) for s, w in ((2, None), (2, "b"), (3, "c"))]
+    second += [("n", None, 2, "a", True, t), ("n", None, None, "a", False, t), (None, 4, 2, "a", None, t)]
+    end = [("z", 0, 1, "a", False, t + timedelta(hours=9))]
+    out, ck, rows = str(tmp_path / "out"), str(tmp_path / "ck"), []
+    for batch in (first, second, end):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(src))
+        att = spark.readStream.schema(schema).parquet(str(src)).withColumn("event_ts", S.event_time("ts"))
+        q = S.run_stream(S.stream_retries(att, 3, "1 hour", order=["seq", "who"], groups=4), out, ck)
+        q.awaitTermination()
+        rows.append(max(p.stateOperators[0].numRowsTotal for p in q.recentProgress))
+    assert max(rows) <= 4
+    got = {(r["file_id"], r["chunk_id"]): (r["failures"], r["status"]) for r in spark.read.parquet(out).collect()}
+    assert got.pop(("n", None)) == (1, "done") and got.pop((None, 4)) == (2, "stalled")
+    assert got == {(f"f{i}", i % 3): (4, "fatal") if i < 200 else (1, "stalled") for i in range(300)}
+
+
 def test_dropped_late_listener_counts_every_update(spark, tmp_path):
     src = tmp_path / "src"
     _land(spark, src, _rows(20))

@@ -241,7 +241,9 @@ def q_stream_retries(spark, sf):
     att = att.withColumn("event_ts", event_time("ship")) \
         .select("file_id", "chunk_id", "event_ts", *ATTEMPT_ORDER)
     out, ck = _paths(spark, "t5")
-    _run(stream_retries(att, 3, "1 hour", order=ATTEMPT_ORDER), out, ck, "append")
+    # some 8,192 attempts of each third to a group of chunks
+    groups = max(2 * spark.sparkContext.defaultParallelism, rows.count() // (3 * 8192))
+    _run(stream_retries(att, 3, "1 hour", order=ATTEMPT_ORDER, groups=groups), out, ck, "append")
     r = spark.read.parquet(out)
     return r.select("file_id", "chunk_id", "failures", "status")
 

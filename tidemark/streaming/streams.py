@@ -12,10 +12,13 @@ Event time: the landed events carry ``TIMESTAMP_NTZ``; watermarks need
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +29,9 @@ from ..operators.progress import epoch_micros
 from ..schemas import CHUNK_REQUEUE_BUDGET
 from .compact import compact, read_current
 
+# executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def event_time(ts) -> Column:
     """TIMESTAMP_NTZ -> TIMESTAMP at the same UTC wall clock."""
@@ -105,79 +111,98 @@ def stream_sessions(events: DataFrame, ts: str = "event_ts", run: str = "run_id"
 
 # --------------------------------------------------------------------------- T5
 _RETRY_OUT = "file_id string, chunk_id long, failures long, status string"
-_RETRY_STATE = ("chunk_ids array<long>, failures array<long>, reported array<boolean>, "
-                "deadline_ms array<long>")
-CHUNK_BLOCK = 64  # chunks of one file that share one state row (bounded)
+_RETRY_CHUNKS = pa.schema([("file_id", pa.string()), ("chunk_id", pa.int64()), ("failures", pa.int64()),
+                           ("reported", pa.bool_()), ("deadline_ms", pa.int64())])
+_RETRY_STATE = "chunks binary"  # an Arrow table: a row per chunk (:func:`_pack`)
+
+
+def _pack(chunks: pd.DataFrame) -> bytes:
+    sink = pa.BufferOutputStream()
+    table = pa.Table.from_pandas(chunks, schema=_RETRY_CHUNKS, preserve_index=False)
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpack(packed: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(packed).read_all().to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
+
+
+def _ranks(col: pd.Series) -> np.ndarray:
+    """Values that sort as the column does, nulls last."""
+    if col.dtype != object:
+        return col.to_numpy()
+    codes, uniques = pd.factorize(col, sort=True)
+    return np.where(codes < 0, len(uniques), codes)
 
 
 def stream_retries(attempts: DataFrame, budget: int = CHUNK_REQUEUE_BUDGET, timeout: str = "1 hour",
-                   ts: str = "event_ts", order: Sequence[str] = ("seq",)) -> DataFrame:
+                   ts: str = "event_ts", order: Sequence[str] = ("seq",), groups: int = 256) -> DataFrame:
     """T5: retry state machine per (file, chunk) with ``applyInPandasWithState``.
 
     Failures are counted; the (budget+1)-th failure emits ``fatal``; a success
     emits ``done``.  A chunk whose newest event lies more than ``timeout`` before
     the event-time watermark emits ``stalled`` (if it never finished) and is
-    forgotten.  Output mode append.
-
-    State is kept per block of :data:`CHUNK_BLOCK` chunks of a file (bounded
-    arrays, one entry per chunk with its own deadline), so the per-group
-    Python cost is paid once per block rather than once per chunk.
+    forgotten.  An attempt without an event time counts as one at the watermark.
+    Output mode append.
+
+    The chunks are spread by hash over ``groups`` state rows, each a table of its
+    chunks with their own deadlines, and a group's attempts are counted together:
+    the cost of a call into Python and of its Arrow batches is paid per group and
+    micro-batch, not per file.  A group is read and written whole, so take as many
+    as leave some thousand attempts to each in a micro-batch; the number is fixed
+    by a query's first start.
     """
     t_ms = _ms(timeout)
     order = list(order)
+    keys = ["file_id", "chunk_id"]
 
     def step(key, pdfs: Iterable[pd.DataFrame], state):
-        file_id = key[0]
-        if state.exists:
-            ids, fails, rep, dl = (list(x) for x in state.get)
-        else:
-            ids, fails, rep, dl = [], [], [], []
-        pos = {c: i for i, c in enumerate(ids)}
         wm = state.getCurrentWatermarkMs()
-        out = []
+        held = _unpack(bytes(state.get[0])) if state.exists else _RETRY_CHUNKS.empty_table().to_pandas()
+        names, n_held = held[keys].astype({"file_id": object, "chunk_id": "Int64"}), len(held)
+        fails, rep = held["failures"].to_numpy("int64"), held["reported"].to_numpy(bool)
+        dl = held["deadline_ms"].to_numpy("int64")
+        done = []
         if not state.hasTimedOut:
-            frames = list(pdfs)
-            pdf = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
-            seen = pdf[ts].to_numpy().astype("datetime64[ms]").astype("int64")
-            cols = [pdf[c].to_numpy() for c in ["chunk_id"] + order]
-            idx = np.lexsort(cols[::-1]) if len(pdf) > 1 else np.arange(len(pdf))
-            chunks, oks = cols[0][idx], pdf["ok"].to_numpy()[idx]
-            for chunk_id, ok, at in zip(chunks.tolist(), oks.tolist(), seen[idx].tolist()):
-                i = pos.get(chunk_id)
-                if i is None:
-                    i = pos[chunk_id] = len(ids)
-                    ids.append(chunk_id); fails.append(0); rep.append(False); dl.append(0)
-                dl[i] = max(dl[i], at + t_ms)  # by the chunk's own newest event, whatever the watermark is by now
-                if rep[i]:
-                    continue
-                if ok:
-                    rep[i] = True
-                    out.append((chunk_id, fails[i], "done"))
-                    continue
-                fails[i] += 1
-                if fails[i] > budget:
-                    rep[i] = True
-                    out.append((chunk_id, fails[i], "fatal"))
-        keep = []
-        for i in range(len(ids)):
-            if dl[i] < wm:
-                if not rep[i]:
-                    out.append((ids[i], fails[i], "stalled"))
-            else:
-                keep.append(i)
-        if keep:
-            state.update(([ids[i] for i in keep], [fails[i] for i in keep], [rep[i] for i in keep],
-                          [dl[i] for i in keep]))
-            state.setTimeoutTimestamp(min(dl[i] for i in keep))
+            pdf = pd.concat(list(pdfs), ignore_index=True)
+            both = pd.concat([names, pdf[keys].astype({"file_id": object, "chunk_id": "Int64"})], ignore_index=True)
+            no = both.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()  # held chunks keep their row number
+            names = both[~both.duplicated()].reset_index(drop=True)
+            more, no = len(names) - n_held, no[n_held:]
+            fails, rep = np.append(fails, np.zeros(more, "int64")), np.append(rep, np.zeros(more, bool))
+            dl = np.append(dl, np.full(more, np.iinfo("int64").min))
+            at = pdf[ts].to_numpy().astype("datetime64[ms]")
+            # by the chunk's own newest event, whatever the watermark is by now
+            np.maximum.at(dl, no, np.where(np.isnat(at), wm, at.astype("int64")) + t_ms)
+            idx = np.lexsort([*[_ranks(pdf[c]) for c in reversed(order)], no])
+            row, ok = no[idx], pdf["ok"].eq(True).fillna(False).to_numpy(bool)[idx]
+            first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+            last = np.r_[first[1:], len(row)] - 1
+            upto = np.cumsum(~ok)
+            before = np.repeat(upto[first] - ~ok[first], last - first + 1)
+            count = upto - before + fails[row]
+            ends = np.flatnonzero((ok | (count > budget)) & ~rep[row])
+            ended, at_end = np.unique(row[ends], return_index=True)
+            ends = ends[at_end]
+            fails[row[last]] = count[last]
+            fails[ended], rep[ended] = count[ends], True
+            done.append((ended, np.where(ok[ends], "done", "fatal")))
+        over = dl < wm
+        stalled = np.flatnonzero(over & ~rep)
+        done.append((stalled, np.full(len(stalled), "stalled")))
+        if not over.all():
+            state.update((_pack(names.assign(failures=fails, reported=rep, deadline_ms=dl)[~over]),))
+            state.setTimeoutTimestamp(int(dl[~over].min()))
         elif state.exists:
             state.remove()
-        if out:
-            yield pd.DataFrame({"file_id": [file_id] * len(out), "chunk_id": [o[0] for o in out],
-                                "failures": [o[1] for o in out], "status": [o[2] for o in out]})
+        out = np.concatenate([i for i, _ in done])
+        if len(out):
+            yield names.take(out).assign(failures=fails[out], status=np.concatenate([s for _, s in done]).astype(object))
 
     return (attempts.withWatermark(ts, timeout)
-            .withColumn("_block", F.floor(F.col("chunk_id") / CHUNK_BLOCK))
-            .groupBy("file_id", "_block")
+            .withColumn("_group", F.pmod(F.xxhash64(*keys), F.lit(groups)))
+            .groupBy("_group")
             .applyInPandasWithState(step, _RETRY_OUT, _RETRY_STATE, "append", GroupStateTimeout.EventTimeTimeout))
 
 
