@@ -87,6 +87,14 @@ def test_catalog_match_and_lookup(spark):
     assert miss.count() == 9
 
 
+def test_unknown_name_lists_every_known_name(spark):
+    names = [f"db{i:05d}" for i in range(10_002)]  # one more than a broadcast takes, and a repeat
+    cat = spark.createDataFrame([(n, "s3://b/p/", "folder") for n in [*reversed(names), "db00003", None]], "name string, s3_url string, database_type string")
+    req = spark.createDataFrame([("nope",), ("db00007",)], "name string")
+    got = {r["name"]: r["error"] for r in lookup_catalog(cat, req, list_names=True).collect()}
+    assert got == {"nope": "Unknown database 'nope'. Available: " + ", ".join(names), "db00007": None}
+
+
 def test_tsv_roundtrip_with_comment_and_quotes(spark, tmp_path):
     rows = [("SRR1", "title with\ttab and \"quote\"", "a;b", "", None)]
     df = spark.createDataFrame(rows, "run_accession string, sample_title string, fastq_ftp string, fastq_md5 string,"

@@ -79,15 +79,17 @@ def known_names(catalog: DataFrame) -> DataFrame:
     return catalog.select("name").where(F.col("name").isNotNull()).distinct().orderBy("name")
 
 
-def lookup_catalog(catalog: DataFrame, requests: DataFrame, name: str = "name") -> DataFrame:
+def lookup_catalog(catalog: DataFrame, requests: DataFrame, name: str = "name", list_names: bool = False) -> DataFrame:
     """Resolve requested names (an entry listed twice resolves to the one with
     the smallest url); an unknown name gets an error with the number of known ones
-    (:func:`known_names` has them)."""
+    or, with ``list_names``, all of them in sorted order, however many there are
+    (:func:`known_names` has them as rows)."""
     cat = bounded_broadcast(catalog.groupBy(F.col("name").alias(name)).agg(F.min(F.struct("s3_url", "database_type")).alias("_e"))
                             .select(name, "_e.s3_url", "_e.database_type"))
-    number = catalog.where(F.col("name").isNotNull()).agg(F.count_distinct("name").alias("_known"))
-    j = requests.join(cat, name, "left").crossJoin(F.broadcast(number))  # one row
-    err = F.when(F.col("s3_url").isNull(), F.format_string("Unknown database '%s'. Available: %d databases", F.col(name), F.col("_known")))
+    names = catalog.select("name").where(F.col("name").isNotNull()).distinct()
+    known = F.array_join(F.sort_array(F.collect_list("name")), ", ") if list_names else F.format_string("%d databases", F.count("name"))
+    j = requests.join(cat, name, "left").crossJoin(F.broadcast(names.agg(known.alias("_known"))))  # one row
+    err = F.when(F.col("s3_url").isNull(), F.concat(F.lit("Unknown database '"), F.col(name), F.lit("'. Available: "), F.col("_known")))
     return j.withColumn("found", F.col("s3_url").isNotNull()).withColumn("error", err).drop("_known")
 
 

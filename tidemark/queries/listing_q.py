@@ -215,12 +215,12 @@ def q_catalog_lookup(spark, sf):
     cat = view(spark, sf, "catalog_entries")
     req = _listing(spark, sf).select(F.split(F.substring_index("key", "/", -1), r"\.").getItem(0).alias("name")) \
         .distinct()
-    return lookup_catalog(cat, req).select("name", "found", "s3_url", "error")
+    return lookup_catalog(cat, req, list_names=True).select("name", "found", "s3_url", "error")
 
 
 register("catalog_lookup", with_views(f"""SELECT r.name, c.s3_url IS NOT NULL AS found, c.s3_url,
   CASE WHEN c.s3_url IS NULL THEN 'Unknown database ''' || r.name || '''. Available: '
-    || (SELECT count(DISTINCT name) FROM catalog_entries) || ' databases' END AS error
+    || (SELECT string_agg(name, ', ' ORDER BY name) FROM catalog_entries) END AS error
 FROM ({_REQ_NAMES}) r LEFT JOIN catalog_entries c ON c.name = r.name""",
                                       "object_listing", "catalog_entries"))(q_catalog_lookup)
 
