@@ -379,3 +379,19 @@ def test_decisions_do_not_fan_out_on_repeated_names(spark):
     lst = spark.createDataFrame([("b", "k", None, None), ("b", "k", 4, None)], "bucket string, key string, size long, etag string")
     req = spark.createDataFrame([("b", "k"), ("b", "gone"), ("b", "dir/")], "bucket string, key string")
     assert sorted((r["key"], r["status"]) for r in lookup_objects(lst, req).collect()) == [("dir/", "bad key"), ("gone", "missing"), ("k", "found")]
+
+
+def test_locators_are_found_in_one_pass_over_the_tags(spark):
+    """A filter on the result evaluates the document's tags once, not once per use."""
+    from tidemark.sources.locators import extract_locators
+    aws = '<Alternatives org="aws" free_egress="WorldWide" url="{}"/>'
+    docs = [None, "", "<Run md5='r' size='7'>" + aws.format("") + aws.format("s3://b/k") + aws.format("s3://b/z") + "</Run>",
+            aws.format("https://b.s3.amazonaws.com/k") + "<SRAFile md5='late'/>", '<SRAFile md5="m" size="x"/>' + aws.format("ftp://no") + "<Run/>" + aws.format("s3://c/k")]
+    df = spark.createDataFrame(list(enumerate(docs)), "i int, xml string")
+    found = extract_locators(df).where(F.col("s3_uri").isNotNull())
+    got = {r["i"]: (r["s3_uri"], r["http_url"], r["md5"], r["size"]) for r in found.collect()}
+    assert got == {2: ("s3://b/k", "https://b.s3.amazonaws.com/k", "r", 7), 3: ("s3://b/k", "https://b.s3.amazonaws.com/k", None, 0),
+                   4: ("s3://c/k", "https://c.s3.amazonaws.com/k", None, 0)}
+    assert extract_locators(df).where(F.col("s3_uri").isNull()).count() == 2
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1

@@ -56,33 +56,27 @@ def extract_locators(df: DataFrame, xml: str = "xml", mode: str = "quarantine")
     (:func:`locator_rejects` has it); ``mode='fail'`` fails on it."""
     if check_mode(mode) == "fail":
         df = checked(df, _xml_reason(F.col(xml)), mode)
+    # One pass over the tags: the md5 and size in force, and what the first locator takes.  Each
+    # tag is looked at once, and a locator already found only passes through.
+    state = "struct<s3_uri:string,http_url:string,md5:string,size:string,found:boolean>"
+    nothing = F.from_json(F.lit('{"found":false}'), state)
+
+    def seen(acc: Column, tag: Column) -> Column:
+        name = F.lower(F.regexp_extract(tag, _NAME, 1))
+        reset = F.struct(acc["s3_uri"].alias("s3_uri"), acc["http_url"].alias("http_url"), _attr(tag, "md5").alias("md5"),
+                         _attr(tag, "size").alias("size"), F.lit(False).alias("found"))
+        open_ = (F.lower(_attr(tag, "org")) == "aws") & (F.lower(_attr(tag, "free_egress")) == "worldwide")
+        pair = F.when(open_, resolve_url_pair(F.nullif(_attr(tag, "url"), F.lit(""))))
+        taken = F.struct(pair["s3_uri"].alias("s3_uri"), pair["http_url"].alias("http_url"), acc["md5"].alias("md5"),
+                         acc["size"].alias("size"), pair.isNotNull().alias("found"))
+        return F.when(acc["found"], acc).when(name.isin("srafile", "run"), reset).when(name == "alternatives", taken).otherwise(acc)
+
     tags = F.regexp_extract_all(_c(xml), F.lit(_TAG), 0)
-    staged = df.withColumn("_tags", tags).withColumn(
-        "_names", F.transform("_tags", lambda t: F.lower(F.regexp_extract(t, _NAME, 1))))
-    idx = F.sequence(F.lit(1), F.greatest(F.size("_tags"), F.lit(1)))
-
-    def qualifies(i):
-        t = F.try_element_at(F.col("_tags"), i)
-        url = _attr(t, "url")
-        return ((F.try_element_at(F.col("_names"), i) == "alternatives")
-                & (F.lower(_attr(t, "org")) == "aws")
-                & (F.lower(_attr(t, "free_egress")) == "worldwide")
-                & (F.coalesce(url, F.lit("")) != "")
-                & resolve_url_pair(url).isNotNull())
-
-    alt_i = F.array_min(F.transform(idx, lambda i: F.when((F.size("_tags") > 0) & qualifies(i), i)))
-    staged = staged.withColumn("_alt", alt_i)
-    reset_i = F.array_max(F.transform(idx, lambda i: F.when(
-        F.try_element_at(F.col("_names"), i).isin("srafile", "run") & (i < F.col("_alt")), i)))
-    staged = staged.withColumn("_rst", reset_i)
-    alt_tag = F.try_element_at(F.col("_tags"), F.col("_alt"))
-    rst_tag = F.when(F.col("_rst").isNotNull(), F.try_element_at(F.col("_tags"), F.col("_rst")))
-    pair = resolve_url_pair(_attr(alt_tag, "url"))
-    found = F.col("_alt").isNotNull()
-    size = F.coalesce(_u64_or_null(_attr(rst_tag, "size")), F.lit(0).cast("decimal(20,0)"))
+    # generated, so that no filter on the result is moved below it and evaluates the pass again
+    staged = df.select("*", F.inline(F.array(F.aggregate(tags, nothing, seen).alias("_loc"))).alias("s3_uri", "http_url", "_md5", "_size", "_found"))
+    found = F.col("_found")
+    size = F.coalesce(_u64_or_null(F.col("_size")), F.lit(0).cast("decimal(20,0)"))
     return (staged
-            .withColumn("s3_uri", F.when(found, pair["s3_uri"]))
-            .withColumn("http_url", F.when(found, pair["http_url"]))
-            .withColumn("md5", F.when(found, _attr(rst_tag, "md5")))
+            .withColumn("md5", F.when(found, F.col("_md5")))
             .withColumn("size", F.when(found, size))
-            .drop("_tags", "_names", "_alt", "_rst"))
+            .drop("_md5", "_size", "_found"))
