@@ -395,3 +395,19 @@ def test_locators_are_found_in_one_pass_over_the_tags(spark):
     assert extract_locators(df).where(F.col("s3_uri").isNull()).count() == 2
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 1
+
+
+def test_report_records_are_cut_once(spark, tmp_path):
+    """Header checks are made per file, a record's fields taken by their places."""
+    from tidemark.sources.runs import read_accession_reports
+    for acc, text in (("A", "sample_title\trun_accession\tother\r\nt\tR1\tx\r\n\tR2\t\r\n"), ("B", 'run_accession\nR3\n"R\t""4"\n')):
+        (tmp_path / f"{acc}_metadata").mkdir()
+        (tmp_path / f"{acc}_metadata" / "r.tsv").write_bytes(text.encode())
+    df = read_accession_reports(spark, str(tmp_path)).select("accession", "run_accession", "sample_title", "library_layout")
+    assert sorted(tuple(r) for r in df.collect()) == [("A", "R1", "t", None), ("A", "R2", "", None), ("B", 'R\t"4', "", None), ("B", "R3", "", None)]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "map_from_arrays" not in plan and plan.count("regexp_extract_all(") == 2  # headers and records, each cut at one place
+    (tmp_path / "C_metadata").mkdir()
+    (tmp_path / "C_metadata" / "r.tsv").write_text("run_accession\trun_accession\nR5\tR6\n")
+    with pytest.raises(Exception, match="named twice"):
+        read_accession_reports(spark, str(tmp_path)).select("run_accession").collect()

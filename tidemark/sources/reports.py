@@ -14,6 +14,7 @@ of those files are sorted by chunk, the others are parsed where they are read.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -114,13 +115,19 @@ def _fields(text: Column) -> Column:
 
 
 def _trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, r"\r\z", "")
+    return F.when(text.endswith("\r"), F.left(text, F.length(text) - 1)).otherwise(text)
 
 
-def read_tsv_by_header(spark: SparkSession, path: str, recursive: bool = False, mode: str = "fail") -> DataFrame:
+def read_tsv_by_header(spark: SparkSession, path: str, recursive: bool = False, mode: str = "fail",
+                       columns: Sequence[str] | None = None, of_file: dict[str, Column] | None = None) -> DataFrame:
     """(file, line_no, row[, error, line]): the records of many TSV files, each mapped
     to the names in its own header; ``line_no`` is the record's last line.
 
+    ``row`` is a map of all columns or, with ``columns``, a struct of those (null where a
+    file has no such column): a record's fields are then taken by the places that its file's
+    header gives, and only those that are used.  ``of_file`` adds columns that follow from
+    ``file``; they are found once per file.
+
     Lines that start with ``#`` outside quotes are skipped, as are blank ones; fields may
     be quoted (tabs, newlines and doubled quotes inside).  Empty fields are null.  Bad
     records are ragged ones, those with a bare carriage return outside quotes, a quote
@@ -145,20 +152,30 @@ def read_tsv_by_header(spark: SparkSession, path: str, recursive: bool = False,
     else:
         unclosed = None
         records = lines.where(kept).select("file", "line_no", value.alias("text"))
-    heads = heads.select("file", "head_no", _fields(F.regexp_replace(_trimmed(F.col("head")), r"\A\x{FEFF}", "")).alias("names"))
+    names = _fields(F.regexp_replace(_trimmed(F.col("head")), r"\A\x{FEFF}", ""))
+    heads = heads.select("file", "head_no", names.alias("names"))
+    # What is the same for all records of a file is found once per file.
+    places = [F.array_position("names", c).cast("int").alias(f"place_{i}") for i, c in enumerate(columns or ())]
+    own = [c.alias(k) for k, c in (of_file or {}).items()]
+    heads = heads.select("*", F.size("names").alias("n_names"), (F.size(F.array_distinct("names")) != F.size("names")).alias("twice"), *places, *own)
 
     rows = _lookup(records, heads, ["file"], "inner").where("line_no > head_no").withColumn("text", _trimmed(F.col("text")))
-    rows = rows.withColumn("fields", _fields(F.col("text")))
-    error = (F.when(F.size("fields") != F.size("names"), F.format_string("ragged row at line %d of %s", "line_no", "file"))
+    # generated, so that a record is cut once: filters and columns above it share the fields
+    rows = rows.select("*", F.inline(F.array(F.struct(_fields(F.col("text")).alias("fields")))).alias("fields"))
+    error = (F.when(F.size("fields") != F.col("n_names"), F.format_string("ragged row at line %d of %s", "line_no", "file"))
              .when(F.col("text").contains("\r") & F.exists(F.split(F.regexp_replace("text", _QUOTED, ""), "\t"), lambda x: x.contains("\r")),
                    F.format_string("bare carriage return at line %d of %s", "line_no", "file"))
-             .when(F.size(F.array_distinct("names")) != F.size("names"), F.format_string("a column named twice in the header of %s", "file")))
-    row = F.when(F.col("error").isNull(), F.map_from_arrays("names", F.transform("fields", lambda x: F.nullif(x, F.lit("")))))
-    rows = rows.withColumn("error", error).select("file", "line_no", row.alias("row"), "error", F.when(F.col("error").isNotNull(), F.col("text")).alias("line"))
+             .when(F.col("twice"), F.format_string("a column named twice in the header of %s", "file")))
+    if columns is None:
+        row = F.when(error.isNull(), F.map_from_arrays("names", F.transform("fields", lambda x: F.nullif(x, F.lit("")))))
+    else:
+        value = [F.get("fields", F.col(f"place_{i}") - 1) for i in range(len(columns))]
+        row = F.struct(*[F.when(v != "", v).alias(c) for v, c in zip(value, columns, strict=True)])
+    rows = rows.select("file", "line_no", row.alias("row"), error.alias("error"), F.when(error.isNotNull(), F.col("text")).alias("line"), *(of_file or {}))
     if unclosed is not None:
         lost = unclosed.select("file", "line_no", F.lit(None).cast(rows.schema["row"].dataType).alias("row"),
-                               F.format_string("a quote opened at line %d of %s is never closed", "line_no", "file").alias("error"), F.lit(None).cast("string").alias("line"))
+                               F.format_string("a quote opened at line %d of %s is never closed", "line_no", "file").alias("error"), F.lit(None).cast("string").alias("line"), *own)
         rows = rows.unionByName(lost)
     if mode == "quarantine":
         return rows
-    return fail_if(rows, F.col("error").isNotNull(), F.col("error")).select("file", "line_no", "row")
+    return fail_if(rows, F.col("error").isNotNull(), F.col("error")).select("file", "line_no", "row", *(of_file or {}))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.runs import normalize_report, union_reports
+from ..schemas import RUN_REPORT_COLUMNS, RUN_REPORT_DEFAULT_EMPTY
 from .rejects import reject_rows
 from .reports import read_tsv_by_header
 
@@ -33,7 +34,7 @@ def read_run_report(spark: SparkSession, path: str, recursive: bool = False, mod
     may be quoted (tabs, newlines and doubled quotes inside quotes).  A file is
     read by many tasks.  Bad records fail the job; ``mode='quarantine'`` leaves
     them out here, and :func:`report_rejects` returns them."""
-    parsed = read_tsv_by_header(spark, path, recursive=recursive, mode=mode)
+    parsed = read_tsv_by_header(spark, path, recursive=recursive, mode=mode, columns=RUN_REPORT_COLUMNS)
     return _report_columns(parsed if mode == "fail" else parsed.where("error is null"))
 
 
@@ -51,7 +52,6 @@ def read_run_report_csv(spark: SparkSession, path: str, multiline: bool = False)
 
 
 def _report_columns(parsed: DataFrame, extra: dict | None = None) -> DataFrame:
-    from ..schemas import RUN_REPORT_COLUMNS, RUN_REPORT_DEFAULT_EMPTY
     cols = []
     for c in RUN_REPORT_COLUMNS:
         v = F.col("row").getItem(c)
@@ -65,10 +65,10 @@ def read_accession_reports(spark: SparkSession, root: str, pattern: str = r"([^/
     is taken from the path (``<acc>_metadata/...`` by default).  Reports may
     carry different column sets; each row is mapped by its own file's header.
     """
-    parsed = read_tsv_by_header(spark, root, recursive=True, mode=mode)
+    acc = F.nullif(F.regexp_extract(F.col("file"), pattern, 1), F.lit(""))
+    parsed = read_tsv_by_header(spark, root, recursive=True, mode=mode, columns=RUN_REPORT_COLUMNS, of_file={"accession": acc})
     parsed = parsed if mode == "fail" else parsed.where("error is null")
-    acc = F.regexp_extract(F.col("file"), pattern, 1)
-    return _report_columns(parsed, {"accession": F.nullif(acc, F.lit(""))})
+    return _report_columns(parsed, {"accession": F.col("accession")})
 
 
 def union_run_reports(*dfs: DataFrame) -> DataFrame:
