@@ -69,3 +69,37 @@ def test_fewer_candidates_than_k(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert run(df) == [(0, 1, 1, 256 * 512)]
     assert run(df.where("vec_id = 0")) == []
+
+
+def test_no_table_is_broadcast(spark):
+    """The stored queries look small, but a copy of them goes to every deal of shards."""
+    rows = [(i, [float(i % 7), 1.0]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = topk.top_k(df, F.col("id") % 50 == 0)
+    assert sorted(map(tuple, found.collect())) == brute(rows, lambda q: q % 50 == 0)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tasks_merge_their_own_tiles(spark, monkeypatch):
+    """A task gives one list for each query block of a cell, not one for each tile."""
+    monkeypatch.setattr(topk, "SHARD_ROWS", 2)
+    given = []
+    applied = type(spark.range(0)).mapInArrow
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda self, f, schema, *a, **b: given.append(applied(self, f, schema, *a, **b)) or given[-1])
+    rows = [(i, [float(i % 11), 1.0]) for i in range(600)]
+    topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("id") % 50 == 0)
+    lists = next(x for x in given if "scores" in x.columns)
+    cells = 4 * spark.sparkContext.defaultParallelism
+    assert lists.groupBy("q").count().agg({"count": "max"}).first()[0] <= cells < 300
+
+
+def test_queries_of_more_than_one_part(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD_ROWS", 8)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 2)
+    monkeypatch.setattr(topk, "FAN", 2)
+    monkeypatch.setattr(topk, "ASK_BYTES", 1000)
+    rng = random.Random(5)
+    rows = [(rng.randrange(300), [float(rng.randint(-2, 2)) / 4 for _ in range(rng.choice([2, 3]))]) for _ in range(700)]  # repeats, ties
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert run(df) == brute(rows, lambda q: q % 50 == 0)
+    assert run(df, 1) == brute(rows, lambda q: q % 50 == 0, 1)

@@ -4,8 +4,13 @@ Query vectors and candidate vectors are packed into blocks: one row holds up
 to ``QUERY_ROWS`` queries or ``SHARD_ROWS`` candidates as a matrix.  Every
 query block meets every shard (a stated query set against all rows, block by
 block); each meeting is one tile, a matrix product that keeps only the tile's
-``k`` best per query.  The tiles' lists are then merged as a tree, ``FAN``
-lists at a time, so no task sees more than ``FAN`` lists of one query block.
+``k`` best per query.  A task merges the lists of its own tiles as it goes; the
+tasks' lists are then merged as a tree, ``FAN`` lists at a time, so no task sees
+more than about ``FAN`` lists of one query block.
+
+Queries and shards meet by a shuffle, however small the stored queries look: a
+copy of them goes to every deal of shards, which their file size does not show,
+so a broadcast chosen by that size would bring all copies to the driver at once.
 
 Vectors of different lengths never meet.  Scores are exact: products run in
 floating point only while every partial sum is below 2^53, in 64-bit integers
@@ -26,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, pick, stored
 
 QUERY_ROWS, SHARD_ROWS, FAN = 1024, 2048, 8
+# Bytes of query blocks, with their lists, that one task holds against its shards.
+ASK_BYTES = 128 << 20
 _BLOCK = "dim int, ids binary, vecs binary"
 _LISTS = "q long, node long, n int, scores binary, ids binary"
 
@@ -93,6 +100,10 @@ def _best(scores: np.ndarray, ids: np.ndarray, held: np.ndarray, k: int) -> tupl
     return tuple(np.take_along_axis(x, order, 1) for x in (scores, ids, held))
 
 
+def _merged(lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return _best(*(np.concatenate(x, axis=1) for x in zip(*lists)), k)
+
+
 def _lists(scores: bytes, ids: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     s = np.frombuffer(scores, np.int64).reshape(n, -1)
     both = np.frombuffer(ids, np.int64).reshape(n, 2 * s.shape[1])
@@ -127,28 +138,48 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id
     asks = asks.repartition(max(1, math.ceil(asks.count() / QUERY_ROWS / 4))).mapInArrow(_pack(QUERY_ROWS), _BLOCK)
     asks = stored(asks.withColumn("q", F.monotonically_increasing_id()), "topk-queries")
     n_shards = shards.count()
-    # A copy of each query block goes to every deal of shards; the pairs of a deal are its tiles.  A few
-    # deals for each core keep all of them busy; more would only copy the queries more often.
+    held_bytes = asks.agg(F.sum(F.octet_length("ids").cast("long") * (F.col("dim") + 1 + 3 * k))).first()[0] or 0
+    parts = max(1, math.ceil(held_bytes / ASK_BYTES))
+    # A copy of each query block goes to every deal of shards, and one of each shard to every part of the
+    # queries; the pairs of a deal and a part are the tiles of a cell.  A few deals for each core keep all of
+    # them busy; more would only copy the queries more often.  All queries are one part while a task can hold them.
     deals = max(1, min(n_shards, 4 * spark.sparkContext.defaultParallelism))
     asked = asks.select("dim", "q", F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"),
+                        F.pmod(F.xxhash64("q"), F.lit(parts)).cast("int").alias("part"),
                         F.explode(F.sequence(F.lit(0), F.lit(deals - 1))).alias("deal"))
-    pairs = (shards.withColumn("deal", F.pmod(F.xxhash64("node"), F.lit(deals)).cast("int")).join(asked, ["dim", "deal"])
-             .select("dim", "q", "node", "q_ids", "q_vecs", "ids", "vecs"))
+    dealt = shards.select("*", F.pmod(F.xxhash64("node"), F.lit(deals)).cast("int").alias("deal"),
+                          F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    pairs = (dealt.join(asked.hint("merge"), ["dim", "deal", "part"])
+             .select("dim", "deal", "part", "q", "node", "q_ids", "q_vecs", "ids", "vecs"))
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, {}  # held: by query block, a node for its list, and the list
+
+        def close() -> Iterator[pa.RecordBatch]:
+            for q, (node, best) in held.items():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([q]), pa.array([node]), pa.array([len(best[0])], pa.int32()), *(pa.array([x]) for x in _to_bytes(*best))],
+                    names=["q", "node", "n", "scores", "ids"])
+            held.clear()
+
         for b in batches:
             for i in range(b.num_rows):
-                dim, q, node, q_ids, q_vecs, ids, vecs = (c[i].as_py() for c in b.columns)
+                dim, deal, part, q, node, q_ids, q_vecs, ids, vecs = (c[i].as_py() for c in b.columns)
+                if cell != (dim, deal, part):
+                    yield from close()
+                    cell = dim, deal, part
                 q_ids, ids = np.frombuffer(q_ids, np.int64), np.frombuffer(ids, np.int64)
                 s = _product(np.frombuffer(q_vecs).reshape(len(q_ids), dim), np.frombuffer(vecs).reshape(len(ids), dim))
                 best = _best(s, ids[None, :], q_ids[:, None] != ids[None, :], k)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([q]), pa.array([node]), pa.array([len(q_ids)], pa.int32()), *(pa.array([x]) for x in _to_bytes(*best))],
-                    names=["q", "node", "n", "scores", "ids"])
+                if q in held:
+                    node, before = held[q]
+                    best = _merged([before, best], k)
+                held[q] = node, best
+        yield from close()
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         n = group["n"].iloc[0]
-        best = _best(*(np.concatenate(x, axis=1) for x in zip(*(_lists(*r, n) for r in zip(group["scores"], group["ids"])))), k)
+        best = _merged([_lists(*r, n) for r in zip(group["scores"], group["ids"])], k)
         scores, ids = _to_bytes(*best)
         return pd.DataFrame({"q": group["q"].iloc[:1], "node": group["node"].iloc[:1], "n": group["n"].iloc[:1],
                              "scores": [scores], "ids": [ids]})
@@ -163,9 +194,9 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id
                                                   pa.array(who[r, c]), pa.array(s[r, c])], names=["query_id", "rank", "id", "score"])
 
     lists = pairs.mapInArrow(tile, _LISTS)
-    for level in range(math.ceil(math.log(max(1, n_shards), FAN)), 0, -1):
+    for level in range(math.ceil(math.log(deals, FAN)), 0, -1):
         # About FAN lists of a query block meet in each of FAN ** (level - 1) nodes.
         lists = (lists.withColumn("node", F.pmod(F.xxhash64("node", F.lit(level)), F.lit(FAN ** (level - 1))))
                  .groupBy("q", "node").applyInPandas(merge, _LISTS))
-    return (lists.join(asks.select("q", F.col("ids").alias("q_ids")), "q")
+    return (lists.join(asks.select("q", F.col("ids").alias("q_ids")).hint("merge"), "q")
             .mapInArrow(unroll, "query_id long, rank int, id long, score long"))
