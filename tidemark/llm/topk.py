@@ -84,17 +84,29 @@ def _product(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.clip(big, -2 ** 63, 2 ** 63 - 1).astype(np.int64)
 
 
+def _narrow(scores: np.ndarray, ids: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The admitted places of each row in its first columns, if that takes a quarter of the columns at most."""
+    n = held.sum(axis=1)
+    width = max(int(n.max(initial=0)), 1)
+    if 4 * width > scores.shape[1]:
+        return scores, ids, held
+    r, c = np.nonzero(held)
+    to = r, np.arange(len(r)) - np.repeat(np.cumsum(n) - n, n)
+    out = np.zeros((len(n), width), np.int64), np.zeros((len(n), width), np.int64), np.zeros((len(n), width), bool)
+    out[0][to], out[1][to], out[2][to] = scores[r, c], np.broadcast_to(ids, scores.shape)[r, c], True
+    return out
+
+
 def _best(scores: np.ndarray, ids: np.ndarray, held: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per row the ``k`` best of the places that ``held`` admits: highest score, then smallest id."""
+    scores, ids, held = _narrow(scores, ids, held)
     if scores.shape[1] > k:
         # Partial selection: everything that ties with or beats the k-th score, then an exact sort of it.
         low = np.where(held, scores, np.iinfo(np.int64).min)
-        kth = np.partition(low, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-        held = held & (scores >= kth[:, None])
-        width = max(int(held.sum(axis=1).max(initial=0)), 1)
-        if width < scores.shape[1]:
-            first = np.argsort(~held, axis=1, kind="stable")[:, :width]
-            scores, ids, held = (np.take_along_axis(x, first, 1) for x in (scores, np.broadcast_to(ids, scores.shape), held))
+        low.partition(scores.shape[1] - k, axis=1)
+        held = held & (scores >= low[:, scores.shape[1] - k, None])
+        del low
+        scores, ids, held = _narrow(scores, ids, held)
     ids = np.broadcast_to(ids, scores.shape)
     order = np.lexsort((ids, -scores.astype(object) if (scores == np.iinfo(np.int64).min).any() else -scores, ~held), axis=1)[:, :k]
     return tuple(np.take_along_axis(x, order, 1) for x in (scores, ids, held))
@@ -170,11 +182,15 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id
                     cell = dim, deal, part
                 q_ids, ids = np.frombuffer(q_ids, np.int64), np.frombuffer(ids, np.int64)
                 s = _product(np.frombuffer(q_vecs).reshape(len(q_ids), dim), np.frombuffer(vecs).reshape(len(ids), dim))
-                best = _best(s, ids[None, :], q_ids[:, None] != ids[None, :], k)
+                fit = q_ids[:, None] != ids[None, :]
                 if q in held:
                     node, before = held[q]
-                    best = _merged([before, best], k)
-                held[q] = node, best
+                    if before[0].shape[1] == k:
+                        # What a full list's last score beats can't come into the list.
+                        fit &= s >= np.where(before[2][:, -1], before[0][:, -1], np.iinfo(np.int64).min)[:, None]
+                    held[q] = node, _merged([before, _best(s, ids[None, :], fit, k)], k)
+                else:
+                    held[q] = node, _best(s, ids[None, :], fit, k)
         yield from close()
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
